@@ -96,16 +96,7 @@ def ngram(h: np.ndarray, n: int) -> np.ndarray:
             out = (out ^ h[i : i + m]) * U64(0xE7037ED1A0B428DB)
             out ^= out >> U64(32)
         return mix(out)
-    k = len(h)
-    power = np.full(k + 1, 0x8EBC6AF09C88C6E3, U64)
-    power[0] = 1
-    power = np.cumprod(power)
-    back = np.full(k + 1, pow(0x8EBC6AF09C88C6E3, -1, 1 << 64), U64)
-    back[0] = 1
-    back = np.cumprod(back)
-    total = np.zeros(k + 1, U64)
-    np.cumsum(h * power[:k], out=total[1:])
-    return mix((total[n:] - total[:m]) * back[:m])
+    return Rolling(h).grams(n)
 
 
 def texts(batch, column: str):
@@ -133,3 +124,21 @@ def chunks(offsets: np.ndarray, data: np.ndarray, limit: int = CHUNK_BYTES):
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Rolling:
+    """Hashes of runs of any number of consecutive word hashes; equal to ngram()'s for more than four words."""
+
+    def __init__(self, h: np.ndarray):
+        n, base = len(h), 0x8EBC6AF09C88C6E3 | 1
+        power = np.full(n + 1, base, U64)
+        power[0] = 1
+        self.back = np.full(n + 1, pow(base, -1, 1 << 64), U64)
+        self.back[0] = 1
+        self.back = np.cumprod(self.back)
+        self.total = np.zeros(n + 1, U64)
+        np.cumsum(h * np.cumprod(power)[:n], out=self.total[1:])
+
+    def grams(self, n: int) -> np.ndarray:
+        m = len(self.total) - n
+        return mix((self.total[n:] - self.total[:m]) * self.back[:m]) if m > 0 else np.empty(0, U64)
