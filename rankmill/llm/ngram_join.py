@@ -147,35 +147,63 @@ def _slices_of(n, share, count):
     return run
 
 
-def _alone(batches):
-    """Rows (c1, alone): how many tokens of the bucket each class has alone; classes without any have no row."""
+def _alone(count):
+    """Rows (part, classes, alone): how many tokens of a bucket each class has alone, dealt by class; as packed arrays."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                held.setdefault(b, []).append(blobs)
+        while held:
+            _, blobs = held.popitem()
+            cls = np.concatenate([np.frombuffer(x[0], np.uint64) for x in blobs])
+            sizes = np.concatenate([np.frombuffer(x[1], np.uint32) for x in blobs]).astype(np.int64)
+            six = np.concatenate([np.frombuffer(x[2], np.uint8) for x in blobs]).reshape(-1, 6)
+            eight = np.zeros((len(six), 8), np.uint8)
+            eight[:, :6] = six
+            tokens = eight.reshape(-1).view(np.uint64)
+            _, once = np.unique(cls, return_index=True)  # a class that came from several tasks counts once
+            first = np.zeros(len(cls), bool)
+            first[once] = True
+            own = np.repeat(np.arange(len(cls)), sizes)
+            pick = first[own]
+            tokens, own = tokens[pick], own[pick]
+            order = np.argsort(tokens)
+            t = tokens[order]
+            differs = np.ones(len(t) + 1, bool)
+            differs[1:-1] = t[1:] != t[:-1]
+            lone = np.bincount(own[order][differs[1:] & differs[:-1]], minlength=len(cls))
+            has = np.flatnonzero(lone)
+            if not len(has):
+                continue
+            has = has[np.argsort(cls[has] & np.uint64(count - 1), kind="stable")]
+            parts = (cls[has] & np.uint64(count - 1)).astype(np.int64)
+            edge = np.flatnonzero(np.diff(parts, prepend=-1))
+            spans = list(zip(edge, np.append(edge[1:], len(has)), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts[edge], pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (cls[has], lone[has].astype(np.int64)))],
+                names=["part", "classes", "alone"],
+            )
+
+    return run
+
+
+def _alone_summed(batches):
+    """Rows (c1, alone): the sums over all buckets, a row for each class."""
     import pyarrow as pa
 
     held: dict[int, list] = {}
     for batch in batches:
-        for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             held.setdefault(b, []).append(blobs)
     while held:
         _, blobs = held.popitem()
-        cls = np.concatenate([np.frombuffer(x[0], np.uint64) for x in blobs])
-        sizes = np.concatenate([np.frombuffer(x[1], np.uint32) for x in blobs]).astype(np.int64)
-        six = np.concatenate([np.frombuffer(x[2], np.uint8) for x in blobs]).reshape(-1, 6)
-        eight = np.zeros((len(six), 8), np.uint8)
-        eight[:, :6] = six
-        tokens = eight.reshape(-1).view(np.uint64)
-        _, once = np.unique(cls, return_index=True)  # a class that came from several tasks counts once
-        first = np.zeros(len(cls), bool)
-        first[once] = True
-        own = np.repeat(np.arange(len(cls)), sizes)
-        pick = first[own]
-        tokens, own = tokens[pick], own[pick]
-        order = np.argsort(tokens)
-        t = tokens[order]
-        differs = np.ones(len(t) + 1, bool)
-        differs[1:-1] = t[1:] != t[:-1]
-        lone = np.bincount(own[order][differs[1:] & differs[:-1]], minlength=len(cls))
-        has = np.flatnonzero(lone)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(cls[has])), pa.array(lone[has])], names=["c1", "alone"])
+        cls, own = np.unique(np.concatenate([np.frombuffer(x[0], np.int64) for x in blobs]), return_inverse=True)
+        total = np.bincount(own, np.concatenate([np.frombuffer(x[1], np.int64) for x in blobs]).astype(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(total.astype(np.int64))], names=["c1", "alone"])
 
 
 def _whole_sets(n):
@@ -218,8 +246,8 @@ def link_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFr
     count = buckets(spark)
     alone = (
         docs.mapInArrow(_slices_of(n, SLICE, count), "bucket int, classes binary, sizes binary, tokens binary")
-        .repartitionById(count, F.col("bucket")).mapInArrow(_alone, "c1 long, alone long")
-        .groupBy("c1").agg(F.sum("alone").alias("alone"))
+        .repartitionById(count, F.col("bucket")).mapInArrow(_alone(count), "part int, classes binary, alone binary")
+        .repartitionById(count, F.col("part")).mapInArrow(_alone_summed, "c1 long, alone long")
     )
     spare = 100 - percent
     # Different sets that link have percent / (100 - percent) tokens at least.
@@ -255,15 +283,14 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     star = star.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     near = written(_verified(star, sets, percent), "near")
 
-    ends = near.select(F.col("a").alias("rep"), F.col("a").alias("label")).union(near.select(F.col("b").alias("rep"), F.col("a").alias("label")))
-    label = ends.groupBy("rep").agg(F.min("label").alias("label"))
+    label = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("label"))
     known = written(prefix.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "known")
-    rest = known.alias("x").join(known.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits)
-    rest = (
-        rest.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .agg(F.count("*").alias("shared"), F.max(first).alias("first"), F.min(F.least("x.l", "y.l")).alias("l"))
-        .where("first and shared >= l").select("a", "b")
-    )
+    rest = known.alias("x").join(known.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits & first)
+    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.l", "y.l").alias("l")).distinct()
+    heads = prefix.groupBy("rep").agg(F.collect_set("token").alias("head"))
+    for side in ("a", "b"):
+        rest = rest.join(heads.select(F.col("rep").alias(side), F.col("head").alias(f"h{side}")), side)
+    rest = rest.where(F.size(F.array_intersect("ha", "hb")) >= F.col("l")).select("a", "b")
     rest = rest.join(near, ["a", "b"], "left_anti")
     return near.union(written(_verified(rest, sets, percent), "rest"))
 
