@@ -49,12 +49,14 @@ LABELLED = (
     ("blog", 0), ("news page", 0), ("the home page", 0), ("science article", 0), ("university research", 0), ("public library", 0),
     ("city weather news", 0), ("museum history art", 0), ("garden guide", 0), ("learn music", 0), ("book reviews", 0), ("help contact", 0),
     ("family health care", 0), ("school education", 0), ("software project code", 0), ("travel photo blog", 0), ("state government", 0),
-    ("open data", 0), ("community forum", 0), ("www", 0), ("m", 0), ("en", 0), ("fr", 0), ("de", 0), ("es", 0), ("html page", 0),
+    ("open data", 0), ("community forum", 0), ("www", 0), ("m", 0), ("page", 0),
     ("article archive", 0), ("car design", 0), ("water power", 0), ("women world news", 0), ("computer science", 0), ("sports news", 0),
 )
 
 #: Share of blocked names expected among all.
-PRIOR = 0.1
+PRIOR = 0.2
+#: Added to each word's count in each class.
+SMOOTHING = 0.1
 MAX_WORD = 20
 #: Labels at the end of a host that name no site.
 SUFFIXES = {"com", "net", "org", "edu", "gov", "co", "io", "info", "example"}
@@ -98,8 +100,8 @@ class NameModel:
             for w in text.split():
                 counts[label][w] = counts[label].get(w, 0) + 1
         known = {*counts[0], *counts[1]}
-        totals = [sum(c.values()) + len(known) for c in counts]
-        self.weight = {w: math.log((counts[1].get(w, 0) + 1) / totals[1]) - math.log((counts[0].get(w, 0) + 1) / totals[0]) for w in known}
+        share = lambda label, w: (counts[label].get(w, 0) + SMOOTHING) / (sum(counts[label].values()) + SMOOTHING * len(known))
+        self.weight = {w: math.log(share(1, w)) - math.log(share(0, w)) for w in known}
         self.prior = math.log(prior / (1 - prior))
 
     def words(self, host: str, path: str) -> list[str]:
