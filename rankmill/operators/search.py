@@ -81,26 +81,29 @@ def top_k(scored: DataFrame, k: int, largest: bool = True) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "score")
 
 
-def search(vectors: DataFrame, queries: DataFrame, scorer: Scorer, k: int, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, row_id, score): the k best rows of vectors for each query."""
+def search(vectors: DataFrame, queries: DataFrame, scorer: Scorer, k: int, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, width: int | None = None) -> DataFrame:
+    """(query_id, rank, row_id, score): the k best rows of vectors for each query.
+
+    code: the rows have this column of whole numbers, width of them, in place of vector; the scorer's docs() takes those.
+    """
     if k < 0:
         raise ParameterError("k must not be negative")
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(row_id).cast("long"), F.col(vector).cast("array<float>"))
+    rows = vectors.select(F.col(row_id).cast("long"), F.col(code).cast("array<long>") if code else F.col(vector).cast("array<float>"))
     found = None
     if k:
         for ids, q in blocks(queries, query_id, vector):
-            part = rows.mapInArrow(_scan(ids, q, scorer, k, q.shape[1]), "query_id long, row_id long, score double")
+            part = rows.mapInArrow(_scan(ids, q, scorer, k, width or q.shape[1]), "query_id long, row_id long, score double")
             found = part if found is None else found.union(part)
     return top_k(found, k, scorer.largest) if found is not None else spark.createDataFrame([], RESULT)
 
 
-def _pairs(scorer: Scorer, dim: int):
+def _pairs(scorer: Scorer, dim: int, width: int | None = None):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            d, q = scorer.docs(kernels.block(batch.column(3), dim)), scorer.queries(kernels.block(batch.column(4), dim))
+            d, q = scorer.docs(kernels.block(batch.column(3), width or dim)), scorer.queries(kernels.block(batch.column(4), dim))
             one = (lambda i: tuple(x[i : i + 1] for x in q)) if isinstance(q, tuple) else (lambda i: q[i : i + 1])  # noqa: B023
             s = [float(scorer.score(d[i : i + 1], one(i))[0, 0]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(s, pa.float64())], names=["query_id", "pos", "row_id", "score"])
@@ -108,16 +111,16 @@ def _pairs(scorer: Scorer, dim: int):
     return run
 
 
-def score_candidates(vectors: DataFrame, queries: DataFrame, candidates: DataFrame, scorer: Scorer, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+def score_candidates(vectors: DataFrame, queries: DataFrame, candidates: DataFrame, scorer: Scorer, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, width: int | None = None) -> DataFrame:
     """candidates (query_id, pos, row_id) with score, in their order and as often as they are listed.
 
     Candidates meet their rows by an equi-join on row_id, queries by one on query_id; Spark picks how by their sizes.
     """
-    rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vector).cast("array<float>").alias("d"))
+    rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), (F.col(code).cast("array<long>") if code else F.col(vector).cast("array<float>")).alias("d"))
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
     dim = len((queries.select(vector).first() or [[]])[0])
     joined = candidates.select("query_id", "pos", "row_id").join(rows, "row_id").join(q, "query_id").select("query_id", "pos", "row_id", "d", "q")
-    return joined.mapInArrow(_pairs(scorer, dim), "query_id long, pos int, row_id long, score double")
+    return joined.mapInArrow(_pairs(scorer, dim, width), "query_id long, pos int, row_id long, score double")
 
 
 def search_subset(vectors, queries, candidates, scorer: Scorer, k: int, **names) -> DataFrame:
@@ -158,11 +161,11 @@ def _dense(query_ids, q, scorer: Scorer, dim: int):
     return run
 
 
-def score_all(vectors, queries, scorer: Scorer, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+def score_all(vectors, queries, scorer: Scorer, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, width: int | None = None) -> DataFrame:
     """(query_id, row_id, score) of every query and row: as many rows as asked for, made in tasks and not shuffled."""
-    rows, found = vectors.select(F.col(row_id).cast("long"), F.col(vector).cast("array<float>")), None
+    rows, found = vectors.select(F.col(row_id).cast("long"), F.col(code).cast("array<long>") if code else F.col(vector).cast("array<float>")), None
     for ids, q in blocks(queries, query_id, vector):
-        part = rows.mapInArrow(_dense(ids, q, scorer, q.shape[1]), "query_id long, row_id long, score double")
+        part = rows.mapInArrow(_dense(ids, q, scorer, width or q.shape[1]), "query_id long, row_id long, score double")
         found = part if found is None else found.union(part)
     return found if found is not None else vectors.sparkSession.createDataFrame([], "query_id long, row_id long, score double")
 
