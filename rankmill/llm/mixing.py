@@ -84,4 +84,4 @@ SELECT {columns}, unnest(range(1, copies + 1))::BIGINT AS copy, copies FROM k WH
 
 
 def oracle() -> str:
-    return f"SELECT doc_id, source, copy, copies FROM {mixed_sql('documents', 'doc_id, source')}"
+    return f"SELECT doc_id, source, copy, copies, md5(text) AS text_md5 FROM {mixed_sql('documents', 'doc_id, source, text')}"

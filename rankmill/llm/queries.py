@@ -55,7 +55,7 @@ def op9_license_scan(spark, sf_dir):
 
 
 def op10_mix_sources(spark, sf_dir):
-    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "copy", "copies")
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "copy", "copies", F.md5("text").alias("text_md5"))
 
 
 QUERIES = {

@@ -6,15 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import rankmill
-
-# Executors need not have this package installed: its functions travel with the job.
-cloudpickle.register_pickle_by_value(rankmill)
-
 #: Rows up to which a table of a few numbers a row is broadcast: some 16 MB.
 BROADCAST_ROWS = 500_000
 
