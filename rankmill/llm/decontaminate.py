@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.shared import small, written
+from rankmill.llm.shared import mapped, small, written
 from rankmill.llm.text import NOT_ALNUM, Rolling, Words, chunks, texts
 
 EDIT_RATE = 0.15
@@ -137,7 +137,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFra
 
     def search():
         nonlocal found, block
-        part = docs.mapInArrow(_search(block, rate), SCHEMA)
+        part = mapped(docs, _search(block, rate), SCHEMA)
         found, block = part if found is None else found.union(part), []
 
     for row in rows:

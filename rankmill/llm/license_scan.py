@@ -14,6 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
+from rankmill.llm.shared import mapped
 from rankmill.llm.text import NOT_ALNUM, Words, chunks, texts
 
 # Phrases and their labels.
@@ -180,4 +181,4 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataF
     docs: doc_id, text; other columns are ignored. Words are runs of letters, digits and non-ASCII characters, A-Z
     lower-cased; a null text has none. Repeated rows each have a result.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scan(phrases, templates), SCHEMA)
+    return mapped(docs.select("doc_id", "text"), _scan(phrases, templates), SCHEMA)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.llm.components import connected_components
-from rankmill.llm.shared import buckets, small, written
+from rankmill.llm.shared import buckets, mapped, small, written
 from rankmill.llm.text import SPACE, Words, chunks, mix, ngram, signed, texts
 
 #: Share of the hash space looked at first.
@@ -241,19 +241,17 @@ def link_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFr
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sets = written(docs.mapInArrow(_sets_of(n), "doc_id long, n_shingles long, c1 long, c2 long"), "sets")
+    sets = written(mapped(docs, _sets_of(n), "doc_id long, n_shingles long, c1 long, c2 long"), "sets")
     classes = written(sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     count = buckets(spark)
-    alone = (
-        docs.mapInArrow(_slices_of(n, SLICE, count), "bucket int, classes binary, sizes binary, tokens binary")
-        .repartitionById(count, F.col("bucket")).mapInArrow(_alone(count), "part int, classes binary, alone binary")
-        .repartitionById(count, F.col("part")).mapInArrow(_alone_summed, "c1 long, alone long")
-    )
+    slices = mapped(docs, _slices_of(n, SLICE, count), "bucket int, classes binary, sizes binary, tokens binary")
+    alone = mapped(slices.repartitionById(count, F.col("bucket")), _alone(count), "part int, classes binary, alone binary")
+    alone = mapped(alone.repartitionById(count, F.col("part")), _alone_summed, "c1 long, alone long")
     spare = 100 - percent
     # Different sets that link have percent / (100 - percent) tokens at least.
     left = classes.where(F.col("n") * spare >= percent).join(alone, "c1", "left").where(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * spare)
     left = written(left.select("rep"), "left")
-    tokens = written(docs.join(small(left.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi").mapInArrow(_whole_sets(n), "rep long, n long, tokens array<long>"), "tokens")
+    tokens = written(mapped(docs.join(small(left.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi"), _whole_sets(n), "rep long, n long, tokens array<long>"), "tokens")
     return sets, classes, _links(tokens, percent)
 
 

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.llm.shared import mapped
 from rankmill.llm.text import BASE, U64, chunks, mix, texts
 
 ROWS, DIMS, NONZERO, BLOCKS, SHAPES = 1 << 14, 32, 2, 16, 4
@@ -110,9 +111,9 @@ def _summed(batches):
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The context vectors, of length 1, of all documents: a table of fixed size."""
-    sums = docs.select("text").mapInArrow(_contexts, "block int, counts binary").repartitionById(BLOCKS, F.col("block"))
+    sums = mapped(docs.select("text"), _contexts, "block int, counts binary").repartitionById(BLOCKS, F.col("block"))
     out = np.zeros((BLOCKS, ROWS * DIMS // BLOCKS), np.int64)
-    for b, x in sums.mapInArrow(_summed, "block int, counts binary").collect():
+    for b, x in mapped(sums, _summed, "block int, counts binary").collect():
         out[b] = np.frombuffer(x, np.int64)
     v = out.reshape(ROWS, DIMS).astype(np.float64)
     return (v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)).astype(np.float32)
@@ -226,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     some = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out() & F.col("quality").isin(0, 1))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text")  # bounded by limit
-    rows = rows.mapInArrow(_features(vectors), "quality int, x binary").limit(2 * max_labelled).collect()
+    rows = mapped(rows, _features(vectors), "quality int, x binary").limit(2 * max_labelled).collect()
     rows.sort(key=lambda r: (bytes(r[1]), r[0]))  # the same network, however rows arrive
     x = np.array([np.frombuffer(r[1]) for r in rows]).reshape(len(rows), FEATURES)
     return vectors, Network(x, np.array([r[0] for r in rows], float))
@@ -240,7 +241,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     Repeated rows each have a result.
     """
     vectors, network = fit(docs, labels, max_labelled)
-    d = docs.select("doc_id", "text").mapInArrow(_scores(vectors, network, ["doc_id"]), "doc_id long, score double")
+    d = mapped(docs.select("doc_id", "text"), _scores(vectors, network, ["doc_id"]), "doc_id long, score double")
     return d.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -249,7 +250,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     vectors, network = fit(docs, labels, max_labelled)
     name = next(c for c in ("score", *(f"score_{i}" for i in range(9))) if c not in docs.columns)
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{name} double"])
-    scored = docs.mapInArrow(_renamed(_scores(vectors, network, docs.columns), [*docs.columns, name]), kinds)
+    scored = mapped(docs, _renamed(_scores(vectors, network, docs.columns), [*docs.columns, name]), kinds)
     return scored.where(F.col(name) >= threshold).drop(name)
 
 

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankmill.llm.text import frugal
+
 #: Rows up to which a table of a few numbers a row is broadcast: some 16 MB.
 BROADCAST_ROWS = 500_000
 
@@ -53,5 +55,27 @@ def buckets(spark: SparkSession) -> int:
     return min(1 << 15, max(8, 1 << (partitions(spark) - 1).bit_length()))
 
 
+#: Rows of text that go to Python at once.
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), sparing with memory: small batches, and workers that hand freed memory back.
+
+    Batches of rows are a setting of the session; it is lowered here, never raised.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+
+    def lean(batches):
+        frugal()
+        yield from run(batches)
+
+    lean.__name__ = getattr(run, "__qualname__", "run").split(".")[0].strip("<>_")
+    return df.mapInArrow(lean, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.llm.shared import mapped
+
 #: (host, path, verdict). A rule fits its host and all below it, if the path starts with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -167,7 +169,7 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = 0.5, labelled=L
     host, path = host_and_path(F.col(url))
     d = pages.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     d = d.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)["rule"])
-    d = d.mapInArrow(_scored(labelled, vocabulary, prior), "page_id long, host string, path string, rule string, words array<string>, score double")
+    d = mapped(d, _scored(labelled, vocabulary, prior), "page_id long, host string, path string, rule string, words array<string>, score double")
     verdict = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     for h, p, v in rules:
         verdict = F.when(F.col("rule") == h + p, v).otherwise(verdict)

@@ -1,9 +1,17 @@
+import hashlib
+import math
+from collections import Counter, defaultdict
+
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipe
 
-from tests.llm.common import SCHEMA, frame, prose
+from rankmill.llm import line_dedup
+from rankmill.llm.decontaminate import EDIT_RATE
+from tests.llm.common import LOWER, SCHEMA, frame, prose
+from tests.llm.test_dedup import brute
+from tests.llm.test_text_operators import edit_distance
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,6 +30,56 @@ def test_stages_one_by_one(spark, tmp_path):
     assert whole.count() > 50
 
 
+def by_hand(rows, items):
+    """(doc_id, copies) of rows (doc_id, text, source) after the stages behind the classifier."""
+    pages, lines = defaultdict(set), defaultdict(set)
+    strip = lambda x: x.strip(" \t\x0b\x0c\r")
+    for _, text, source in rows:
+        pages[source].add(text)
+        for x in text.split("\n"):
+            if strip(x):
+                lines[source, strip(x)].add(text)
+    drop = {k for k, v in lines.items() if len(v) >= line_dedup.MIN_PAGES and len(v) > line_dedup.RATIO * len(pages[k[0]])}
+    kept = {}
+    for i, text, source in rows:
+        new = [x for x in text.split("\n") if (source, strip(x)) not in drop]
+        if any(map(strip, new)) or new == text.split("\n"):
+            kept[i] = ("\n".join(new), source)
+    first = {i for i, (_, c) in brute({i: t for i, (t, _) in kept.items()}, 5, 80).items() if c == i}
+    norm = lambda t: __import__("re").findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    clean = {}
+    for i in first:
+        w = norm(kept[i][0])
+        shared = set(w)
+        if not any(len(shared & set(p)) > len(set(p)) // 2 and edit_distance(p, w) <= int(len(p) * EDIT_RATE) for p in items):
+            clean[i] = kept[i][1]
+    n = Counter(clean.values())
+    weight = {s: math.sqrt(k) for s, k in n.items()}
+    out = {}
+    for i, s in clean.items():
+        rate = round(weight[s] / sum(weight.values()) * len(clean) / n[s], 9)
+        u, k, p = int(hashlib.md5(f"17:{i}:1".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate / k
+            total += p
+        if k:
+            out[i] = k
+    return out
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = pipe.STAGES[0][1](spark, docs, SMALL).cache()
+    items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    norm = [__import__("re").findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER)) for t in items]
+    want = by_hand([(r.doc_id, r.text, r.source) for r in docs.collect()], norm)
+    for _, stage in pipe.STAGES[1:]:
+        docs = stage(spark, docs, SMALL)
+    assert {r.doc_id: r.copies for r in docs.collect()} == want
+
+
 def test_stages_on_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, prose(1, 80), None, None, 5)], none.schema)
