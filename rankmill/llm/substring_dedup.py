@@ -6,7 +6,8 @@ other meets with a probe. Per block value only two numbers are kept, the smalles
 largest that meets it, so a passage in a third of all documents costs no pairs. Each hit is then extended: the windows
 around it are compared whole, across documents, and runs of windows that repeat merge into maximal repeated spans.
 
-Shuffles carry packed arrays: six bytes of hash and four of place for each probe.
+Shuffles carry packed arrays: four bytes of hash and one or two of place for each probe (a false hit costs a comparison of
+whole windows, nothing else), and 64 bits of hash for each window around a hit.
 """
 
 from __future__ import annotations
@@ -18,139 +19,233 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.shared import buckets, written
-from rankmill.llm.text import SPACE, Words, chunks, ngram, signed, texts
+from rankmill.llm.shared import buckets, mapped, written
+from rankmill.llm.text import SPACE, Words, chunks, mix, ngram, texts
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_MIN, _MAX = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Values that a task gathers before it hands them on.
-FLUSH = 1_500_000
+FLUSH = 2_500_000
+#: Buckets at least, so that small and large inputs pack alike.
+LEAST_BUCKETS = 64
 #: Bytes of packed hits up to which they are broadcast.
 BROADCAST_BYTES = 24 << 20
 
 
-def _six(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray((x >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+def _ints(x: np.ndarray) -> bytes:
+    """Whole numbers as their first value and differences, as narrow as these allow.
 
+    Rising ones may take a byte each: 255 then stands for a step of 255 that ends at no number.
+    """
+    d = np.diff(x)
+    kind = next(k for k in (np.uint8, np.int16, np.uint16, np.int32, np.int64) if not len(d) or np.iinfo(k).min <= d.min() and d.max() <= np.iinfo(k).max)
+    head = np.int64(x[0]).tobytes()
+    if len(d) and d.min() >= 0 and kind is not np.uint8:
+        steps = d // 255 + 1
+        ends = np.cumsum(steps)
+        if ends[-1] < len(d) * np.dtype(kind).itemsize:
+            out = np.full(ends[-1], 255, np.uint8)
+            out[ends - 1] = d % 255
+            return b"s" + head + out.tobytes()
+    return np.dtype(kind).char.encode() + head + d.astype(kind).tobytes()
+
+
+def _of_ints(x: bytes) -> np.ndarray:
+    first = np.frombuffer(x, np.int64, 1, 1)
+    if x[:1] == b"s":
+        d = np.frombuffer(x, np.uint8, offset=9)
+        return np.concatenate([first, first + np.cumsum(d, dtype=np.int64)[d < 255]])
+    return np.cumsum(np.concatenate([first, np.frombuffer(x, np.dtype(x[:1].decode()), offset=9)]).astype(np.int64))
+
+
+class Gathered:
+    """What a task gathers of runs of texts until it deals it out by hash.
+
+    A row has the documents met in a bucket, at which of the gathered words each begins, and place and hash of each run
+    of words; kind: the part of a hash that is sent.
+    """
 
-def _wide(blobs: list[bytes]) -> np.ndarray:
-    six = np.concatenate([np.frombuffer(x, np.uint8) for x in blobs]).reshape(-1, 6)
-    eight = np.zeros((len(six), 8), np.uint8)
-    eight[:, :6] = six
-    return eight.reshape(-1).view(np.uint64)
-
-
-def _dealt(held, count: int):
-    """One row for each bucket of what a task has gathered: (bucket, docs, sizes, places, hashes)."""
-    import pyarrow as pa
-
-    doc, place, h = (np.concatenate(x) for x in zip(*held, strict=True))
-    bucket = (h & np.uint64(count - 1)).astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
-    doc, place, h = doc[order], place[order].astype(np.uint32), h[order]
-    cut = np.searchsorted(bucket[order], np.arange(count + 1))
-    six, rows = _six(h), ([], [], [], [], [])
-    for b in range(count):
-        lo, hi = cut[b], cut[b + 1]
-        if lo < hi:
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(doc[lo:hi])) + 1])
-            sizes = np.diff(np.append(edge, hi - lo)).astype(np.uint32)
-            for out, x in zip(rows, (b, doc[lo:hi][edge].tobytes(), sizes.tobytes(), place[lo:hi].tobytes(), six[lo:hi].tobytes()), strict=True):
-                out.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "docs", "sizes", "places", "hashes"])
+    def __init__(self, count: int, kind):
+        self.count, self.kind = count, kind
+        self.reset()
 
+    def reset(self):
+        self.held, self.words, self.size = [], 0, 0
 
-DEALT = "bucket int, docs binary, sizes binary, places binary, hashes binary"
+    def add(self, ids, per, at, hashes):
+        """ids and words of each text; at: where runs begin among these words; their hashes."""
+        begin = self.words + np.cumsum(per) - per
+        self.held.append((ids, begin, at + self.words, hashes))
+        self.words += int(per.sum())
+        self.size += len(at)
 
+    def dealt(self):
+        import pyarrow as pa
 
-def _taken(blobs):
-    doc = np.concatenate([np.frombuffer(x[0], np.int64) for x in blobs])
-    sizes = np.concatenate([np.frombuffer(x[1], np.uint32) for x in blobs]).astype(np.int64)
-    place = np.concatenate([np.frombuffer(x[2], np.uint32) for x in blobs])
-    return np.repeat(doc, sizes), place, _wide([x[3] for x in blobs])
+        ids, begin, at, h = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.reset()
+        bucket = (h & np.uint64(self.count - 1)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        at, cut = at[order], np.searchsorted(bucket[order], np.arange(self.count + 1))
+        h = (h >> np.uint64(64 - 8 * np.dtype(self.kind).itemsize)).astype(self.kind)[order]
+        has = np.flatnonzero(np.append(begin[1:], np.iinfo(np.int64).max) > begin)
+        ids, begin, rows = ids[has], begin[has], ([], [], [], [], [])
+        for b in range(self.count):
+            lo, hi = cut[b], cut[b + 1]
+            if lo < hi:
+                own = np.searchsorted(begin, at[lo:hi], "right") - 1
+                own = own[np.flatnonzero(np.diff(own, prepend=-1))]
+                for out, x in zip(rows, (b, _ints(ids[own]), _ints(begin[own]), _ints(at[lo:hi]), h[lo:hi].tobytes()), strict=True):
+                    out.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "docs", "begins", "places", "hashes"])
+
+
+DEALT = "bucket int, docs binary, begins binary, places binary, hashes binary"
+FOUND = "part int, docs binary, sizes binary, places binary"
+
+
+def _taken(blobs, kind):
+    """(document, place in it, hash) of all rows of a bucket."""
+    out = []
+    for docs, begins, places, hashes in blobs:
+        begin, at = _of_ints(begins), _of_ints(places)
+        own = np.searchsorted(begin, at, "right") - 1
+        out.append((_of_ints(docs)[own], (at - begin[own]).astype(np.uint32), np.frombuffer(hashes, kind)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _grouped(doc, place):
+    """(documents, sizes, places) of found places, each document once."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
+    return doc[edge], np.diff(np.append(edge, len(doc))), place.astype(np.uint32)
 
 
-def _returned(doc, place):
-    """(doc_id, places) of what holds, a row for each document."""
+def _found(doc, place, count: int):
+    """What a bucket has found, dealt by document."""
     import pyarrow as pa
 
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
-    edge = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.empty(0, np.int64)
-    ends = np.append(edge[1:], len(doc))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[edge]), pa.array([place[a:b].tobytes() for a, b in zip(edge, ends, strict=True)], pa.binary())], names=["doc_id", "places"]
-    )
+    part = (mix(doc.view(np.uint64)) & np.uint64(count - 1)).astype(np.int64)
+    rows = ([], [], [], [])
+    order = np.argsort(part, kind="stable")
+    doc, place, part = doc[order], place[order], part[order]
+    edge = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(edge, np.append(edge[1:], len(part))[: len(edge)], strict=True):
+        d, n, p = _grouped(doc[a:b], place[a:b])
+        for out, x in zip(rows, (int(part[a]), d.tobytes(), n.astype(np.uint32).tobytes(), p.tobytes()), strict=True):
+            out.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "docs", "sizes", "places"])
 
 
-def _by_bucket(batches, work):
+def _rows_by_key(batches):
+    """The blobs of each key of a partition; a partition has few keys."""
     held: dict[int, list] = {}
     for batch in batches:
-        for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        columns = (batch.column(i).to_pylist() for i in range(batch.num_columns))
+        for b, *blobs in zip(*columns, strict=True):
             held.setdefault(b, []).append(blobs)
     while held:
-        _, blobs = held.popitem()
-        yield _returned(*work(*_taken(blobs)))
+        yield held.popitem()[1]
+
+
+def _by_bucket(work, kind, count: int):
+    def run(batches):
+        for blobs in _rows_by_key(batches):
+            yield _found(*work(*_taken(blobs, kind)), count)
+
+    return run
+
+
+def _merged(gap: int):
+    """Rows (doc_id, places) of all that was found, one for each document: first and last of runs of places that are
+    no more than gap apart."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for blobs in _rows_by_key(batches):
+            doc = np.repeat(np.concatenate([np.frombuffer(x[0], np.int64) for x in blobs]), np.concatenate([np.frombuffer(x[1], np.uint32) for x in blobs]).astype(np.int64))
+            place = np.concatenate([np.frombuffer(x[2], np.uint32) for x in blobs]).astype(np.int64)
+            order = np.lexsort((place, doc))
+            doc, place = doc[order], place[order]
+            first = np.ones(len(doc) + 1, bool)
+            first[1:-1] = (doc[1:] != doc[:-1]) | (np.diff(place) > gap)
+            runs = np.stack([place[first[:-1]], place[first[1:]]], 1).astype(np.uint32)
+            own, size, _ = _grouped(doc[first[:-1]], runs[:, 0])
+            end = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), pa.array([runs[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)], pa.binary())], names=["doc_id", "places"]
+            )
+
+    return run
+
+
+def _runs(places: bytes) -> np.ndarray:
+    return np.frombuffer(places, np.uint32).astype(np.int64).reshape(-1, 2)
 
 
 def _probes(block: int, count: int):
     """All rolling runs of block words; the places of reference blocks are those divisible by block."""
 
     def run(batches):
-        words, held, waiting = Words(SPACE), [], 0
+        words, gathered = Words(SPACE), Gathered(count, np.uint32)
         for batch in batches:
             offsets, data = texts(batch, "text")
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             for lo, hi, buf, bounds in chunks(offsets, data):
                 _, _, wdoc, h = words.split(buf, bounds)
                 g = ngram(h, block)
-                if not len(g):
-                    continue
-                inside = wdoc[block - 1 :] == wdoc[: len(g)]
-                place = np.arange(len(wdoc)) - np.searchsorted(wdoc, np.arange(hi - lo))[wdoc]
-                held.append((ids[lo:hi][wdoc[: len(g)][inside]], place[: len(g)][inside], g[inside]))
-                waiting += len(held[-1][0])
-                if waiting >= FLUSH:
-                    yield _dealt(held, count)
-                    held, waiting = [], 0
-        if waiting:
-            yield _dealt(held, count)
+                if len(g):
+                    at = np.flatnonzero(wdoc[block - 1 :] == wdoc[: len(g)])
+                    gathered.add(ids[lo:hi], np.bincount(wdoc, minlength=hi - lo), at, g[at])
+                if gathered.size >= FLUSH:
+                    yield gathered.dealt()
+        if gathered.size:
+            yield gathered.dealt()
 
     return run
 
 
-def _hits(block: int):
+def _runs_of(h):
+    """(first of each run of equal hashes, run of each)."""
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    return edge, np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(h))))
+
+
+def _hits(block: int, count: int):
     """Of one bucket, the probes that meet a block of a smaller document and the blocks that a larger one meets."""
 
     def work(doc, place, h):
         order = np.argsort(h)
-        doc, place, h = doc[order], place[order], h[order]
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        doc, place = doc[order], place[order]
+        edge, run = _runs_of(h[order])
         anchor = place % block == 0
-        low = np.minimum.reduceat(np.where(anchor, doc, _MAX), edge)
+        low = np.minimum.reduceat(np.where(anchor, doc, np.iinfo(np.int64).max), edge)
         high = np.maximum.reduceat(doc, edge)
-        run = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(h))))
         hit = (low[run] < doc) | (anchor & (high[run] > doc))
         return doc[hit], place[hit]
 
-    return lambda batches: _by_bucket(batches, work)
+    return _by_bucket(work, np.uint32, count)
 
 
-def _repeats(doc, place, h):
+def _repeats(count: int):
     """Of one bucket, the windows that start in a smaller document too."""
-    order = np.argsort(h)
-    doc, place, h = doc[order], place[order], h[order]
-    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    low = np.minimum.reduceat(doc, edge)
-    later = doc > np.repeat(low, np.diff(np.append(edge, len(h))))
-    return doc[later], place[later]
+
+    def work(doc, place, h):
+        order = np.argsort(h)
+        doc, place = doc[order], place[order]
+        edge, run = _runs_of(h[order])
+        later = doc > np.minimum.reduceat(doc, edge)[run]
+        return doc[later], place[later]
+
+    return _by_bucket(work, np.uint64, count)
 
 
 def _around(window: int, block: int, count: int):
     """The windows that hold a hit."""
 
     def run(batches):
-        words, held, waiting = Words(SPACE), [], 0
+        words, gathered = Words(SPACE), Gathered(count, np.uint64)
         for batch in batches:
             offsets, data = texts(batch, "text")
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
@@ -163,29 +258,29 @@ def _around(window: int, block: int, count: int):
                 begin = np.searchsorted(wdoc, np.arange(hi - lo + 1))
                 near = np.zeros(len(h) + 1, np.int64)
                 for i in range(lo, hi):
-                    at = np.concatenate([np.frombuffer(x, np.uint32) for x in places[i]]).astype(np.int64) + begin[i - lo]
-                    np.add.at(near, np.maximum(at - (window - block), begin[i - lo]), 1)
-                    np.add.at(near, at + 1, -1)
-                pick = (np.cumsum(near)[: len(g)] > 0) & (wdoc[window - 1 :] == wdoc[: len(g)])
-                at = np.flatnonzero(pick)
-                held.append((ids[lo:hi][wdoc[at]], at - begin[wdoc[at]], g[at]))
-                waiting += len(at)
-                if waiting >= FLUSH:
-                    yield _dealt(held, count)
-                    held, waiting = [], 0
-        if waiting:
-            yield _dealt(held, count)
+                    at = _runs(places[i]) + begin[i - lo]
+                    np.add.at(near, np.maximum(at[:, 0] - (window - block), begin[i - lo]), 1)
+                    np.add.at(near, at[:, 1] + 1, -1)
+                at = np.flatnonzero((np.cumsum(near)[: len(g)] > 0) & (wdoc[window - 1 :] == wdoc[: len(g)]))
+                if len(at):
+                    gathered.add(ids[lo:hi], np.bincount(wdoc, minlength=hi - lo), at, g[at])
+                if gathered.size >= FLUSH:
+                    yield gathered.dealt()
+        if gathered.size:
+            yield gathered.dealt()
 
     return run
 
 
-def _spans(places: list[bytes] | None, window: int) -> list[tuple[int, int]]:
+def _spans(places: bytes | None, window: int) -> list[tuple[int, int]]:
     """Maximal spans of words covered by windows at the given places."""
-    if not places:
-        return []
-    at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in places]).astype(np.int64))
-    gap = np.flatnonzero(np.diff(at) > window)
-    return list(zip(at[np.concatenate([[0], gap + 1])].tolist(), (at[np.append(gap, len(at) - 1)] + window).tolist(), strict=True))
+    out: list[tuple[int, int]] = []
+    for a, b in _runs(places).tolist() if places else []:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], b + window
+        else:
+            out.append((a, b + window))
+    return out
 
 
 def _cut(window: int):
@@ -224,20 +319,25 @@ def _digest(window: int):
     return run
 
 
-def _with_places(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """docs with places (list of binary) of found; found is broadcast if its bytes are few."""
-    found = written(found.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "places")
-    size = found.agg(F.sum(F.lit(48) + F.aggregate("places", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
+def _count(docs: DataFrame) -> int:
+    return max(LEAST_BUCKETS, buckets(docs.sparkSession))
+
+
+def _with_places(docs: DataFrame, found: DataFrame, how: str, gap: int) -> DataFrame:
+    """docs with the places found in each; these are broadcast if their bytes are few."""
+    count = _count(docs)
+    found = written(mapped(found.repartitionById(count, F.col("part")), _merged(gap), "doc_id long, places binary"), "places")
+    size = found.agg(F.sum(F.lit(48) + F.length("places"))).first()[0] or 0
     return docs.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "doc_id", how)
 
 
 def removed_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs (doc_id, text) with places: the starts, packed, of windows that start in a smaller doc_id too; else null."""
-    count, block = buckets(docs.sparkSession), (window + 1) // 2
-    dealt = docs.mapInArrow(_probes(block, count), DEALT).repartitionById(count, F.col("bucket"))
-    hits = dealt.mapInArrow(_hits(block), "doc_id long, places binary")
-    dealt = _with_places(docs, hits, "inner").mapInArrow(_around(window, block, count), DEALT).repartitionById(count, F.col("bucket"))
-    return _with_places(docs, dealt.mapInArrow(lambda batches: _by_bucket(batches, _repeats), "doc_id long, places binary"), "left")
+    count, block = _count(docs), (window + 1) // 2
+    dealt = mapped(docs, _probes(block, count), DEALT).repartitionById(count, F.col("bucket"))
+    hits = mapped(dealt, _hits(block, count), FOUND)
+    dealt = mapped(_with_places(docs, hits, "inner", window - block + 1), _around(window, block, count), DEALT).repartitionById(count, F.col("bucket"))
+    return _with_places(docs, mapped(dealt, _repeats(count), FOUND), "left", 1)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:
@@ -250,5 +350,5 @@ def substring_dedup(docs: DataFrame, window: int = 50, digest: bool = False) ->
     """
     docs = removed_windows(docs.where("doc_id is not null").select("doc_id", "text"), window)
     if digest:
-        return docs.mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return docs.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
+        return mapped(docs, _digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return mapped(docs, _cut(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
