@@ -111,7 +111,8 @@ class NameModel:
         while len(labels) > 1 and labels[-1] in SUFFIXES:
             labels.pop()
         found = []
-        for piece in re.findall("[a-z]+", " ".join(labels)) + re.findall("[a-z]+", path.lower()):
+        # One or two letters in a path are a language, a section or part of an id, and tell nothing of what it holds.
+        for piece in re.findall("[a-z]+", " ".join(labels)) + [p for p in re.findall("[a-z]+", path.lower()) if len(p) > 2]:
             for i in range(0, len(piece), 200):  # Viterbi in stretches: names of any length, whole
                 found += self.segmenter.split(piece[i : i + 200])
         return found
