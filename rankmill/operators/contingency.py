@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,14 @@ QUERY_ROWS = 1024
 
 
 def with_queries(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row beside every query of a stated set; a set beyond QUERY_ROWS is to be taken in blocks."""
-    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        raise ParameterError(f"more than {QUERY_ROWS} queries: take them in blocks")
-    return rows.join(F.broadcast(queries))  # size checked above
+    """Every row beside every query of a stated set; a set beyond QUERY_ROWS goes in blocks, a pass over the rows each."""
+    if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
+        return rows.join(F.broadcast(queries))  # size checked above
+    found, asked = None, queries.toLocalIterator()
+    while block := list(islice(asked, QUERY_ROWS)):
+        part = rows.join(F.broadcast(queries.sparkSession.createDataFrame(block, queries.schema)))  # QUERY_ROWS at most
+        found = part if found is None else found.union(part)
+    return found
 
 
 def cells(table: DataFrame, buckets: int, counts: str = "counts") -> DataFrame:
