@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmill.operators.search import search
 from rankmill.functions import kernels
+from rankmill.operators.search import search, top_k
+from rankmill.spec import ParameterError
 
 
 def coordinate_means(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -57,8 +58,8 @@ def route(vectors: DataFrame, queries: DataFrame, count: int = 4, buckets: int =
     return placed.join(near, ["axis", "bucket"]).select("query_id", "row_id").distinct()
 
 
-def principal_axes(vectors: DataFrame, count: int, vector: str = "embedding") -> np.ndarray:
-    """The axes of most variance, from dim * dim moments that tasks sum up."""
+def _moments(vectors: DataFrame, vector: str):
+    """(mean, covariance), from dim * dim moments that tasks sum up."""
 
     def moments(batches):
         import pyarrow as pa
@@ -76,17 +77,44 @@ def principal_axes(vectors: DataFrame, count: int, vector: str = "embedding") ->
     for a, b, c in vectors.select(F.col(vector).cast("array<float>")).mapInArrow(moments, "n long, s binary, m binary").toLocalIterator():
         n, s, m = n + a, s + np.frombuffer(b), m + np.frombuffer(c)
     d = len(s)
-    cov = m.reshape(d, d) / n - np.outer(s / n, s / n)
-    return np.linalg.eigh(cov)[1][:, ::-1][:, :count].T.copy()
+    return s / n, m.reshape(d, d) / n - np.outer(s / n, s / n)
+
 
+def principal_axes(vectors: DataFrame, count: int, vector: str = "embedding") -> np.ndarray:
+    """The axes of most variance."""
+    return np.linalg.eigh(_moments(vectors, vector)[1])[1][:, ::-1][:, :count].T.copy()
 
-def cell_keys(vectors: DataFrame, axes: np.ndarray, row_id: str = "row_id", vector: str = "embedding") -> DataFrame:
-    """(row_id, cell): the signs of a row's projections as bits."""
+
+def cell_keys(vectors: DataFrame, axes: np.ndarray, row_id: str = "row_id", vector: str = "embedding", mean: np.ndarray | None = None) -> DataFrame:
+    """(row_id, cell): the signs of a row's projections as bits; of its difference from mean, where that is given."""
     p = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vector).cast("array<float>")).mapInArrow(_projected(axes), "row_id long, p array<double>")
-    bit = lambda a, i: a + F.when(F.get("p", i) > 0, F.pow(F.lit(2.0), i)).otherwise(0.0)
+    low = F.array(*(F.lit(float(x)) for x in (axes @ mean if mean is not None else np.zeros(len(axes)))))
+    bit = lambda a, i: a + F.when(F.get("p", i) > F.get(low, i), F.pow(F.lit(2.0), i)).otherwise(0.0)
     return p.select("row_id", F.aggregate(F.sequence(F.lit(0), F.lit(len(axes) - 1)), F.lit(0.0), bit).cast("long").alias("cell"))
 
 
+def nearest_cells(keys: DataFrame, bits: int, probes: int, key: str = "cell") -> DataFrame:
+    """keys with probe (from 1), distance and near: the probes cells of least Hamming distance, then least number, of all 2^bits."""
+    if not 0 < probes or not 0 < bits <= 20:
+        raise ParameterError("probes must be positive and bits from 1 to 20")
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda c: F.struct(F.bit_count(c.cast("long").bitwiseXOR(F.col(key))).alias("distance"), c.cast("long").alias("near"))))
+    at = keys.select("*", F.posexplode(F.slice(order, 1, probes)).alias("rs_at", "rs_to"))
+    return at.select(*keys.columns, (F.col("rs_at") + 1).alias("probe"), F.col("rs_to")["distance"].alias("distance"), F.col("rs_to")["near"].alias("near"))
+
+
+def cell_candidates(vectors: DataFrame, queries: DataFrame, axes: np.ndarray, probes: int, mean: np.ndarray | None = None, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, probe, distance, row_id): the rows in the probes cells nearest to each query's, by an equi-join on the cell."""
+    rows = cell_keys(vectors, axes, row_id, vector, mean).withColumnRenamed("cell", "near")
+    near = nearest_cells(cell_keys(queries, axes, query_id, vector, mean).withColumnRenamed("row_id", "query_id"), len(axes), probes)
+    return near.join(rows, "near").select("query_id", "probe", "distance", "row_id")
+
+
+def principal_cell_candidates(vectors: DataFrame, queries: DataFrame, bits: int, probes: int, vector: str = "embedding", **names) -> DataFrame:
+    """cell_candidates() by the signs of the centred projections on the bits axes of most variance."""
+    mean, cov = _moments(vectors, vector)
+    return cell_candidates(vectors, queries, np.linalg.eigh(cov)[1][:, ::-1][:, :bits].T.copy(), probes, mean, vector=vector, **names)
+
+
 def gini(sizes: DataFrame, column: str = "n") -> DataFrame:
     """(gini): how uneven the sizes of cells are; 0: all equal. Cells are few beside the rows in them."""
     w = Window.orderBy(column, "cell")
@@ -107,8 +135,35 @@ def twonn(vectors: DataFrame, sample: DataFrame, trim: float = 0.1) -> float:
 
 def overlap_decomposition(tops: DataFrame) -> DataFrame:
     """From (row_id, top: places of set bits): rows, bits a row, and the overlap expected of two rows if places were
-    drawn by their own frequencies, beside that of even frequencies."""
+    drawn by their own frequencies; overlap_levels() has what that is to be compared with."""
     n = tops.agg(F.count("*").alias("rows"), F.avg(F.size("top")).alias("weight"))
     f = tops.select(F.explode("top").alias("pos")).groupBy("pos").agg(F.count("*").alias("n"))
     f = f.join(F.broadcast(n)).agg(F.first("rows").alias("rows"), F.first("weight").alias("weight"), F.sum(F.pow(F.col("n") / F.col("rows"), 2)).alias("expected_by_frequency"))
     return f
+
+
+def true_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, row_id): each query's k rows of largest inner product, itself left out."""
+    found = search(vectors, queries, kernels.inner_product(), k + 1).where("query_id <> row_id")
+    return top_k(found.select("query_id", "row_id", "score"), k).select("query_id", "row_id")
+
+
+def overlap_levels(tops: DataFrame, neighbours: DataFrame, dim: int) -> DataFrame:
+    """One row: the overlap of two rows' top places that even frequencies, their own frequencies, two different rows and
+    true neighbours have.
+
+    tops: row_id, top. neighbours: (query_id, row_id), both ids of tops. expected_uniform: weight^2 / dim;
+    expected_by_frequency: sum of f_c^2; observed_random: the mean of all pairs of different rows, exactly, from the
+    counts of places; observed_neighbours: the mean of neighbours. cone_fraction: the part of observed_random beyond
+    uniform that frequencies explain; pair_signal: neighbours above random, as a share of random.
+    """
+    n = tops.agg(F.count("*").alias("rows"), F.avg(F.size("top")).alias("weight"))
+    f = tops.select(F.explode("top").alias("pos")).groupBy("pos").agg(F.count("*").alias("n")).join(F.broadcast(n))  # n: one row
+    rows, c = F.col("rows").cast("double"), F.col("n").cast("double")
+    f = f.agg(F.first("rows").alias("rows"), F.first("weight").alias("weight"), F.sum(F.pow(c / rows, 2)).alias("expected_by_frequency"), F.sum(F.try_divide(c * (c - 1), rows * (rows - 1))).alias("observed_random"))
+    pair = neighbours.join(tops.select("row_id", F.col("top").alias("rs_d")), "row_id").join(tops.select(F.col("row_id").alias("query_id"), F.col("top").alias("rs_q")), "query_id")
+    seen = pair.agg(F.avg(F.size(F.array_intersect("rs_d", "rs_q"))).alias("observed_neighbours"))
+    f = f.join(F.broadcast(seen)).withColumn("expected_uniform", F.col("weight") * F.col("weight") / dim)  # seen: one row
+    level = ("expected_uniform", "expected_by_frequency", "observed_random", "observed_neighbours")
+    cone = F.try_divide(F.col("expected_by_frequency") - F.col("expected_uniform"), F.col("observed_random") - F.col("expected_uniform"))
+    return f.select("rows", "weight", *level, cone.alias("cone_fraction"), F.try_divide(F.col("observed_neighbours") - F.col("observed_random"), F.col("observed_random")).alias("pair_signal"))

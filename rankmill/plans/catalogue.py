@@ -519,6 +519,34 @@ def overlap_decomposition(spark, sf_dir):
     return research.overlap_decomposition(t).withColumn("expected_by_frequency", F.round("expected_by_frequency", 6))
 
 
+_TOPS = summed(f"(q.r[i] >= {64 - TOP} AND v.r[i] >= {64 - TOP})::INT")
+
+
+@query(f"""WITH {BASE}, f AS (SELECT pos, count(*)::DOUBLE AS c FROM rk WHERE r >= {64 - TOP} GROUP BY pos), n AS (SELECT count(*)::DOUBLE AS n FROM v),
+e AS (SELECT sum((c / n) ** 2) AS own, sum(c * (c - 1)) / max(n * (n - 1)) AS seen FROM f, n),
+s AS (SELECT q.id AS query_id, {_TOPS} AS o, row_number() OVER (PARTITION BY q.id ORDER BY {SQL_FLAT} DESC, v.id) AS k FROM v AS q, v WHERE q.id % 100 = 0 AND q.id <> v.id),
+t AS (SELECT avg(o) AS o FROM s WHERE k <= {KEEP})
+SELECT n::BIGINT AS rows, {TOP * TOP / DIM!r}::DOUBLE AS expected_uniform, round(own, 6) AS expected_by_frequency, round(seen, 6) AS observed_random, round(o, 6) AS observed_neighbours FROM e, t, n""")
+def overlap_levels(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    top = F.filter(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.get(F.col("r"), i) >= DIM - TOP)
+    t = v.select("row_id", _RANK().alias("r")).select("row_id", top.alias("top"))
+    found = research.overlap_levels(t, research.true_neighbours(v, asked(v), KEEP), DIM)
+    return found.select("rows", "expected_uniform", *(F.round(c, 6).alias(c) for c in ("expected_by_frequency", "observed_random", "observed_neighbours")))
+
+
+@query(f"""WITH {BASE}, m AS (SELECT pos, avg(x) AS m FROM rk GROUP BY pos),
+c AS (SELECT id, sum(CASE WHEN x > m THEN 1 << rk.pos::INT ELSE 0 END)::BIGINT AS cell FROM rk JOIN m ON rk.pos = m.pos WHERE rk.pos < 6 GROUP BY id),
+p AS (SELECT id AS query_id, near, bit_count(xor(cell, near)) AS distance, row_number() OVER (PARTITION BY id ORDER BY bit_count(xor(cell, near)), near) AS probe FROM c, range(64) AS t(near) WHERE id % 100 = 0)
+SELECT query_id, probe::INT AS probe, distance::INT AS distance, id AS row_id FROM p JOIN c ON c.cell = p.near WHERE probe <= 8""")
+def cell_candidates(spark, sf_dir):
+    import numpy as np
+
+    v = vectors(spark, sf_dir)
+    mean = np.array([r.mean for r in research.coordinate_means(v).orderBy("pos").collect()])
+    return research.cell_candidates(v, asked(v), np.eye(6, DIM), 8, mean)
+
+
 @query(f"""WITH {BASE}, c AS (SELECT id, sum(CASE WHEN pos < 6 AND x > 0 THEN 1 << pos::INT ELSE 0 END) AS cell FROM rk GROUP BY id), n AS (SELECT cell, count(*) AS n FROM c GROUP BY cell),
 o AS (SELECT n, row_number() OVER (ORDER BY n, cell) AS i FROM n) SELECT round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini FROM o""")
 def cell_gini(spark, sf_dir):
