@@ -1,7 +1,8 @@
 """Operator 9: license scans by template-markup matching.
 
-A template is a license's wording with two kinds of markup: {optional words} may be left out, and <<n>> stands for up to
-n words of any kind. It is compiled into an automaton over words. A text has the license where some stretch of it leads
+A template is a license's wording with three kinds of markup: {optional words} may be left out, [one|other wording] takes
+any one of its parts, and <<n>> stands for up to n words of any kind. Licenses that are texts are there whole, conditions
+and disclaimers included; notices that name a license are templates of their own. A template is compiled into an automaton over words. A text has the license where some stretch of it leads
 from the first state to the last: all mandatory words, in order, exactly. Fixed phrases are looked for beside, by hash.
 
 Words are hashed for whole batches; automata only start at the words a template can begin with.
@@ -20,24 +21,36 @@ from rankmill.llm.text import NOT_ALNUM, Words, chunks, texts
 # Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
+# Wording that licenses share.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and [noninfringement|non infringement] in no event shall <<12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_BEGIN = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "{1} {a} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "{2} {b} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_ADVERTISING = "{3} {c} all advertising materials mentioning features or use of this software must display the following [acknowledgement|acknowledgment] this product includes software developed by <<20>>"
+_BSD_NAMES = "{3} {4} {c} {d} neither the name of <<12>> nor the names of [its|their|any] contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = "this software is provided by <<12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
 # Wording of licenses and notices as they are published, with markup.
 TEMPLATES = (
     ("gpl-3", "{this work is} {free software} licensed under the {terms of the} gnu general public license {as published by the free software foundation} {either} version 3 {of the license} {or later}"),
     ("mit", "{released} {licensed} under the {terms of the} mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice {{including the next paragraph}} shall be included in all copies or substantial portions of the software {_AS_IS}"),
     ("apache-2", "licensed under the apache license version 2 0 {the license}"),
     ("cc-by-nc", "licensed under {a} {the} cc by nc 4 0 {license}"),
     ("cc-by-nc", "licensed under {a} {the} creative commons attribution non commercial 4 0 {international} {license}"),
     ("cc-by", "licensed under {a} {the} creative commons attribution 4 0 {international} {license}"),
     ("cc0", "{this work is} {marked with} cc0 1 0 {universal}"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2", f"{_BSD_BEGIN} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_END}"),
+    ("bsd-3", f"{_BSD_BEGIN} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAMES} {_BSD_END}"),
+    ("bsd-4", f"{_BSD_BEGIN} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_ADVERTISING} {_BSD_NAMES} {_BSD_END}"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice <<6>> appear in all copies"),
+    ("isc", "permission to use copy modify [and or|and|or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("all-rights-reserved", "{copyright} {c} <<8>> all rights reserved"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", f"this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or [non commercial|noncommercial] and by any means in jurisdictions that [recognize|recognise] copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law {_AS_IS}"),
 )
 
-_PART = re.compile(r"\{([^}]*)\}|<<(\d+)>>|(\S+)")
+_PART = re.compile(r"\{([^}]*)\}|<<(\d+)>>|\[([^\]]*)\]|(\S+)")
+_MARKUP = re.compile(r"\{[^}]*\}|<<\d+>>|\[[^\]]*\]")
 
 
 class Automaton:
@@ -56,7 +69,7 @@ class Automaton:
             return len(self.steps) - 1
 
         at = 0
-        for optional, most, word in _PART.findall(template):
+        for optional, most, either, word in _PART.findall(template):
             if most:
                 exits = [at]
                 for _ in range(int(most)):
@@ -68,6 +81,19 @@ class Automaton:
                     self.jumps[s].append(at)
                 continue
             begin = at
+            if either:
+                at, ends = state(), []
+                for part in either.split("|"):
+                    s = begin
+                    for h in words.of(part):
+                        if h not in self.steps[s]:
+                            self.steps[s][h] = state()
+                        s = self.steps[s][h]
+                    ends.append(s)
+                for s in ends:
+                    self.jumps[s].append(at)
+                self.mandatory += 1
+                continue
             for h in words.of(word or optional):
                 new = state()
                 self.steps[at][h] = new
@@ -126,7 +152,7 @@ def _scan(phrases, templates):
             for h in a.first:
                 rare.setdefault(h, []).append((label, a))
         # A text without one of these words has no license here: each template needs all its mandatory words.
-        need = [np.array(sorted({int(x) for x in words.of(re.sub(r"\{[^}]*\}|<<\d+>>", " ", t))}), np.uint64) for _, t in templates]
+        need = [np.array(sorted({int(x) for x in words.of(_MARKUP.sub(" ", t))}), np.uint64) for _, t in templates]
         first = np.array(sorted(rare), np.uint64)
         for batch in batches:
             offsets, data = texts(batch, "text")
