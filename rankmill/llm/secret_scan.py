@@ -27,7 +27,12 @@ DICTIONARY = (
     "org net css script style content header footer button title description keyword token secret password account key access auth"
 ).split()
 
-FEATURES = ("chars", "transitions", "digits", "distinct", "coverage", "slashes", "dashes", "hexadecimal", "named", "benign", "quoted", "sample_path")
+#: What issuers put before their keys.
+ISSUED = "^(?:A[KS]IA[A-Z2-7]{12}|AIza|gh[oprsu]_|glpat-|[rs]k_live_|xox[abprs]-)"
+
+FEATURES = ("chars", "transitions", "digits", "distinct", "coverage", "slashes", "dashes", "hexadecimal", "vowels", "issued", "named", "benign", "quoted", "sample_path")
+#: Those that depend on the place on the line.
+OF_PLACE = ("named", "benign", "quoted")
 
 
 def features(value: Column, left: Column, path: Column) -> dict[str, Column]:
@@ -46,6 +51,8 @@ def features(value: Column, left: Column, path: Column) -> dict[str, Column]:
         "slashes": share("/"),
         "dashes": share("[-_]"),
         "hexadecimal": value.rlike("^[0-9a-fA-F-]+$").cast("double"),
+        "vowels": share("[aeiouAEIOU]"),
+        "issued": value.rlike(ISSUED).cast("double"),
         "named": left.rlike("(?:token|secret|passw|pwd|passphrase|api.?key|auth|credential|private)[^\\n]{0,12}$").cast("double"),
         "benign": left.rlike("(?:sha|hash|commit|checksum|uuid|guid|digest|md5|etag|revision|example|sample|dummy|session id|order)[^\\n]{0,16}$").cast("double"),
         "quoted": left.rlike("[\"'=:]\\s*$").cast("double"),
@@ -60,12 +67,14 @@ def labelled_findings(seed: int = SEED, n: int = 1200) -> list[tuple[str, str, s
     run = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     names = ["token", "TOKEN", "api_key", "API_KEY", "secret", "client_secret", "password", "auth_token", "access token", "private_key"]
     benign = ["commit", "sha256", "checksum", "uuid", "digest", "md5", "etag", "revision", "order", "session id", "hash"]
+    syllables = "ver er un ge ent lich keit ung haupt stand bund recht schaft arbeit zeit tion ment able inter over under counter lation ive ness de la ción ado mente eau ette".replace("ó", "o").split()
+    word = lambda k: "".join(r.choice(syllables) for _ in range(k))
     codes = ["src", "lib/app", "config", "deploy", "blog/post", "pages", "src0", "src7"]
     out = []
     for i in range(n):
         name, path = r.choice(names), r.choice(codes)
         head = f"{name}{r.choice([' = ', ': ', '=', ' := '])}{r.choice(['\"', '\'', ''])}"
-        kind = i % 10
+        kind = i % 14
         if kind < 3:
             out.append((head, run(hexes if r.random() < 0.7 else "0123456789ABCDEF", r.choice([32, 40, 48, 64])), path, 1))
         elif kind == 3:
@@ -81,6 +90,15 @@ def labelled_findings(seed: int = SEED, n: int = 1200) -> list[tuple[str, str, s
             out.append((r.choice(["call ", "see ", "", head]), r.choice(["_".join(w), "".join(x.title() for x in w), "-".join(w), "/".join(w)]) + str(r.randint(0, 99)), r.choice([path, "docs/x", "tests/a"]), 0))
         elif kind == 8:
             out.append((head, r.choice(["your_token_here_", "changeme-example-", "xxxxxxxxxxxxxxxx", "0000000000000000", "placeholder_value_"]) + str(r.randint(0, 9)), r.choice([path, "docs/readme"]), 0))
+        elif kind == 10:  # keys that happen to have no digit
+            key = r.choice(["AKIA" + run(base[:26], 16), "ASIA" + run(base[:26], 16), "ghp_" + run(base[:52], 36)])
+            out.append((r.choice(["", "key ", "uses ", head]), key, path, 1))
+        elif kind == 11:
+            out.append((r.choice(["", "key ", "uses ", head, head]), run(base[:52] if r.random() < 0.7 else base, r.choice([16, 20, 24, 32])), path, 1))
+        elif kind >= 12:  # long words
+            w = word(9).ljust(32, "e")[: r.choice([16, 16, 17, 17, 18, 19, 20, 22, 26, 32])]
+            w = r.choice([w, w, w.title(), w.title(), w.upper(), word(3).ljust(8, "n") + "".join(word(2).title() for _ in range(r.randint(1, 3))).ljust(8, "e")])
+            out.append((r.choice(["", "", "the ", "call ", "key ", "uses "]), w, path, 0))
         else:
             out.append((r.choice(["call ", "tel ", "", "at "]), r.choice([run("0123456789", r.randint(16, 20)), "=" * 18 + "1", "abc123" * 4, run("ab", 3) + "/" + run("cde", 8) + "/" + run("fgh", 7) + "1"]), path, 0))
     return out
@@ -164,28 +182,40 @@ def trained_forest(spark: SparkSession, findings: DataFrame | None = None, max_l
 
 
 def secret_candidates(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
-    """(doc_id, path, line_no, start, left, value) of what looks like a secret; line_no from 1, start within the line from 1."""
+    """(doc_id, path, line_no, value, parts) of what looks like a secret; line_no from 1, parts: the line around each place of value."""
     d = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
     d = d.where(F.col("line").rlike(TOKEN) | F.col("line").rlike(NAMED))
-    tokens = F.filter(F.regexp_extract_all("line", F.lit(f"({TOKEN})"), 1), lambda x: x.rlike("[0-9]"))
-    values = F.array_distinct(F.concat(tokens, F.regexp_extract_all("line", F.lit(NAMED), 1)))
+    values = F.array_distinct(F.concat(F.regexp_extract_all("line", F.lit(f"({TOKEN})"), 1), F.regexp_extract_all("line", F.lit(NAMED), 1)))
     d = d.select("doc_id", "path", (F.col("no") + 1).cast("long").alias("line_no"), "line", F.explode(values).alias("value"))
-    at = F.instr(F.col("line"), F.col("value"))
-    left = F.substring(F.col("line"), F.greatest(at - NEAR, F.lit(1)), F.least(at - 1, F.lit(NEAR)))
-    return d.select("doc_id", "path", "line_no", at.cast("long").alias("start"), left.alias("left"), "value")
+    literal = F.concat(F.lit("\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return d.select("doc_id", "path", "line_no", "value", F.split("line", literal, -1).alias("parts"))
 
 
 def secret_scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
     """Findings: doc_id, path, line_no, start, value, score; those that the forest gives threshold or more.
 
-    Candidates are long runs of letters, digits and +/_=- with a digit, and values assigned to names like password or
-    token. A value found twice on a line is one finding, at its first place. Null and empty texts have none. Repeated
-    rows of a document repeat its findings. Other columns are ignored, whatever their names.
+    Candidates are long runs of letters, digits and +/_=-, and values assigned to names like password or token. A value
+    found twice on a line is one finding, at the place with the highest score, the first of equals; start is from 1. Null
+    and empty texts have none. Repeated rows of a document repeat its findings. Other columns are ignored, whatever
+    their names.
     """
     forest = forest or trained_forest(docs.sparkSession)
     d = secret_candidates(docs, text, path, key)
-    cols = features(F.col("value"), F.col("left"), F.col("path"))
-    # Each candidate's features are worked out once: explode() keeps the optimizer from copying them into the trees.
-    d = d.select("*", F.explode(F.array(F.array(*(cols[k].cast("double") for k in FEATURES)))).alias("ss_x"))
-    d = d.withColumn("score", F.explode(F.array(F.round(forest.expression(F.col("ss_x")), 6))))
-    return d.where(F.col("score") >= threshold).select("doc_id", "path", "line_no", "start", "value", "score")
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  # worked out once: it keeps the optimizer from copying c into the trees
+    value = features(F.col("value"), F.lit(""), F.col("path"))
+    d = d.select("*", once(F.struct(*(value[k].cast("double").alias(k) for k in FEATURES if k not in OF_PLACE))).alias("ss_value"))
+
+    def place(i):
+        # NEAR characters before a place hold no more than NEAR / 8 earlier ones: a value has 8 at least.
+        low = F.greatest(i - NEAR // 8, F.lit(1))
+        left = F.substring(F.call_function("array_join", F.slice("parts", low, i - low + 1), F.col("value")), -NEAR, NEAR)
+        return F.struct(*(features(F.col("value"), left, F.col("path"))[k].cast("double").alias(k) for k in OF_PLACE))
+
+    d = d.select("*", once(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), place)).alias("ss_places"))
+    kinds = F.transform(F.array_distinct("ss_places"), lambda p: F.struct((-F.array_position("ss_places", p)).alias("at"), F.array(*(p[k] if k in OF_PLACE else F.col("ss_value")[k] for k in FEATURES)).alias("x")))
+    scored = F.transform(kinds, lambda k: F.struct(F.round(forest.expression(k["x"]), 6).alias("score"), k["at"].alias("at")))
+    d = d.select("*", once(F.array_max(scored)).alias("ss_best")).where(F.col("ss_best")["score"] >= threshold)
+    at = -F.col("ss_best")["at"]
+    before = F.aggregate(F.slice("parts", F.lit(1), at.cast("int")), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    start = before + (at - 1) * F.length("value") + 1
+    return d.select("doc_id", "path", "line_no", start.cast("long").alias("start"), "value", F.col("ss_best")["score"].alias("score"))
