@@ -64,6 +64,15 @@ MAX_WORD = 20
 SUFFIXES = {"com", "net", "org", "edu", "gov", "co", "io", "info", "example"}
 
 
+#: Two-letter language codes (ISO 639-1) and sections, which tell nothing of what a path holds.
+CODES = frozenset(
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo "
+    "fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg "
+    "li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se "
+    "sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu us gb pg".split()
+)
+
+
 class Segmenter:
     """Splits run-together names into words; unknown pieces cost more, the longer they are."""
 
@@ -111,10 +120,14 @@ class NameModel:
         while len(labels) > 1 and labels[-1] in SUFFIXES:
             labels.pop()
         found = []
-        # One or two letters in a path are a language, a section or part of an id, and tell nothing of what it holds.
-        for piece in re.findall("[a-z]+", " ".join(labels)) + [p for p in re.findall("[a-z]+", path.lower()) if len(p) > 2]:
-            for i in range(0, len(piece), 200):  # Viterbi in stretches: names of any length, whole
-                found += self.segmenter.split(piece[i : i + 200])
+        for piece in re.findall("[a-z]+", " ".join(labels)):
+            found += self.segmenter.split(piece)
+        for piece in re.findall("[a-z]+", path.lower()):
+            # A letter is part of an id or a section, a code names a language; other pairs of letters are words or nothing.
+            if len(piece) > 2:
+                found += self.segmenter.split(piece)
+            elif len(piece) == 2 and piece not in CODES:
+                found.append(piece)
         return found
 
     def score(self, words: list[str]) -> float:
