@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from rankmill.functions import encode
 from rankmill.spec import ParameterError
+from rankmill.storage import written
 
 
 def with_row_ids(df: DataFrame, key: str, first: int = 0) -> DataFrame:
-    """df with row_id from first on, in order of key.
+    """df with row_id from first on, in order of key; rows of equal key in any order, each with an id of its own.
 
-    Row numbers are given within ranges of key and moved up by what stands before: no task holds all rows.
+    Rows are dealt by ranges of key, sorted, and written once with their place: the number of a range and of a row in it.
+    Ids are the places moved up by the rows of earlier ranges, counted from the same table, so nothing is evaluated twice
+    and no task holds all rows. A key that many rows share is dealt out by the place where it stood in df.
     """
-    parts = df.repartitionByRange(key).sortWithinPartitions(key)
-    parts = parts.withColumn("rid_part", F.spark_partition_id())
-    own = Window.partitionBy("rid_part").orderBy(key)
-    sizes = parts.groupBy("rid_part").agg(F.count("*").alias("rid_n"))  # a row a partition
+    name = lambda x: next(n for n in (x, *(f"{x}_{i}" for i in range(len(df.columns) + 1))) if n not in df.columns)
+    tie, place = name("rid_tie"), name("rid_place")
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(key, tie).sortWithinPartitions(key, tie).drop(tie)
+    dealt = written(dealt.withColumn(place, F.monotonically_increasing_id()), "placed")
+    part = F.shiftright(place, 33).alias("rid_part")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("rid_n"))  # a row a range
     before = F.sum("rid_n").over(Window.orderBy("rid_part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("rid_part", F.coalesce(before, F.lit(0)).alias("rid_before"))
-    return parts.join(F.broadcast(sizes), "rid_part").withColumn("row_id", F.row_number().over(own) - 1 + F.col("rid_before") + first).drop("rid_part", "rid_before")
+    at = F.coalesce("rid_before", F.raise_error(F.lit("a range of rows was not counted")).cast("long"))
+    found = dealt.join(F.broadcast(sizes), F.shiftright(place, 33) == F.col("rid_part"), "left")
+    return found.select(*df.columns, (at + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + first).alias("row_id"))
 
 
 def code_table(vectors: DataFrame, dim: int, n_top: int | None = None, vector: str = "embedding") -> DataFrame:

@@ -101,6 +101,38 @@ def test_tables_grow_and_shrink(spark):
         mutate.swap_remove(more, 2000)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_row_ids_of_wide_rows_are_whole(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 120_000
+        wide = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 10).alias("x"))
+        got = mutate.with_row_ids(wide, "k")
+        assert tuple(got.agg(F.count("*"), F.count_distinct("row_id"), F.sum(F.abs(F.col("k") - F.col("row_id"))), F.sum(F.length("x"))).first()) == (n, n, 0, n * 640)
+        hot = spark.range(n).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.lit(1).alias("rid_place"), F.lit(2).alias("rid_tie"))
+        got = mutate.with_row_ids(hot, "k", 5)
+        assert got.columns == ["k", "rid_place", "rid_tie", "row_id"]
+        assert tuple(got.agg(F.count("*"), F.count_distinct("row_id"), F.min("row_id"), F.max("row_id")).first()) == (n, n, 5, n + 4)
+        assert got.where("k = -1").agg(F.max("row_id")).first()[0] == n // 3 + 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_tables_are_deleted_and_settings_restored(spark):
+    import glob
+
+    from rankmill import storage
+
+    before = {k: spark.conf.get(k) for k in storage.SETTINGS}
+    t = storage.written(spark.range(3), "gone")
+    assert t.count() == 3 and {k: spark.conf.get(k) for k in storage.SETTINGS} == before
+    storage.discard(t)
+    assert not glob.glob(t.rankmill_path)
+    t = storage.written(spark.range(3), "gone")
+    assert storage.clear(spark) >= 1 and not glob.glob(t.rankmill_path) and storage.clear(spark) == 0
+
+
 def test_bad_vectors(spark):
     v = table(spark, [[1.0, 2.0], [float("inf"), 0.0]])
     with pytest.raises(Exception, match="not finite"):
