@@ -11,8 +11,15 @@ Three steps keep groups of copies from growing into all their pairs, and lose no
 * equal sets are one class, joined as one;
 * a class with more than 100 - percent of a hundred of its tokens in no other class links with nothing and leaves. That
   is first decided on a fixed slice of the hash space (a bound on the whole), then on all tokens of what is left;
-* each token's least edited class is a hub, and the others are verified against it first. Only pairs whose classes
-  aren't already joined by a hub are matched in full.
+* sets that meet at a token shared by more than GROUP of them become a family, and each is written as its difference
+  from the family's common wording: d = set xor wording. Links don't depend on what is taken off all sets of a family:
+  with s = |d| * (100 + percent) - n * (100 - percent), two sets link if and only if
+  s(x) + s(y) <= 2 * (100 + percent) * |d(x) & d(y)|. So all sets with s(x) + s(m) <= 0 link to the one of least s, m
+  (the core), any two sets that need no shared difference are both of the core, and other pairs must share differences.
+  These are the tokens of the next round: the same prefixes, the same counting, on sets of a few edits each.
+
+Without shared differences there are no pairs: a family of sets that are all a little too far from each other is taken
+apart at a cost in proportion to its edits.
 """
 
 from __future__ import annotations
@@ -20,18 +27,24 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.llm.components import connected_components
-from rankmill.llm.shared import buckets, mapped, small, written
+from rankmill.llm.shared import buckets, discard, mapped, small, spread_join, written
 from rankmill.llm.text import SPACE, Words, chunks, mix, ngram, signed, texts
 
 #: Share of the hash space looked at first.
 SLICE = 0.3
 #: Classes that a task of the first step holds back until it hands them on.
 FLUSH_TOKENS = 1_500_000
+#: Classes that a task remembers to have sent; one sent again is counted once.
+SEEN = 1_000_000
 MAX_L = 4
+#: Sets that meet at a token and are matched pair by pair; more of them are a family.
+GROUP = 16
+#: Rounds of families at most. Each family is at most half of what it came from; past this all pairs that meet are matched.
+ROUNDS = 40
 #: What verifying a pair costs, in prefix hits, for each token of the set.
 VERIFY_COST = 0.05
 
@@ -106,7 +119,7 @@ def _slices_of(n, share, count):
 
         cls, sizes, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
         own = np.repeat(np.arange(len(cls)), sizes)
-        bucket = (tokens & np.uint64(count - 1)).astype(np.uint16)
+        bucket = (tokens & np.uint64(count - 1)).astype(np.min_scalar_type(count - 1))
         order = np.argsort(bucket, kind="stable")
         tokens, own, cut = tokens[order], own[order], np.searchsorted(bucket[order], np.arange(count + 1))
         six = np.ascontiguousarray((tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
@@ -124,6 +137,8 @@ def _slices_of(n, share, count):
         words, seen, held, waiting = Words(SPACE, lower=True), set(), [], 0
         for batch in batches:
             offsets, data = texts(batch, "text")
+            if len(seen) > SEEN:
+                seen.clear()
             for _, _, buf, bounds in chunks(offsets, data):
                 tokens, starts = token_sets(words, buf, bounds, n)
                 c1, _ = signatures(tokens, starts)
@@ -213,84 +228,169 @@ def _whole_sets(n):
         words = Words(SPACE, lower=True)
         for batch in batches:
             offsets, data = texts(batch, "text")
-            for lo, hi, buf, bounds in chunks(offsets, data, 1 << 19):
+            for _, _, buf, bounds in chunks(offsets, data, 1 << 19):
                 tokens, starts = token_sets(words, buf, bounds, n)
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(signed(tokens)))
-                yield pa.RecordBatch.from_arrays([_ids(batch, lo, hi), pa.array(np.diff(starts)), lists], names=["rep", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(tokens, starts)[0])), pa.array(np.diff(starts)), lists], names=["rep", "n", "tokens"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by whole sets."""
-    a = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return (
-        pairs.join(a, "a").join(b, "b")
-        .select("a", "b", (both * 100).alias("x"), ((F.size("ta") + F.size("tb") - both) * percent).alias("y"))
-        .where("x >= y").select("a", "b")
-    )
-
-
 def link_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links) of docs (doc_id, text).
 
-    sets: doc_id, n_shingles, c1, c2 of each document. classes: c1, c2, rep (smallest doc_id), n. links: a, b, pairs of
-    reps of different classes, enough of them that its components are those of all links.
+    sets: doc_id, n_shingles, c1, c2 of each row. classes: c1, c2, least (smallest doc_id), n, rows; c1 names a class.
+    links: a, b, pairs of classes, enough of them that its components are those of all links.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sets = written(mapped(docs, _sets_of(n), "doc_id long, n_shingles long, c1 long, c2 long"), "sets")
-    classes = written(sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
-    count = buckets(spark)
+    classes = sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    classes = written(classes, "classes")
+    count = buckets(docs)
     slices = mapped(docs, _slices_of(n, SLICE, count), "bucket int, classes binary, sizes binary, tokens binary")
     alone = mapped(slices.repartitionById(count, F.col("bucket")), _alone(count), "part int, classes binary, alone binary")
     alone = mapped(alone.repartitionById(count, F.col("part")), _alone_summed, "c1 long, alone long")
     spare = 100 - percent
     # Different sets that link have percent / (100 - percent) tokens at least.
     left = classes.where(F.col("n") * spare >= percent).join(alone, "c1", "left").where(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * spare)
-    left = written(left.select("rep"), "left")
-    tokens = written(mapped(docs.join(small(left.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi"), _whole_sets(n), "rep long, n long, tokens array<long>"), "tokens")
-    return sets, classes, _links(tokens, percent)
-
-
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    flat = sets.select("rep", "n", F.explode("tokens").alias("token"))
-    df = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    flat = flat.join(df, "token")
-    own = Window.partitionBy("rep")
+    left = written(left.select("c1", F.col("least").alias("doc_id")), "left")
+    tokens = mapped(docs.join(small(left.select("doc_id").distinct()), "doc_id", "left_semi"), _whole_sets(n), "rep long, n long, tokens array<long>")
+    ids = sets.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("c1").alias("a"), F.max("c1").alias("b")).where("n > 1")
+    repeated = ids.limit(1).count() > 0
+    if repeated:  # a doc_id then brings more than the set it was taken for
+        tokens = tokens.join(left.select(F.col("c1").alias("rep")), "rep", "left_semi").dropDuplicates(["rep"])
+    tokens = written(tokens, "tokens")
+    links = _links(tokens, percent)
+    discard(left, tokens)
+    if repeated:  # rows of one doc_id are one document
+        own = sets.where("n_shingles > 0").join(ids.where("a <> b").select("doc_id", "a"), "doc_id").select("a", F.col("c1").alias("b"))
+        links = links.union(own.where("a <> b").distinct())
+    return sets, classes, links
+
+
+def _xor(a: Column, b: Column) -> Column:
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
+def _need(s: Column, other: Column, percent: int) -> Column:
+    """Differences that two sets must share at least, when they aren't both of the core."""
+    return F.greatest(F.ceil((s + other) / (2 * (100 + percent))), F.lit(1)).cast("long")
+
+
+def _prefixes(level: DataFrame, percent: int) -> DataFrame:
+    """The prefix tokens of each set of level: g, rep, s, core, m, base, lone, token, pos, l."""
+    flat = level.select("g", "rep", "s", "core", "need", F.size("d").cast("long").alias("m"), F.explode("d").alias("token"))
+    df = written(flat.groupBy("g", "token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    flat = spread_join(flat, df.withColumn("rows", F.col("df")), ["g", "token"], "rows", "rep")
+    own = Window.partitionBy("g", "rep")
     flat = flat.select("*", F.row_number().over(own.orderBy("df", "token")).alias("k"), F.count("*").over(own).alias("shared"))
-    base = F.col("n") - F.ceil(F.col("n") * percent / 100)  # the prefix for L is base + L long
-    flat = flat.withColumns({"lone": F.col("n") - F.col("shared"), "base": base.cast("long")})
+    flat = flat.withColumns({"lone": F.col("m") - F.col("shared"), "base": F.col("m") - F.col("need")})  # the prefix for L is base + L long
     flat = flat.withColumn("pos", F.col("lone") + F.col("k") - 1).where(f"lone <= base and pos < base + {MAX_L}")
     hits = [F.sum(F.when(F.col("pos") < F.col("base") + i, F.col("df") - 1).otherwise(0)).over(own) for i in range(1, MAX_L + 1)]
     flat = flat.select("*", *(h.alias(f"h{i}") for i, h in enumerate(hits, 1)))
-    cost = [F.col(f"h{i}") * (1 + VERIFY_COST * F.col("n") / i) for i in range(1, MAX_L + 1)]
+    cost = [F.col(f"h{i}") * (1 + VERIFY_COST * F.col("m") / i) for i in range(1, MAX_L + 1)]
     best = F.lit(MAX_L)
     for i in range(MAX_L - 1, 0, -1):
         best = F.when(cost[i - 1] <= F.least(*cost[i:], F.lit(math.inf)), i).otherwise(best)
-    prefix = flat.withColumn("l", best).where("pos < base + l")
-    prefix = written(prefix.select("token", "rep", "n", "lone", "pos", "l"), "prefix")
-
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
-    fits = (F.col("x.n") - F.col("x.lone") >= need) & (F.col("y.n") - F.col("y.lone") >= need)
-    first = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need  # holds at the first shared token
-    hubs = prefix.groupBy("token").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("edits"), "rep", "n", "lone", "pos", "l")).alias("y")).select("token", "y.*")
-    star = prefix.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & fits & first)
-    star = star.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    near = written(_verified(star, sets, percent), "near")
-
-    label = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    known = written(prefix.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "known")
-    rest = known.alias("x").join(known.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits & first)
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.l", "y.l").alias("l")).distinct()
-    heads = prefix.groupBy("rep").agg(F.collect_set("token").alias("head"))
+    prefix = flat.withColumn("l", F.least(best, "need").cast("int")).where("pos < base + l")  # no more can be asked for than must be shared
+    prefix = written(prefix.select("g", "rep", "s", "core", "m", "base", "lone", "token", "pos", "l"), "prefix")
+    discard(df)
+    return prefix
+
+
+def _meetings(prefix: DataFrame) -> DataFrame:
+    """prefix at the tokens where two sets can meet first (the prefix for L = 1), with size, hub and last: how many sets
+    meet there, the least edited one, and the largest rep. Meetings of the core alone are left out."""
+    first = prefix.where("pos <= base")
+    groups = first.groupBy("g", "token").agg(
+        F.count("*").alias("size"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("others"),
+        F.min(F.struct((F.col("lone") / F.col("m")).alias("edits"), F.col("rep"))).alias("hub"), F.max("rep").alias("last"),
+    ).where("size > 1 and others > 0").select("g", "token", "size", F.col("hub.rep").alias("hub"), "last")
+    groups = written(groups.withColumn("rows", F.col("size")), "groups")
+    met = written(spread_join(first, groups, ["g", "token"], "rows", "rep"), "meetings")
+    discard(groups)
+    return met
+
+
+def _candidates(met: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """(g, a, b): pairs that meet and share as many prefix tokens as the smaller L of the two asks."""
+    need = _need(F.col("x.s"), F.col("y.s"), percent)
+    first = (F.col("x.m") - F.col("x.pos") >= need) & (F.col("y.m") - F.col("y.pos") >= need)  # holds at the first shared token
+    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep"))
+    pairs = met.alias("x").join(met.alias("y"), same & ~(F.col("x.core") & F.col("y.core")) & first)
+    pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.l", "y.l").alias("l")).distinct()
+    heads = prefix.groupBy("g", "rep").agg(F.collect_set("token").alias("head"))
+    for side in ("a", "b"):
+        pairs = pairs.join(heads.select("g", F.col("rep").alias(side), F.col("head").alias(f"h{side}")), ["g", side])
+    return pairs.where(F.size(F.array_intersect("ha", "hb")) >= F.col("l")).select("g", "a", "b")
+
+
+def _verified(pairs: DataFrame, level: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets or differences."""
     for side in ("a", "b"):
-        rest = rest.join(heads.select(F.col("rep").alias(side), F.col("head").alias(f"h{side}")), side)
-    rest = rest.where(F.size(F.array_intersect("ha", "hb")) >= F.col("l")).select("a", "b")
-    rest = rest.join(near, ["a", "b"], "left_anti")
-    return near.union(written(_verified(rest, sets, percent), "rest"))
+        pairs = pairs.join(level.select("g", F.col("rep").alias(side), F.col("d").alias(f"d{side}"), F.col("s").alias(f"s{side}")), ["g", side])
+    return pairs.where(F.size(F.array_intersect("da", "db")) * (2 * (100 + percent)) >= F.col("sa") + F.col("sb")).select("a", "b")
+
+
+def _families(met: DataFrame, level: DataFrame, percent: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(links to the core, next level) of the families that meet in met.
+
+    A family is all that meets at tokens of one hub (whole sets: few families for each), or at tokens where the same sets
+    meet. First the hub's set is taken off every one, then what is left in more than half of them.
+    """
+    kind = ["g", "hub"] if whole else ["g", "hub", "size", "last"]
+    rows = met.select(*kind, "rep").distinct()
+    rows = written(rows.select(F.xxhash64(*kind).alias("f"), "g", "hub", "rep"), "members")
+    hubs = rows.groupBy("f").agg(F.first("g").alias("g"), F.first("hub").alias("hub"), F.count("*").alias("rows"))
+    hubs = hubs.join(level.select("g", F.col("rep").alias("hub"), F.col("d").alias("dh")), ["g", "hub"]).select("f", "dh", "rows", F.col("rows").alias("cnt"))
+    hubs = written(hubs, "hubs")
+    own = rows.select("f", "g", "rep").join(level.select("g", "rep", "n", "d"), ["g", "rep"])
+    own = spread_join(own, hubs, ["f"], "rows", "rep").select("f", "rep", "n", "cnt", _xor(F.col("d"), F.col("dh")).alias("d"))
+    own = written(own, "differences")
+    common = own.select("f", "cnt", F.explode("d").alias("token")).groupBy("f", "token").agg(F.count("*").alias("c"), F.first("cnt").alias("rows"))
+    common = common.where("2 * c > rows").groupBy("f").agg(F.collect_list("token").alias("common"), F.first("rows").alias("rows"))  # twice a mean set at most
+    common = written(common, "common")
+    less = spread_join(own, common, ["f"], "rows", "rep", "left")
+    less = less.withColumn("d", F.when(F.col("common").isNull(), F.col("d")).otherwise(_xor(F.col("d"), F.col("common")))).drop("common")
+    less = less.withColumn("s", F.size("d") * F.lit(100 + percent).cast("long") - F.col("n") * (100 - percent))
+    less = written(less, "family")
+    best = less.groupBy("f").agg(F.min(F.struct("s", "rep")).alias("best"), F.max("s").alias("most"), F.count("*").alias("rows"))
+    best = written(best.select("f", F.col("best.s").alias("low"), F.col("best.rep").alias("centre"), "most", "rows"), "best")
+    all_ = spread_join(less, best, ["f"], "rows", "rep").withColumn("core", F.col("s") + F.col("low") <= 0)
+    # A set of the core has no link to look for but with others, whose s is above -low.
+    need = _need(F.col("s"), F.when(F.col("core"), 1 - F.col("low")).otherwise(F.col("low")), percent)
+    all_ = written(all_.select(F.col("f").alias("g"), "rep", "n", "d", "s", "core", "centre", need.alias("need"), (F.col("most") + F.col("low") > 0).alias("open")), "level")
+    discard(rows, hubs, own, common, less, best)
+    star = all_.where("core and rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+    level = all_.where("open").drop("centre", "open")
+    level.rankmill_path = all_.rankmill_path
+    return star, level
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets (rep, n, tokens): round by round, small meetings as pairs and large ones as families."""
+    level = sets.select(
+        F.lit(0).cast("long").alias("g"), "rep", "n", F.col("tokens").alias("d"), (F.col("n") * 2 * percent).cast("long").alias("s"), F.lit(False).alias("core"),
+        F.ceil(F.col("n") * percent / 100).cast("long").alias("need"),  # a partner has percent of a hundred of n tokens at least
+    )
+    found, old = [], None
+    for turn in range(ROUNDS + 1):
+        prefix = _prefixes(level, percent)
+        met = _meetings(prefix)
+        pairs = _candidates(met if turn == ROUNDS else met.where(f"size <= {GROUP}"), prefix, percent)
+        found.append(written(_verified(pairs, level, percent), "links"))
+        large = met.where(f"size > {GROUP}")
+        if turn == ROUNDS or not large.limit(1).count():
+            discard(prefix, met, *([level] if old is not None else []))
+            break
+        star, new = _families(large, level, percent, turn == 0)
+        found.append(written(star, "links"))
+        discard(prefix, met, *([level] if old is not None else []))
+        level = old = new
+    links = found[0]
+    for x in found[1:]:
+        links = links.union(x)
+    return links
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -298,16 +398,20 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
 
     docs: doc_id, text; further columns are ignored. Words are runs of anything but ASCII white space, A-Z lower-cased;
     a set has the distinct n-word shingles, or the whole sequence where there are fewer words. A null or empty text and
-    one without words has the empty set, which links with nothing. Repeated rows of a doc_id are repeated in the result.
-    Rows without doc_id are left out. An empty table gives an empty result.
+    one without words has the empty set, which links with nothing. Texts are taken whole, however long. Repeated rows of
+    a doc_id are repeated in the result; where their texts differ, each has its own n_shingles, and all of them that have
+    words are one document and so of one component. Rows without doc_id are left out. Ties don't matter: a link is
+    there or not. An empty table gives an empty result.
     """
     docs = docs.where("doc_id is not null")
     sets, classes, links = link_classes(docs, n, percent)
-    found = connected_components(links)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    named = written(named, "named")
+    found = connected_components(links).withColumnRenamed("node", "c1").withColumnRenamed("component", "name")
+    named = written(classes.join(found, "c1", "left").withColumn("name", F.coalesce("name", "c1")).select("c1", "c2", "rows", "least", "name"), "named")
+    first = named.groupBy("name").agg(F.min("least").alias("component"), F.count("*").alias("rows"))
+    first = written(first, "components")
+    named = written(spread_join(named.withColumnRenamed("rows", "copies"), first, ["name"], "rows", "c1").select("c1", "c2", "component", F.col("copies").alias("rows")), "classes")
     own = F.coalesce("component", "doc_id").alias("component_id")
-    return sets.join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", own)
+    return spread_join(sets, named, ["c1", "c2"], "rows", "doc_id", "left").select("doc_id", "n_shingles", own)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

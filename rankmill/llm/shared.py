@@ -1,44 +1,23 @@
-"""Tables written once in the folder that all executors share, and checks of size before a broadcast."""
+"""What the operators share: tables in the shared folder, joins that spread hot keys, checks of size before a broadcast."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmill.llm.text import frugal
+from rankmill.storage import discard, shared_dir, written
+
+__all__ = ["buckets", "discard", "documents", "fresh", "mapped", "partitions", "shared_dir", "small", "spread_join", "written"]
 
 #: Rows up to which a table of a few numbers a row is broadcast: some 16 MB.
 BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a folder of its own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "rankmill-shared")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and lost executors cost nothing that is in it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")  # the shuffle files of this write aren't needed after it
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+#: Keys that a join may spread at most; a key with no more rows than this share of all stays in one task.
+HOT_KEYS = 100_000
+#: Rows of a key up to which it is never spread.
+COLD_ROWS = 256
+#: Bytes of input behind one bucket of packed arrays.
+BUCKET_BYTES = 64 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -46,28 +25,47 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread_join(big: DataFrame, table: DataFrame, keys: list[str], rows: str, by: str, how: str = "inner") -> DataFrame:
+    """big joined to table, which has one row for each key and in column rows how many rows of big have that key.
+
+    A key with many rows is dealt over as many tasks as it needs, by a hash of column by, and its row of table goes to
+    each of them. At most HOT_KEYS keys are spread, so their list is broadcast.
+    """
+    total, most = table.agg(F.sum(rows), F.max(rows)).first()
+    size = max(COLD_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= size:
+        return big.join(table.drop(rows), keys, how)
+    hot = F.broadcast(table.where(F.col(rows) > size).select(*keys, F.ceil(F.col(rows) / size).cast("int").alias("sj_parts")))  # fewer than HOT_KEYS rows
+    left = big.join(hot, keys, "left").withColumn("sj_at", F.pmod(F.xxhash64(by), F.coalesce("sj_parts", F.lit(1))).cast("int")).drop("sj_parts")
+    right = table.drop(rows).join(hot, keys, "left").withColumn("sj_at", F.explode(F.sequence(F.lit(0), F.coalesce("sj_parts", F.lit(1)) - 1))).drop("sj_parts")
+    return left.join(right, [*keys, "sj_at"], how).drop("sj_at")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets(spark: SparkSession) -> int:
-    """A power of two, at least the number of shuffle partitions."""
-    return min(1 << 15, max(8, 1 << (partitions(spark) - 1).bit_length()))
+def buckets(df: DataFrame, least: int = 8) -> int:
+    """A power of two: at least the number of shuffle partitions, and one for every BUCKET_BYTES of the files that df reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    read = sum(n for n in sizes if n < 1 << 52)  # more stands for not known
+    found = max(least, partitions(df.sparkSession), -(-read // BUCKET_BYTES))
+    return 1 << (found - 1).bit_length()
 
 
-#: Rows of text that go to Python at once.
-BATCH_ROWS = 1000
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, or where df has such a column, the first of name_1, name_2, ... that it hasn't."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        new = next(x for x in (n, *(f"{n}_{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken)
+        taken.add(new.lower())
+        out.append(new)
+    return out
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema), sparing with memory: small batches, and workers that hand freed memory back.
-
-    Batches of rows are a setting of the session; it is lowered here, never raised.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df.mapInArrow(run, schema), with workers that hand freed memory back. Spark bounds a batch in rows and in bytes."""
 
     def lean(batches):
         frugal()

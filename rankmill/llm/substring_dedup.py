@@ -320,7 +320,7 @@ def _digest(window: int):
 
 
 def _count(docs: DataFrame) -> int:
-    return max(LEAST_BUCKETS, buckets(docs.sparkSession))
+    return buckets(docs, LEAST_BUCKETS)
 
 
 def _with_places(docs: DataFrame, found: DataFrame, how: str, gap: int) -> DataFrame:

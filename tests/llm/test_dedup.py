@@ -1,8 +1,10 @@
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankmill.llm import ngram_join, substring_dedup as sub
 from rankmill.llm.components import connected_components
@@ -53,6 +55,79 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(own, 3, 90)
 
 
+def family(size, edits, seed, vocabulary=None, words=150):
+    """Texts of one wording, each with so many words changed, at places of its own."""
+    r = random.Random(seed)
+    base, out = prose(seed, words).split(" "), {}
+    for i in range(size):
+        w = list(base)
+        for k, at in enumerate(r.sample(range(words), edits)):
+            w[at] = f"e{i}x{k}" if vocabulary is None else f"v{r.randrange(vocabulary)}"
+        out[i] = " ".join(w)
+    return out
+
+
+def counted(monkeypatch):
+    """How many pairs are verified, by whole sets or differences."""
+    n, verified = [], ngram_join._verified
+
+    def run(pairs, level, percent):
+        n.append(pairs.count())
+        return verified(pairs, level, percent)
+
+    monkeypatch.setattr(ngram_join, "_verified", run)
+    return n
+
+
+@pytest.mark.parametrize(("edits", "vocabulary"), [(3, None), (4, 40)])
+def test_families_that_do_not_link_make_few_candidates(spark, monkeypatch, edits, vocabulary):
+    n, per = counted(monkeypatch), []
+    for size in (100, 400, 1600):
+        own = family(size, edits, 9, vocabulary)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicate_groups(frame(spark, own), 3, 90).collect()}
+        if size <= 400:
+            assert got == brute(own, 3, 90)
+        per.append(sum(n) / size)
+        n.clear()
+    assert max(per) < 4 * ngram_join.GROUP
+
+
+def test_families_in_families(spark, monkeypatch):
+    """Variants of a wording, copies of each with their own edits, some too far from all others."""
+    r, own = random.Random(3), {}
+    base = prose(77, 200).split(" ")
+    for v in range(6):
+        variant = list(base)
+        for at in r.sample(range(200), 6):
+            variant[at] = f"variant{v}x{at}"
+        for i in range(50):
+            w = list(variant)
+            for at in r.sample(range(200), r.randrange(0, 8)):
+                w[at] = f"w{r.randrange(30)}"
+            own[v * 50 + i] = " ".join(w)
+    for n, percent in ((3, 90), (5, 80), (1, 95)):
+        got = ngram_join.near_duplicate_groups(frame(spark, own), n, percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(own, n, percent)
+
+
+def test_spread_joins_are_joins(spark):
+    from rankmill.llm import shared
+
+    big = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("k"), "id")
+    table = shared.written(big.groupBy("k").agg(F.count("*").alias("rows"), F.min("id").alias("m")).where("k <> 7"), "t")
+    want = sorted(map(tuple, big.join(table.drop("rows"), "k").collect()))
+    assert sorted(map(tuple, shared.spread_join(big, table, ["k"], "rows", "id").collect())) == want
+    assert shared.spread_join(big, table, ["k"], "rows", "id", "left").count() == 5000
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    own = texts()
+    more = [(0, own[9], None, None, 1, "", 1, 1, "", ""), (41, own[9], None, None, 1, "", 1, 1, "", ""), (16, own[9], None, None, 1, "", 1, 1, "", "")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.near_duplicate_groups(frame(spark, {0: own[0], 1: own[1], 9: own[9], 16: ""}, more), 3, 90).collect()}
+    size = len(shingles(own[9], 3))
+    assert got == {(0, len(shingles(own[0], 3))): 0, (1, len(shingles(own[0], 3))): 0, (9, size): 0, (0, size): 0, (41, size): 0, (16, size): 0, (16, 0): 16}
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     more = [rows({0: texts()[0]})[0], (None, texts()[0], None, None, 1, "", 1, 1, "", "")]
     got = ngram_join.near_duplicate_groups(frame(spark, {0: texts()[0], 3: texts()[3]}, more), 3, 90).collect()
