@@ -8,6 +8,10 @@ around it are compared whole, across documents, and runs of windows that repeat
 
 Shuffles carry packed arrays: four bytes of hash and one or two of place for each probe (a false hit costs a comparison of
 whole windows, nothing else), and 64 bits of hash for each window around a hit.
+
+What is equal within a task is decided there: of a window that many of its texts hold, only the smallest document goes on,
+of a probe the smallest block, the largest document and at most MOST others. A passage in a third of all documents so
+sends a few rows from each task's share, not one from each document. A probe too frequent to be sent counts as a hit.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from rankmill.llm.text import SPACE, Words, chunks, mix, ngram, texts
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Values that a task gathers before it hands them on.
 FLUSH = 2_500_000
+#: Undecided probes of one value that a task sends on; where it has more, all of them are hits, to be compared whole.
+MOST = 32
 #: Buckets at least, so that small and large inputs pack alike.
 LEAST_BUCKETS = 64
 #: Bytes of packed hits up to which they are broadcast.
@@ -61,11 +67,12 @@ class Gathered:
     """What a task gathers of runs of texts until it deals it out by hash.
 
     A row has the documents met in a bucket, at which of the gathered words each begins, and place and hash of each run
-    of words; kind: the part of a hash that is sent.
+    of words; kind: the part of a hash that is sent. decided(doc, place, run) says of values in runs of equal hashes
+    which are found as they stand and which must be sent; found places go along as rows without begins, dealt by document.
     """
 
-    def __init__(self, count: int, kind):
-        self.count, self.kind = count, kind
+    def __init__(self, count: int, kind, decided):
+        self.count, self.kind, self.decided = count, kind, decided
         self.reset()
 
     def reset(self):
@@ -83,20 +90,37 @@ class Gathered:
 
         ids, begin, at, h = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.reset()
-        bucket = (h & np.uint64(self.count - 1)).astype(np.uint16)
+        has = np.flatnonzero(np.append(begin[1:], np.iinfo(np.int64).max) > begin)
+        ids, begin = ids[has], begin[has]
+
+        order = np.argsort(h)
+        twin = h[order[1:]] == h[order[:-1]]
+        order = order[np.append(twin, False) | np.append(False, twin)]  # values that are there more than once
+        if len(order):
+            edge, run = _runs_of(h[order])
+            own = np.searchsorted(begin, at[order], "right") - 1
+            doc, place = ids[own], at[order] - begin[own]
+            found, sent = self.decided(doc, place, edge, run)
+            if found.any():
+                part, docs, sizes, places = _found(doc[found], place[found], self.count).columns
+                yield pa.RecordBatch.from_arrays([part, docs, pa.nulls(len(part), pa.binary()), places, sizes], names=["bucket", "docs", "begins", "places", "hashes"])
+            keep = np.ones(len(h), bool)
+            keep[order[~sent]] = False
+            at, h = at[keep], h[keep]
+
+        bucket = (h & np.uint64(self.count - 1)).astype(np.min_scalar_type(self.count - 1))
         order = np.argsort(bucket, kind="stable")
         at, cut = at[order], np.searchsorted(bucket[order], np.arange(self.count + 1))
         h = (h >> np.uint64(64 - 8 * np.dtype(self.kind).itemsize)).astype(self.kind)[order]
-        has = np.flatnonzero(np.append(begin[1:], np.iinfo(np.int64).max) > begin)
-        ids, begin, rows = ids[has], begin[has], ([], [], [], [], [])
-        for b in range(self.count):
+        rows = ([], [], [], [], [])
+        for b in np.flatnonzero(np.diff(cut)).tolist():
             lo, hi = cut[b], cut[b + 1]
-            if lo < hi:
-                own = np.searchsorted(begin, at[lo:hi], "right") - 1
-                own = own[np.flatnonzero(np.diff(own, prepend=-1))]
-                for out, x in zip(rows, (b, _ints(ids[own]), _ints(begin[own]), _ints(at[lo:hi]), h[lo:hi].tobytes()), strict=True):
-                    out.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "docs", "begins", "places", "hashes"])
+            own = np.searchsorted(begin, at[lo:hi], "right") - 1
+            own = own[np.flatnonzero(np.diff(own, prepend=-1))]
+            for out, x in zip(rows, (b, _ints(ids[own]), _ints(begin[own]), _ints(at[lo:hi]), h[lo:hi].tobytes()), strict=True):
+                out.append(x)
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "docs", "begins", "places", "hashes"])
 
 
 DEALT = "bucket int, docs binary, begins binary, places binary, hashes binary"
@@ -149,9 +173,22 @@ def _rows_by_key(batches):
 
 
 def _by_bucket(work, kind, count: int):
+    def undecided(batches):
+        """The batches, less the rows of found places: these are kept in passed."""
+        for batch in batches:
+            decided = batch.column(2).is_null()
+            passed.append(batch.filter(decided).select([0, 1, 4, 3]).rename_columns(["part", "docs", "sizes", "places"]))
+            yield batch.filter(pc.invert(decided))
+
+    passed: list = []
+
     def run(batches):
-        for blobs in _rows_by_key(batches):
+        for blobs in _rows_by_key(undecided(batches)):
             yield _found(*work(*_taken(blobs, kind)), count)
+        while passed:
+            yield passed.pop()
+
+    import pyarrow.compute as pc
 
     return run
 
@@ -188,7 +225,7 @@ def _probes(block: int, count: int):
     """All rolling runs of block words; the places of reference blocks are those divisible by block."""
 
     def run(batches):
-        words, gathered = Words(SPACE), Gathered(count, np.uint32)
+        words, gathered = Words(SPACE), Gathered(count, np.uint32, _hit_here(block))
         for batch in batches:
             offsets, data = texts(batch, "text")
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
@@ -199,9 +236,9 @@ def _probes(block: int, count: int):
                     at = np.flatnonzero(wdoc[block - 1 :] == wdoc[: len(g)])
                     gathered.add(ids[lo:hi], np.bincount(wdoc, minlength=hi - lo), at, g[at])
                 if gathered.size >= FLUSH:
-                    yield gathered.dealt()
+                    yield from gathered.dealt()
         if gathered.size:
-            yield gathered.dealt()
+            yield from gathered.dealt()
 
     return run
 
@@ -212,17 +249,41 @@ def _runs_of(h):
     return edge, np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(h))))
 
 
+def _met(doc, anchor, edge, run):
+    """(hits, smallest document of each run that has it as a block, largest document): probes that meet a block of a
+    smaller document, and blocks that a larger one meets."""
+    low = np.minimum.reduceat(np.where(anchor, doc, np.iinfo(np.int64).max), edge)
+    high = np.maximum.reduceat(doc, edge)
+    return (low[run] < doc) | (anchor & (high[run] > doc)), low, high
+
+
+def _hit_here(block: int):
+    def decided(doc, place, edge, run):
+        anchor = place % block == 0
+        hit, low, high = _met(doc, anchor, edge, run)
+        many = np.add.reduceat(~hit, edge, dtype=np.int64) > MOST
+        # Others need to know the smallest block and the largest document; one place of each will do.
+        sent = ~hit & ~many[run]
+        for stands in (anchor & (doc == low[run]), doc == high[run]):
+            at = np.flatnonzero(stands)
+            sent[at[np.flatnonzero(np.diff(run[at], prepend=-1))]] = True
+        return hit | many[run], sent
+
+    return decided
+
+
+def _repeat_here(doc, place, edge, run):
+    later = doc > np.minimum.reduceat(doc, edge)[run]
+    return later, ~later
+
+
 def _hits(block: int, count: int):
     """Of one bucket, the probes that meet a block of a smaller document and the blocks that a larger one meets."""
 
     def work(doc, place, h):
         order = np.argsort(h)
         doc, place = doc[order], place[order]
-        edge, run = _runs_of(h[order])
-        anchor = place % block == 0
-        low = np.minimum.reduceat(np.where(anchor, doc, np.iinfo(np.int64).max), edge)
-        high = np.maximum.reduceat(doc, edge)
-        hit = (low[run] < doc) | (anchor & (high[run] > doc))
+        hit = _met(doc, place % block == 0, *_runs_of(h[order]))[0]
         return doc[hit], place[hit]
 
     return _by_bucket(work, np.uint32, count)
@@ -245,7 +306,7 @@ def _around(window: int, block: int, count: int):
     """The windows that hold a hit."""
 
     def run(batches):
-        words, gathered = Words(SPACE), Gathered(count, np.uint64)
+        words, gathered = Words(SPACE), Gathered(count, np.uint64, _repeat_here)
         for batch in batches:
             offsets, data = texts(batch, "text")
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
@@ -265,9 +326,9 @@ def _around(window: int, block: int, count: int):
                 if len(at):
                     gathered.add(ids[lo:hi], np.bincount(wdoc, minlength=hi - lo), at, g[at])
                 if gathered.size >= FLUSH:
-                    yield gathered.dealt()
+                    yield from gathered.dealt()
         if gathered.size:
-            yield gathered.dealt()
+            yield from gathered.dealt()
 
     return run
 
@@ -346,6 +407,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, digest: bool = False) ->
     docs: doc_id, text; other columns are ignored. A word goes if a window of so many consecutive words covers it whose
     sequence also starts in a document with a smaller doc_id, as the input stands. Repeats inside one document and rows
     with the same doc_id don't count against each other. Null texts have no words; rows without doc_id are left out.
+    Texts are taken whole, however long; repeated rows of a doc_id each have its result, by the windows of all of them.
+    Of equal windows the one in the smallest doc_id stays, at all its places. An empty table gives an empty result.
     digest: kept_sha256 (lower-case hex of the UTF-8 of kept) in place of kept and spans.
     """
     docs = removed_windows(docs.where("doc_id is not null").select("doc_id", "text"), window)

@@ -186,3 +186,37 @@ def test_hashes_follow_words():
         assert int(ngram(h, n)[7]) == int(ngram(h[7 : 7 + n], n)[0])
     assert (Rolling(h).grams(9) == ngram(h, 9)).all()
     assert math.isclose(len(set(ngram(h, 5).tolist())), 96)
+
+
+@pytest.mark.parametrize("flush", [1, 3000, sub.FLUSH])
+def test_windows_decided_in_tasks_and_beyond(spark, monkeypatch, flush):
+    """A notice in a third of many texts, at fixed and at other places; the same however much a task gathers."""
+    monkeypatch.setattr(sub, "FLUSH", flush)
+    monkeypatch.setattr(sub, "MOST", 2)
+    r, notice = random.Random(8), prose(200, 60)
+    own = {}
+    for i in range(120):
+        head = prose(300 + i, r.choice([0, 0, 7, 25, 50]))
+        own[r.randrange(1 << 40)] = f"{head} {notice if i % 3 else ''} {prose(500 + i, 40)}"
+    got = sub.substring_dedup(frame(spark, own), 50, digest=True)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()} == brute_spans(own, 50)
+
+
+def test_a_passage_in_a_third_of_all_texts_is_not_one_tasks_work(spark):
+    """Packed bytes of each bucket, for 6000 texts of which a third hold one passage."""
+    notice = prose(201, 60)
+    own = {i: (notice + " " if i % 3 == 0 else "") + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(6000)}
+    count = 64
+    docs = frame(spark, own).select("doc_id", "text")
+    size = {k: 0 for k in range(count)}
+    for r in sub.mapped(docs, sub._probes(25, count), sub.DEALT).where("begins is not null").collect():
+        size[r.bucket] += sum(len(r[c]) for c in ("docs", "begins", "places", "hashes"))
+    per = sorted(size.values())
+    assert per[-1] <= 3 * per[count // 2]
+
+
+def test_repeated_rows_and_null_ids_of_substrings(spark):
+    own = {5: prose(1, 120), 7: prose(1, 120) + " more"}
+    more = [rows({7: own[7]})[0], (None, own[5], None, None, 1, "", 1, 1, "", ""), (5, own[5], None, None, 1, "", 1, 1, "", "")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in sub.substring_dedup(frame(spark, own, more)).collect())
+    assert got == [(5, 120, 0), (5, 120, 0), (7, 121, 120), (7, 121, 120)]
