@@ -10,7 +10,7 @@ from rankmill.llm.line_dedup import line_dedup
 from rankmill.llm.mixing import mix_sources
 from rankmill.llm.ngram_join import drop_near_duplicates
 from rankmill.llm.quality_model import keep_quality
-from rankmill.llm.shared import documents, written
+from rankmill.llm.shared import documents, fresh, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; one that had nothing else goes. n_chars follows."""
-    d = line_dedup(docs).where("n_dropped = 0 or n_dropped < n_lines")
-    return d.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, dropped = (F.col(c) for c in fresh(docs, "n_lines", "n_dropped"))
+    d = line_dedup(docs).where((dropped == 0) | (dropped < lines))
+    return d.withColumn("n_chars", F.when(dropped > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

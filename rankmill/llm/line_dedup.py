@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.shared import BROADCAST_ROWS, written
+from rankmill.llm.shared import BROADCAST_ROWS, fresh, spread_join, written
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -38,24 +38,34 @@ def boilerplate(docs: DataFrame, site: str = "source", ratio: float = RATIO, min
 def line_dedup(docs: DataFrame, site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with text freed of boilerplate lines, and the columns n_lines and n_dropped (lines with a word).
 
-    docs: text and the site column; all else is passed on. Lines end at \\n and compare without white space around them;
-    blank lines stay where they are. A null text stays null, with 0 lines. Rows whose site is null are one site. Repeated
-    rows are one page when counted, and each has its result. A table without boilerplate comes back as it was.
+    docs: text and the site column; all else is passed on. Where docs has a column n_lines or n_dropped itself, the new one
+    is called n_lines_1 or n_dropped_1. Lines end at \\n and compare without white space around them; blank lines stay
+    where they are. A null text stays null, with 0 lines; an empty one has 0 lines; texts are taken whole, however long.
+    A line at the ratio itself stays. Rows whose site is null are one site. Repeated rows are one page when counted, and
+    each has its result. An empty table, or one without boilerplate, comes back as it was.
     """
+    origin, keys, lines, rest, n_lines, n_dropped = fresh(docs, "ld_site", "ld_keys", "ld_lines", "ld_kept", "n_lines", "n_dropped")
     drop = written(boilerplate(docs, site, ratio, min_pages), "boilerplate")
     rows = drop.limit(BROADCAST_ROWS + 1).count()
-    drop = drop.groupBy("site").agg(F.collect_list("key").alias("ld_keys")).withColumnRenamed("site", "ld_site")
+    # Sites are joined by a hash, which the null site has as well.
+    at = lambda c: F.xxhash64(F.col(c).isNull(), F.col(c).cast("string"))
+    drop = drop.groupBy(at("site").alias(origin)).agg(F.collect_list("key").alias(keys))
+    d = docs.withColumn(origin, at(site))
     if rows <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
-    d = docs.join(drop, docs[site].eqNullSafe(drop["ld_site"]), "left").withColumn("ld_lines", F.split("text", "\n"))
+        d = d.join(F.broadcast(drop), origin, "left")
+    else:
+        size = fresh(d, "rows")[0]
+        sizes = d.groupBy(origin).agg(F.count("*").alias(size))
+        d = spread_join(d, written(drop.join(sizes, origin), "boilerplate"), [origin], size, "text", "left")
+    d = d.withColumn(lines, F.split("text", "\n"))
     filled = lambda x: F.btrim(x, F.lit(BLANK)) != ""
-    kept = F.when(F.col("ld_keys").isNull(), F.col("ld_lines")).otherwise(
-        F.filter("ld_lines", lambda x: ~(filled(x) & F.array_contains("ld_keys", _line_key(x))))
+    kept = F.when(F.col(keys).isNull(), F.col(lines)).otherwise(
+        F.filter(lines, lambda x: ~(filled(x) & F.array_contains(keys, _line_key(x))))
     )
-    d = d.withColumn("ld_kept", kept)
+    d = d.withColumn(rest, kept)
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.filter(c, filled))).cast("long")
-    d = d.withColumns({"n_lines": count("ld_lines"), "n_dropped": count("ld_lines") - count("ld_kept"), "text": F.array_join("ld_kept", "\n")})
-    return d.drop("ld_site", "ld_keys", "ld_lines", "ld_kept")
+    d = d.withColumns({n_lines: count(lines), n_dropped: count(lines) - count(rest), "text": F.array_join(rest, "\n")})
+    return d.select(*docs.columns, n_lines, n_dropped)
 
 
 def cleaned_sql(table: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:

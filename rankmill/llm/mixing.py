@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.shared import partitions, small
+from rankmill.llm.shared import fresh, partitions, small
 
 #: exp(-rate) must not vanish: a larger rate is the sum of several draws.
 PART = 50.0
@@ -22,21 +22,25 @@ def uniform(key: Column, seed: int, part: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, factor: float = 1.0, source: str = "source") -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, factor: float = 1.0, source: str = "source", rest: float = 0.0) -> DataFrame:
     """(mx_source, rate): the mean number of copies of each document of a source.
 
-    weights: target share of each source in the result; they are scaled to 1, and a source without one goes. None: the
-    share is documents ** (1 / temperature). factor: documents in the result for each document of the input.
+    weights: target share of each source in the result. Sources that aren't named share rest among them by
+    documents ** (1 / temperature), the null source too; with a rest of 0 they go. Shares are scaled to 1 over the sources
+    there are. weights None: all sources share by that power. factor: documents in the result for each document of the input.
     """
-    n = docs.groupBy(F.col(source).alias("mx_source")).agg(F.count("*").alias("n"))
     if weights is None:
-        n = n.withColumn("w", F.pow("n", F.lit(1 / temperature)))
-    else:
-        if not weights or min(weights.values()) < 0 or not sum(weights.values()):
-            raise ValueError("weights must not be negative, and one must be positive")
-        n = n.join(docs.sparkSession.createDataFrame(sorted(weights.items()), "mx_source string, w double"), "mx_source", "left").fillna(0.0, ["w"])
-    total = n.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    rate = F.round(F.col("w") / F.col("all_w") * F.col("all_n") * factor / F.col("n"), 9)
+        weights, rest = {}, 1.0
+    if min([*weights.values(), rest]) < 0 or not sum(weights.values()) + rest:
+        raise ValueError("weights must not be negative, and one must be positive")
+    n = docs.groupBy(F.col(source).alias("mx_source")).agg(F.count("*").alias("n"))
+    named = docs.sparkSession.createDataFrame(sorted(weights.items()), "mx_source string, named double")
+    n = n.join(F.broadcast(named), "mx_source", "left")  # as many rows as the caller has named
+    n = n.withColumn("own", F.when(F.col("named").isNull(), F.pow("n", F.lit(1 / temperature))))
+    total = n.agg(F.sum("n").alias("all_n"), F.coalesce(F.sum("own"), F.lit(0.0)).alias("all_own"), F.coalesce(F.sum("named"), F.lit(0.0)).alias("all_named"))
+    w = F.coalesce(F.col("named"), rest * F.col("own") / F.col("all_own"))
+    all_w = F.col("all_named") + F.when(F.col("all_own") > 0, rest).otherwise(0.0)
+    rate = F.round(F.try_divide(w, all_w) * F.col("all_n") * factor / F.col("n"), 9)
     return n.join(F.broadcast(total)).select("mx_source", F.coalesce(rate, F.lit(0.0)).alias("rate"))  # total: one row
 
 
@@ -50,31 +54,37 @@ def copies(rate: Column) -> dict[str, Column]:
     return {"mx_parts": parts, "mx_cdf": F.aggregate(F.sequence(F.lit(1), top), start, step)["cdf"]}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, factor: float = 1.0, seed: int = 17, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as drawn, with copy (from 1) and copies, shuffled over all partitions.
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, factor: float = 1.0, seed: int = 17, source: str = "source", key: str = "doc_id", rest: float = 0.0) -> DataFrame:
+    """The rows of docs, each as often as drawn, with copies and copy (from 1), shuffled over all partitions.
 
-    All columns of docs are passed on, nulls and empty texts too. A null source is a source like others unless weights
-    are given, which it can't be named in. Rows of equal key and source are drawn alike; a null key counts as an empty
-    one. An empty table gives an empty result.
+    All columns of docs are passed on, nulls, empty and very long texts too; where docs has a column copies or copy
+    itself, the new one is called copies_1 or copy_1. A null source is a source like others, which weights can't name. Rows
+    of equal key and source are drawn alike, repeated rows among them; a null key counts as an empty one. Rows that tie in
+    the shuffle's order stand in any. An empty table gives an empty result.
     """
-    rates = source_rates(docs, weights, temperature, factor, source)
-    rates = rates.select("mx_source", "rate", *(c.alias(k) for k, c in copies(F.col("rate")).items()))
+    origin, rate, parts, cdf, u, order, copies_, copy = fresh(docs, "mx_source", "rate", "mx_parts", "mx_cdf", "mx_u", "mx_order", "copies", "copy")
+    rates = source_rates(docs, weights, temperature, factor, source, rest)
+    rates = rates.select(F.col("mx_source").alias(origin), *(c.alias({"mx_parts": parts, "mx_cdf": cdf}[k]) for k, c in copies(F.col("rate")).items()))
     rates = small(rates, 100_000)
-    d = docs.join(rates, docs[source].eqNullSafe(rates["mx_source"]))
-    draw = lambda i: F.size(F.filter("mx_cdf", lambda c: c <= F.col("mx_u")[i - 1]))
-    d = d.withColumn("mx_u", F.transform(F.sequence(F.lit(1), "mx_parts"), lambda i: uniform(F.col(key), seed, i)))
-    d = d.withColumn("copies", F.aggregate(F.transform(F.sequence(F.lit(1), "mx_parts"), draw), F.lit(0), lambda a, x: a + x).cast("long"))
-    d = d.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    d = d.withColumn("mx_order", F.xxhash64(F.lit(seed), key, "copy", F.lit(1)))
-    d = d.repartition(partitions(docs.sparkSession), "mx_order").sortWithinPartitions("mx_order")
-    return d.drop("mx_source", "rate", "mx_parts", "mx_cdf", "mx_u", "mx_order")
+    d = docs.join(rates, docs[source].eqNullSafe(rates[origin]))
+    draw = lambda i: F.size(F.filter(cdf, lambda c: c <= F.col(u)[i - 1]))
+    d = d.withColumn(u, F.transform(F.sequence(F.lit(1), parts), lambda i: uniform(F.col(key), seed, i)))
+    d = d.withColumn(copies_, F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0), lambda a, x: a + x).cast("long"))
+    d = d.where(F.col(copies_) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies_)))
+    d = d.withColumn(order, F.xxhash64(F.lit(seed), key, copy, F.lit(1)))
+    d = d.repartition(partitions(docs.sparkSession), order).sortWithinPartitions(order)
+    return d.select(*docs.columns, copies_, copy)
 
 
-def mixed_sql(table: str, columns: str, seed: int = 17) -> str:
+def mixed_sql(table: str, columns: str, seed: int = 17, weights: dict[str, float] | None = None, rest: float = 0.0) -> str:
     """DuckDB SQL for mix_sources(table) at temperature 2."""
+    if weights is None:
+        weights, rest = {}, 1.0
+    named = "CASE source " + " ".join(f"WHEN '{s}' THEN {w!r}::DOUBLE" for s, w in sorted(weights.items())) + " END" if weights else "NULL::DOUBLE"
     return f"""
-(WITH n AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM {table} GROUP BY source),
-r AS (SELECT source, round(w / (SELECT sum(w) FROM n) * (SELECT sum(n) FROM n) / n, 9) AS rate FROM n),
+(WITH n AS (SELECT source, count(*) AS n, {named} AS named, CASE WHEN {named} IS NULL THEN sqrt(count(*)) END AS own FROM {table} GROUP BY source),
+a AS (SELECT sum(n) AS all_n, coalesce(sum(own), 0) AS all_own, coalesce(sum(named), 0) + CASE WHEN sum(own) > 0 THEN {rest!r} ELSE 0 END AS all_w FROM n),
+r AS (SELECT source, round(coalesce(named, {rest!r} * own / all_own) / all_w * all_n / n, 9) AS rate FROM n, a),
 q AS (SELECT source, greatest(ceil(rate / {PART}), 1)::INT AS parts, rate / greatest(ceil(rate / {PART}), 1) AS r FROM r),
 j AS (SELECT source, parts, r, unnest(range(0, ceil(r + 12 * sqrt(r) + 30)::INT + 1)) AS j FROM q),
 c AS (SELECT source, parts, list(cdf ORDER BY j) AS cdf FROM (SELECT source, parts, j, sum(CASE WHEN r > 0 THEN exp(j * ln(r) - r - lgamma(j + 1)) ELSE (j = 0)::INT END) OVER (PARTITION BY source ORDER BY j) AS cdf FROM j) GROUP BY source, parts),
@@ -83,5 +93,5 @@ k AS (SELECT *, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_
 SELECT {columns}, unnest(range(1, copies + 1))::BIGINT AS copy, copies FROM k WHERE copies > 0)"""
 
 
-def oracle() -> str:
-    return f"SELECT doc_id, source, copy, copies, md5(text) AS text_md5 FROM {mixed_sql('documents', 'doc_id, source, text')}"
+def oracle(weights: dict[str, float] | None = None, rest: float = 0.0) -> str:
+    return f"SELECT doc_id, source, copy, copies, md5(text) AS text_md5 FROM {mixed_sql('documents', 'doc_id, source, text', weights=weights, rest=rest)}"

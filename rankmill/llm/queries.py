@@ -17,6 +17,10 @@ from rankmill.llm.substring_dedup import substring_dedup
 from rankmill.llm.url_filter import url_filter
 
 
+#: Target shares of named sources; all others share what is left.
+TARGETS = {"src0": 0.3, "src1": 0.15, "src2": 0.0}
+
+
 def op1_ngram_join(spark, sf_dir):
     return near_duplicate_groups(documents(spark, sf_dir), n=3, percent=90)
 
@@ -55,7 +59,7 @@ def op9_license_scan(spark, sf_dir):
 
 
 def op10_mix_sources(spark, sf_dir):
-    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "copy", "copies", F.md5("text").alias("text_md5"))
+    return mixing.mix_sources(documents(spark, sf_dir), TARGETS, rest=0.55).select("doc_id", "source", "copy", "copies", F.md5("text").alias("text_md5"))
 
 
 QUERIES = {
@@ -65,4 +69,4 @@ QUERIES = {
         op6_quality_rules, op7_url_filter, op8_line_dedup, op9_license_scan, op10_mix_sources,
     )
 }
-ORACLES = {"op6_quality_rules": rules.oracle(), "op8_line_dedup": lines.oracle(), "op10_mix_sources": mixing.oracle()}
+ORACLES = {"op6_quality_rules": rules.oracle(), "op8_line_dedup": lines.oracle(), "op10_mix_sources": mixing.oracle(TARGETS, 0.55)}
