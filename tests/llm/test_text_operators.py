@@ -222,6 +222,13 @@ def test_columns_of_all_names_survive(spark):
     assert kept.columns == d.columns and {tuple(r) for r in kept.drop("text").collect()} <= whole
 
 
+def test_lines_on_a_few_in_a_hundred_pages(spark):
+    own = {i: f"{prose(i, 12)}\n" + ("Sign in or register\n" if i % 100 < 8 else "") + ("Les.\n" if i % 100 in range(20, 23) else "") for i in range(24, 324)}
+    got = line_dedup.line_dedup(frame(spark, own)).collect()
+    assert all("Sign in" not in r.text for r in got) and sum("Les." in r.text for r in got) == 9
+    assert sum(r.n_dropped for r in got) == sum("Sign in" in t for t in own.values()) == 24
+
+
 def test_lines_beyond_the_broadcast_bound(spark, monkeypatch):
     want = sorted(map(str, line_dedup.line_dedup(frame(spark)).collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
