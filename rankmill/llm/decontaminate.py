@@ -2,9 +2,11 @@
 
 A test item of w words may be found with up to e = w * rate word edits. Cut into e + 1 pieces, one piece at least stays
 whole in any such place, so exact hits of pieces (rolling hashes, a bitmap first) are all the candidates. Each is verified
-with Myers' bit-parallel edit distance, words being its letters, on the stretch of text around the hit.
+with Myers' bit-parallel edit distance, words being its letters, on the stretch of text around the hit; hits of one item
+that are close together are one stretch.
 
-Documents never meet each other. Items are a stated query set: they are taken in blocks of fixed size against all rows.
+Documents never meet each other. Items are a stated query set: they are taken in blocks of bounded size against all rows,
+each a broadcast of its own that isn't kept in the driver's memory.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from rankmill.llm.shared import mapped, small, written
 from rankmill.llm.text import NOT_ALNUM, Rolling, Words, chunks, texts
 
 EDIT_RATE = 0.15
-#: Items looked for in one pass over the documents.
-BLOCK = 50_000
+#: Items, and bytes of them, looked for in one pass over the documents.
+BLOCK, BLOCK_BYTES = 50_000, 16 << 20
 SCHEMA = "doc_id long, item_id long, distance long, start_word long, n_item_words long"
 
 
@@ -50,6 +52,21 @@ def myers(masks: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def _stretches(starts: list[int], m: int, budget: int, first: int, last: int):
+    """(from, to): the stretches of text that hold all places of an item that may begin near starts; they don't overlap."""
+    a = b = None
+    for s in starts:
+        low, high = max(first, s - budget), min(last, s + m + budget)
+        if a is not None and low <= b:
+            b = max(b, high)
+            continue
+        if a is not None:
+            yield a, b
+        a, b = low, high
+    if a is not None:
+        yield a, b
+
+
 class Items:
     """A block of test items, ready to be looked for."""
 
@@ -89,8 +106,7 @@ class Items:
         for (doc, item), starts in sorted(hits.items()):
             item_id, m, budget, masks = self.items[item]
             first, last, best = int(begin[doc]), int(begin[doc + 1]), None
-            for s in sorted(starts):
-                a, b = max(first, s - budget), min(last, s + m + budget)
+            for a, b in _stretches(sorted(starts), m, budget, first, last):
                 distance, end = myers(masks, m, h[a:b].tolist())
                 place = max(0, a + end - m - first)
                 if best is None or (distance, place) < best:
@@ -101,11 +117,13 @@ class Items:
                 yield doc, item_id, best[0], best[1], m
 
 
-def _search(block: list[tuple[int, str]], rate: float):
+def _search(block, rate: float):
+    """block: a broadcast list of (item_id, text)."""
+
     def run(batches):
         import pyarrow as pa
 
-        items, words = Items(block, rate), Words(NOT_ALNUM, lower=True)
+        items, words = Items(block.value, rate), Words(NOT_ALNUM, lower=True)
         for batch in batches:
             offsets, data = texts(batch, "text")
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
@@ -127,22 +145,25 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFra
     docs: doc_id, text; items: item_id, text; other columns are ignored. Words are runs of letters, digits and non-ASCII
     characters, A-Z lower-cased. A row per document and item, with the fewest edits and where the place begins at the
     earliest (by its end and the item's length). Items without words match nothing, and those of few words (budget 0)
-    only as they stand. Null texts hold nothing; a repeated row of a document repeats its result.
+    only as they stand. Null and empty texts hold nothing, very long ones are searched whole; a repeated row of a document
+    repeats its result, and repeated item ids each have theirs. Empty tables give an empty result.
     """
     docs, found = docs.select("doc_id", "text"), None
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text")
     block: list[tuple[int, str]] = []
-    rows = items.toLocalIterator()
+    size = 0
 
     def search():
-        nonlocal found, block
-        part = mapped(docs, _search(block, rate), SCHEMA)
-        found, block = part if found is None else found.union(part), []
-
-    for row in rows:
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK:
+        nonlocal found, block, size
+        sent = spark.sparkContext.broadcast(block)  # BLOCK_BYTES and one item at most; Spark keeps it in a file
+        part = mapped(docs, _search(sent, rate), SCHEMA)
+        found, block, size = part if found is None else found.union(part), [], 0
+
+    for item_id, text in items.toLocalIterator():
+        block.append((item_id, text))
+        size += len(text)
+        if len(block) >= BLOCK or size >= BLOCK_BYTES:
             search()
     if block:
         search()

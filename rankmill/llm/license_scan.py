@@ -2,8 +2,9 @@
 
 A template is a license's wording with three kinds of markup: {optional words} may be left out, [one|other wording] takes
 any one of its parts, and <<n>> stands for up to n words of any kind. Licenses that are texts are there whole, conditions
-and disclaimers included; notices that name a license are templates of their own. A template is compiled into an automaton over words. A text has the license where some stretch of it leads
-from the first state to the last: all mandatory words, in order, exactly. Fixed phrases are looked for beside, by hash.
+and disclaimers included; notices that name a license are templates of their own. A template is compiled into an automaton over words. A text has the license where some
+stretch of it leads from the first state to the last: all mandatory words, in order, exactly. Fixed phrases are looked for
+beside, by hash.
 
 Words are hashed for whole batches; automata only start at the words a template can begin with.
 """
@@ -32,6 +33,10 @@ _BSD_END = "this software is provided by <<12>> as is and any express or implied
 
 # Wording of licenses and notices as they are published, with markup.
 TEMPLATES = (
+    *((f"{name}-{n}", f"is free software you can redistribute it and or modify it under the terms of the gnu {long} general public license as published by the free software foundation [either version {n} of the license or at your option any later version|version {n} of the license]") for name, long, versions in (("gpl", "", (2, 3)), ("lgpl", "[library|lesser]", (2, 3)), ("agpl", "affero", (3,))) for n in versions),
+    *((label, f"spdx license identifier {spdx} {{or later}} {{only}}") for label, spdx in (("mit", "mit"), ("apache-2", "apache 2 0"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl-3", "lgpl 3 0"), ("agpl-3", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("isc", "isc"), ("cc0", "cc0 1 0"), ("cc-by", "cc by 4 0"), ("cc-by-nc", "cc by nc 4 0"), ("unlicense", "unlicense"))),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<8>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will <<8>> be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions {1} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required {2} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {3} this notice may not be removed or altered from any source distribution"),
     ("gpl-3", "{this work is} {free software} licensed under the {terms of the} gnu general public license {as published by the free software foundation} {either} version 3 {of the license} {or later}"),
     ("mit", "{released} {licensed} under the {terms of the} mit license"),
     ("mit", f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice {{including the next paragraph}} shall be included in all copies or substantial portions of the software {_AS_IS}"),
@@ -205,6 +210,11 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataF
     else null), base_labels, labels (templates' too), score (1: a whole template matched, 0.5: only phrases, 0: neither).
 
     docs: doc_id, text; other columns are ignored. Words are runs of letters, digits and non-ASCII characters, A-Z
-    lower-cased; a null text has none. Repeated rows each have a result.
+    lower-cased; a null or empty text has none, a very long one is read whole. A stretch that fits several templates has
+    all their labels. Repeated rows each have a result; an empty table gives an empty one. A template without mandatory
+    words is an error.
     """
+    for label, t in templates:
+        if not _MARKUP.sub(" ", t).split():
+            raise ValueError(f"the template of {label} has no mandatory word")
     return mapped(docs.select("doc_id", "text"), _scan(phrases, templates), SCHEMA)

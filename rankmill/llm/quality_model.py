@@ -3,8 +3,8 @@
 Words are runs of letters, digits or signs. Each falls into one of a fixed number of rows, by hash and by shape (small,
 capital first, all capitals, not letters). Each row has a sparse random index vector; its context vector is the sum of
 the index vectors of the neighbours of all its words in all documents. Counts are whole numbers, so their sum doesn't
-depend on how the documents are split. A document is described by the mean and deviation of its words' vectors, the
-likeness of neighbours and the share of each shape. A two-layer network, fitted with numpy on a bounded sample of
+depend on how the documents are split. A document is described by its words' vectors alone: their mean, their deviation,
+and how alike the vectors of neighbours are. A two-layer network, fitted with numpy on a bounded sample of
 labelled rows, scores that, and a temperature found on rows that it wasn't fitted on makes its probabilities honest.
 """
 
@@ -20,7 +20,7 @@ from rankmill.llm.text import BASE, U64, chunks, mix, texts
 ROWS, DIMS, NONZERO, BLOCKS, SHAPES = 1 << 14, 32, 2, 16, 4
 #: Labelled rows that the network is fitted on at most.
 MAX_LABELLED = 8000
-FEATURES = 2 * DIMS + 2 + SHAPES
+FEATURES = 2 * DIMS + 1
 THRESHOLD = 0.3
 SEED = 11
 
@@ -138,9 +138,6 @@ def pooled(words: ShapedWords, vectors: np.ndarray, buf, bounds) -> np.ndarray:
     out[has, :DIMS] = mean
     out[has, DIMS : 2 * DIMS] = np.sqrt(np.maximum(np.add.reduceat(v, at, axis=0) / m - mean * mean, 0))
     out[has, 2 * DIMS] = np.add.reduceat(near, at) / np.maximum(n[has] - 1, 1)
-    out[has, 2 * DIMS + 1] = np.log1p(n[has])
-    for s in range(SHAPES):
-        out[has, 2 * DIMS + 2 + s] = np.bincount(doc, row % SHAPES == s, docs)[has] / n[has]
     return out
 
 
@@ -150,10 +147,10 @@ def _features(vectors):
 
         words = ShapedWords()
         for batch in batches:
-            label = batch.column(batch.schema.get_field_index("quality"))
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "quality")]
             for lo, hi, buf, bounds in chunks(*texts(batch, "text"), 1 << 19):
                 x = pooled(words, vectors, buf, bounds)
-                yield pa.RecordBatch.from_arrays([label.slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in kept), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     return run
 
@@ -220,25 +217,27 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, Network]:
     """(word vectors, network) for docs (doc_id, text), from labels (doc_id, quality) that aren't held out.
 
-    Word vectors are of all documents. The network sees max_labelled labelled rows at most, those with the smallest hash
-    of doc_id.
+    Word vectors are of all documents. The network sees max_labelled labelled documents at most, those with the smallest
+    hash of doc_id; of rows that share a doc_id one stands for all, whichever their order. A document labelled both ways
+    is seen with each label.
     """
     vectors = word_vectors(docs)
-    some = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out() & F.col("quality").isin(0, 1))
+    some = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out() & F.col("quality").isin(0, 1)).distinct()
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text")  # bounded by limit
-    rows = mapped(rows, _features(vectors), "quality int, x binary").limit(2 * max_labelled).collect()
-    rows.sort(key=lambda r: (bytes(r[1]), r[0]))  # the same network, however rows arrive
-    x = np.array([np.frombuffer(r[1]) for r in rows]).reshape(len(rows), FEATURES)
-    return vectors, Network(x, np.array([r[0] for r in rows], float))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text")  # bounded by limit
+    rows = mapped(rows, _features(vectors), "doc_id long, quality int, x binary")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id", "quality").collect()  # max_labelled at most
+    x = np.array([np.frombuffer(r.x) for r in rows]).reshape(len(rows), FEATURES)
+    return vectors, Network(x, np.array([r.quality for r in rows], float))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1, higher: label 1 is likelier), predicted (1 if score >= threshold).
 
-    docs: doc_id, text; other columns are ignored. Null and empty texts are scored as texts without words. With no usable
-    label all scores are 0.5, with labels of one kind its smoothed share. A row whose doc_id is null is not held out.
-    Repeated rows each have a result.
+    docs: doc_id, text; other columns are ignored. Null and empty texts are scored as texts without words, very long ones
+    by all their words. With no usable label all scores are 0.5, with labels of one kind its smoothed share. A row whose
+    doc_id is null is not held out. Repeated rows each have a result; a score at the threshold is predicted 1. An empty
+    table gives an empty result.
     """
     vectors, network = fit(docs, labels, max_labelled)
     d = mapped(docs.select("doc_id", "text"), _scores(vectors, network, ["doc_id"]), "doc_id long, score double")

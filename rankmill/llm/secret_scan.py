@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = "[A-Za-z0-9+/_=-]{16,}"
+#: = only ends a value: before it stands a name. A private key is found by its first line.
+TOKEN = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|[A-Za-z0-9+/_-]{16,}={0,2}"
 NAMED = "(?i)(?:pass(?:word|wd|phrase)?|secret|token|api_?-?key|pwd|credential)s?[\"']?\\s{0,4}[:=]\\s{0,4}[\"']?([^\\s\"',;<>]{8,})"
 NEAR = 48
 TREES, DEPTH, MAX_LABELLED, SEED = 15, 5, 20_000, 5
@@ -28,7 +29,7 @@ DICTIONARY = (
 ).split()
 
 #: What issuers put before their keys.
-ISSUED = "^(?:A[KS]IA[A-Z2-7]{12}|AIza|gh[oprsu]_|glpat-|[rs]k_live_|xox[abprs]-)"
+ISSUED = "^(?:A[KS]IA[A-Z2-7]{12}|AIza|gh[oprsu]_|glpat-|[rs]k_live_|xox[abprs]-|npm_|pypi-|SG\\.|-----BEGIN )"
 
 FEATURES = ("chars", "transitions", "digits", "distinct", "coverage", "slashes", "dashes", "hexadecimal", "vowels", "issued", "named", "benign", "quoted", "sample_path")
 #: Those that depend on the place on the line.
@@ -69,12 +70,13 @@ def labelled_findings(seed: int = SEED, n: int = 1200) -> list[tuple[str, str, s
     benign = ["commit", "sha256", "checksum", "uuid", "digest", "md5", "etag", "revision", "order", "session id", "hash"]
     syllables = "ver er un ge ent lich keit ung haupt stand bund recht schaft arbeit zeit tion ment able inter over under counter lation ive ness de la ción ado mente eau ette".replace("ó", "o").split()
     word = lambda k: "".join(r.choice(syllables) for _ in range(k))
-    codes = ["src", "lib/app", "config", "deploy", "blog/post", "pages", "src0", "src7"]
+    codes = ["lib/app", "config", "deploy", "blog/post", "pages", "core/main.py", "web", "notes.txt"]
+    plain = "horse battery staple purple monkey dragon summer winter hunter sunshine banana coffee tiger rocket guitar silver orange shadow pirate castle".split()
     out = []
     for i in range(n):
         name, path = r.choice(names), r.choice(codes)
         head = f"{name}{r.choice([' = ', ': ', '=', ' := '])}{r.choice(['\"', '\'', ''])}"
-        kind = i % 14
+        kind = i % 16
         if kind < 3:
             out.append((head, run(hexes if r.random() < 0.7 else "0123456789ABCDEF", r.choice([32, 40, 48, 64])), path, 1))
         elif kind == 3:
@@ -90,6 +92,16 @@ def labelled_findings(seed: int = SEED, n: int = 1200) -> list[tuple[str, str, s
             out.append((r.choice(["call ", "see ", "", head]), r.choice(["_".join(w), "".join(x.title() for x in w), "-".join(w), "/".join(w)]) + str(r.randint(0, 99)), r.choice([path, "docs/x", "tests/a"]), 0))
         elif kind == 8:
             out.append((head, r.choice(["your_token_here_", "changeme-example-", "xxxxxxxxxxxxxxxx", "0000000000000000", "placeholder_value_"]) + str(r.randint(0, 9)), r.choice([path, "docs/readme"]), 0))
+        elif kind == 14:  # passwords that are words
+            pw = "".join(r.sample(plain, r.randint(2, 3))) + r.choice(["", "", str(r.randint(1, 9999)), "!", "#1"])
+            head = r.choice(["password", "passwd", "pwd", "db_password", "passphrase", "PASSWORD"]) + r.choice([" = ", ": ", "=", " := "]) + r.choice(['"', "'", ""])
+            out.append((head, r.choice([pw, pw.title(), run(base + "!@%", r.randint(8, 14))]), path, 1))
+        elif kind == 15:  # what code and manuals assign to such names, and first lines of keys
+            if r.random() < 0.2:
+                out.append(("", f"-----BEGIN {r.choice(['RSA ', 'EC ', '', 'OPENSSH '])}PRIVATE KEY-----", path, 1))
+            else:
+                w = r.sample(DICTIONARY, r.randint(2, 3))
+                out.append((head, r.choice([f"get{w[0].title()}{w[1].title()}()", f"{w[0]}.{w[1]}.value", f"${{{w[0].upper()}_{w[1].upper()}}}", f"os.environ[{w[0]}]", "********", "<your-" + w[0] + ">", "_".join(w)]), path, 0))
         elif kind == 10:  # keys that happen to have no digit
             key = r.choice(["AKIA" + run(base[:26], 16), "ASIA" + run(base[:26], 16), "ghp_" + run(base[:52], 36)])
             out.append((r.choice(["", "key ", "uses ", head]), key, path, 1))
@@ -196,8 +208,9 @@ def secret_scan(docs: DataFrame, forest: Forest | None = None, threshold: float
 
     Candidates are long runs of letters, digits and +/_=-, and values assigned to names like password or token. A value
     found twice on a line is one finding, at the place with the highest score, the first of equals; start is from 1. Null
-    and empty texts have none. Repeated rows of a document repeat its findings. Other columns are ignored, whatever
-    their names.
+    and empty texts have none, and lines are taken whole, however long. Repeated rows of a document repeat its findings.
+    A value that holds another one is one more finding. Other columns are ignored, whatever their names. An empty table
+    gives an empty result.
     """
     forest = forest or trained_forest(docs.sparkSession)
     d = secret_candidates(docs, text, path, key)

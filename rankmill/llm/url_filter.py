@@ -17,50 +17,71 @@ from rankmill.llm.shared import mapped
 #: (host, path, verdict). A rule fits its host and all below it, if the path starts with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-# Common words of names on the web, most frequent first; counts follow Zipf's law.
-VOCABULARY = (
-    "the of and to in a for is on free that by this with you it not or be are from at as your all have new more an was we will "
-    "home can us about if page my has search but our one other do no information time they site he up may what which their news "
-    "out use any there see only so his when contact here business who web also now help get view online first am been would how "
-    "were services some these click its like service than find price date back top people list name just over state year day into "
-    "email two health world next used go work last most products music buy data make them should product system post her city add "
-    "policy number such please available copyright support message after best software then good video well where info rights "
-    "public books high school through each links she review years order very privacy book items company read group need many user "
-    "said does set under general research university mail full map reviews program life know games way days management part could "
-    "great united hotel real item international center store travel comments made development report off member details line terms "
-    "before hotels did send right type because local those using results office education national car design take posted internet "
-    "address community within states area want phone shipping reserved subject between forum family long based code show even black "
-    "check special prices website index being women much sign file link open today technology south case project same pages version "
-    "section own found sports house related security both county american photo game members power while care network down computer "
-    "systems three total place end following download him without per access think north resources current posts big media law "
-    "control water history pictures size art personal since including guide shop directory board location change white text small "
-    "rating rate government children during return students shopping account times sites level digital profile previous form events "
-    "love old main call hours image department title description blog learn archive article science weather library museum garden "
-    "cheap pills casino win bets bet spam farm ads ad track tracker adult porn sex xxx viagra cialis pharmacy loan loans payday credit "
-    "poker slots slot jackpot gambling lottery bonus winner replica watches banner popup click seo backlink backlinks malware crack "
-    "warez torrent keygen hack escort dating singles webcam nude x diet weight cash money fast rich crypto pump deal coupon discount"
+# Words that names on the web are made of, by how common they are: a count for each tier stands in for those of a corpus
+# (unigram_counts() has real ones). Within a tier the order means nothing.
+FUNCTION_WORDS = (
+    "a about after all also an and any are as at be best but by can do each find for free from get go good great has have help here home "
+    "how i if in into is it just know like local made make many me more my need new no not now of on one only or other our out over own "
+    "see she so some such than that the their them then there these they this time to top up use us was way we web well what when where "
+    "which who why will with www you your"
 ).split()
+GENERAL_WORDS = (
+    "account address archive area art article author baby bank blog board body book books business buy call car care case center change "
+    "check children city class code college community company computer contact copy country course data date david day design development "
+    "digital directory doctor download edition education email engine event events family farm file film first food form forum future game "
+    "games garden gift government green group guide hair health history hotel house image index information international internet job jobs "
+    "journal kids kitchen lake land language law learn lesson library life line link list live log login long love magazine mail map market "
+    "media medical member money mountain movie museum music national nature network news number office old online open order page pages paper "
+    "park part people phone photo picture pictures place plan play policy post power press price privacy product products profile program "
+    "project public radio recipe record report research resource review reviews river road room sale school science search section security "
+    "server service services shop show site small social software south sport sports star start state station store story street student "
+    "studio study style support system table teacher team tech technology test text theater thing think tools town trade travel tree type "
+    "university video view village water weather week wiki win wine women wood work world write year"
+).split()
+TOPIC_WORDS = (
+    "ad ads adult backlink backlinks banner banners bet bets betting bingo bitcoin blackjack bonus botnet bulk casino cash cheap cialis cigarettes "
+    "click clickbait clicks coin counterfeit coupon crack cracked credit crypto dating deal deals diet discount doorway drug drugs earn escort "
+    "escorts exploit fake fast fetish forex fortune gamble gambling girls hack hacked hidden hookup hot instant investment jackpot keygen keylogger "
+    "leaked loan loans lottery lotto luxury malware medication millionaire naked nude odds offer pawn payday penny pharmacy phishing pill pills "
+    "pixel poker popup popups porn prescription profit promo pump pyramid rank ransom replica replicas rich roulette scam seo serial sex sexy shady "
+    "singles slot slots spam spammer spins spyware steroids tablets torrent torrents tracker trackers tracking track trojan viagra virus wager "
+    "warez watches webcam webcams weight winner winners xanax xxx"
+).split()
+VOCABULARY: dict[str, float] = {**dict.fromkeys(TOPIC_WORDS, 30.0), **dict.fromkeys(GENERAL_WORDS, 200.0), **dict.fromkeys(FUNCTION_WORDS, 1500.0)}
 
-# Labelled names the model is fitted on; 1 is to be blocked.
+# Names the model is fitted on unless the caller has a table of them; 1 is to be blocked.
 LABELLED = (
-    ("cheap pills", 1), ("cheap pharmacy online", 1), ("buy viagra cheap", 1), ("cialis discount pills", 1), ("casino win", 1),
-    ("online casino bonus", 1), ("free bets", 1), ("poker slots jackpot", 1), ("sports bet bonus win", 1), ("lottery winner cash", 1),
-    ("spam farm", 1), ("seo backlinks farm", 1), ("ads track", 1), ("ad tracker banner", 1), ("popup ads click", 1), ("adult x", 1),
-    ("adult webcam xxx", 1), ("porn sex nude", 1), ("escort dating singles adult", 1), ("payday loans fast cash", 1), ("replica watches cheap", 1),
-    ("warez crack keygen", 1), ("torrent hack malware", 1), ("crypto pump rich", 1), ("diet pills weight fast", 1), ("free slots casino", 1),
-    ("blog", 0), ("news page", 0), ("the home page", 0), ("science article", 0), ("university research", 0), ("public library", 0),
-    ("city weather news", 0), ("museum history art", 0), ("garden guide", 0), ("learn music", 0), ("book reviews", 0), ("help contact", 0),
-    ("family health care", 0), ("school education", 0), ("software project code", 0), ("travel photo blog", 0), ("state government", 0),
-    ("open data", 0), ("community forum", 0), ("www", 0), ("m", 0), ("page", 0),
-    ("article archive", 0), ("car design", 0), ("water power", 0), ("women world news", 0), ("computer science", 0), ("sports news", 0),
+    *((name, 1) for name in (
+        "royal casino", "casino royale bonus", "mega casino spins", "online slots jackpot", "poker roulette blackjack", "football betting odds", "bet wager sports bets",
+        "bingo lotto lottery", "gambling fortune", "lottery winners cash", "instant winner", "buy viagra cialis", "discount prescription drugs", "diet pills weight",
+        "xanax tablets pharmacy", "steroids medication cheap pharmacy", "pills without prescription", "cheap replica watches", "fake luxury replicas", "counterfeit cigarettes",
+        "adult video xxx", "adult webcam girls", "hot sexy singles", "naked girls nude", "porn sex fetish", "escorts hookup dating", "sex dating adult", "leaked nude webcams",
+        "mail spam bulk", "spam spammer botnet", "seo backlinks rank", "doorway backlink seo", "ads network popup", "banner ads clicks", "ad tracker pixel", "click tracking ads",
+        "popups banners track", "hidden trackers spyware", "payday loans instant cash", "bad credit loan fast", "bitcoin investment profit", "crypto pump coin scam",
+        "forex millionaire earn money fast", "pyramid scam rich", "penny pump", "warez crack keygen", "cracked serial torrent", "torrents warez", "malware trojan exploit",
+        "phishing virus keylogger", "hack hacked ransom", "free spins bonus", "free bet promo", "shady coupon clickbait",
+        "link farm", "content farm backlinks", "click farm", "adult chat", "adult shop sex", "adult movie", "get viagra now", "escort service", "phishing login", "warez download", "diet pill shop",
+    )),
+    *((name, 0) for name in (
+        "city news", "daily weather news", "science journal", "university research data", "public library", "history museum", "state government office", "art school",
+        "music teacher lessons", "book reviews magazine", "family doctor health", "medical center care", "children hospital", "food recipe kitchen", "wine garden", "travel guide map",
+        "mountain lake park", "river village hotel", "national park nature", "community forum", "software project code", "open data wiki", "computer language course", "student college work",
+        "technology company", "business address directory", "local market shop", "sports team", "radio station", "film theater", "photo studio design", "social science paper",
+        "home page", "the old town", "my blog", "women in science", "kids learn", "car design", "street view", "job list", "house plan", "green power water", "tree farm garden",
+        "track field sports", "adult education", "rank order list", "credit union bank", "weight and size table", "drug research university", "law review", "security policy", "help and support",
+        "contact form", "archive index", "article text", "event date", "world map", "press report", "product review", "price list", "gift card store", "game review",
+    )),
 )
 
 #: Share of blocked names expected among all.
 PRIOR = 0.2
+#: Labelled names, and words of a corpus, that the models are fitted on at most.
+MAX_LABELLED, MAX_WORDS = 20_000, 50_000
 #: Added to each word's count in each class.
 SMOOTHING = 0.1
 MAX_WORD = 20
-#: Labels at the end of a host that name no site.
+#: Labels at the start of a host, and at its end, that name no site.
+PREFIXES = {"www", "m"}
 SUFFIXES = {"com", "net", "org", "edu", "gov", "co", "io", "info", "example"}
 
 
@@ -76,13 +97,10 @@ CODES = frozenset(
 class Segmenter:
     """Splits run-together names into words; unknown pieces cost more, the longer they are."""
 
-    def __init__(self, vocabulary=VOCABULARY):
-        counts: dict[str, float] = {}
-        for i, w in enumerate(vocabulary):
-            counts.setdefault(w, 1e6 / (i + 10))
-        total = sum(counts.values())
-        self.cost = {w: -math.log(c / total) for w, c in counts.items()}
-        self.unknown = -math.log(10 / total)
+    def __init__(self, vocabulary: dict[str, float] = VOCABULARY):
+        total = sum(vocabulary.values())
+        self.cost = {w: -math.log(c / total) for w, c in vocabulary.items()}
+        self.unknown = -math.log(min(vocabulary.values()) / total)
 
     def split(self, name: str) -> list[str]:
         best, back = [0.0], [0]
@@ -119,6 +137,8 @@ class NameModel:
         labels = host.split(".")
         while len(labels) > 1 and labels[-1] in SUFFIXES:
             labels.pop()
+        if len(labels) > 1 and labels[0] in PREFIXES:
+            labels.pop(0)
         found = []
         for piece in re.findall("[a-z]+", " ".join(labels)):
             found += self.segmenter.split(piece)
@@ -174,16 +194,32 @@ def _scored(labelled, vocabulary, prior):
     return run
 
 
+def unigram_counts(docs: DataFrame, text: str = "text", limit: int = MAX_WORDS) -> dict[str, float]:
+    """Counts of the limit most frequent words of docs, runs of a to z of up to MAX_WORD letters: a vocabulary for url_filter."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)).alias("w")).where(F.length("w") <= MAX_WORD)
+    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(limit)
+    return {r.w: float(r.n) for r in top.collect()}
+
+
+def labelled_names(table: DataFrame, name: str = "name", label: str = "label", limit: int = MAX_LABELLED) -> tuple[tuple[str, int], ...]:
+    """Names and labels (0 or 1) of a table, limit of them at most, those with the smallest hashes."""
+    rows = table.where(F.col(name).isNotNull() & F.col(label).isin(0, 1)).select(F.lower(name).alias("n"), F.col(label).cast("int").alias("l"))
+    return tuple((r.n, r.l) for r in rows.orderBy(F.xxhash64("n"), "n", "l").limit(limit).collect())
+
+
 def url_filter(pages: DataFrame, rules=RULES, threshold: float = 0.5, labelled=LABELLED, vocabulary=VOCABULARY, prior: float = PRIOR, url: str = "url", key: str = "page_id") -> DataFrame:
     """Per page: page_id, host, path, rule (or null), words, score (probability of block) and verdict (block or allow).
 
-    A url that is null, empty or without :// has an empty host and path, no words and the score of the prior. Other
-    columns are ignored; repeated rows each have a result.
+    A url that is null, empty or without :// has an empty host and path, no words and the score of the prior. Urls are
+    taken whole, however long. Of two rules that fit the longer wins; a score at the threshold blocks. Other columns are
+    ignored, whatever their names; repeated rows each have a result; page_id is of its own type. An empty table gives an
+    empty result.
     """
     host, path = host_and_path(F.col(url))
-    d = pages.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    kind = pages.schema[key].dataType.simpleString()
+    d = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     d = d.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)["rule"])
-    d = mapped(d, _scored(labelled, vocabulary, prior), "page_id long, host string, path string, rule string, words array<string>, score double")
+    d = mapped(d, _scored(labelled, vocabulary, prior), f"page_id {kind}, host string, path string, rule string, words array<string>, score double")
     verdict = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     for h, p, v in rules:
         verdict = F.when(F.col("rule") == h + p, v).otherwise(verdict)

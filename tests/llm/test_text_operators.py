@@ -112,6 +112,7 @@ def test_urls(spark, url, host, path, rule, verdict):
 
 def test_segmentation_is_the_best_of_all():
     s = url_filter.Segmenter()
+    assert s.split("cheappills") == ["cheap", "pills"]
     cost = lambda words: sum(s.cost.get(w, s.unknown + 2.302585092994046 * len(w)) for w in words)
 
     def ways(x):
