@@ -2,11 +2,7 @@ import struct
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from rankmill.manifest import model
-from rankmill.manifest.__main__ import main
-from rankmill.manifest.tables import Registry, issues, row_identity_check, row_identity_issues
 from rankmill.sources import formats, results
 from rankmill.streaming.ingest import append_stream
 
@@ -68,39 +64,6 @@ def test_npy_and_results(spark, tmp_path):
     assert [tuple(r) for r in results.read_qrels(spark, str(tmp_path / "q.json")).collect()] == [("1", "a", 2)]
 
 
-def test_manifest(spark, tmp_path):
-    formats.write(rows(spark, [[0, 0, 1, 1, 2, 2, 3, 3]] * 2), str(tmp_path / "i.ovrq"), "buckets", 8, bits=2)
-    (tmp_path / "side").write_text("x")
-    (tmp_path / "ids.jsonl").write_text('{"row_id": 0, "db_id": "00000000-0000-0000-0000-000000000001"}\n{"row_id": 1, "db_id": "00000000-0000-0000-0000-000000000002"}\n')
-    doc = model.create("i.ovrq", tmp_path, [{"name": "side", "path": "side"}], row_identity={"path": "ids.jsonl"})
-    assert model.dumps(doc) == model.dumps(model.create("i.ovrq", tmp_path, [{"name": "side", "path": "side"}], row_identity={"path": "ids.jsonl"}))
-    model.write(doc, tmp_path / "m.json")
-    doc = model.load(tmp_path / "m.json")
-    assert set(model.verify_for_load(doc, tmp_path, row_identity=row_identity_check(spark))) == {"artifact", "side"}
-    assert main(["verify", str(tmp_path / "m.json")]) == 0 and main(["hash", str(tmp_path / "nothing")]) == 2
-    (tmp_path / "side").write_text("y")
-    report = model.verify(doc, tmp_path)
-    assert [i.code for i in report.errors] == ["auxiliary.digest"] and issues(spark, report).first().family == "auxiliary_artifact"
-    assert main(["verify", str(tmp_path / "m.json")]) == 1
-    for path, code in (("../x", "path.escapes"), ("/x", "path.absolute"), ("", "path.invalid")):
-        assert model.resolve(tmp_path, path)[1].code == code
-    doc["artifact"]["dim"] = 16
-    assert {"artifact.dim"} <= {i.code for i in model.verify(doc, tmp_path).errors}
-    reg = Registry(spark, str(tmp_path / "reg"))
-    assert reg.verify(["a", None], lambda: report) == (False, ["auxiliary.digest"], False)
-    assert reg.verify(["a", None], lambda: report)[2] and not reg.verify(["a", "b"], lambda: report)[2]
-    with pytest.raises(ValueError, match="errors"):
-        reg.activate("x", report)
-    assert reg.activate("x", report, force=True) and reg.active() == "x"
-
-
-def test_row_identity(spark, tmp_path):
-    u = "00000000-0000-0000-0000-00000000000"
-    (tmp_path / "ids").write_text(f'{{"row_id": 0, "db_id": "{u}1"}}\nnot json\n{{"row_id": 1, "db_id": "{u}1"}}\n{{"row_id": 9, "db_id": "no"}}\n')
-    codes = {r.code for r in row_identity_issues(spark, str(tmp_path / "ids"), 5).collect()}
-    assert codes == {f"row_identity.{x}" for x in ("parse", "duplicate", "row_id", "uuid", "count")}
-
-
 def test_stream(spark, tmp_path):
     v = spark.createDataFrame([(0, [float(i) for i in range(64)]), (1, [1.0])], "row_id long, embedding array<float>")
     v.write.parquet(str(tmp_path / "in"))
@@ -108,4 +71,3 @@ def test_stream(spark, tmp_path):
     append_stream(s, str(tmp_path / "out"), str(tmp_path / "ck"), 64, 16).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [g.row_id for g in got] == [0] and got[0].ranks == list(range(64)) and got[0].top_words == [-(1 << 48)]
-    assert F
