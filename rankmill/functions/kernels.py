@@ -60,11 +60,23 @@ def sign(x: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """docs(x) and queries(x) encode vectors; score(d, q) is a matrix, documents by queries."""
+    """docs(x) and queries(x) encode vectors; score(d, q) is a matrix, documents by queries; pairs(d, q, at) has one
+    score for each row of d, with row at of the queries."""
 
     def __init__(self, docs, queries, score, largest: bool = True):
         self.docs, self.queries, self.score, self.largest = docs, queries, score, largest
 
+    def pairs(self, d: np.ndarray, q, at: np.ndarray) -> np.ndarray:
+        """Rows are taken together by query, so that each run of them is one matrix product."""
+        out = np.empty(len(d))
+        order = np.argsort(at, kind="stable")
+        edge = np.flatnonzero(np.diff(at[order], prepend=-1))
+        for lo, hi in zip(edge, np.append(edge[1:], len(order)), strict=True):
+            rows, j = order[lo:hi], int(at[order[lo]])
+            one = tuple(x[j : j + 1] for x in q) if isinstance(q, tuple) else q[j : j + 1]
+            out[rows] = self.score(d[rows], one)[:, 0]
+        return out
+
 
 def rank_symmetric(dim: int) -> Scorer:
     c = lambda x: (2 * ranks(x) - (dim - 1)).astype(np.float64)

@@ -1,7 +1,8 @@
 """Index objects: a table of codes (row_id, value) with its descriptor, to add to, search, shrink, write and load.
 
-An index keeps codes only. Row ids are dense, in the order of the key that add() is given. Each change makes a new table;
-keep() writes it out where a long chain of changes is to be cut.
+An index keeps packed codes only, bytes_per_vec bytes a row, as index files do; tasks unpack them by the block. Row ids are
+dense, in the order of the key that add() is given. Each change makes a new table; keep() writes it out where a long chain of
+changes is to be cut.
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmill.functions import encode, kernels
+from rankmill.functions import kernels
 from rankmill.functions.kernels import Scorer
 from rankmill.operators import mutate, search, validate
 from rankmill.sources import formats
-from rankmill.spec import BitmapSpec, BucketSpec, CandidatePolicy, PairScanSpec, RankSpec, SignSpec, asymmetric_norm, bucket_centre, rank_norm
+from rankmill.spec import BitmapSpec, BucketSpec, CandidatePolicy, MultiBucketSpec, PairScanSpec, ParameterError, RankSpec, SignSpec, asymmetric_norm, bucket_centre, rank_norm
 
 
 def _bits(words: np.ndarray) -> np.ndarray:
@@ -22,26 +23,82 @@ def _bits(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(b, axis=1, bitorder="little").astype(np.float32)
 
 
+def _words(flags: np.ndarray) -> np.ndarray:
+    return np.packbits(flags.astype(bool), axis=1, bitorder="little").view("<i8")
+
+
+class ClosedError(ParameterError):
+    """An index that was closed."""
+
+
 class Index:
     kind = ""
 
     def __init__(self, spark: SparkSession, spec, codes: DataFrame | None = None):
-        self.spark, self.spec = spark, spec
-        self.codes = codes if codes is not None else spark.createDataFrame([], "row_id long, value array<long>")
+        self.spark, self.spec, self.closed = spark, spec, False
+        self._codes = codes if codes is not None else spark.createDataFrame([], "row_id long, value binary")
 
     # what a family fills in
-    def _code(self, e):
+    def _encoder(self):
+        """A function from a block of vectors to codes: numbers a coordinate, or words."""
         raise NotImplementedError
 
     @property
-    def width(self) -> int:
-        """Numbers in a code."""
-        return self.spec.dim
+    def codes(self) -> DataFrame:
+        """(row_id, value): the packed codes."""
+        if self.closed:
+            raise ClosedError("the index is closed")
+        return self._codes
+
+    @codes.setter
+    def codes(self, table: DataFrame) -> None:
+        self._codes = table
+
+    def close(self) -> None:
+        """Nothing is done with a closed index; closing it again does nothing."""
+        self.closed = True
+
+    def __enter__(self) -> Index:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    @property
+    def _bits(self) -> int | None:
+        return getattr(self.spec, "bits", None)
+
+    def _decode(self):
+        kind, width, dim, bits = self.kind, self.spec.bytes_per_vec, self.spec.dim, self._bits
+        return lambda column: formats.rows_of_bytes(kind, formats.matrix_of(column, width), dim, bits)
+
+    def arrays(self) -> DataFrame:
+        """(row_id, value): the codes as arrays of numbers."""
+        decode = self._decode()
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                x = decode(batch.column(1)).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row_id", "value"])
+
+        return self.codes.select("row_id", "value").mapInArrow(run, "row_id long, value array<long>")
 
     def add(self, vectors: DataFrame, key: str, vector: str = "embedding") -> Index:
         """Encodes vectors and puts them behind the rows there are, in order of key. Bad vectors fail the job."""
-        good = validate.checked(vectors.select(key, vector), self.spec.dim, vector)
-        coded = good.select(F.col(key).alias("ix_key"), self._code(F.col(vector)).cast("array<long>").alias("value"))
+        encoded, kind, bits, dim = self._encoder(), self.kind, self._bits, self.spec.dim
+        kind_of_key = vectors.schema[key].dataType.simpleString()
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                x = kernels.block(batch.column(1), dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), formats.column_of(formats.row_bytes(kind, encoded(x), bits))], names=["ix_key", "value"])
+
+        coded = vectors.select(F.col(key), F.col(vector).cast("array<float>")).mapInArrow(run, f"ix_key {kind_of_key}, value binary")
         self.codes = mutate.append(self.codes, coded, "ix_key")
         return self
 
@@ -71,19 +128,41 @@ class Index:
     def byte_size(self) -> int:
         return len(self) * self.bytes_per_vec
 
+    def capabilities(self) -> frozenset[str]:
+        """What searches there are."""
+        names = ("search", "search_asymmetric", "search_subset", "search_asymmetric_subset", "top_m_candidates", "score_all")
+        return frozenset(n for n in names if hasattr(self, n) and (n != "search" or getattr(self.spec, "symmetric", True)))
+
+    def info(self) -> dict:
+        """Descriptor, size and capabilities."""
+        return {"kind": self.kind, "dim": self.spec.dim, "vector_count": len(self), "bytes_per_vec": self.bytes_per_vec, **self._parameters(), "capabilities": sorted(self.capabilities())}
+
     def _parameters(self) -> dict:
         return {}
 
     def write(self, path: str) -> formats.Metadata:
         return formats.write(self.codes, path, self.kind, self.spec.dim, **self._parameters())
 
+    def write_to(self, stream) -> int:
+        return formats.write_to(self.codes, stream, self.kind, self.spec.dim, **self._parameters())
+
+    def _best(self) -> Scorer:
+        """The score of search_one()."""
+        raise NotImplementedError
+
+    def search_one(self, query: list[float], k: int, candidates: list[int] | None = None) -> tuple[list[tuple[int, float]], dict]:
+        """(hits, stats) of one query over all rows, or over a list of them."""
+        if len(query) != self.spec.dim:
+            raise ParameterError(f"the query hasn't {self.spec.dim} coordinates")
+        return search.search_one(self.codes, query, self._best(), k, candidates, code="value", decode=self._decode())
+
     def _found(self, queries, scorer, k, **names):
-        return search.search(self.codes, queries, scorer, k, code="value", width=self.width, **names)
+        return search.search(self.codes, queries, scorer, k, code="value", decode=self._decode(), **names)
 
     def _subset(self, queries, candidates, scorer, k, **names):
         if validate.unknown_candidates(candidates, self.codes).limit(1).count():
-            raise validate.ParameterError("a candidate is no row of this index")
-        return search.search_subset(self.codes, queries, candidates, scorer, k, code="value", width=self.width, **names)
+            raise ParameterError("a candidate is no row of this index")
+        return search.search_subset(self.codes, queries, candidates, scorer, k, code="value", decode=self._decode(), **names)
 
 
 class RankIndex(Index):
@@ -92,16 +171,22 @@ class RankIndex(Index):
     def __init__(self, spark, dim: int, codes=None):
         super().__init__(spark, RankSpec(dim), codes)
 
-    def _code(self, e):
-        return encode.rank_transform(e)
+    def _encoder(self):
+        return kernels.ranks
+
+    def _best(self):
+        return self._asymmetric()
+
+    def _asymmetric(self) -> Scorer:
+        s, dim = kernels.rank_asymmetric(self.spec.dim), self.spec.dim
+        return Scorer(lambda d: d.astype(np.float64), s.queries, lambda d, q: (d @ q.T - (dim - 1) / 2 * q.sum(1)) / rank_norm(dim))
 
     def search(self, queries, k: int, **names):
         s, dim = kernels.rank_symmetric(self.spec.dim), self.spec.dim
         return self._found(queries, Scorer(lambda d: (2 * d - (dim - 1)).astype(np.float64), s.queries, s.score), k, **names)
 
     def search_asymmetric(self, queries, k: int, **names):
-        s, dim = kernels.rank_asymmetric(self.spec.dim), self.spec.dim
-        return self._found(queries, Scorer(lambda d: d.astype(np.float64), s.queries, lambda d, q: (d @ q.T - (dim - 1) / 2 * q.sum(1)) / rank_norm(dim)), k, **names)
+        return self._found(queries, self._asymmetric(), k, **names)
 
 
 class BucketIndex(Index):
@@ -110,8 +195,12 @@ class BucketIndex(Index):
     def __init__(self, spark, dim: int, bits: int, asymmetric_only: bool = False, codes=None):
         super().__init__(spark, BucketSpec(dim, bits, asymmetric_only), codes)
 
-    def _code(self, e):
-        return encode.bucket_codes(e, self.spec.dim, self.spec.bits)
+    def _encoder(self):
+        bits = self.spec.bits
+        return lambda x: kernels.codes(x, bits)
+
+    def _best(self):
+        return self._asymmetric()
 
     def _parameters(self):
         return {"bits": self.spec.bits}
@@ -152,12 +241,15 @@ class PairScanIndex(Index):
             raise validate.ParameterError("this index is filled at once")
         return super().add(vectors, key, vector)
 
-    def _code(self, e):
-        return encode.bucket_codes(e, self.spec.dim, 2)
+    def _encoder(self):
+        return lambda x: kernels.codes(x, 2)
 
-    def search(self, queries, k: int, **names):
+    def _best(self):
         s, dim = kernels.pair_scan(self.spec.dim), self.spec.dim
-        return self._found(queries, Scorer(lambda d: d[:, 0::2] * 4 + d[:, 1::2] + np.arange(dim // 2) * 16, s.queries, s.score), k, **names)
+        return Scorer(lambda d: d[:, 0::2] * 4 + d[:, 1::2] + np.arange(dim // 2) * 16, s.queries, s.score)
+
+    def search(self, queries, k: int, **names):
+        return self._found(queries, self._best(), k, **names)
 
 
 class BitmapIndex(Index):
@@ -166,12 +258,12 @@ class BitmapIndex(Index):
     def __init__(self, spark, dim: int, n_top: int, codes=None):
         super().__init__(spark, BitmapSpec(dim, n_top), codes)
 
-    @property
-    def width(self):
-        return self.spec.dim // 64
+    def _encoder(self):
+        n_top = self.spec.n_top
+        return lambda x: _words(kernels.top_doc(x, n_top))
 
-    def _code(self, e):
-        return encode.top_bits_of_doc(encode.rank_transform(e), self.spec.dim, self.spec.n_top)
+    def _best(self):
+        return self._scorer()
 
     def _parameters(self):
         return {"n_top": self.spec.n_top}
@@ -187,10 +279,10 @@ class BitmapIndex(Index):
         return self._subset(queries, candidates, self._scorer(), k, **names)
 
     def top_m_candidates(self, queries, m: int, **names):
-        return search.candidates(self.codes, queries, self._scorer(), m, code="value", width=self.width, **names)
+        return search.candidates(self.codes, queries, self._scorer(), m, code="value", decode=self._decode(), **names)
 
     def body_overlap_scores_subset(self, queries, candidates, **names):
-        return search.score_candidates(self.codes, queries, candidates, self._scorer(), code="value", width=self.width, **names)
+        return search.score_candidates(self.codes, queries, candidates, self._scorer(), code="value", decode=self._decode(), **names)
 
 
 class SignIndex(Index):
@@ -199,28 +291,53 @@ class SignIndex(Index):
     def __init__(self, spark, dim: int, codes=None):
         super().__init__(spark, SignSpec(dim), codes)
 
-    @property
-    def width(self):
-        return self.spec.dim // 64
+    def _encoder(self):
+        return lambda x: _words(x > 0)
 
-    def _code(self, e):
-        return encode.sign_bits(e, self.spec.dim)
+    def _best(self):
+        return self._scorer()
 
     def _scorer(self) -> Scorer:
         s = kernels.sign_hamming()
         return Scorer(lambda d: 2 * _bits(d) - 1, s.queries, s.score, largest=False)
 
     def top_m_candidates(self, queries, m: int, **names):
-        return search.candidates(self.codes, queries, self._scorer(), m, code="value", width=self.width, **names)
+        return search.candidates(self.codes, queries, self._scorer(), m, code="value", decode=self._decode(), **names)
 
     def top_m_candidates_csr(self, queries, m: int, **names):
         return search.csr(self.top_m_candidates(queries, m, **names))
 
     def score_all(self, queries, **names):
         """(query_id, row_id, score): how many coordinates agree in sign."""
-        s = search.score_all(self.codes, queries, self._scorer(), code="value", width=self.width, **names)
+        s = search.score_all(self.codes, queries, self._scorer(), code="value", decode=self._decode(), **names)
         return s.withColumn("score", (self.spec.dim - F.col("score")).cast("int"))
 
+    def score_all_rows(self, queries, **names):
+        """(query_id, scores): the same, an array a query in order of row id."""
+        return search.score_rows(self.score_all(queries, **names))
+
+
+class MultiBucketIndex(Index):
+    """Bucket codes that are scored by weights on pairs of buckets; it isn't written to files."""
+
+    kind = "buckets"
+
+    def __init__(self, spark, dim: int, bits: int, codes=None):
+        MultiBucketSpec(dim, bits)
+        super().__init__(spark, BucketSpec(dim, bits), codes)
+
+    def _encoder(self):
+        bits = self.spec.bits
+        return lambda x: kernels.codes(x, bits)
+
+    def write(self, path):
+        raise ParameterError("weighted bucket indexes have no file format")
+
+    def top_m_bilinear(self, queries, weights: list[list[float]], m: int, **names):
+        nb, s = 1 << self.spec.bits, kernels.bilinear(self.spec.bits, weights)
+        hot = lambda d: (d[:, None, :] == np.arange(nb)[None, :, None]).astype(np.float32)
+        return self._found(queries, Scorer(hot, s.queries, s.score), m, **names)
+
 
 def load(spark: SparkSession, path: str) -> Index:
     """The index of a file of any kind."""
@@ -228,7 +345,7 @@ def load(spark: SparkSession, path: str) -> Index:
 
     with open(path, "rb") as f:
         meta = formats.parse_header(f.read(17), os.path.getsize(path))
-    codes = formats.read(spark, path)
+    codes = formats.read(spark, path, packed=True)
     if meta.kind == "rank":
         return RankIndex(spark, meta.dim, codes)
     if meta.kind == "buckets":
@@ -236,3 +353,24 @@ def load(spark: SparkSession, path: str) -> Index:
     if meta.kind == "bitmap":
         return BitmapIndex(spark, meta.dim, meta.n_top, codes)
     return SignIndex(spark, meta.dim, codes) if meta.kind == "sign" else PairScanIndex(spark, meta.dim, codes)
+
+
+#: What can go wrong with an index, as a number and a name: 0 is good.
+STATUS = {0: "ok", 1: "invalid argument", 2: "unsupported", 3: "bad file", 4: "not found", 5: "closed", 6: "internal"}
+
+
+def status_of(error: BaseException | None) -> int:
+    from rankmill.spec import CapabilityError
+
+    for kind, code in ((type(None), 0), (ClosedError, 5), (CapabilityError, 2), (formats.FormatError, 3), (FileNotFoundError, 4), (ParameterError, 1)):
+        if isinstance(error, kind):
+            return code
+    return 6
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[Index | None, int, str]:
+    """(index, status, message): load() without an exception."""
+    try:
+        return load(spark, path), 0, ""
+    except Exception as e:
+        return None, status_of(e), str(e)

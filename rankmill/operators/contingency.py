@@ -82,6 +82,22 @@ def symmetric_score(counts, nb):
     return project(counts, outer_weights(bits))
 
 
+#: Projections by name: a table column, the number of buckets and the projection's own parameter.
+PROJECTIONS = {
+    "top_overlap": lambda c, nb, _: top_overlap(c, nb), "diagonal_agreement": lambda c, nb, _: diagonal_agreement(c, nb), "band_agreement": band_agreement,
+    "top_group_overlap": top_group_overlap, "bucket_l1_distance": lambda c, nb, _: bucket_l1(c, nb), "symmetric_score": lambda c, nb, _: symmetric_score(c, nb),
+}
+
+
+def projection(name: str, counts: Column, buckets: int, parameter: int | None = None) -> Column:
+    """The projection of that name; band_agreement takes a radius, top_group_overlap a width."""
+    if name not in PROJECTIONS:
+        raise ParameterError(f"projections are {', '.join(PROJECTIONS)}")
+    if (name in ("band_agreement", "top_group_overlap")) != (parameter is not None):
+        raise ParameterError("band_agreement takes a radius, top_group_overlap a width, the others nothing")
+    return PROJECTIONS[name](counts, buckets, parameter)
+
+
 def coarsened(long: DataFrame, buckets: int, groups: int) -> DataFrame:
     """(query_id, row_id, a, b, n) with blocks of equal size merged into groups."""
     if buckets % groups:

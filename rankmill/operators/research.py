@@ -13,6 +13,10 @@ from rankmill.operators.search import search, top_k
 from rankmill.spec import ParameterError
 
 
+#: Tasks that sum up the moments of all others.
+MOMENT_TASKS = 32
+
+
 def coordinate_means(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """(pos, mean) over all rows."""
     return vectors.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
@@ -40,13 +44,14 @@ def _projected(axes):
     return run
 
 
-def route(vectors: DataFrame, queries: DataFrame, count: int = 4, buckets: int = 16, radius: int = 1, seed: int = 0, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+def route(vectors: DataFrame, queries: DataFrame, count: int = 4, buckets: int = 16, radius: int = 1, seed: int = 0, axes: np.ndarray | None = None, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query_id, row_id): rows that share a bucket, or one within radius, with the query on one of count projections.
 
-    Buckets are of equal width between the least and the largest projection of the corpus.
+    Buckets are of equal width between the least and the largest projection of the corpus. axes: the projections, a row
+    each; None: random ones.
     """
-    dim = len(queries.select(vector).first()[0])
-    axes = directions(dim, count, seed)
+    if axes is None:
+        axes = directions(len(queries.select(vector).first()[0]), count, seed)
     rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vector).cast("array<float>")).mapInArrow(_projected(axes), "row_id long, p array<double>")
     qs = queries.select(F.col(query_id).cast("long").alias("row_id"), F.col(vector).cast("array<float>")).mapInArrow(_projected(axes), "row_id long, p array<double>")
     long = rows.select("row_id", F.posexplode("p").alias("axis", "x"))
@@ -73,9 +78,22 @@ def _moments(vectors: DataFrame, vector: str):
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1].tobytes()]), pa.array([total[2].tobytes()])], names=["n", "s", "m"])
 
-    n, s, m = 0, 0, 0
-    for a, b, c in vectors.select(F.col(vector).cast("array<float>")).mapInArrow(moments, "n long, s binary, m binary").toLocalIterator():
-        n, s, m = n + a, s + np.frombuffer(b), m + np.frombuffer(c)
+    def summed(batches):
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            for n, s, m in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = (n, np.frombuffer(s), np.frombuffer(m))
+                total = own if total is None else tuple(a + b for a, b in zip(total, own, strict=True))
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1].tobytes()]), pa.array([total[2].tobytes()])], names=["n", "s", "m"])
+
+    kinds = "n long, s binary, m binary"
+    parts = vectors.select(F.col(vector).cast("array<float>")).mapInArrow(moments, kinds)
+    # A tree: the tasks' moments are summed by a few tasks, their sums by one, and one row comes to the driver.
+    n, s, m = parts.repartition(MOMENT_TASKS).mapInArrow(summed, kinds).repartition(1).mapInArrow(summed, kinds).first()
+    s, m = np.frombuffer(s), np.frombuffer(m)
     d = len(s)
     return s / n, m.reshape(d, d) / n - np.outer(s / n, s / n)
 

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from rankmill.functions import kernels
 from rankmill.functions.kernels import Scorer
 from rankmill.spec import ParameterError
+from rankmill.storage import written
 
 #: Queries scored in one pass over the rows.
 QUERY_BLOCK = 1024
 ROW_BLOCK = 4096
+#: Candidates that are broadcast to the rows at most, some 16 MB; more of them meet the rows by a shuffle.
+CANDIDATE_ROWS = 500_000
 RESULT = "query_id long, rank int, row_id long, score double"
 
 
@@ -47,7 +50,12 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int, largest: bool):
     return at[np.lexsort((ids[at], key[at]))[:k]]
 
 
-def _scan(query_ids, q, scorer: Scorer, k: int, dim: int):
+def _matrix(column, width: int, decode) -> np.ndarray:
+    """A column of vectors, or of binary codes that decode takes apart, as a matrix."""
+    return kernels.block(column, width) if decode is None else decode(column)
+
+
+def _scan(query_ids, q, scorer: Scorer, k: int, dim: int, decode=None):
     def run(batches):
         import pyarrow as pa
 
@@ -55,7 +63,7 @@ def _scan(query_ids, q, scorer: Scorer, k: int, dim: int):
         kept = [(np.empty(0, np.int64), np.empty(0)) for _ in query_ids]
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            x = kernels.block(batch.column(1), dim)
+            x = _matrix(batch.column(1), dim, decode)
             for lo in range(0, len(ids), ROW_BLOCK):
                 own = ids[lo : lo + ROW_BLOCK]
                 s = scorer.score(scorer.docs(x[lo : lo + ROW_BLOCK]), encoded)
@@ -81,46 +89,61 @@ def top_k(scored: DataFrame, k: int, largest: bool = True) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "score")
 
 
-def search(vectors: DataFrame, queries: DataFrame, scorer: Scorer, k: int, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, width: int | None = None) -> DataFrame:
+def _rows(vectors: DataFrame, row_id: str, vector: str, code: str | None) -> DataFrame:
+    return vectors.select(F.col(row_id).cast("long").alias("row_id"), (F.col(code) if code else F.col(vector).cast("array<float>")).alias("d"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, scorer: Scorer, k: int, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, decode=None) -> DataFrame:
     """(query_id, rank, row_id, score): the k best rows of vectors for each query.
 
-    code: the rows have this column of whole numbers, width of them, in place of vector; the scorer's docs() takes those.
+    code: the rows have this column of packed codes in place of vector; decode makes a matrix of it, which the scorer's
+    docs() takes.
     """
     if k < 0:
         raise ParameterError("k must not be negative")
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(row_id).cast("long"), F.col(code).cast("array<long>") if code else F.col(vector).cast("array<float>"))
+    rows = _rows(vectors, row_id, vector, code)
     found = None
     if k:
         for ids, q in blocks(queries, query_id, vector):
-            part = rows.mapInArrow(_scan(ids, q, scorer, k, width or q.shape[1]), "query_id long, row_id long, score double")
+            part = rows.mapInArrow(_scan(ids, q, scorer, k, q.shape[1], decode), "query_id long, row_id long, score double")
             found = part if found is None else found.union(part)
     return top_k(found, k, scorer.largest) if found is not None else spark.createDataFrame([], RESULT)
 
 
-def _pairs(scorer: Scorer, dim: int, width: int | None = None):
+def _pairs(query_ids, q, scorer: Scorer, decode=None):
     def run(batches):
         import pyarrow as pa
 
+        encoded = scorer.queries(q)
         for batch in batches:
-            d, q = scorer.docs(kernels.block(batch.column(3), width or dim)), scorer.queries(kernels.block(batch.column(4), dim))
-            one = (lambda i: tuple(x[i : i + 1] for x in q)) if isinstance(q, tuple) else (lambda i: q[i : i + 1])  # noqa: B023
-            s = [float(scorer.score(d[i : i + 1], one(i))[0, 0]) for i in range(batch.num_rows)]
+            if not batch.num_rows:
+                continue
+            d = scorer.docs(_matrix(batch.column(3), q.shape[1], decode))
+            s = scorer.pairs(d, encoded, np.searchsorted(query_ids, batch.column(0).to_numpy()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(s, pa.float64())], names=["query_id", "pos", "row_id", "score"])
 
     return run
 
 
-def score_candidates(vectors: DataFrame, queries: DataFrame, candidates: DataFrame, scorer: Scorer, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, width: int | None = None) -> DataFrame:
+def score_candidates(vectors: DataFrame, queries: DataFrame, candidates: DataFrame, scorer: Scorer, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, decode=None, most: int | None = None) -> DataFrame:
     """candidates (query_id, pos, row_id) with score, in their order and as often as they are listed.
 
-    Candidates meet their rows by an equi-join on row_id, queries by one on query_id; Spark picks how by their sizes.
+    Candidates meet their rows by an equi-join on row_id. Up to CANDIDATE_ROWS of them are broadcast, so that the rows are
+    only read, and but for those asked for go no further; more are shuffled with the rows. most: how many candidates a
+    query has at most, where that is known; else they are counted. Queries travel in blocks, as in search().
     """
-    rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), (F.col(code).cast("array<long>") if code else F.col(vector).cast("array<float>")).alias("d"))
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
-    dim = len((queries.select(vector).first() or [[]])[0])
-    joined = candidates.select("query_id", "pos", "row_id").join(rows, "row_id").join(q, "query_id").select("query_id", "pos", "row_id", "d", "q")
-    return joined.mapInArrow(_pairs(scorer, dim, width), "query_id long, pos int, row_id long, score double")
+    rows, found = _rows(vectors, row_id, vector, code), None
+    if most is None:
+        candidates = written(candidates.select("query_id", "pos", "row_id"), "candidates")
+    for ids, q in blocks(queries, query_id, vector):
+        own = candidates.where(F.col("query_id").isin(ids.tolist()))
+        own = own.select(F.col("query_id").cast("long").alias("query_id"), F.col("pos").cast("int").alias("pos"), F.col("row_id").cast("long").alias("row_id"))
+        few = most * len(ids) <= CANDIDATE_ROWS if most is not None else own.limit(CANDIDATE_ROWS + 1).count() <= CANDIDATE_ROWS
+        joined = rows.join(F.broadcast(own) if few else own, "row_id")
+        part = joined.select("query_id", "pos", "row_id", "d").mapInArrow(_pairs(ids, q, scorer, decode), "query_id long, pos int, row_id long, score double")
+        found = part if found is None else found.union(part)
+    return found if found is not None else vectors.sparkSession.createDataFrame([], "query_id long, pos int, row_id long, score double")
 
 
 def search_subset(vectors, queries, candidates, scorer: Scorer, k: int, **names) -> DataFrame:
@@ -143,16 +166,16 @@ def candidates(vectors, queries, scorer: Scorer, m: int, **names) -> DataFrame:
 
 def two_stage(vectors, queries, first: Scorer, second: Scorer, m: int, k: int, **names) -> DataFrame:
     """m candidates by the first score, the k best of them by the second."""
-    return search_subset(vectors, queries, candidates(vectors, queries, first, m, **names), second, k, **names)
+    return search_subset(vectors, queries, candidates(vectors, queries, first, m, **names), second, k, most=m, **names)
 
 
-def _dense(query_ids, q, scorer: Scorer, dim: int):
+def _dense(query_ids, q, scorer: Scorer, dim: int, decode=None):
     def run(batches):
         import pyarrow as pa
 
         encoded = scorer.queries(q)
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), kernels.block(batch.column(1), dim)
+            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim, decode)
             for lo in range(0, len(ids), ROW_BLOCK):
                 s = scorer.score(scorer.docs(x[lo : lo + ROW_BLOCK]), encoded)
                 own = ids[lo : lo + ROW_BLOCK]
@@ -161,18 +184,101 @@ def _dense(query_ids, q, scorer: Scorer, dim: int):
     return run
 
 
-def score_all(vectors, queries, scorer: Scorer, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, width: int | None = None) -> DataFrame:
+def score_all(vectors, queries, scorer: Scorer, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, decode=None) -> DataFrame:
     """(query_id, row_id, score) of every query and row: as many rows as asked for, made in tasks and not shuffled."""
-    rows, found = vectors.select(F.col(row_id).cast("long"), F.col(code).cast("array<long>") if code else F.col(vector).cast("array<float>")), None
+    rows, found = _rows(vectors, row_id, vector, code), None
     for ids, q in blocks(queries, query_id, vector):
-        part = rows.mapInArrow(_dense(ids, q, scorer, width or q.shape[1]), "query_id long, row_id long, score double")
+        part = rows.mapInArrow(_dense(ids, q, scorer, q.shape[1], decode), "query_id long, row_id long, score double")
         found = part if found is None else found.union(part)
     return found if found is not None else vectors.sparkSession.createDataFrame([], "query_id long, row_id long, score double")
 
 
+def score_rows(scored: DataFrame) -> DataFrame:
+    """(query_id, scores): all scores of a query as one array, in order of row id. A query's row is as long as the table."""
+    lists = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("row_id", "score"))).alias("l"))
+    return lists.select("query_id", F.transform("l", lambda s: s["score"]).alias("scores"))
+
+
+def select_exactly(scored: DataFrame, m: int, largest: bool = True) -> DataFrame:
+    """(query_id, pos, row_id): the m best rows of each query, by ascending row id, found by a threshold.
+
+    A histogram of whole-number scores gives the threshold of each query: all better rows are taken, and of those at the
+    threshold the lowest ids that fill up m.
+    """
+    key = F.col("score") * (-1 if largest else 1)
+    hist = scored.groupBy("query_id", key.alias("key")).agg(F.count("*").alias("n"))  # as many rows as there are scores
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("key"))
+    cut = hist.withColumn("upto", upto).where(F.col("upto") - F.col("n") < m).groupBy("query_id").agg(F.max("key").alias("cut"), F.max(F.struct("key", (F.col("upto") - F.col("n")).alias("better")))["better"].alias("better"))
+    pool = scored.join(F.broadcast(cut), "query_id").where(key <= F.col("cut"))  # a row a query
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(key, "row_id"))
+    kept = pool.withColumn("at", at).where(F.col("at") <= m)
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("row_id")) - 1
+    return kept.select("query_id", pos.alias("pos"), "row_id")
+
+
+def search_one(vectors: DataFrame, query: list[float], scorer: Scorer, k: int, candidates: list[int] | None = None, **names) -> tuple[list[tuple[int, float]], dict]:
+    """(hits, stats) of one query: hits (row_id, score), best first. candidates: only these rows, a repeated one repeatedly.
+
+    stats: rows there are, rows scored, hits asked for and returned.
+    """
+    spark = vectors.sparkSession
+    asked = spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, embedding array<float>")
+    n = vectors.count()
+    if candidates is None:
+        found, scored = search(vectors, asked, scorer, min(k, n), **names), n
+    else:
+        if any(not 0 <= c < n for c in candidates):
+            raise ParameterError("a candidate is no row of this index")
+        listed = spark.createDataFrame([(0, i, int(c)) for i, c in enumerate(candidates)], "query_id long, pos int, row_id long")
+        found, scored = search_subset(vectors, asked, listed, scorer, k, most=len(candidates), **names), len(candidates)
+    hits = [(r.row_id, r.score) for r in found.orderBy("rank").collect()]
+    return hits, {"vector_count": n, "scored": scored, "requested": k, "returned": len(hits)}
+
+
+def results_json(results: DataFrame, k: int) -> DataFrame:
+    """(query_id, json): each query's ids and scores as a JSON object with its k."""
+    lists = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "row_id", "score"))).alias("l"))
+    return lists.select("query_id", F.to_json(F.struct(F.lit(k).alias("k"), F.transform("l", lambda s: s["row_id"]).alias("indices"), F.transform("l", lambda s: s["score"]).alias("scores"))).alias("json"))
+
+
+def results_of_json(table: DataFrame) -> DataFrame:
+    """The results that results_json() wrote; an error where ids and scores aren't as many, or more than k."""
+    r = table.select("query_id", F.from_json("json", "k int, indices array<long>, scores array<double>").alias("r"))
+    good = (F.size("r.indices") == F.size("r.scores")) & (F.size("r.indices") <= F.col("r.k"))
+    r = r.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(F.lit("ids and scores of a result don't fit its k"))))
+    z = r.select("query_id", F.posexplode(F.arrays_zip(F.col("r.indices").alias("i"), F.col("r.scores").alias("s"))).alias("pos", "z"))
+    return z.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("z")["i"].alias("row_id"), F.col("z")["s"].alias("score"))
+
+
+def of_query(results: DataFrame, query_id: int) -> DataFrame:
+    return results.where(F.col("query_id") == query_id).orderBy("rank")
+
+
 def csr(found: DataFrame) -> DataFrame:
     """(query_id, start, end, candidates): the lists of (query_id, pos, row_id) behind each other, with their offsets."""
     lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "row_id"))).alias("l"))
     lists = lists.select("query_id", F.transform("l", lambda s: s["row_id"]).alias("candidates"))
     end = F.sum(F.size("candidates").cast("long")).over(Window.orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0))  # a row a query
     return lists.withColumn("end", end).select("query_id", (F.col("end") - F.size("candidates")).alias("start"), "end", "candidates")
+
+
+def csr_query_count(lists: DataFrame) -> int:
+    return lists.count()
+
+
+def csr_candidates(lists: DataFrame, query_id: int) -> list[int]:
+    """The candidates of one query, in their order."""
+    row = lists.where(F.col("query_id") == query_id).first()
+    if row is None:
+        raise ParameterError("no such query")
+    return list(row.candidates)
+
+
+def csr_is_empty(lists: DataFrame) -> bool:
+    """No queries at all."""
+    return not lists.limit(1).count()
+
+
+def csr_has_no_candidates(lists: DataFrame) -> bool:
+    """Queries or not, no candidate."""
+    return not lists.where(F.size("candidates") > 0).limit(1).count()

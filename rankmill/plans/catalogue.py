@@ -12,7 +12,7 @@ from rankmill.functions import kernels as K
 from rankmill.operators import contingency as C
 from rankmill.operators import evaluation as V
 from rankmill.operators import mutate, nullmodel, research, search, validate
-from rankmill.spec import CandidatePolicy, asymmetric_norm, bucket_norm, empirical_norm, rank_norm
+from rankmill.spec import CandidatePolicy
 
 DIM, TOP, KEEP, STAGE = 64, 16, 10, 50
 QUERIES: dict = {}
@@ -79,19 +79,27 @@ def c2(side: str, bits: int) -> str:
 
 
 UNIT = "(CASE WHEN q.norm <= 1e-12 THEN 0 ELSE q.x[i] / q.norm END)"
-SQL_RANK_SYM = f"{summed('(2 * q.r[i] - 63) * (2 * v.r[i] - 63)')} / 4 / {rank_norm(64) ** 2!r}"
-SQL_RANK_ASYM = f"({summed(f'{UNIT} * v.r[i]')} - 31.5 * {summed(UNIT)}) / {rank_norm(64)!r}"
+#: Squared norms as SQL, not as the engine works them out: of centred ranks, and of centred buckets over all ranks.
+NORM2_RANK = "(SELECT sum((r - 31.5::DOUBLE) * (r - 31.5::DOUBLE)) FROM range(64) AS n(r))"
+
+
+def norm2(bits: int) -> str:
+    return f"(SELECT sum(pow((r * {1 << bits}) // 64 - {((1 << bits) - 1) / 2}::DOUBLE, 2)) FROM range(64) AS n(r))"
+
+
+SQL_RANK_SYM = f"{summed('(2 * q.r[i] - 63) * (2 * v.r[i] - 63)')} / 4 / {NORM2_RANK}"
+SQL_RANK_ASYM = f"({summed(f'{UNIT} * v.r[i]')} - 31.5 * {summed(UNIT)}) / sqrt({NORM2_RANK})"
 SQL_FLAT = summed("q.x[i] * v.x[i]")
 SQL_OVERLAP = summed(f"(q.rq[i] < {TOP} AND v.r[i] >= {64 - TOP})::INT")
 SQL_HAMMING = summed("((q.x[i] > 0) <> (v.x[i] > 0))::INT")
 
 
-def sql_sym(bits, norm):
-    return f"{summed(f'{c2("q", bits)} * {c2("v", bits)}')} / 4 / {norm * norm!r}"
+def sql_sym(bits):
+    return f"{summed(f'{c2("q", bits)} * {c2("v", bits)}')} / 4 / {norm2(bits)}"
 
 
 def sql_asym(bits):
-    return f"{summed(f'{UNIT} * ({code("v", bits)} - {((1 << bits) - 1) / 2})')} / {asymmetric_norm(64, bits)!r}"
+    return f"{summed(f'{UNIT} * ({code("v", bits)} - {((1 << bits) - 1) / 2})')} / sqrt({norm2(bits)})"
 
 
 def rounded(found):
@@ -160,10 +168,10 @@ def _search(name, scorer, sql, order="DESC", k=KEEP):
 _search("rank_search_sym", lambda: K.rank_symmetric(DIM), SQL_RANK_SYM)
 _search("rank_search_asym", lambda: K.rank_asymmetric(DIM), SQL_RANK_ASYM)
 for _b in (1, 2, 4):
-    _search(f"rankquant_search_sym_b{_b}", lambda b=_b: K.bucket_symmetric(DIM, b), sql_sym(_b, bucket_norm(64, _b)))
+    _search(f"rankquant_search_sym_b{_b}", lambda b=_b: K.bucket_symmetric(DIM, b), sql_sym(_b))
 for _b in (1, 2, 4, 8):
     _search(f"rankquant_search_asym_b{_b}", lambda b=_b: K.bucket_asymmetric(DIM, b), sql_asym(_b))
-_search("rankquant_eval_b3", lambda: K.bucket_any_bits(DIM, 3), sql_sym(3, empirical_norm(64, 3)))
+_search("rankquant_eval_b3", lambda: K.bucket_any_bits(DIM, 3), sql_sym(3))
 _search("rankquant_byte_lut_b2", lambda: K.bucket_asymmetric(DIM, 2), sql_asym(2))
 _search("bitmap_search", lambda: K.bitmap_overlap(TOP), SQL_OVERLAP)
 _search("sign_search", K.sign_hamming, SQL_HAMMING, "ASC")
@@ -177,7 +185,7 @@ g AS (SELECT id, min(t) AS low, CASE WHEN max(t) > min(t) THEN 255 / (max(t) - m
 u AS (SELECT l.id, p, c, least(255, greatest(0, floor((t - low) * scale + 0.5)))::BIGINT AS e FROM l JOIN g ON l.id = g.id),
 n AS (SELECT id, pos // 2 AS p, sum(((r * 4) // 64) * CASE WHEN pos % 2 = 0 THEN 4 ELSE 1 END)::BIGINT AS c FROM rk GROUP BY 1, 2),
 s AS (SELECT u.id AS query_id, n.id AS row_id, sum(e) AS acc FROM u JOIN n ON u.p = n.p AND u.c = n.c GROUP BY 1, 2),
-t AS (SELECT query_id, row_id, (low * 32 + acc / scale) / {asymmetric_norm(64, 2)!r} AS s, row_number() OVER (PARTITION BY query_id ORDER BY acc DESC, row_id) AS rank FROM s JOIN g ON s.query_id = g.id)
+t AS (SELECT query_id, row_id, (low * 32 + acc / scale) / sqrt({norm2(2)}) AS s, row_number() OVER (PARTITION BY query_id ORDER BY acc DESC, row_id) AS rank FROM s JOIN g ON s.query_id = g.id)
 SELECT query_id, rank::INT AS rank, row_id, round(s, 6) AS score FROM t WHERE rank <= {KEEP}"""
 
 
@@ -556,10 +564,17 @@ def cell_gini(spark, sf_dir):
     return research.gini(cells.groupBy("cell").agg(F.count("*").alias("n"))).withColumn("gini", F.round("gini", 6))
 
 
-@query()
+AXES = research.directions(DIM, 4, 0)
+_AXIS = ", ".join(f"({a}, [{', '.join(repr(float(x)) for x in row)}])" for a, row in enumerate(AXES))
+_DOT = summed("v.x[i] * axes.d[i]")
+
+
+@query(f"""WITH {BASE}, axes(axis, d) AS (VALUES {_AXIS}), p AS (SELECT v.id, axis, {_DOT} AS x FROM v, axes), e AS (SELECT axis, min(x) AS low, max(x) AS high FROM p GROUP BY axis),
+b AS (SELECT id, p.axis, greatest(0, least(15, floor((x - low) / (high - low) * 16)))::INT AS b FROM p JOIN e ON p.axis = e.axis)
+SELECT DISTINCT q.id AS query_id, d.id AS row_id FROM b AS q JOIN b AS d ON q.axis = d.axis AND abs(q.b - d.b) <= 1 WHERE q.id % 100 = 0""")
 def bucket_router(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return research.route(v, asked(v))
+    return research.route(v, asked(v), axes=AXES)
 
 
 @query()
@@ -572,3 +587,6 @@ def principal_cells(spark, sf_dir):
 def cone_baseline(spark, sf_dir):
     n = F.sqrt(E.dot(F.col("embedding"), F.col("embedding")))
     return vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean_length"))
+
+
+from rankmill.plans import more  # noqa: E402, F401  (further queries, registered in the tables above)

@@ -173,8 +173,56 @@ def decode_rows(meta: Metadata, data: bytes, first: int, count: int) -> np.ndarr
     return out
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, value): the rows of a file, by tasks that each read a range of it. The path must be open to all of them."""
+def row_bytes(kind: str, rows: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Rows of codes as bytes, a row each: as in a file of the kind, but for pairs, whose rows stand by themselves."""
+    if kind == "rank":
+        return rows.astype("<u2").view(np.uint8).reshape(len(rows), -1)
+    if kind == "buckets":
+        return pack_codes(rows.astype(np.int64), bits)
+    if kind == "pairs":
+        return (rows[:, 0::2] * 4 + rows[:, 1::2]).astype(np.uint8)
+    return np.ascontiguousarray(rows.astype("<i8")).view(np.uint8).reshape(len(rows), -1)
+
+
+def rows_of_bytes(kind: str, data: np.ndarray, dim: int, bits: int | None = None) -> np.ndarray:
+    """The other way: numbers a coordinate, or words."""
+    if kind == "rank":
+        return np.ascontiguousarray(data).view("<u2").astype(np.int64)
+    if kind == "buckets":
+        return unpack_codes(data, dim, bits)
+    if kind == "pairs":
+        return np.stack([data >> 2, data & 3], 2).reshape(len(data), dim).astype(np.int64)
+    return np.ascontiguousarray(data).view("<i8")
+
+
+def matrix_of(column, width: int) -> np.ndarray:
+    """A binary column of rows of width bytes each, as a matrix."""
+    import pyarrow as pa
+
+    if column.null_count:
+        raise FormatError("a code is null")
+    _, offsets, data = column.buffers()
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    if (np.diff(offsets) != width).any():
+        raise FormatError(f"a code hasn't {width} bytes")
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width) if len(column) else np.empty((0, width), np.uint8)
+
+
+def column_of(data: np.ndarray):
+    """The other way: a matrix of bytes as a binary column."""
+    import pyarrow as pa
+
+    data = np.ascontiguousarray(data, np.uint8)
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def read(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(row_id, value): the rows of a file, by tasks that each read a range of it. The path must be open to all of them.
+
+    packed: value has a row's bytes (row_bytes) in place of an array.
+    """
     import os
 
     with open(path, "rb") as f:
@@ -192,37 +240,68 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 with open(path, "rb") as f:
                     f.seek(m.header_bytes + first * m.bytes_per_vec)
                     rows = decode_rows(m, f.read(stored * m.bytes_per_vec), first, count)
-                offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(rows))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype(np.int64).reshape(-1)))], names=["row_id", "value"])
+                if packed:
+                    value = column_of(row_bytes(m.kind, rows, m.bits))
+                else:
+                    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+                    value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(rows))), value], names=["row_id", "value"])
 
     parts = max(1, -(-meta.vector_count // ROWS_PER_TASK))
     starts = spark.range(0, meta.vector_count, ROWS_PER_TASK, parts)
-    return starts.mapInArrow(run, "row_id long, value array<long>")
+    return starts.mapInArrow(run, f"row_id long, value {'binary' if packed else 'array<long>'}")
 
 
-def write(rows: DataFrame, path: str, kind: str, dim: int, bits: int | None = None, n_top: int | None = None) -> Metadata:
-    """One file of rows (row_id from 0 without gaps, value), streamed to the driver's disk block by block."""
-    import os
+def read_bytes(spark: SparkSession, data: bytes) -> DataFrame:
+    """(row_id, value) of a file's content held in memory."""
+    meta = parse_header(data[:17], len(data))
+    rows = decode_rows(meta, data[meta.header_bytes :], 0, meta.vector_count)
+    return spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(rows)], "row_id long, value array<long>")
+
+
+def read_from(spark: SparkSession, stream) -> DataFrame:
+    """The same from an open binary stream, which must end where the file does."""
+    return read_bytes(spark, stream.read())
 
-    n = rows.count()
+
+def write_to(rows: DataFrame, stream, kind: str, dim: int, bits: int | None = None, n_top: int | None = None) -> int:
+    """What write() writes, to an open binary stream; how many bytes."""
+    n, at, held = rows.count(), 0, []
     head = header(kind, dim, n, bits, n_top)
     meta = Metadata(kind, VERSION, dim, n, 0, bits, n_top, len(head), 0)
-    held, at, part = [], 0, path + ".part"
-
-    with open(part, "wb") as f:
-        f.write(head)
-        for row_id, value in rows.orderBy("row_id").select("row_id", "value").toLocalIterator(prefetchPartitions=True):
-            if row_id != at:
-                os.remove(part)
-                raise FormatError("row ids must run from 0 without gaps")
-            at += 1
-            held.append(value)
-            if len(held) == BLOCK * 256:
-                f.write(encode_rows(kind, np.array(held), meta))
-                held = []
-        if held:
-            f.write(encode_rows(kind, np.array(held), meta))
-    os.replace(part, path)
+    done = stream.write(head)
+    binary = dict(rows.dtypes)["value"] == "binary"
+
+    def flush():
+        x = np.array([np.frombuffer(v, np.uint8) for v in held]) if binary else np.array(held)
+        return stream.write(encode_rows(kind, rows_of_bytes(kind, x, dim, bits) if binary else x, meta))
+
+    for row_id, value in rows.orderBy("row_id").select("row_id", "value").toLocalIterator(prefetchPartitions=True):
+        if row_id != at:
+            raise FormatError("row ids must run from 0 without gaps")
+        at += 1
+        held.append(value)
+        if len(held) == BLOCK * 256:
+            done += flush()
+            held = []
+    if held:
+        done += flush()
+    return done
+
+
+def write(rows: DataFrame, path: str, kind: str, dim: int, bits: int | None = None, n_top: int | None = None) -> Metadata:
+    """One file of rows (row_id from 0 without gaps, value: an array or packed bytes), streamed to the driver's disk."""
+    import os
+
+    part = path + ".part"
+    try:
+        with open(part, "wb") as f:
+            write_to(rows, f, kind, dim, bits, n_top)
+        os.replace(part, path)
+    except BaseException:
+        if os.path.exists(part):
+            os.remove(part)
+        raise
     with open(path, "rb") as f:
         return parse_header(f.read(17), os.path.getsize(path))
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOP_K = "dataset string, split string, method string, qid_idx long, qid string, k int, doc_idxs array<long>, doc_ids array<string>, scores array<double>"
+# Fields of a timing record, as it is exchanged.
 TIMING = (
     "dataset string, split string, method string, dim int, n_docs long, n_queries long, top_k int, threads int, batch int, candidates int, "
-    "bytes_per_vector long, index_total_mib double, build_seconds double, p50_ms double, p95_ms double, p99_ms double, qps double"
+    "bytes_per_vector long, index_total_mib double, build_seconds double, query_latency_ms_p50 double, query_latency_ms_p95 double, query_latency_ms_p99 double, "
+    "queries_per_second double, cpu_arch string, simd_detected array<string>, rustc string, crate_version string, encoder_manifest_sha256 string"
 )
 
 
@@ -41,3 +43,21 @@ def append_timings(rows: DataFrame, path: str) -> None:
 
 def read_timings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TIMING).json(path)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, id) of a JSON array of strings: ids by their place in it."""
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("ids"))
+    d = d.withColumn("ids", F.when(F.col("ids").isNull(), F.raise_error(F.lit("not a JSON array of ids"))).otherwise(F.col("ids")))
+    return d.select(F.posexplode("ids").alias("row_id", "id")).withColumn("row_id", F.col("row_id").cast("long"))
+
+
+def read_encoder_manifest(path: str) -> dict:
+    """What is known of how vectors were made: a JSON object."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if not isinstance(found, dict):
+        raise ValueError("an encoder manifest is a JSON object")
+    return found
