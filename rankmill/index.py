@@ -159,8 +159,9 @@ class Index:
     def _found(self, queries, scorer, k, **names):
         return search.search(self.codes, queries, scorer, k, code="value", decode=self._decode(), **names)
 
-    def _subset(self, queries, candidates, scorer, k, **names):
-        if validate.unknown_candidates(candidates, self.codes).limit(1).count():
+    def _subset(self, queries, candidates, scorer, k, own: bool = False, **names):
+        """own: the candidates are known to be rows of this index."""
+        if not own and validate.unknown_candidates(candidates, self.codes).limit(1).count():
             raise ParameterError("a candidate is no row of this index")
         return search.search_subset(self.codes, queries, candidates, scorer, k, code="value", decode=self._decode(), **names)
 
@@ -224,10 +225,13 @@ class BucketIndex(Index):
     def search_asymmetric_subset_padded(self, queries, candidates, k: int, **names):
         return search.padded(self.search_asymmetric_subset(queries, candidates, k, **names), queries, min(k, len(self)))
 
-    def search_with_sign_probe(self, probe: SignIndex, queries, k: int, policy: CandidatePolicy = CandidatePolicy(), **names):
-        if probe.spec.dim != self.spec.dim or len(probe) != len(self):
-            raise validate.ParameterError("the probe is of another dim or length")
-        return self.search_asymmetric_subset(queries, probe.top_m_candidates(queries, policy.candidate_count(k, len(self)), **names), k, **names)
+    def search_with_sign_probe(self, probe: SignIndex | BitmapIndex, queries, k: int, policy: CandidatePolicy = CandidatePolicy(), **names):
+        """The best k of the candidates that a probe of the same rows, of signs or of top bits, hands on."""
+        n = len(self)
+        if probe.spec.dim != self.spec.dim or len(probe) != n:
+            raise ParameterError("the probe is of another dim or length")
+        m = policy.candidate_count(k, n)
+        return self._subset(queries, probe.top_m_candidates(queries, m, **names), self._asymmetric(), k, own=True, most=m, **names)
 
 
 class PairScanIndex(Index):
@@ -238,7 +242,7 @@ class PairScanIndex(Index):
 
     def add(self, vectors, key, vector="embedding"):
         if not self.is_empty:
-            raise validate.ParameterError("this index is filled at once")
+            raise ParameterError("this index is filled at once")
         return super().add(vectors, key, vector)
 
     def _encoder(self):

@@ -46,6 +46,40 @@ def test_indexes(spark, tmp_path):
     assert sign.swap_remove(3) == 299 and len(sign) == 299
 
 
+def test_handles_status_and_streams(spark, tmp_path):
+    import io
+
+    from rankmill.sources import formats
+
+    v = corpus(spark, 70, 64, clusters=3).drop("cluster")
+    with I.BucketIndex(spark, 64, 2).add(v, "row_id") as ix:
+        held = io.BytesIO()
+        assert ix.write_to(held) == 14 + 70 * 16 and ix.info()["vector_count"] == 70 and ix.byte_size == 1120
+        assert ix.codes.where("octet_length(value) <> 16").count() == 0
+        want = [r.value for r in ix.arrays().orderBy("row_id").collect()]
+        assert [r.value for r in formats.read_bytes(spark, held.getvalue()).orderBy("row_id").collect()] == want
+        held.seek(0)
+        assert formats.read_from(spark, held).count() == 70
+        hits, stats = ix.search_one(v.where("row_id = 5").first().embedding, 3)
+        assert hits[0][0] == 5 and stats["scored"] == 70
+        with pytest.raises(ParameterError):
+            ix.search_one([1.0], 3)
+    ix.close()
+    with pytest.raises(I.ClosedError):
+        len(ix)
+    with pytest.raises(formats.FormatError):
+        formats.read_bytes(spark, held.getvalue()[:-1])
+    (tmp_path / "bad").write_bytes(b"x")
+    assert I.open_index(spark, str(tmp_path / "bad"))[1] == 3 and I.open_index(spark, str(tmp_path / "none"))[1] == 4
+    assert [I.status_of(e) for e in (None, ParameterError(""), CapabilityError(""), I.ClosedError(""), KeyError())] == [0, 1, 2, 5, 6]
+    multi = I.MultiBucketIndex(spark, 64, 2).add(v, "row_id")
+    q = v.where("row_id < 2").withColumnRenamed("row_id", "query_id")
+    weights = [[float(a == b) for b in range(4)] for a in range(4)]
+    same(multi.top_m_bilinear(q, weights, 5), search.search(v, q, K.bilinear(2, weights), 5))
+    with pytest.raises(ParameterError):
+        multi.write(str(tmp_path / "m"))
+
+
 def test_corpora(spark):
     for kind in KINDS:
         a = corpus(spark, 50, 64, kind)

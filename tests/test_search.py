@@ -61,9 +61,7 @@ def test_scans_agree_with_numpy(spark):
     full = search.search(v, asked, K.bucket_asymmetric(64, 2), 5)
     assert results(search.two_stage(v, asked, K.sign_hamming(), K.bucket_asymmetric(64, 2), 300, 5)) == results(full)
     assert search.score_all(v, asked, K.sign_hamming()).count() == 2100
-    more = [search.QUERY_BLOCK]
-    search.QUERY_BLOCK = 1024
-    assert more and len(list(search.blocks(asked, size=3))) == 3
+    assert len(list(search.blocks(asked, size=3))) == 3
 
 
 def test_planted_neighbours_are_found(spark):
@@ -78,6 +76,37 @@ def test_planted_neighbours_are_found(spark):
     assert recall.agg(F.avg("recall")).first()[0] > 0.6
 
 
+def test_candidates_meet_rows_with_and_without_a_broadcast(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    v, q = table(spark, r.normal(size=(300, 64))), queries(spark, r.normal(size=(7, 64)))
+    for second in (K.bucket_asymmetric(64, 2), K.pair_scan(64), K.tau_on_query_top(8), K.code_l1(2), K.bilinear(2, [[1.0] * 4] * 4)):
+        want = search.score_all(v, q, second)
+        c = search.candidates(v, q, K.sign_hamming(), 40)
+        both = search.score_candidates(v, q, c, second)
+        assert both.count() == 280 and both.join(want.withColumnRenamed("score", "s"), ["query_id", "row_id"]).where(F.abs(F.col("s") - F.col("score")) > 1e-9).count() == 0
+    few = results(search.two_stage(v, q, K.sign_hamming(), K.bucket_asymmetric(64, 2), 40, 5))
+    monkeypatch.setattr(search, "CANDIDATE_ROWS", 3)
+    assert results(search.two_stage(v, q, K.sign_hamming(), K.bucket_asymmetric(64, 2), 40, 5)) == few
+    assert results(search.search_subset(v, q, c.where("query_id <> 3"), K.bucket_asymmetric(64, 2), 5)) == [x for x in few if x[0] != 3]
+
+
+def test_exact_m_one_query_and_results_as_json(spark):
+    v, q = table(spark, [[float((i * 7 + j) % 5 - 2) for j in range(64)] for i in range(50)]), queries(spark, [[1.0] * 64, [-1.0, 1.0] * 32])
+    scored = search.score_all(v, q, K.sign_hamming())
+    want = {(r.query_id, r.row_id) for r in search.candidates(v, q, K.sign_hamming(), 12).collect()}
+    got = search.select_exactly(scored, 12, largest=False).orderBy("query_id", "pos").collect()
+    assert {(r.query_id, r.row_id) for r in got} == want and [r.pos for r in got] == list(range(12)) * 2
+    assert all(a.row_id < b.row_id for a, b in zip(got, got[1:], strict=False) if a.query_id == b.query_id)
+    hits, stats = search.search_one(v, [1.0] * 64, K.sign_hamming(), 3, [9, 9, 4])
+    assert sorted(i for i, _ in hits) == [4, 9, 9] and stats == {"vector_count": 50, "scored": 3, "requested": 3, "returned": 3}
+    with pytest.raises(ParameterError):
+        search.search_one(v, [1.0] * 64, K.sign_hamming(), 3, [50])
+    bad = spark.createDataFrame([(1, '{"k": 1, "indices": [1, 2], "scores": [0.5]}')], "query_id long, json string")
+    with pytest.raises(Exception, match="don't fit"):
+        search.results_of_json(bad).collect()
+    assert [r.rank for r in search.of_query(search.search(v, q, K.sign_hamming(), 4), 1).collect()] == [1, 2, 3, 4]
+
+
 def test_metrics(spark):
     run = spark.createDataFrame([(1, "a", 3.0), (1, "b", 2.0), (1, "c", 1.0)], "query_id long, doc_id string, score double")
     rel = spark.createDataFrame([(1, "b", 1), (1, "z", 1), (2, "a", 1)], "query_id long, doc_id string, rel int")
