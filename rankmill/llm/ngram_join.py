@@ -11,8 +11,8 @@ Three steps keep groups of copies from growing into all their pairs, and lose no
 * equal sets are one class, joined as one;
 * a class with more than 100 - percent of a hundred of its tokens in no other class links with nothing and leaves. That
   is first decided on a fixed slice of the hash space (a bound on the whole), then on all tokens of what is left;
-* sets that meet at a token shared by more than GROUP of them become a family, and each is written as its difference
-  from the family's common wording: d = set xor wording. Links don't depend on what is taken off all sets of a family:
+* sets that meet at a token shared by more than GROUP of them (of differences, see _meetings) become a family, and each
+  is written as its difference from the family's common wording: d = set xor wording. Links don't depend on what is taken off all sets of a family:
   with s = |d| * (100 + percent) - n * (100 - percent), two sets link if and only if
   s(x) + s(y) <= 2 * (100 + percent) * |d(x) & d(y)|. So all sets with s(x) + s(m) <= 0 link to the one of least s, m
   (the core), any two sets that need no shared difference are both of the core, and other pairs must share differences.
@@ -43,7 +43,8 @@ SEEN = 1_000_000
 MAX_L = 4
 #: Sets that meet at a token and are matched pair by pair; more of them are a family.
 GROUP = 16
-#: Rounds of families at most. Each family is at most half of what it came from; past this all pairs that meet are matched.
+#: Rounds of families at most. After the first one each is at most half of what it came from; past this all pairs that
+#: meet are matched.
 ROUNDS = 40
 #: What verifying a pair costs, in prefix hits, for each token of the set.
 VERIFY_COST = 0.05
@@ -298,14 +299,20 @@ def _prefixes(level: DataFrame, percent: int) -> DataFrame:
     return prefix
 
 
-def _meetings(prefix: DataFrame) -> DataFrame:
-    """prefix at the tokens where two sets can meet first (the prefix for L = 1), with size, hub and last: how many sets
-    meet there, the least edited one, and the largest rep. Meetings of the core alone are left out."""
+def _meetings(prefix: DataFrame, whole: bool) -> DataFrame:
+    """prefix at the tokens where two sets can meet first (the prefix for L = 1), with size, hub, last and most: how many
+    sets meet there, the least edited one, the largest rep, and how many are matched as pairs.
+
+    Of whole sets that is GROUP. Differences are short: there, taking a meeting apart costs as much as each set's tokens,
+    so up to twice as many sets as these are matched as pairs. Either way pairs are in proportion to what is there.
+    Meetings of the core alone are left out.
+    """
     first = prefix.where("pos <= base")
     groups = first.groupBy("g", "token").agg(
         F.count("*").alias("size"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("others"),
         F.min(F.struct((F.col("lone") / F.col("m")).alias("edits"), F.col("rep"))).alias("hub"), F.max("rep").alias("last"),
-    ).where("size > 1 and others > 0").select("g", "token", "size", F.col("hub.rep").alias("hub"), "last")
+        F.lit(float(GROUP)).alias("most") if whole else F.greatest(F.lit(float(GROUP)), 2 * F.avg("m")).alias("most"),
+    ).where("size > 1 and others > 0").select("g", "token", "size", F.col("hub.rep").alias("hub"), "last", "most")
     groups = written(groups.withColumn("rows", F.col("size")), "groups")
     met = written(spread_join(first, groups, ["g", "token"], "rows", "rep"), "meetings")
     discard(groups)
@@ -335,7 +342,7 @@ def _verified(pairs: DataFrame, level: DataFrame, percent: int) -> DataFrame:
 def _families(met: DataFrame, level: DataFrame, percent: int, whole: bool) -> tuple[DataFrame, DataFrame]:
     """(links to the core, next level) of the families that meet in met.
 
-    A family is all that meets at tokens of one hub (whole sets: few families for each), or at tokens where the same sets
+    A family is all that meets at tokens of one hub (whole: few families for each set), or at tokens where the same sets
     meet. First the hub's set is taken off every one, then what is left in more than half of them.
     """
     kind = ["g", "hub"] if whole else ["g", "hub", "size", "last"]
@@ -376,10 +383,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     found, old = [], None
     for turn in range(ROUNDS + 1):
         prefix = _prefixes(level, percent)
-        met = _meetings(prefix)
-        pairs = _candidates(met if turn == ROUNDS else met.where(f"size <= {GROUP}"), prefix, percent)
+        met = _meetings(prefix, turn == 0)
+        pairs = _candidates(met if turn == ROUNDS else met.where("size <= most"), prefix, percent)
         found.append(written(_verified(pairs, level, percent), "links"))
-        large = met.where(f"size > {GROUP}")
+        large = met.where("size > most")
         if turn == ROUNDS or not large.limit(1).count():
             discard(prefix, met, *([level] if old is not None else []))
             break

@@ -64,8 +64,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows that go to Python at once, where the caller hasn't set it.
+BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema), with workers that hand freed memory back. Spark bounds a batch in rows and in bytes."""
+    """df.mapInArrow(run, schema), sparing with memory: small batches, and workers that hand freed memory back.
+
+    Spark bounds a batch in bytes and rows by settings of the session. The one for rows is set where it is unset, since it
+    holds when a result is read, not when it is made; what the caller has set stays.
+    """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
 
     def lean(batches):
         frugal()
