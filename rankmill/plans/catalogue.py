@@ -589,4 +589,4 @@ def cone_baseline(spark, sf_dir):
     return vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean_length"))
 
 
-from rankmill.plans import more  # noqa: E402, F401  (further queries, registered in the tables above)
+from rankmill.plans import more, placements  # noqa: E402, F401  (further queries, registered in the tables above)
