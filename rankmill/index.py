@@ -12,15 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmill.functions import kernels
+from rankmill.functions.blocks import byte_values, dot_by_byte, unpacked, words_of
 from rankmill.functions.kernels import Scorer
 from rankmill.operators import mutate, search, validate
 from rankmill.sources import formats
-from rankmill.spec import BitmapSpec, BucketSpec, CandidatePolicy, MultiBucketSpec, PairScanSpec, ParameterError, RankSpec, SignSpec, asymmetric_norm, bucket_centre, rank_norm
-
-
-def _bits(words: np.ndarray) -> np.ndarray:
-    b = np.ascontiguousarray(words.astype("<i8")).view(np.uint8).reshape(len(words), -1)
-    return np.unpackbits(b, axis=1, bitorder="little").astype(np.float32)
+from rankmill.spec import MAX_VECTORS, BitmapSpec, BucketSpec, CandidatePolicy, MultiBucketSpec, PairScanSpec, ParameterError, RankSpec, SignSpec, asymmetric_norm, bucket_centre, rank_norm
 
 
 def _words(flags: np.ndarray) -> np.ndarray:
@@ -68,13 +64,18 @@ class Index:
     def _bits(self) -> int | None:
         return getattr(self.spec, "bits", None)
 
-    def _decode(self):
+    def _coordinates(self):
+        """A function from packed codes to a matrix: numbers a coordinate, or words."""
         kind, width, dim, bits = self.kind, self.spec.bytes_per_vec, self.spec.dim, self._bits
         return lambda column: formats.rows_of_bytes(kind, formats.matrix_of(column, width), dim, bits)
 
+    def _decode(self):
+        """A function from packed codes to what the scorers take."""
+        return self._coordinates()
+
     def arrays(self) -> DataFrame:
         """(row_id, value): the codes as arrays of numbers."""
-        decode = self._decode()
+        decode = self._coordinates()
 
         def run(batches):
             import pyarrow as pa
@@ -206,14 +207,22 @@ class BucketIndex(Index):
     def _parameters(self):
         return {"bits": self.spec.bits}
 
+    def _decode(self):
+        """Packed codes as they are stored; the scorers look their bytes up."""
+        width = self.spec.bytes_per_vec
+        return lambda column: formats.matrix_of(column, width)
+
     def _asymmetric(self) -> Scorer:
         dim, bits = self.spec.dim, self.spec.bits
-        return Scorer(lambda d: d + bucket_centre(0, bits), kernels.unit, lambda d, q: d @ q.T / asymmetric_norm(dim, bits))
+        centred, norm = byte_values(bits, np.arange(1 << bits) + bucket_centre(0, bits)), asymmetric_norm(dim, bits)
+        docs = lambda b: unpacked(b, centred)
+        return Scorer(docs, kernels.unit, lambda d, q: d @ q.T / norm, lift=docs, width=1, one=lambda b, q: dot_by_byte(b, q, centred) / norm)
 
     def search(self, queries, k: int, **names):
         self.spec.need_symmetric()
-        s, nb = kernels.bucket_symmetric(self.spec.dim, self.spec.bits), self.spec.buckets
-        return self._found(queries, Scorer(lambda d: (2 * d - (nb - 1)).astype(np.float64), s.queries, s.score), k, **names)
+        s, bits = kernels.bucket_symmetric(self.spec.dim, self.spec.bits), self.spec.bits
+        twice = byte_values(bits, 2.0 * np.arange(1 << bits) - ((1 << bits) - 1))
+        return self._found(queries, Scorer(lambda b: unpacked(b, twice), s.queries, s.score), k, **names)
 
     def search_asymmetric(self, queries, k: int, **names):
         return self._found(queries, self._asymmetric(), k, **names)
@@ -249,8 +258,13 @@ class PairScanIndex(Index):
         return lambda x: kernels.codes(x, 2)
 
     def _best(self):
-        s, dim = kernels.pair_scan(self.spec.dim), self.spec.dim
-        return Scorer(lambda d: d[:, 0::2] * 4 + d[:, 1::2] + np.arange(dim // 2) * 16, s.queries, s.score)
+        s = kernels.pair_scan(self.spec.dim)
+        return Scorer(kernels.paired, s.queries, s.score)
+
+    def _decode(self):
+        """Values of pairs, a byte each, as they are stored."""
+        width = self.spec.bytes_per_vec
+        return lambda column: formats.matrix_of(column, width)
 
     def search(self, queries, k: int, **names):
         return self._found(queries, self._best(), k, **names)
@@ -274,7 +288,7 @@ class BitmapIndex(Index):
 
     def _scorer(self) -> Scorer:
         s = kernels.bitmap_overlap(self.spec.n_top)
-        return Scorer(_bits, s.queries, s.score)
+        return Scorer(lambda d: d, s.queries, s.score)
 
     def search(self, queries, k: int, **names):
         return self._found(queries, self._scorer(), k, **names)
@@ -303,7 +317,7 @@ class SignIndex(Index):
 
     def _scorer(self) -> Scorer:
         s = kernels.sign_hamming()
-        return Scorer(lambda d: 2 * _bits(d) - 1, s.queries, s.score, largest=False)
+        return Scorer(lambda d: d, s.queries, s.score, largest=False)
 
     def top_m_candidates(self, queries, m: int, **names):
         return search.candidates(self.codes, queries, self._scorer(), m, code="value", decode=self._decode(), **names)
@@ -321,6 +335,39 @@ class SignIndex(Index):
         return search.score_rows(self.score_all(queries, **names))
 
 
+class TwoStageIndex(BucketIndex):
+    """Bucket codes with a probe's code beside each, of signs or of n_top top bits: two stages in one pass over the rows."""
+
+    def __init__(self, spark, dim: int, bits: int = 2, n_top: int | None = None, codes=None):
+        super().__init__(spark, dim, bits, codes=codes if codes is not None else spark.createDataFrame([], "row_id long, value binary, probe binary"))
+        self.probe = SignIndex(spark, dim) if n_top is None else BitmapIndex(spark, dim, n_top)
+
+    def add(self, vectors, key, vector="embedding"):
+        own, probe, kind, bits, dim = self._encoder(), self.probe._encoder(), self.probe.kind, self._bits, self.spec.dim
+        kind_of_key = vectors.schema[key].dataType.simpleString()
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                x = kernels.block(batch.column(1), dim)
+                codes = [formats.column_of(formats.row_bytes("buckets", own(x), bits)), formats.column_of(formats.row_bytes(kind, probe(x)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *codes], names=["ix_key", "value", "probe"])
+
+        coded = vectors.select(F.col(key), F.col(vector).cast("array<float>")).mapInArrow(run, f"ix_key {kind_of_key}, value binary, probe binary")
+        self.codes = mutate.append(self.codes, coded, "ix_key")
+        return self
+
+    @property
+    def bytes_per_vec(self) -> int:
+        return self.spec.bytes_per_vec + self.probe.spec.bytes_per_vec
+
+    def search_two_stage(self, queries, k: int, policy: CandidatePolicy = CandidatePolicy(), **names):
+        """The best k of the candidates that the probe hands on, as many of them as policy says."""
+        m = policy.candidate_count(k, MAX_VECTORS)  # of fewer rows all are candidates
+        return search.two_stage(self.codes, queries, self.probe._scorer(), self._asymmetric(), m, k, code="probe", decode=self.probe._decode(), beside="value", **names)
+
+
 class MultiBucketIndex(Index):
     """Bucket codes that are scored by weights on pairs of buckets; it isn't written to files."""
 
@@ -339,8 +386,8 @@ class MultiBucketIndex(Index):
 
     def top_m_bilinear(self, queries, weights: list[list[float]], m: int, **names):
         nb, s = 1 << self.spec.bits, kernels.bilinear(self.spec.bits, weights)
-        hot = lambda d: (d[:, None, :] == np.arange(nb)[None, :, None]).astype(np.float32)
-        return self._found(queries, Scorer(hot, s.queries, s.score), m, **names)
+        masks = lambda d: np.stack([words_of(d == b) for b in range(nb)], 1)
+        return self._found(queries, Scorer(masks, s.queries, s.score), m, **names)
 
 
 def load(spark: SparkSession, path: str) -> Index:

@@ -30,6 +30,20 @@ def with_row_ids(df: DataFrame, key: str, first: int = 0) -> DataFrame:
     return found.select(*df.columns, (at + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + first).alias("row_id"))
 
 
+def running_total(df: DataFrame, order: str, column: str, name: str) -> DataFrame:
+    """df with column summed up to each row, in order of a column of different values.
+
+    Rows are dealt by ranges and summed within each; what comes before a range is a sum over ranges, a row each.
+    """
+    at = F.spark_partition_id().alias("rt_part")
+    dealt = written(df.repartitionByRange(order).select("*", at), "ranges")
+    sums = dealt.groupBy("rt_part").agg(F.sum(column).alias("rt_sum"))  # a row a range
+    before = F.coalesce(F.sum("rt_sum").over(Window.orderBy("rt_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum(column).over(Window.partitionBy("rt_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    found = dealt.join(F.broadcast(sums.select("rt_part", before.alias("rt_before"))), "rt_part")
+    return found.select(*df.columns, (F.col("rt_before") + within).alias(name))
+
+
 def code_table(vectors: DataFrame, dim: int, n_top: int | None = None, vector: str = "embedding") -> DataFrame:
     """row_id with ranks, b1, b2, b4, top_words and sign_words, as far as dim allows."""
     t = vectors.select("row_id", encode.rank_transform(F.col(vector)).alias("ranks"), vector)

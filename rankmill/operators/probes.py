@@ -25,10 +25,9 @@ def near_collisions(vectors: DataFrame, probes: DataFrame, bits: int) -> DataFra
     """(query_id, nearest, near): how many coordinates differ from the closest other code, and how many rows lie within one
     and a half times that (one more at least).
 
-    Every row is scored once for all probes; what is kept is a histogram a probe, not the pairs.
+    Every row is scored once for all probes; what is kept is a histogram a probe, counted in the tasks, not the pairs.
     """
-    scored = search.score_all(vectors, probes, code_hamming(bits)).where("query_id <> row_id")
-    hist = scored.groupBy("query_id", F.col("score").cast("long").alias("h")).agg(F.count("*").alias("n"))
+    hist = search.histogram(vectors, probes, code_hamming(bits), own=False).select("query_id", F.col("score").cast("long").alias("h"), "n").where("n > 0")
     low = hist.groupBy("query_id").agg(F.min("h").alias("nearest"))
     reach = F.greatest(F.col("nearest") + F.floor(F.col("nearest") / 2), F.col("nearest") + 1)
     return hist.join(low, "query_id").where(F.col("h") <= reach).groupBy("query_id").agg(F.first("nearest").alias("nearest"), F.sum("n").alias("near"))

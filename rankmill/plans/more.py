@@ -247,11 +247,7 @@ def bucket_frequency_profile(spark, sf_dir):
 def _chunked(spark, sf_dir):
     """CND-3: in blocks of three queries."""
     v = vectors(spark, sf_dir)
-    found = None
-    for ids, _ in search.blocks(asked(v), size=3):
-        part = search.candidates(v, asked(v).where(F.col("query_id").isin(ids.tolist())), K.bitmap_overlap(TOP), STAGE)
-        found = part if found is None else found.union(part)
-    return found
+    return search.candidates(v, asked(v), K.bitmap_overlap(TOP), STAGE, size=3)
 
 
 query(f"SELECT query_id, (rank - 1)::INT AS pos, row_id FROM ({scored(SQL_OVERLAP, 'DESC', STAGE)})", "bitmap_top_m_chunked")(_chunked)
@@ -261,7 +257,7 @@ query(f"SELECT query_id, (rank - 1)::INT AS pos, row_id FROM ({scored(SQL_OVERLA
 def sign_exact_m(spark, sf_dir):
     """CND-13."""
     v = vectors(spark, sf_dir)
-    return search.select_exactly(search.score_all(v, asked(v), K.sign_hamming()), STAGE, largest=False)
+    return search.candidates_exactly(v, asked(v), K.sign_hamming(), STAGE)
 
 
 @query(f"WITH {BASE}, q AS (SELECT * FROM v WHERE id % 100 = 0), s AS (SELECT q.id AS query_id, v.id AS row_id, (64 - {SQL_HAMMING})::INT AS s FROM q, v) SELECT query_id, array_to_string(list(s ORDER BY row_id), ',') AS scores FROM s GROUP BY 1")

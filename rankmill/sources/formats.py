@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankmill.functions.blocks import byte_values, unpacked
 from rankmill.spec import MAX_PAYLOAD_BYTES, MAX_VECTORS, BitmapSpec, BucketSpec, PairScanSpec, ParameterError, RankSpec, SignSpec
 
 # Magics and suffixes of the files, and the older magics that are read but not written.
@@ -117,15 +118,15 @@ def probe(path: str) -> Metadata:
 
 
 def pack_codes(codes: np.ndarray, bits: int) -> np.ndarray:
-    per = 8 // bits
-    shift = bits * (per - 1 - np.arange(per))
-    return (codes.reshape(len(codes), -1, per) << shift).sum(2).astype(np.uint8)
+    c, per = codes.astype(np.uint8), 8 // bits
+    out = np.zeros((len(c), c.shape[1] // per), np.uint8)
+    for i in range(per):
+        out |= c[:, i::per] << np.uint8(bits * (per - 1 - i))
+    return out
 
 
 def unpack_codes(data: np.ndarray, dim: int, bits: int) -> np.ndarray:
-    per = 8 // bits
-    shift = bits * (per - 1 - np.arange(per))
-    return ((data[:, :, None] >> shift) & ((1 << bits) - 1)).reshape(len(data), dim)
+    return unpacked(data, byte_values(bits, np.arange(1 << bits))).reshape(len(data), dim)
 
 
 def pack_pairs(codes: np.ndarray) -> bytes:
@@ -209,6 +210,11 @@ def matrix_of(column, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width) if len(column) else np.empty((0, width), np.uint8)
 
 
+def bytes_of(column) -> np.ndarray:
+    """A binary column whose rows are as long as the first one, as a matrix of bytes."""
+    return matrix_of(column, len(column[0].as_buffer()) if len(column) and column[0].is_valid else 0)
+
+
 def column_of(data: np.ndarray):
     """The other way: a matrix of bytes as a binary column."""
     import pyarrow as pa
