@@ -18,8 +18,12 @@ Three steps keep groups of copies from growing into all their pairs, and lose no
   (the core), any two sets that need no shared difference are both of the core, and other pairs must share differences.
   These are the tokens of the next round: the same prefixes, the same counting, on sets of a few edits each.
 
-Without shared differences there are no pairs: a family of sets that are all a little too far from each other is taken
-apart at a cost in proportion to its edits.
+Families whose sets are all a little too far from each other share many differences, and taking them apart by tokens would
+cost more than looking at each pair. There (_tiled) pairs are looked at in tiles of sets inside tasks, by parity sketches:
+a fixed number of bits, each the parity of the tokens that fall on it. The bits in which two sketches differ are at most
+the tokens in which two sets differ, so a pair with too many of them is refused exactly, by a popcount and without its
+sets. Pairs that stay are verified on their sets until their tile hangs together; what leaves a tile is a forest of links,
+never its pairs. Which way a family goes is a matter of estimated cost alone, and both find the same links.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankmill.functions.blocks import bits_met, words_of
 from rankmill.llm.components import connected_components
 from rankmill.llm.shared import buckets, discard, mapped, small, spread_join, written
 from rankmill.llm.text import SPACE, Words, chunks, mix, ngram, signed, texts
@@ -40,12 +45,14 @@ SLICE = 0.3
 FLUSH_TOKENS = 1_500_000
 #: Classes that a task remembers to have sent; one sent again is counted once.
 SEEN = 1_000_000
-MAX_L = 4
+#: What L may be, from 5 on up to an eighth of the prefix for L = 0: long sets then need many shared tokens at little cost.
+LEVELS, ANY_L = (1, 2, 3, 4, 8, 16, 32), 4
 #: Sets that meet at a token and are matched pair by pair; more of them are a family.
 GROUP = 16
-#: Rounds of families at most. After the first one each is at most half of what it came from; past this all pairs that
-#: meet are matched.
+#: Rounds of families at most. After the first one each is at most half of what it came from; past this all are tiled.
 ROUNDS = 40
+#: Sets and tokens of a tile, and pairs looked at by sketches for what a token costs as a row.
+TILE_SETS, TILE_TOKENS, PAIRS_A_ROW = 1024, 1 << 17, 20
 #: What verifying a pair costs, in prefix hits, for each token of the set.
 VERIFY_COST = 0.05
 
@@ -108,10 +115,11 @@ def _sets_of(n):
 
 
 def _slices_of(n, share, count):
-    """Rows (bucket, classes, sizes, tokens): the tokens under share of the hash space, dealt by their low bits.
+    """Rows (bucket, classes, sizes, tokens, shared): the tokens under share of the hash space, dealt by their low bits.
 
     classes and sizes: the classes of a row and how many tokens each has; tokens: six bytes of each, in that order. A
-    class that a task has had before isn't sent again.
+    class that a task has had before isn't sent again. shared: tokens that two classes of what a task has gathered hold,
+    once each and without their classes: none of these has them alone.
     """
     limit = np.uint64(min((1 << 64) - 1, int(share * 2.0**64)))
 
@@ -120,27 +128,40 @@ def _slices_of(n, share, count):
 
         cls, sizes, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
         own = np.repeat(np.arange(len(cls)), sizes)
-        bucket = (tokens & np.uint64(count - 1)).astype(np.min_scalar_type(count - 1))
-        order = np.argsort(bucket, kind="stable")
-        tokens, own, cut = tokens[order], own[order], np.searchsorted(bucket[order], np.arange(count + 1))
-        six = np.ascontiguousarray((tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-        rows = ([], [], [], [])
-        for b in range(count):
+        order = np.argsort(tokens, kind="stable")
+        t = tokens[order]
+        differs = np.ones(len(t) + 1, bool)
+        differs[1:-1] = t[1:] != t[:-1]
+        several = t[differs[:-1] & ~differs[1:]]
+        one = np.zeros(len(t), bool)
+        one[order[differs[:-1] & differs[1:]]] = True
+        tokens, own = tokens[one], own[one]
+
+        def dealt(tokens):
+            bucket = (tokens & np.uint64(count - 1)).astype(np.min_scalar_type(count - 1))
+            order = np.argsort(bucket, kind="stable")
+            six = np.ascontiguousarray((tokens[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+            return order, np.searchsorted(bucket[order], np.arange(count + 1)), six
+
+        order, cut, six = dealt(tokens)
+        own = own[order]
+        _, shared_cut, shared = dealt(several)
+        rows = ([], [], [], [], [])
+        for b in np.flatnonzero(np.diff(cut) + np.diff(shared_cut)).tolist():
             lo, hi = cut[b], cut[b + 1]
-            if lo == hi:
-                continue
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(own[lo:hi])) + 1])
-            for out, x in zip(rows, (b, cls[own[lo:hi][edge]].tobytes(), np.diff(np.append(edge, hi - lo)).astype(np.uint32).tobytes(), six[lo:hi].tobytes()), strict=True):
+            edge = np.flatnonzero(np.diff(own[lo:hi], prepend=-1))
+            blobs = (cls[own[lo:hi][edge]].tobytes(), np.diff(np.append(edge, hi - lo)).astype(np.uint32).tobytes(), six[lo:hi].tobytes(), shared[shared_cut[b] : shared_cut[b + 1]].tobytes())
+            for out, x in zip(rows, (b, *blobs), strict=True):
                 out.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "classes", "sizes", "tokens"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "classes", "sizes", "tokens", "shared"])
 
     def run(batches):
         words, seen, held, waiting = Words(SPACE, lower=True), set(), [], 0
         for batch in batches:
             offsets, data = texts(batch, "text")
-            if len(seen) > SEEN:
-                seen.clear()
             for _, _, buf, bounds in chunks(offsets, data):
+                if len(seen) > SEEN and not held:
+                    seen.clear()
                 tokens, starts = token_sets(words, buf, bounds, n)
                 c1, _ = signatures(tokens, starts)
                 new = np.zeros(len(c1), bool)
@@ -163,6 +184,13 @@ def _slices_of(n, share, count):
     return run
 
 
+def _eight(six: np.ndarray) -> np.ndarray:
+    """Numbers of six bytes each."""
+    out = np.zeros((len(six) // 6, 8), np.uint8)
+    out[:, :6] = six.reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
 def _alone(count):
     """Rows (part, classes, alone): how many tokens of a bucket each class has alone, dealt by class; as packed arrays."""
 
@@ -171,22 +199,24 @@ def _alone(count):
 
         held: dict[int, list] = {}
         for batch in batches:
-            for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 held.setdefault(b, []).append(blobs)
         while held:
             _, blobs = held.popitem()
             cls = np.concatenate([np.frombuffer(x[0], np.uint64) for x in blobs])
             sizes = np.concatenate([np.frombuffer(x[1], np.uint32) for x in blobs]).astype(np.int64)
-            six = np.concatenate([np.frombuffer(x[2], np.uint8) for x in blobs]).reshape(-1, 6)
-            eight = np.zeros((len(six), 8), np.uint8)
-            eight[:, :6] = six
-            tokens = eight.reshape(-1).view(np.uint64)
+            tokens, shared = (_eight(np.concatenate([np.frombuffer(x[i], np.uint8) for x in blobs])) for i in (2, 3))
             _, once = np.unique(cls, return_index=True)  # a class that came from several tasks counts once
             first = np.zeros(len(cls), bool)
             first[once] = True
             own = np.repeat(np.arange(len(cls)), sizes)
             pick = first[own]
             tokens, own = tokens[pick], own[pick]
+            shared = np.unique(shared)
+            if len(shared):
+                at = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+                pick = shared[at] != tokens
+                tokens, own = tokens[pick], own[pick]
             order = np.argsort(tokens)
             t = tokens[order]
             differs = np.ones(len(t) + 1, bool)
@@ -222,7 +252,14 @@ def _alone_summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(total.astype(np.int64))], names=["c1", "alone"])
 
 
-def _whole_sets(n):
+def sketch_bits(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of the sketches of whole sets of n tokens: a power of two, some sixteen times what a linked set of that size may differ in."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) * (32 * (100 - percent) / (100 + percent)) + 1)), 6, 16).astype(np.int64)
+
+
+def _whole_sets(n, percent):
+    """Rows (rep, n, tokens, sketch) of every text's set."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -231,8 +268,15 @@ def _whole_sets(n):
             offsets, data = texts(batch, "text")
             for _, _, buf, bounds in chunks(offsets, data, 1 << 19):
                 tokens, starts = token_sets(words, buf, bounds, n)
-                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(signed(tokens)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(tokens, starts)[0])), pa.array(np.diff(starts)), lists], names=["rep", "n", "tokens"])
+                sizes = np.diff(starts)
+                bits = sketch_bits(sizes, percent)
+                ends = np.concatenate([[0], np.cumsum(bits // 64)])
+                sketch, own = np.empty(ends[-1], np.int64), np.repeat(bits, sizes)
+                for b in np.unique(bits):
+                    at = np.flatnonzero(bits == b)
+                    sketch[ends[at][:, None] + np.arange(b // 64)] = parity_sketches(tokens[own == b], sizes[at], int(b)).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v)) for e, v in ((starts, signed(tokens)), (ends, sketch))]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(tokens, starts)[0])), pa.array(sizes), *lists], names=["rep", "n", "tokens", "sketch"])
 
     return run
 
@@ -248,14 +292,14 @@ def link_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFr
     classes = sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
     classes = written(classes, "classes")
     count = buckets(docs)
-    slices = mapped(docs, _slices_of(n, SLICE, count), "bucket int, classes binary, sizes binary, tokens binary")
+    slices = mapped(docs, _slices_of(n, SLICE, count), "bucket int, classes binary, sizes binary, tokens binary, shared binary")
     alone = mapped(slices.repartitionById(count, F.col("bucket")), _alone(count), "part int, classes binary, alone binary")
     alone = mapped(alone.repartitionById(count, F.col("part")), _alone_summed, "c1 long, alone long")
     spare = 100 - percent
     # Different sets that link have percent / (100 - percent) tokens at least.
     left = classes.where(F.col("n") * spare >= percent).join(alone, "c1", "left").where(F.coalesce("alone", F.lit(0)) * 100 <= F.col("n") * spare)
     left = written(left.select("c1", F.col("least").alias("doc_id")), "left")
-    tokens = mapped(docs.join(small(left.select("doc_id").distinct()), "doc_id", "left_semi"), _whole_sets(n), "rep long, n long, tokens array<long>")
+    tokens = mapped(docs.join(small(left.select("doc_id").distinct()), "doc_id", "left_semi"), _whole_sets(n, percent), "rep long, n long, tokens array<long>, sketch array<long>")
     ids = sets.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("c1").alias("a"), F.max("c1").alias("b")).where("n > 1")
     repeated = ids.limit(1).count() > 0
     if repeated:  # a doc_id then brings more than the set it was taken for
@@ -286,50 +330,71 @@ def _prefixes(level: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("g", "rep")
     flat = flat.select("*", F.row_number().over(own.orderBy("df", "token")).alias("k"), F.count("*").over(own).alias("shared"))
     flat = flat.withColumns({"lone": F.col("m") - F.col("shared"), "base": F.col("m") - F.col("need")})  # the prefix for L is base + L long
-    flat = flat.withColumn("pos", F.col("lone") + F.col("k") - 1).where(f"lone <= base and pos < base + {MAX_L}")
-    hits = [F.sum(F.when(F.col("pos") < F.col("base") + i, F.col("df") - 1).otherwise(0)).over(own) for i in range(1, MAX_L + 1)]
-    flat = flat.select("*", *(h.alias(f"h{i}") for i, h in enumerate(hits, 1)))
-    cost = [F.col(f"h{i}") * (1 + VERIFY_COST * F.col("m") / i) for i in range(1, MAX_L + 1)]
-    best = F.lit(MAX_L)
-    for i in range(MAX_L - 1, 0, -1):
-        best = F.when(cost[i - 1] <= F.least(*cost[i:], F.lit(math.inf)), i).otherwise(best)
+    flat = flat.withColumn("pos", F.col("lone") + F.col("k") - 1)
+    most = F.greatest(F.lit(ANY_L), F.least(F.floor(F.col("base") / 8), F.lit(LEVELS[-1])))
+    flat = flat.where((F.col("lone") <= F.col("base")) & (F.col("pos") < F.col("base") + most))
+    hits = [F.sum(F.when(F.col("pos") < F.col("base") + i, F.col("df") - 1).otherwise(0)).over(own) for i in LEVELS]
+    flat = flat.select("*", *(h.alias(f"h{i}") for i, h in zip(LEVELS, hits, strict=True)))
+    cost = [F.when(most >= i, F.col(f"h{i}") * (1 + VERIFY_COST * F.col("m") / i)).otherwise(F.lit(math.inf)) for i in LEVELS]
+    best = F.lit(LEVELS[-1])
+    for at in range(len(LEVELS) - 2, -1, -1):
+        best = F.when(cost[at] <= F.least(*cost[at + 1 :], F.lit(math.inf)), LEVELS[at]).otherwise(best)
     prefix = flat.withColumn("l", F.least(best, "need").cast("int")).where("pos < base + l")  # no more can be asked for than must be shared
     prefix = written(prefix.select("g", "rep", "s", "core", "m", "base", "lone", "token", "pos", "l"), "prefix")
     discard(df)
     return prefix
 
 
-def _meetings(prefix: DataFrame, whole: bool) -> DataFrame:
-    """prefix at the tokens where two sets can meet first (the prefix for L = 1), with size, hub, last and most: how many
-    sets meet there, the least edited one, the largest rep, and how many are matched as pairs.
-
-    Of whole sets that is GROUP. Differences are short: there, taking a meeting apart costs as much as each set's tokens,
-    so up to twice as many sets as these are matched as pairs. Either way pairs are in proportion to what is there.
-    Meetings of the core alone are left out.
-    """
+def _meetings(prefix: DataFrame) -> DataFrame:
+    """prefix at the tokens where two sets can meet first (the prefix for L = 1), with size, hub and last: how many sets
+    meet there, the least edited one and the largest rep. Meetings of the core alone are left out."""
     first = prefix.where("pos <= base")
     groups = first.groupBy("g", "token").agg(
         F.count("*").alias("size"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("others"),
         F.min(F.struct((F.col("lone") / F.col("m")).alias("edits"), F.col("rep"))).alias("hub"), F.max("rep").alias("last"),
-        F.lit(float(GROUP)).alias("most") if whole else F.greatest(F.lit(float(GROUP)), 2 * F.avg("m")).alias("most"),
-    ).where("size > 1 and others > 0").select("g", "token", "size", F.col("hub.rep").alias("hub"), "last", "most")
+    ).where("size > 1 and others > 0").select("g", "token", "size", F.col("hub.rep").alias("hub"), "last")
     groups = written(groups.withColumn("rows", F.col("size")), "groups")
     met = written(spread_join(first, groups, ["g", "token"], "rows", "rep"), "meetings")
     discard(groups)
     return met
 
 
-def _candidates(met: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
-    """(g, a, b): pairs that meet and share as many prefix tokens as the smaller L of the two asks."""
+def _halved(sketch: Column, size: Column) -> Column:
+    """A sketch as one of size words: that one itself, or of half its bits."""
+    half = (F.size(sketch) / 2).cast("int")
+    folded = F.zip_with(F.slice(sketch, 1, half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > size, folded).otherwise(sketch)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether whole sets of sketches sa, sb and sizes na, nb can differ in few enough tokens."""
+    a, b = F.col("sa"), F.col("sb")
+    size = F.least(F.size(a), F.size(b))
+    bits = F.aggregate(F.zip_with(_halved(a, size), _halved(b, size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    far = F.greatest(F.size(a), F.size(b)) > 2 * size  # sets of such sizes don't link
+    return F.when(far, False).otherwise(bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
+def _candidates(met: DataFrame, prefix: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """(g, a, b): pairs that meet and share as many prefix tokens as the smaller L of the two asks, each pair once.
+
+    sets: whole sets with their sketches, by which pairs are refused before their sets are read.
+    """
     need = _need(F.col("x.s"), F.col("y.s"), percent)
     first = (F.col("x.m") - F.col("x.pos") >= need) & (F.col("y.m") - F.col("y.pos") >= need)  # holds at the first shared token
     same = (F.col("x.g") == F.col("y.g")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep"))
     pairs = met.alias("x").join(met.alias("y"), same & ~(F.col("x.core") & F.col("y.core")) & first)
-    pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.l", "y.l").alias("l")).distinct()
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.struct(F.col("x.g").alias("g"), F.least("x.l", "y.l").alias("l")).alias("p"))
+    pairs = pairs.groupBy("a", "b").agg(F.min("p").alias("p")).select("p.g", "a", "b", "p.l")  # once, in one of the families where they meet
     heads = prefix.groupBy("g", "rep").agg(F.collect_set("token").alias("head"))
     for side in ("a", "b"):
         pairs = pairs.join(heads.select("g", F.col("rep").alias(side), F.col("head").alias(f"h{side}")), ["g", side])
-    return pairs.where(F.size(F.array_intersect("ha", "hb")) >= F.col("l")).select("g", "a", "b")
+    pairs = pairs.where(F.size(F.array_intersect("ha", "hb")) >= F.col("l")).select("g", "a", "b")
+    if sets is None:
+        return pairs
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    return pairs.where(_may_link(percent)).select("g", "a", "b")
 
 
 def _verified(pairs: DataFrame, level: DataFrame, percent: int) -> DataFrame:
@@ -374,26 +439,162 @@ def _families(met: DataFrame, level: DataFrame, percent: int, whole: bool) -> tu
     return star, level
 
 
+def parity_sketches(tokens: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """Words of bits bits for each set of tokens: the parity of the tokens that fall on each bit."""
+    out, ends = [], np.cumsum(sizes)
+    step = max(1, (1 << 21) // bits)
+    at = (tokens.view(np.uint64) >> np.uint64(17)) & np.uint64(bits - 1)
+    for lo in range(0, len(sizes), step):
+        own = sizes[lo : lo + step]
+        first = int(ends[lo] - sizes[lo])
+        place = np.repeat(np.arange(len(own)), own) * bits + at[first : first + int(own.sum())].astype(np.int64)
+        out.append(words_of((np.bincount(place, minlength=len(own) * bits) & 1).reshape(-1, bits)))
+    return np.concatenate(out)
+
+
+def tile_links(x, y, percent: int, same: bool) -> tuple[list[tuple[int, int]], int]:
+    """(links, pairs verified) between the sets of two tiles, or of one (same): a forest of links.
+
+    A tile: reps, s, core, tokens, sizes (see _families). Two sets that link differ in no more tokens than both their
+    sizes less (s(x) + s(y)) / (100 + percent).
+    """
+    tiles = (x,) if same else (x, y)
+    reps, s, core, sizes = (np.concatenate([t[i] for t in tiles]) for i in (0, 1, 2, 4))
+    tokens = np.concatenate([t[3] for t in tiles])
+    spare = sizes - s / (100 + percent)
+    bits = 1 << min(16, max(6, int(32 * max(1.0, spare.max())).bit_length()))
+    sketch, n = parity_sketches(tokens, sizes, bits), len(x[0])
+    ends = np.cumsum(sizes)
+    parent, sets, links, verified = list(range(len(reps))), {}, [], 0
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def of(i):
+        if i not in sets:
+            sets[i] = np.sort(tokens[ends[i] - sizes[i] : ends[i]])
+        return sets[i]
+
+    hub = -1
+    for i in np.flatnonzero(core).tolist():  # linked through their centre
+        hub = i if hub < 0 else hub
+        parent[i] = hub
+    begin = 0 if same else n
+    for lo in range(0, n, 256):
+        met = bits_met(sketch[lo : lo + 256][: n - lo], sketch[begin:], np.bitwise_xor)
+        near = met <= spare[lo : min(n, lo + 256), None] + spare[begin:] + 1e-6
+        near &= ~(core[lo : min(n, lo + 256), None] & core[begin:])
+        i, j = np.nonzero(near)
+        order = np.argsort(met[i, j], kind="stable")
+        for a, b in zip((i[order] + lo).tolist(), (j[order] + begin).tolist(), strict=True):
+            if same and b <= a or root(a) == root(b):
+                continue
+            verified += 1
+            if len(np.intersect1d(of(a), of(b), assume_unique=True)) * 2 * (100 + percent) >= s[a] + s[b]:
+                parent[root(b)] = root(a)
+                links.append((int(min(reps[a], reps[b])), int(max(reps[a], reps[b]))))
+    return links, verified
+
+
+def _tile_pairs(percent):
+    def unpacked_tile(sets):
+        d = sets.field("d")
+        offsets = d.offsets.to_numpy()
+        return (
+            sets.field("rep").to_numpy(), sets.field("s").to_numpy(), sets.field("core").to_numpy(zero_copy_only=False),
+            d.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets).astype(np.int64),
+        )
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (unpacked_tile(batch.column(c)[i].values) for c in (1, 2))
+                links, verified = tile_links(x, y, percent, batch.column(0)[i].as_py())
+                rows = [(*link, 0) for link in links] + [(None, None, verified)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["a", "b", "verified"])
+
+    return run
+
+
+def _tiled(level: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of whole families: every pair of sets that isn't of the core is looked at once, in tiles.
+
+    level: rows of those families; sizes: g, rows, others, m of each. A family's other sets are dealt over tiles 0, 1, ...,
+    its core over those behind them; each tile of others meets itself and all tiles behind it, each pair of tiles a row of its own.
+    """
+    parts = lambda rows: F.ceil(F.greatest(rows / TILE_SETS, rows * F.col("m") / TILE_TOKENS)).cast("int")
+    parts = sizes.select("g", "rows", parts(F.col("others")).alias("first"), parts(F.col("rows") - F.col("others")).alias("last"))
+    at = F.xxhash64("rep")
+    place = F.when(F.col("core"), F.col("first") + F.pmod(at, F.greatest("last", F.lit(1)))).otherwise(F.pmod(at, F.greatest("first", F.lit(1)))).cast("int")
+    own = spread_join(level.select("g", "rep", "s", "core", "d"), written(parts, "tile-counts"), ["g"], "rows", "rep").withColumn("tile", place)
+    tiles = own.groupBy("g", "tile").agg(F.first("first").alias("first"), F.first("last").alias("last"), F.collect_list(F.struct("rep", "s", "core", "d")).alias("sets"))  # bounded by how rows are dealt
+    tiles = written(tiles, "tiles")
+    left = tiles.where("tile < first").select("g", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.greatest(F.col("tile"), F.col("first") + F.col("last") - 1))).alias("j"), F.col("sets").alias("x"))
+    right = tiles.select("g", F.explode(F.sequence(F.lit(0), F.least(F.col("tile"), F.col("first") - 1))).alias("i"), F.col("tile").alias("j"), F.col("sets").alias("y"))
+    pairs = left.join(right.hint("shuffle_merge"), ["g", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "x", "y")
+    found = written(mapped(pairs, _tile_pairs(percent), "a long, b long, verified long"), "tiled")
+    discard(tiles)
+    return found
+
+
+def _chosen(level: DataFrame, all_of_them: bool) -> DataFrame:
+    """g, rows, others, m and near of each family: near where looking at all pairs costs no more than its tokens as rows."""
+    sizes = level.groupBy("g").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("others"), F.avg(F.size("d")).alias("m"))
+    return written(sizes.withColumn("near", F.lit(True) if all_of_them else F.col("others") <= PAIRS_A_ROW * F.col("m")), "families")
+
+
+def _costly(met: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sizes (see _chosen), near where the pairs and families that meetings would make cost more than looking at all pairs."""
+    kinds = met.groupBy("g", "hub", "size", "last").agg(F.count("*").alias("rows"))  # rows: size times the tokens of a kind
+    pairs = F.when(F.col("size") <= GROUP, F.col("rows") * (F.col("size") - 1) / 2).otherwise(0)
+    apart = F.when(F.col("size") > GROUP, F.col("size")).otherwise(0)
+    costs = kinds.groupBy("g").agg(F.sum(pairs).alias("pairs"), F.sum(apart).alias("apart"), F.sum("rows").alias("met"))
+    cost = F.col("pairs") * (1 + VERIFY_COST * F.col("m")) + 5 * F.col("apart") * F.col("m")
+    near = F.col("others") * F.col("rows") <= PAIRS_A_ROW * cost
+    return written(costs.join(sizes.drop("near"), "g").select("g", "rows", "others", "m", "met", near.alias("near")), "costs")
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of sets (rep, n, tokens): round by round, small meetings as pairs and large ones as families."""
     level = sets.select(
         F.lit(0).cast("long").alias("g"), "rep", "n", F.col("tokens").alias("d"), (F.col("n") * 2 * percent).cast("long").alias("s"), F.lit(False).alias("core"),
-        F.ceil(F.col("n") * percent / 100).cast("long").alias("need"),  # a partner has percent of a hundred of n tokens at least
+        F.ceil(F.col("n") * percent / 100).cast("long").alias("need"), "sketch",  # a partner has percent of a hundred of n tokens at least
     )
-    found, old = [], None
+    found = []
     for turn in range(ROUNDS + 1):
-        prefix = _prefixes(level, percent)
-        met = _meetings(prefix, turn == 0)
-        pairs = _candidates(met if turn == ROUNDS else met.where("size <= most"), prefix, percent)
-        found.append(written(_verified(pairs, level, percent), "links"))
-        large = met.where("size > most")
-        if turn == ROUNDS or not large.limit(1).count():
-            discard(prefix, met, *([level] if old is not None else []))
+        rest = level
+        if turn:
+            sizes = _chosen(level, turn == ROUNDS)
+            dealt = written(spread_join(level, sizes.drop("others", "m"), ["g"], "rows", "rep"), "dealt")
+            found.append(_tiled(dealt.where("near"), sizes.where("near"), percent).where("a is not null").select("a", "b"))
+            rest = dealt.where("not near").drop("near")
+            if not rest.limit(1).count():
+                discard(level, dealt)
+                break
+        prefix = _prefixes(rest, percent)
+        met = _meetings(prefix)
+        if turn:
+            costs = _costly(met, sizes)
+            near = costs.where("near")
+            if near.limit(1).count():
+                whole = spread_join(rest, costs.select("g", "near", "rows"), ["g"], "rows", "rep", "left").where("near").drop("near")
+                found.append(_tiled(whole, near, percent).where("a is not null").select("a", "b"))
+                met = spread_join(met, costs.select("g", "near", F.col("met").alias("rows")), ["g"], "rows", "rep").where("not near").drop("near")
+        pairs = _candidates(met.where(f"size <= {GROUP}"), prefix, percent, None if turn or percent < 50 else level)  # sketches of sets that link are of one size or of two neighbouring ones from 50 on
+        found.append(written(_verified(pairs, rest, percent), "links"))
+        large = met.where(f"size > {GROUP}")
+        if not large.limit(1).count():
+            discard(prefix, *([level, dealt] if turn else []))
             break
-        star, new = _families(large, level, percent, turn == 0)
+        star, new = _families(large, rest, percent, turn == 0)
         found.append(written(star, "links"))
-        discard(prefix, met, *([level] if old is not None else []))
-        level = old = new
+        discard(prefix, *([level, dealt] if turn else []))
+        level = new
     links = found[0]
     for x in found[1:]:
         links = links.union(x)
