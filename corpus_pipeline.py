@@ -10,7 +10,7 @@ from rankmill.llm.line_dedup import line_dedup
 from rankmill.llm.mixing import mix_sources
 from rankmill.llm.ngram_join import drop_near_duplicates
 from rankmill.llm.quality_model import keep_quality
-from rankmill.llm.shared import documents, fresh, written
+from rankmill.llm.shared import discard, documents, fresh, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # a table of the stage before; nothing for the input
     return STAGES[-1][1](spark, docs, sf_dir)
