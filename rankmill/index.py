@@ -33,6 +33,7 @@ class Index:
     def __init__(self, spark: SparkSession, spec, codes: DataFrame | None = None):
         self.spark, self.spec, self.closed = spark, spec, False
         self._codes = codes if codes is not None else spark.createDataFrame([], "row_id long, value binary")
+        self._moves: mutate.Moves | None = None
 
     # what a family fills in
     def _encoder(self):
@@ -44,11 +45,11 @@ class Index:
         """(row_id, value): the packed codes."""
         if self.closed:
             raise ClosedError("the index is closed")
-        return self._codes
+        return self._codes if self._moves is None else self._moves.over(self._codes)
 
     @codes.setter
     def codes(self, table: DataFrame) -> None:
-        self._codes = table
+        self._codes, self._moves = table, None
 
     def close(self) -> None:
         """Nothing is done with a closed index; closing it again does nothing."""
@@ -109,13 +110,15 @@ class Index:
         return self
 
     def swap_remove(self, row_id: int) -> int:
-        """Removes a row, puts the last one in its place, and returns where that was."""
-        last = len(self) - 1
-        self.codes = mutate.swap_remove(self.codes, row_id)
-        return last
+        """Removes a row, puts the last one in its place, and returns where that was. keep() writes removals out."""
+        if self.closed:
+            raise ClosedError("the index is closed")
+        if self._moves is None:
+            self._moves = mutate.Moves(len(self))
+        return self._moves.remove(row_id)
 
     def __len__(self) -> int:
-        return self.codes.count()
+        return self.codes.count() if self._moves is None or self.closed else self._moves.rows
 
     @property
     def is_empty(self) -> bool:

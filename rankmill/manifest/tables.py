@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,15 +115,35 @@ class Registry:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{table}")
 
     def _add(self, table: str, rows: list[tuple], schema: str) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}")
+        # A folder of its own: writers at work in one folder would clear each other's unfinished files.
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{self.path}/{table}/{uuid.uuid4().hex}")
+
+    def _claimed(self, table: str, after: int) -> int:
+        """The next number of a table, by creating its file where nobody has: of two writers one makes it, the other goes on."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        seq = after
+        while True:
+            seq += 1
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/numbers/{table}/{seq}")
+            fs = p.getFileSystem(conf)
+            if fs.exists(p):
+                continue
+            fs.mkdirs(p.getParent())
+            try:
+                fs.create(p, False).close()
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception) and not fs.exists(p):
+                    raise
+            else:
+                return seq
 
     def _stamped(self, table: str, row: tuple, schema: str) -> None:
         from datetime import datetime, timezone
 
-        seq = (self._read(table, schema).agg(F.max("seq")).first()[0] or 0) + 1
+        seq = self._claimed(table, self._read(table, schema).agg(F.max("seq")).first()[0] or 0)
         self._add(table, [(*row, datetime.now(timezone.utc), seq)], schema)
 
     def reports(self) -> DataFrame:

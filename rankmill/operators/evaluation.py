@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +71,28 @@ def paired_bootstrap(pairs: DataFrame, a: str, b: str, rounds: int = 1000, seed:
     return {"delta": float(d.mean()), "low": low, "high": high, "within_noise": low <= 0 <= high}
 
 
+#: The chances that a Poisson number of mean 1 is at most 0, 1, 2, ...; what lies beyond is below 2 ** -52.
+POISSON = tuple(itertools.accumulate(math.exp(-1) / math.factorial(i) for i in range(18)))
+
+
+def resampled(per_query: DataFrame, baseline: str, rounds: int = 1000, seed: int = 0, low: float = 2.5, high: float = 97.5) -> DataFrame:
+    """(method, metric, delta, low, high, within_noise): each method's mean difference from the baseline, with its interval.
+
+    per_query: method, metric, query_id, value. A query counts in a round as often as a Poisson number says, drawn from a
+    hash of seed, query and round, so all methods and metrics of a round are of the same queries; all of them are one
+    aggregation and nothing goes to the driver. Queries that one side lacks are left out.
+    """
+    base = per_query.where(F.col("method") == baseline).select("metric", "query_id", F.col("value").alias("ev_base"))
+    d = per_query.where(F.col("method") != baseline).join(base, ["metric", "query_id"]).select("method", "metric", "query_id", (F.col("value") - F.col("ev_base")).alias("d"))
+    drawn = d.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("query_id").cast("string"), F.col("round").cast("string"))), 1, 13), 16, 10).cast("double") / 2.0**52
+    w = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    each = drawn.withColumn("w", w).groupBy("method", "metric", "round").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    ends = each.groupBy("method", "metric").agg(F.percentile("mean", low / 100).alias("low"), F.percentile("mean", high / 100).alias("high"))
+    means = d.groupBy("method", "metric").agg(F.avg("d").alias("delta"))
+    return means.join(ends, ["method", "metric"]).select("method", "metric", "delta", "low", "high", ((F.col("low") <= 0) & (F.col("high") >= 0)).alias("within_noise"))
+
+
 def latency_summary(timings: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:
     """Percentiles and queries per second of timing records."""
     return timings.groupBy(*by).agg(*(F.percentile(ms, p / 100).alias(f"p{p}") for p in (50, 95, 99)), (F.count("*") * 1000 / F.sum(ms)).alias("qps"))

@@ -64,6 +64,42 @@ def append(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.select(*table.columns))
 
 
+class Moves:
+    """Which rows of a table are gone and which stand in another's place, after any number of removals.
+
+    A removal is a change of a few entries here; the table is read through one join with them, however many there are.
+    """
+
+    def __init__(self, rows: int):
+        self.rows, self._at, self._gone = rows, {}, set()
+
+    def remove(self, place: int) -> int:
+        """Takes out what stands at place, puts the last row there, and returns where that was."""
+        if not 0 <= place < self.rows:
+            raise ParameterError("no such row")
+        last = self.rows - 1
+        tail = self._at.pop(last, last)
+        self._gone.add(self._at.get(place, place) if place != last else tail)
+        if place != last:
+            self._at[place] = tail
+        self.rows = last
+        return last
+
+    def __len__(self) -> int:
+        return len(self._gone)
+
+    def over(self, table: DataFrame, most: int = 500_000) -> DataFrame:
+        """table (row_id and more) as it stands now; the entries are broadcast up to most of them."""
+        if not self._gone:
+            return table
+        moved = [(row, place) for place, row in self._at.items()]
+        entries = table.sparkSession.createDataFrame([*moved, *((row, None) for row in self._gone)], "row_id long, mv_to long")
+        entries = entries.withColumn("mv_known", F.lit(True))
+        found = table.join(F.broadcast(entries) if len(moved) + len(self._gone) <= most else entries, "row_id", "left")
+        found = found.where("mv_known is null or mv_to is not null").withColumn("row_id", F.coalesce("mv_to", "row_id"))
+        return found.select(*table.columns)
+
+
 def swap_remove(table: DataFrame, row_id: int) -> DataFrame:
     """table without a row, the last row in its place."""
     last = table.agg(F.max("row_id")).first()[0]

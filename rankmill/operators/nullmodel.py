@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankmill.spec import ParameterError
@@ -51,6 +51,16 @@ def null_table(spark: SparkSession, dim: int, weight: int) -> DataFrame:
     return spark.createDataFrame(rows, "dim int, weight int, overlap int, fibers string, tail string, tail_prob double")
 
 
+def with_seen(table: DataFrame, seen: DataFrame) -> DataFrame:
+    """A null_table with how many pairs have each overlap (seen: overlap, seen) and the share of pairs with it or a larger one.
+
+    Both tables have a row for each overlap there can be.
+    """
+    t = table.join(seen.select("overlap", "seen"), "overlap", "left").withColumn("seen", F.coalesce("seen", F.lit(0)).cast("long"))
+    every, upto = Window.partitionBy("dim", "weight"), Window.partitionBy("dim", "weight").orderBy(F.desc("overlap"))
+    return t.withColumn("seen_share", F.try_divide(F.sum("seen").over(upto), F.sum("seen").over(every)))
+
+
 def with_tail_probability(found: DataFrame, dim: int, weight: int, overlap: str = "score") -> DataFrame:
     """found with tail_prob of its overlap column; the table that is broadcast has weight + 1 rows."""
     t = null_table(found.sparkSession, dim, weight).select(F.col("overlap").alias("nm_overlap"), "tail_prob")

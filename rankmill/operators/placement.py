@@ -3,6 +3,7 @@ directions by several rules, and the neighbourhoods of rank codes."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from statistics import NormalDist
 
@@ -15,6 +16,7 @@ from rankmill.functions.kernels import Scorer
 from rankmill.operators import research, search
 from rankmill.operators.mutate import with_row_ids
 from rankmill.spec import ParameterError
+from rankmill.storage import written
 
 
 def spiral(count: int) -> np.ndarray:
@@ -91,8 +93,15 @@ def spiral_directions(dim: int, count: int, seed: int | None = None, away: np.nd
     return kernels.unit(d)
 
 
-#: Bases of the radical inverses and numbers under the roots, an axis each.
-PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89, 97, 101, 103, 107, 109, 113, 127, 131)
+def primes(count: int) -> list[int]:
+    """The first count primes: bases of the radical inverses and numbers under the roots, an axis each."""
+    found: list[int] = []
+    n = 2
+    while len(found) < count:
+        if all(n % p for p in itertools.takewhile(lambda p: p * p <= n, found)):
+            found.append(n)
+        n += 1
+    return found
 
 
 def _radical_inverse(i: int, base: int) -> float:
@@ -114,10 +123,11 @@ def subspace_directions(kind: str, count: int, k: int, seed: int = 0) -> np.ndar
         if kind == "axes":
             d[: min(count, k)] = np.eye(k)[: min(count, k)]
         return kernels.unit(d)
+    base = primes(k)
     if kind == "net":
-        place = lambda i, a: _radical_inverse(i, PRIMES[a % len(PRIMES)])
+        place = lambda i, a: _radical_inverse(i, base[a])
     elif kind == "additive":
-        place = lambda i, a: math.sqrt(PRIMES[a % len(PRIMES)]) * i % 1.0
+        place = lambda i, a: math.sqrt(base[a]) * i % 1.0
     else:
         raise ParameterError("directions are random, net, additive or axes")
     normal = NormalDist()
@@ -129,17 +139,23 @@ def half_space_discrepancy(axes: np.ndarray, normals: np.ndarray) -> float:
     return float(np.abs(((axes @ normals.T) > 0).mean(0) - 0.5).max())
 
 
-def router_recall(vectors: DataFrame, queries: DataFrame, truth: DataFrame, arms: dict[str, np.ndarray], radii: list[int], buckets: int = 16) -> DataFrame:
+def router_recall(vectors: DataFrame, queries: DataFrame, truth: DataFrame, arms: dict[str, np.ndarray], radii: list[int], buckets: int = 16, calibrated: bool = False) -> DataFrame:
     """(arm, radius, scanned, recall): for each set of directions, the rows a query's buckets hold on average, and the share
-    of its true rows among them. Projections are taken apart by equal widths, so rows need not be centred."""
-    asked_, true = queries.select("query_id").distinct().count(), truth.select("query_id", "row_id").distinct()
+    of its true rows among them. Rows are counted in united bitmaps, and true rows alone are looked up.
+
+    calibrated: buckets between quantiles; else of equal width, so rows need not be centred.
+    """
+    asked_, true = queries.select("query_id").distinct().count(), truth.select(F.col("query_id").cast("long").alias("query_id"), "row_id").distinct()
     n, out = true.count(), None
     for arm, axes in arms.items():
+        placed, own = research.buckets_of(vectors, queries, axes, buckets, calibrated)
+        posted, own = written(research.postings(placed), "postings"), written(own, "asked")
+        found = placed.join(true, "row_id").select("query_id", "row_id", "axis", "bucket")
         for radius in radii:
-            found = research.route(vectors, queries, axes=axes, buckets=buckets, radius=radius)
-            hit = found.join(true.withColumn("pl_true", F.lit(1)), ["query_id", "row_id"], "left")
-            row = hit.agg(F.count("*").alias("rows"), F.coalesce(F.sum("pl_true"), F.lit(0)).alias("hits"))
-            row = row.select(F.lit(arm).alias("arm"), F.lit(radius).alias("radius"), (F.col("rows") / max(asked_, 1)).alias("scanned"), (F.col("hits") / max(n, 1)).alias("recall"))
+            near = research.near_buckets(own, radius)
+            rows = research.united(posted, near).agg(F.coalesce(F.sum(F.bitmap_count("rows")), F.lit(0)).alias("rows"))
+            hits = found.join(near, ["query_id", "axis", "bucket"]).select("query_id", "row_id").distinct().agg(F.count("*").alias("hits"))
+            row = rows.join(F.broadcast(hits)).select(F.lit(arm).alias("arm"), F.lit(radius).alias("radius"), (F.col("rows") / max(asked_, 1)).alias("scanned"), (F.col("hits") / max(n, 1)).alias("recall"))  # one row each
             out = row if out is None else out.union(row)
     return out
 

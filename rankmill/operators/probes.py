@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankmill.functions import encode, kernels
 from rankmill.functions.kernels import Scorer
 from rankmill.operators import research, search
+from rankmill.operators.mutate import with_row_ids
 from rankmill.spec import ParameterError
 
 
@@ -194,11 +195,31 @@ def frequency_profile(codes: DataFrame, buckets: int, column: str = "codes") ->
 
 
 def mixed_corpus(parts: list[tuple[DataFrame, int]], seed: int = 0) -> DataFrame:
-    """(row_id, part, embedding): so many rows of each part, those of smallest hash, in a hashed order."""
-    from rankmill.operators.mutate import with_row_ids
+    """(row_id, part, embedding): so many rows of each part, those of smallest hash, in a hashed order.
 
+    A part's rows are numbered by ranges of their hashes, so no task holds a whole part.
+    """
     out = None
     for i, (part, rows) in enumerate(parts):
-        own = part.select(F.lit(i).alias("part"), F.xxhash64(F.lit(seed), F.lit(i), "row_id").alias("mix_at"), "embedding").orderBy("mix_at").limit(rows)
+        own = part.select(F.lit(i).alias("part"), F.xxhash64(F.lit(seed), F.lit(i), "row_id").alias("mix_at"), "embedding")
+        own = with_row_ids(own, "mix_at").where(F.col("row_id") < rows).drop("row_id")
         out = own if out is None else out.union(own)
     return with_row_ids(out, "mix_at").select("row_id", "part", "embedding")
+
+
+def length_mixture(parts: list[DataFrame], dim: int, drop_bad: bool = True) -> DataFrame:
+    """(row_id, part, source, embedding): all rows of parts (row_id, embedding), such as one corpus cut at several lengths,
+    behind each other; source is a row's id in its part.
+
+    drop_bad: without rows that have a coordinate that is null or not a number, or that are zero throughout. A row of
+    another dimension fails the job.
+    """
+    out = None
+    for i, part in enumerate(parts):
+        own = part.select(F.lit(i).alias("part"), F.col("row_id").cast("long").alias("source"), F.col("embedding").cast("array<float>").alias("embedding"))
+        out = own if out is None else out.union(own)
+    known = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a row doesn't have {dim} coordinates")).cast("array<float>"))
+    out = out.withColumn("embedding", known)
+    if drop_bad:
+        out = out.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+    return with_row_ids(out.withColumn("lm_key", F.struct("part", "source")), "lm_key").select("row_id", "part", "source", "embedding")

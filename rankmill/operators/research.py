@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.functions import kernels
+from rankmill.operators.cells import nearest_cells, with_cells
+from rankmill.operators.mutate import with_row_ids
 from rankmill.operators.search import search, top_k
-from rankmill.spec import ParameterError
 
 
+#: Ids in a block of a bitmap, and one part in how many a sketch of quantiles may be off.
+BITMAP_IDS, QUANTILE_ACCURACY = 32_768, 100_000
 #: Tasks that sum up the moments of all others.
 MOMENT_TASKS = 32
 
@@ -44,23 +47,62 @@ def _projected(axes):
     return run
 
 
-def route(vectors: DataFrame, queries: DataFrame, count: int = 4, buckets: int = 16, radius: int = 1, seed: int = 0, axes: np.ndarray | None = None, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+def buckets_of(vectors: DataFrame, queries: DataFrame, axes: np.ndarray, buckets: int = 16, calibrated: bool = False, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """((row_id, axis, bucket), (query_id, axis, bucket)): in which bucket rows and queries lie on each axis.
+
+    Buckets are of equal width between the least and the largest projection of the corpus; calibrated: between its
+    quantiles, from a sketch of each axis, so that all hold about as many rows.
+    """
+    side = lambda t, i: t.select(F.col(i).cast("long").alias("row_id"), F.col(vector).cast("array<float>")).mapInArrow(_projected(axes), "row_id long, p array<double>")
+    rows, asked = (side(t, i).select("row_id", F.posexplode("p").alias("axis", "x")) for t, i in ((vectors, row_id), (queries, query_id)))
+    if calibrated:
+        cuts = F.percentile_approx("x", [i / buckets for i in range(1, buckets)], QUANTILE_ACCURACY)
+        ends, bucket = rows.groupBy("axis").agg(cuts.alias("cuts")), F.size(F.filter("cuts", lambda c: c < F.col("x")))
+    else:
+        ends = rows.groupBy("axis").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+        bucket = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((F.col("x") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * buckets))).cast("int")
+    placed = lambda t: t.join(F.broadcast(ends), "axis").select("row_id", "axis", bucket.alias("bucket"))  # noqa: E731  (ends: a row an axis)
+    return placed(rows), placed(asked).withColumnRenamed("row_id", "query_id")
+
+
+def near_buckets(asked: DataFrame, radius: int) -> DataFrame:
+    """asked (query_id, axis, bucket) with every bucket within radius in place of its own."""
+    return asked.select("query_id", "axis", F.explode(F.sequence(F.col("bucket") - radius, F.col("bucket") + radius)).alias("bucket"))
+
+
+def postings(placed: DataFrame) -> DataFrame:
+    """(axis, bucket, block, rows): the row ids of each bucket as bitmaps, a block of 32,768 ids each.
+
+    A bucket's ids lie in as many rows as it has blocks, so no task holds a whole bucket.
+    """
+    return placed.groupBy("axis", "bucket", F.bitmap_bucket_number("row_id").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row_id")).alias("rows"))
+
+
+def united(posted: DataFrame, near: DataFrame) -> DataFrame:
+    """(query_id, block, rows): bitmaps of the rows that any of a query's buckets holds, without a row of their own for each."""
+    return near.join(posted, ["axis", "bucket"]).groupBy("query_id", "block").agg(F.bitmap_or_agg("rows").alias("rows"))
+
+
+def route(vectors: DataFrame, queries: DataFrame, count: int = 4, buckets: int = 16, radius: int = 1, seed: int = 0, axes: np.ndarray | None = None, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", calibrated: bool = False) -> DataFrame:
     """(query_id, row_id): rows that share a bucket, or one within radius, with the query on one of count projections.
 
-    Buckets are of equal width between the least and the largest projection of the corpus. axes: the projections, a row
-    each; None: random ones.
+    axes: the projections, a row each; None: random ones. Buckets are those of buckets_of(). Row ids are not negative. A query's
+    rows are united as bitmaps, and become rows at the end.
     """
     if axes is None:
         axes = directions(len(queries.select(vector).first()[0]), count, seed)
-    rows = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vector).cast("array<float>")).mapInArrow(_projected(axes), "row_id long, p array<double>")
-    qs = queries.select(F.col(query_id).cast("long").alias("row_id"), F.col(vector).cast("array<float>")).mapInArrow(_projected(axes), "row_id long, p array<double>")
-    long = rows.select("row_id", F.posexplode("p").alias("axis", "x"))
-    ends = long.groupBy("axis").agg(F.min("x").alias("low"), F.max("x").alias("high"))  # a row an axis
-    bucket = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((F.col("x") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * buckets))).cast("int")
-    placed = long.join(F.broadcast(ends), "axis").select("row_id", "axis", bucket.alias("bucket"))
-    near = qs.select(F.col("row_id").alias("query_id"), F.posexplode("p").alias("axis", "x")).join(F.broadcast(ends), "axis")
-    near = near.select("query_id", "axis", F.explode(F.sequence(bucket - radius, bucket + radius)).alias("bucket"))
-    return placed.join(near, ["axis", "bucket"]).select("query_id", "row_id").distinct()
+    placed, asked = buckets_of(vectors, queries, axes, buckets, calibrated, row_id, query_id, vector)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for q, block, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(rows, np.uint8), bitorder="little"))
+                ids = at + (0 if block == 0 else (block - 1) * BITMAP_IDS + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids)], names=["query_id", "row_id"])
+
+    return united(postings(placed), near_buckets(asked, radius)).mapInArrow(run, "query_id long, row_id long")
 
 
 def _moments(vectors: DataFrame, vector: str):
@@ -105,19 +147,7 @@ def principal_axes(vectors: DataFrame, count: int, vector: str = "embedding") ->
 
 def cell_keys(vectors: DataFrame, axes: np.ndarray, row_id: str = "row_id", vector: str = "embedding", mean: np.ndarray | None = None) -> DataFrame:
     """(row_id, cell): the signs of a row's projections as bits; of its difference from mean, where that is given."""
-    p = vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(vector).cast("array<float>")).mapInArrow(_projected(axes), "row_id long, p array<double>")
-    low = F.array(*(F.lit(float(x)) for x in (axes @ mean if mean is not None else np.zeros(len(axes)))))
-    bit = lambda a, i: a + F.when(F.get("p", i) > F.get(low, i), F.pow(F.lit(2.0), i)).otherwise(0.0)
-    return p.select("row_id", F.aggregate(F.sequence(F.lit(0), F.lit(len(axes) - 1)), F.lit(0.0), bit).cast("long").alias("cell"))
-
-
-def nearest_cells(keys: DataFrame, bits: int, probes: int, key: str = "cell") -> DataFrame:
-    """keys with probe (from 1), distance and near: the probes cells of least Hamming distance, then least number, of all 2^bits."""
-    if not 0 < probes or not 0 < bits <= 20:
-        raise ParameterError("probes must be positive and bits from 1 to 20")
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda c: F.struct(F.bit_count(c.cast("long").bitwiseXOR(F.col(key))).alias("distance"), c.cast("long").alias("near"))))
-    at = keys.select("*", F.posexplode(F.slice(order, 1, probes)).alias("rs_at", "rs_to"))
-    return at.select(*keys.columns, (F.col("rs_at") + 1).alias("probe"), F.col("rs_to")["distance"].alias("distance"), F.col("rs_to")["near"].alias("near"))
+    return with_cells(vectors.select(F.col(row_id).cast("long").alias("row_id"), vector), axes, mean, vector).select("row_id", "cell")
 
 
 def cell_candidates(vectors: DataFrame, queries: DataFrame, axes: np.ndarray, probes: int, mean: np.ndarray | None = None, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -134,9 +164,8 @@ def principal_cell_candidates(vectors: DataFrame, queries: DataFrame, bits: int,
 
 
 def gini(sizes: DataFrame, column: str = "n") -> DataFrame:
-    """(gini): how uneven the sizes of cells are; 0: all equal. Cells are few beside the rows in them."""
-    w = Window.orderBy(column, "cell")
-    s = sizes.withColumn("i", F.row_number().over(w))
+    """(gini): how uneven the sizes of cells are; 0: all equal. Cells are numbered by ranges of their sizes."""
+    s = with_row_ids(sizes.select(column, F.struct(column, "cell").alias("rs_key")), "rs_key").withColumn("i", F.col("row_id") + 1)
     return s.agg((2 * F.sum(F.col("i") * F.col(column)) / (F.count("*") * F.sum(column)) - (F.count("*") + 1) / F.count("*")).alias("gini"))
 
 

@@ -436,16 +436,17 @@ def candidates(vectors, queries, scorer: Scorer, m: int, **names) -> DataFrame:
     return search(vectors, queries, scorer, m, **names).select("query_id", (F.col("rank") - 1).alias("pos"), "row_id")
 
 
-def two_stage(vectors, queries, first: Scorer, second: Scorer, m: int, k: int, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, decode=None, beside: str | None = None) -> DataFrame:
+def two_stage(vectors, queries, first: Scorer, second: Scorer, m: int, k: int, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", code: str | None = None, decode=None, beside: str | None = None, size: int | None = None) -> DataFrame:
     """m candidates by the first score, the k best of them by the second, in one pass over the rows.
 
     A task keeps the m best rows of each query with what the second score needs of them (second.small), scores them at its
     end, and hands on m ids and both scores a query. beside: a second column of packed codes, of which second.lift makes
-    what its score takes; without it, both scores come from the vectors.
+    what its score takes; without it, both scores come from the vectors. size: queries of a block at most.
     """
     if not m or not k:
         return vectors.sparkSession.createDataFrame([], RESULT)
-    size = lambda dim: max(1, min(QUERY_BLOCK, HEAP_BYTES // (m * (24 + dim * second.width))))
+    most = size or QUERY_BLOCK
+    size = lambda dim: max(1, min(most, HEAP_BYTES // (m * (24 + dim * second.width))))
     found = _over(Rows(vectors, row_id, vector, code, decode, beside), queries, lambda block: _Two(first, second, m, block), "query_id long, ids binary, cheap binary, exact binary", query_id, vector, size)
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(first.largest, second.largest, m, k), RESULT)
 

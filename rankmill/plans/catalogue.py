@@ -381,9 +381,14 @@ _FACT = "CASE WHEN {n} < 0 OR {k} < 0 OR {k} > {n} THEN 0::DOUBLE ELSE round(exp
 _NULL = f"f AS (SELECT o, {_FACT.format(n=TOP, k='o')} * {_FACT.format(n=DIM - TOP, k=f'({TOP} - o)')} AS c FROM range({TOP + 1}) AS t(o)), p AS (SELECT o, sum(c) OVER (ORDER BY o DESC) / sum(c) OVER () AS p FROM f)"
 
 
-@query(f"WITH {_NULL} SELECT {DIM}::INT AS dim, {TOP}::INT AS weight, o::INT AS overlap, round(p, 9) AS tail_prob FROM p")
+@query(f"""WITH {BASE}, {_NULL}, q AS (SELECT * FROM v WHERE id % 100 = 0), s AS (SELECT {SQL_OVERLAP} AS o, count(*) AS n FROM q, v GROUP BY 1), a AS (SELECT sum(n) AS a FROM s)
+SELECT {DIM}::INT AS dim, {TOP}::INT AS weight, p.o::INT AS overlap, round(p, 9) AS tail_prob, coalesce(n, 0)::BIGINT AS seen, round((SELECT coalesce(sum(n), 0) FROM s WHERE s.o >= p.o) / a, 9)::DOUBLE AS seen_share FROM p LEFT JOIN s ON s.o = p.o, a""")
 def overlap_null_table(spark, sf_dir):
-    return nullmodel.null_table(spark, DIM, TOP).select("dim", "weight", "overlap", F.round("tail_prob", 9).alias("tail_prob"))
+    """What chance says of each overlap, beside how often queries and rows have it."""
+    v = vectors(spark, sf_dir)
+    seen = search.histogram(v, asked(v), K.bitmap_overlap(TOP)).groupBy(F.col("score").alias("overlap")).agg(F.sum("n").alias("seen"))
+    t = nullmodel.with_seen(nullmodel.null_table(spark, DIM, TOP), seen)
+    return t.select("dim", "weight", "overlap", F.round("tail_prob", 9).alias("tail_prob"), "seen", F.round("seen_share", 9).alias("seen_share"))
 
 
 @query(f"WITH {_NULL} SELECT s.query_id, s.rank, s.row_id, s.score, round(p.p, 9) AS tail_prob FROM ({scored(SQL_OVERLAP)}) s JOIN p ON p.o = s.score")

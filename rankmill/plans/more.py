@@ -5,8 +5,6 @@ They are registered in the catalogue's tables; the inputs are those of the catal
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -17,12 +15,12 @@ from rankmill.functions import kernels as K
 from rankmill.operators import codes as CO
 from rankmill.operators import contingency as C
 from rankmill.operators import evaluation as V
-from rankmill.operators import nullmodel, probes, report, search, validate
+from rankmill.operators import cells, nullmodel, probes, report, research, search, validate
 from rankmill.plans import catalogue as cat
-from rankmill.plans.catalogue import AXES, BASE, CELLS, DIM, KEEP, QUERIES, SQL_FLAT, SQL_HAMMING, SQL_OVERLAP, STAGE, TOP, asked, coded, query, recall_sql, rounded, scored, sql_asym, sql_sym, summed, truth, vectors
+from rankmill.plans.catalogue import AXES, BASE, CELLS, DIM, KEEP, QUERIES, SQL_FLAT, SQL_HAMMING, SQL_OVERLAP, STAGE, TOP, asked, coded, judged, metric_sql, query, recall_sql, rounded, scored, sql_asym, sql_sym, stage_sql, summed, truth, vectors
 from rankmill.sources import formats, results
 from rankmill.spec import CandidatePolicy, ParameterError
-from rankmill.storage import shared_dir
+from rankmill.storage import place
 
 # ---- wider vectors: two words a bitmap. The second half is the first one reversed, times -1/2.
 
@@ -191,12 +189,14 @@ def code_faults(spark, sf_dir):
     return t.select("row_id", validate.is_permutation(r, DIM).alias("permutation"), validate.is_balanced(c, DIM, 4).alias("balanced"), validate.popcount(bits).alias("ones"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'falling'), (1, 'length'), (2, 'gap'), (2, 'length'), (3, 'unknown_row'), (4, 'too_many'), (5, 'gap')) AS t(query_id, code)""")
+@query("""WITH q AS (SELECT vec_id AS id, (vec_id // 100) % 5 AS k FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT * FROM (VALUES (1, 'length'), (1, 'unknown_row'), (2, 'length'), (3, 'falling'), (3, 'length'), (4, 'gap')) AS r(k, code))
+SELECT id AS query_id, code FROM q JOIN r ON q.k = r.k""")
 def csr_faults(spark, sf_dir):
-    """VAL-6."""
-    rows = [(0, 0, 2, [1, 2]), (1, 2, 1, []), (2, 2, 4, [3]), (3, 4, 5, [99]), (4, 5, 9, [1, 2, 0, 1]), (5, 10, 11, [0])]
-    lists = spark.createDataFrame(rows, "query_id int, start long, end long, candidates array<long>")
-    return validate.csr_issues(lists, 3).where("query_id <> 2 or code <> 'unknown_row'")
+    """VAL-6: candidate lists of all queries, a fault planted in most."""
+    v = vectors(spark, sf_dir)
+    lists, k = search.csr(search.candidates(v, asked(v), K.sign_hamming(), 5)), F.floor(F.col("query_id") / 100) % 5
+    lists = lists.withColumn("candidates", F.when(k == 1, F.concat("candidates", F.array(F.lit(1 << 40)))).when(k == 2, F.slice("candidates", 1, 4)).otherwise(F.col("candidates")))
+    return validate.csr_issues(lists.withColumn("end", F.when(k == 3, F.col("start") - 1).otherwise(F.col("end"))), v.count())
 
 
 @query("SELECT n::BIGINT AS n, n <= 67108864 AS fits FROM (VALUES (0), (67108864), (67108865), (4294967296)) AS t(n)")
@@ -352,7 +352,7 @@ def _made(spark, sf_dir):
 def _folder(spark):
     import os
 
-    found = f"{shared_dir(spark).removeprefix('file://')}/files-{uuid.uuid4().hex}"
+    found = place(spark, "files").removeprefix("file://")
     os.makedirs(found, exist_ok=True)
     return found
 
@@ -387,13 +387,13 @@ def file_metadata(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, magic string, format_version int, dim int, vector_count long, bytes_per_vec int, bits int, n_top int, file_size_bytes long, probed boolean")
 
 
-@query("SELECT vec_id AS row_id, pos::INT AS pos, x::FLOAT AS x FROM (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id < 100)")
+@query("SELECT vec_id AS row_id, pos::INT AS pos, x::FLOAT AS x FROM (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding) AS x FROM embeddings)")
 def npy_roundtrip(spark, sf_dir):
     """IO-10."""
     path = f"{_folder(spark)}/x.npy"
     x = [r.embedding for r in vectors(spark, sf_dir).orderBy("row_id").select("embedding").toLocalIterator()]
     np.save(path, np.array(x, np.float32))
-    return formats.read_npy(spark, path, 100).select("row_id", F.posexplode("embedding").alias("pos", "x"))
+    return formats.read_npy(spark, path).select("row_id", F.posexplode("embedding").alias("pos", "x"))
 
 
 @query(f"SELECT 'd' AS dataset, 'b2' AS method, query_id::VARCHAR AS query_id, row_id::VARCHAR AS doc_id, score, (rank - 1)::INT AS pos FROM ({scored(sql_asym(2))})")
@@ -412,11 +412,11 @@ def _timings(spark, sf_dir):
     return v.select("row_id", F.concat(F.lit("m"), F.col("row_id") % 3).alias("method"), (100 * (1 + F.col("row_id") % 2)).alias("n_docs"), (F.col("row_id") / 8).alias("ms"))
 
 
-@query(f"WITH t AS ({_RUNS}) SELECT 'd' AS dataset, method, n_docs, ms AS query_latency_ms_p50, ms * 2 AS queries_per_second FROM t WHERE vec_id < 60")
+@query(f"WITH t AS ({_RUNS}) SELECT 'd' AS dataset, method, n_docs, ms AS query_latency_ms_p50, ms * 2 AS queries_per_second FROM t")
 def timing_records(spark, sf_dir):
     """IO-13."""
     path = f"{_folder(spark)}/timings"
-    t = _timings(spark, sf_dir).where("row_id < 60")
+    t = _timings(spark, sf_dir)
     results.append_timings(t.select(F.lit("d").alias("dataset"), "method", "n_docs", F.col("ms").alias("query_latency_ms_p50"), (F.col("ms") * 2).alias("queries_per_second")), path)
     return results.read_timings(spark, path).select("dataset", "method", "n_docs", "query_latency_ms_p50", "queries_per_second")
 
@@ -492,11 +492,11 @@ def row_identity_faults(spark, sf_dir):
 
 def _run(v, q):
     """A run with repeats: each query's rows by a rule, the last of a document standing."""
-    rows = v.select("row_id").where("row_id < 60")
+    rows = v.select("row_id")
     return C.with_queries(rows, q.select("query_id")).select("query_id", F.concat(F.lit("d"), F.col("row_id") % 40).alias("doc_id"), ((F.col("row_id") * 7 + F.col("query_id")) % 53).cast("double").alias("score"), F.col("row_id").alias("pos"))
 
 
-_RUN = "r AS (SELECT q.vec_id AS query_id, 'd' || (v.vec_id % 40) AS doc_id, ((v.vec_id * 7 + q.vec_id) % 53)::DOUBLE AS score, v.vec_id AS pos FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id < 60)"
+_RUN = "r AS (SELECT q.vec_id AS query_id, 'd' || (v.vec_id % 40) AS doc_id, ((v.vec_id * 7 + q.vec_id) % 53)::DOUBLE AS score, v.vec_id AS pos FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"
 _LAST = "l AS (SELECT query_id, doc_id, arg_max(score, pos) AS score FROM r GROUP BY 1, 2)"
 _GRADED = "j AS (SELECT q.vec_id AS query_id, 'd' || d.d AS doc_id, ((d.d + q.vec_id / 100) % 4)::INT AS rel FROM embeddings q, range(50) AS d(d) WHERE q.vec_id % 100 = 0)"
 
@@ -681,3 +681,76 @@ def projections_by_name(spark, sf_dir):
     asked_for = {"top_overlap": None, "diagonal_agreement": None, "band_agreement": 2, "top_group_overlap": 3, "bucket_l1_distance": None}
     each = F.array(*(F.struct(F.lit(n).alias("name"), C.projection(n, F.col("counts"), 4, p).cast("long").alias("value")) for n, p in asked_for.items()))
     return cat.tables(spark, sf_dir).select("query_id", "row_id", F.explode(each).alias("p")).select("query_id", "row_id", "p.name", "p.value")
+
+
+# ---- cells and intervals
+
+CELL_AXES = research.directions(DIM, 9, 4)
+_CELL_AXES = ", ".join(f"({i}, [{', '.join(repr(float(x)) for x in a)}])" for i, a in enumerate(CELL_AXES))
+
+
+@query(f"""WITH {BASE}, axes(i, d) AS (VALUES {_CELL_AXES}), c AS (SELECT v.id, sum(CASE WHEN {summed('v.x[i] * axes.d[i]')} > 0 THEN 1 << axes.i ELSE 0 END)::BIGINT AS cell FROM v, axes GROUP BY 1),
+p AS (SELECT id AS query_id, near, bit_count(xor(cell, near)) AS distance, row_number() OVER (PARTITION BY id ORDER BY bit_count(xor(cell, near)), near) AS probe FROM c, range(512) AS t(near) WHERE id % 100 = 0)
+SELECT query_id, probe::INT AS probe, distance::INT AS distance, c.cell, c.id AS row_id FROM p JOIN c ON c.cell = p.near WHERE probe <= 12""")
+def cell_layout_probe(spark, sf_dir):
+    """CND-16, EXP-9: rows laid out by cell, and the twelve cells nearest to each query's read."""
+    v = vectors(spark, sf_dir)
+    laid = cells.CellTable(spark, place(spark, "cells"), CELL_AXES).write(v.select("row_id", "embedding"))
+    return laid.probe(asked(v), 12).select("query_id", "probe", "distance", "cell", "row_id")
+
+
+@query(f"WITH {BASE}, q AS (SELECT * FROM v WHERE id % 100 = 0), s AS (SELECT q.id AS query_id, {SQL_HAMMING} AS score FROM q, v) SELECT query_id, score::INT AS score, count(*) AS n FROM s GROUP BY 1, 2")
+def sign_histogram(spark, sf_dir):
+    """CND-13: how many rows have each distance, counted in the tasks."""
+    v = vectors(spark, sf_dir)
+    return search.histogram(v, asked(v), K.sign_hamming())
+
+
+def _one_pass(n_top):
+    def run(spark, sf_dir):
+        v = vectors(spark, sf_dir)
+        ix = I.TwoStageIndex(spark, DIM, 2, n_top).add(v, "row_id")
+        return rounded(ix.search_two_stage(asked(v), KEEP, CandidatePolicy(STAGE, 1, STAGE)))
+
+    return run
+
+
+query(stage_sql(SQL_HAMMING, "ASC", sql_asym(2), STAGE), "one_pass_sign_b2")(_one_pass(None))
+query(stage_sql(SQL_OVERLAP, "DESC", sql_asym(2), STAGE), "one_pass_bitmap_b2")(_one_pass(TOP))
+
+ROUNDS = 200
+_DRAW = "('0x' || substr(md5('0:' || query_id || ':' || round), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_WEIGHT = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in V.POISSON)
+_RUNS_OF = {"b2": sql_asym(2), "b1": sql_asym(1), "flat": SQL_FLAT}
+
+
+@query(f"""WITH a AS ({' UNION ALL '.join(f"SELECT '{m}' AS method, query_id, ndcg, mrr FROM ({metric_sql(scored(x))})" for m, x in _RUNS_OF.items())}),
+l AS (SELECT method, 'ndcg' AS metric, query_id, ndcg AS value FROM a UNION ALL SELECT method, 'mrr', query_id, mrr FROM a),
+d AS (SELECT l.method, l.metric, l.query_id, l.value - b.value AS d FROM l JOIN l AS b ON l.metric = b.metric AND l.query_id = b.query_id WHERE b.method = 'flat' AND l.method <> 'flat'),
+u AS (SELECT d.*, round, {_DRAW} AS u FROM d, range(1, {ROUNDS + 1}) AS t(round)), w AS (SELECT *, {_WEIGHT} AS w FROM u), r AS (SELECT method, metric, round, sum(w * d) / nullif(sum(w), 0) AS mean FROM w GROUP BY 1, 2, 3),
+e AS (SELECT method, metric, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM r GROUP BY 1, 2), m AS (SELECT method, metric, avg(d) AS delta FROM d GROUP BY 1, 2)
+SELECT m.method, m.metric, round(delta, 5) AS delta, round(low, 5) AS low, round(high, 5) AS high, low <= 0 AND high >= 0 AS within_noise FROM m JOIN e ON m.method = e.method AND m.metric = e.metric""")
+def bootstrap_intervals(spark, sf_dir):
+    """EVL-8: differences from exact search with their intervals, all methods, metrics and rounds in one aggregation."""
+    v = vectors(spark, sf_dir)
+    truth_of, parts = judged(spark, sf_dir), None
+    for m, scorer in (("b2", K.bucket_asymmetric(DIM, 2)), ("b1", K.bucket_asymmetric(DIM, 1)), ("flat", K.inner_product())):
+        run = rounded(search.search(v, asked(v), scorer, KEEP)).select("query_id", F.col("row_id").alias("doc_id"), "score")
+        part = V.metrics_at(run, truth_of, KEEP).select(F.lit(m).alias("method"), "query_id", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.round(c, 6).alias("value")) for c in ("ndcg", "mrr")))).alias("v")).select("method", "v.metric", "query_id", "v.value")
+        parts = part if parts is None else parts.union(part)
+    found = V.resampled(parts, "flat", ROUNDS)
+    return found.select("method", "metric", *(F.round(c, 5).alias(c) for c in ("delta", "low", "high")), "within_noise")
+
+
+_CUT = "list_transform(range(1, 65), lambda i: CASE WHEN i <= l AND vec_id % 7 <> 3 THEN embedding[i] ELSE 0 END)"
+
+
+@query(f"""WITH p AS (SELECT vec_id, part, {_CUT} AS e FROM embeddings, (VALUES (0, 16), (1, 40), (2, 64)) AS t(part, l) WHERE part = 0 OR vec_id % 2 = 0)
+SELECT row_number() OVER (ORDER BY part, vec_id) - 1 AS row_id, part::INT AS part, vec_id AS source, round(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE)), 5) AS size FROM p WHERE len(list_filter(e, lambda x: x <> 0)) > 0""")
+def length_mixture(spark, sf_dir):
+    """EXP-11: one corpus at three lengths, rows without any content left out."""
+    v = vectors(spark, sf_dir)
+    cut = lambda n: F.transform("embedding", lambda x, i: F.when((i < n) & (F.col("row_id") % 7 != 3), x).otherwise(F.lit(0.0).cast("float")))
+    parts = [t.select("row_id", cut(n).alias("embedding")) for t, n in ((v, 16), (v.where("row_id % 2 = 0"), 40), (v.where("row_id % 2 = 0"), 64))]
+    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return probes.length_mixture(parts, DIM).select("row_id", "part", "source", F.round(size, 5).alias("size"))

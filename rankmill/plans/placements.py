@@ -72,6 +72,17 @@ def placed_routers(spark, sf_dir):
     return _rounded(P.router_recall(v, asked(v), truth(spark, sf_dir), PLACED, [0, 1]), "scanned", "recall")
 
 
+_CUTS = ", ".join(str(i / 16) for i in range(1, 16))
+_CALIBRATED = _router({"random": AXES}, [0, 1, 2]).replace("min(x) AS low, max(x) AS high", f"quantile_disc(x, [{_CUTS}]) AS cuts").replace("greatest(0, least(15, floor((x - low) / (high - low) * 16)))::INT AS b", "len(list_filter(cuts, lambda c: c < x))::INT AS b")
+
+
+@query(f"{_CALIBRATED} SELECT * FROM rr")
+def calibrated_router(spark, sf_dir):
+    """EXP-5, CND-15: buckets between the quantiles of each projection."""
+    v = vectors(spark, sf_dir)
+    return _rounded(P.router_recall(v, asked(v), truth(spark, sf_dir), {"random": AXES}, [0, 1, 2], calibrated=True), "scanned", "recall")
+
+
 #: Eight rows at right angles: the subspace in which directions are placed.
 BASIS = np.linalg.qr(research.directions(DIM, 8, 5).T)[0].T
 SUBSPACE = {k: P.subspace_directions(k, 6, 8, 3) for k in ("random", "net", "additive", "axes")}

@@ -73,6 +73,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what a caller writes; clear() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
