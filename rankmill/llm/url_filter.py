@@ -17,38 +17,6 @@ from rankmill.llm.shared import mapped
 #: (host, path, verdict). A rule fits its host and all below it, if the path starts with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-# Words that names on the web are made of, by how common they are: a count for each tier stands in for those of a corpus
-# (unigram_counts() has real ones). Within a tier the order means nothing.
-FUNCTION_WORDS = (
-    "a about after all also an and any are as at be best but by can do each find for free from get go good great has have help here home "
-    "how i if in into is it just know like local made make many me more my need new no not now of on one only or other our out over own "
-    "see she so some such than that the their them then there these they this time to top up use us was way we web well what when where "
-    "which who why will with www you your"
-).split()
-GENERAL_WORDS = (
-    "account address archive area art article author baby bank blog board body book books business buy call car care case center change "
-    "check children city class code college community company computer contact copy country course data date david day design development "
-    "digital directory doctor download edition education email engine event events family farm file film first food form forum future game "
-    "games garden gift government green group guide hair health history hotel house image index information international internet job jobs "
-    "journal kids kitchen lake land language law learn lesson library life line link list live log login long love magazine mail map market "
-    "media medical member money mountain movie museum music national nature network news number office old online open order page pages paper "
-    "park part people phone photo picture pictures place plan play policy post power press price privacy product products profile program "
-    "project public radio recipe record report research resource review reviews river road room sale school science search section security "
-    "server service services shop show site small social software south sport sports star start state station store story street student "
-    "studio study style support system table teacher team tech technology test text theater thing think tools town trade travel tree type "
-    "university video view village water weather week wiki win wine women wood work world write year"
-).split()
-TOPIC_WORDS = (
-    "ad ads adult backlink backlinks banner banners bet bets betting bingo bitcoin blackjack bonus botnet bulk casino cash cheap cialis cigarettes "
-    "click clickbait clicks coin counterfeit coupon crack cracked credit crypto dating deal deals diet discount doorway drug drugs earn escort "
-    "escorts exploit fake fast fetish forex fortune gamble gambling girls hack hacked hidden hookup hot instant investment jackpot keygen keylogger "
-    "leaked loan loans lottery lotto luxury malware medication millionaire naked nude odds offer pawn payday penny pharmacy phishing pill pills "
-    "pixel poker popup popups porn prescription profit promo pump pyramid rank ransom replica replicas rich roulette scam seo serial sex sexy shady "
-    "singles slot slots spam spammer spins spyware steroids tablets torrent torrents tracker trackers tracking track trojan viagra virus wager "
-    "warez watches webcam webcams weight winner winners xanax xxx"
-).split()
-VOCABULARY: dict[str, float] = {**dict.fromkeys(TOPIC_WORDS, 30.0), **dict.fromkeys(GENERAL_WORDS, 200.0), **dict.fromkeys(FUNCTION_WORDS, 1500.0)}
-
 # Names the model is fitted on unless the caller has a table of them; 1 is to be blocked.
 LABELLED = (
     *((name, 1) for name in (
@@ -73,6 +41,19 @@ LABELLED = (
     )),
 )
 
+
+
+def word_counts(labelled) -> dict[str, float]:
+    """How often each word stands in labelled names."""
+    counts: dict[str, float] = {}
+    for name, _ in labelled:
+        for w in name.split():
+            counts[w] = counts.get(w, 0.0) + 1
+    return counts
+
+
+#: Words and counts that names are split by: those of the labelled names, unless the caller has counts of a corpus (unigram_counts).
+VOCABULARY = word_counts(LABELLED)
 #: Share of blocked names expected among all.
 PRIOR = 0.2
 #: Labelled names, and words of a corpus, that the models are fitted on at most.
@@ -123,8 +104,8 @@ class Segmenter:
 class NameModel:
     """Multinomial naive Bayes over the words of a host and a path."""
 
-    def __init__(self, labelled=LABELLED, vocabulary=VOCABULARY, prior: float = PRIOR):
-        self.segmenter, counts = Segmenter(vocabulary), ({}, {})
+    def __init__(self, labelled=LABELLED, vocabulary: dict[str, float] | None = None, prior: float = PRIOR):
+        self.segmenter, counts = Segmenter(vocabulary or word_counts(labelled)), ({}, {})
         for text, label in labelled:
             for w in text.split():
                 counts[label][w] = counts[label].get(w, 0) + 1
@@ -207,13 +188,13 @@ def labelled_names(table: DataFrame, name: str = "name", label: str = "label", l
     return tuple((r.n, r.l) for r in rows.orderBy(F.xxhash64("n"), "n", "l").limit(limit).collect())
 
 
-def url_filter(pages: DataFrame, rules=RULES, threshold: float = 0.5, labelled=LABELLED, vocabulary=VOCABULARY, prior: float = PRIOR, url: str = "url", key: str = "page_id") -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, threshold: float = 0.5, labelled=LABELLED, vocabulary: dict[str, float] | None = None, prior: float = PRIOR, url: str = "url", key: str = "page_id") -> DataFrame:
     """Per page: page_id, host, path, rule (or null), words, score (probability of block) and verdict (block or allow).
 
     A url that is null, empty or without :// has an empty host and path, no words and the score of the prior. Urls are
     taken whole, however long. Of two rules that fit the longer wins; a score at the threshold blocks. Other columns are
     ignored, whatever their names; repeated rows each have a result; page_id is of its own type. An empty table gives an
-    empty result.
+    empty result. vocabulary: word counts to split names by, those of the labelled names without it.
     """
     host, path = host_and_path(F.col(url))
     kind = pages.schema[key].dataType.simpleString()
