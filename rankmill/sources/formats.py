@@ -7,7 +7,7 @@
     pairs     OVFS  version u8, dim u32, rows u32; blocks of 32 rows, by pair and row
 
 Reading takes byte ranges of the file as partitions, so a file of any size is read by many tasks; payloads are checked as
-they are read. Writing makes one file from row blocks in order of row_id.
+they are read. Writing makes one file, whose pieces tasks put in their places.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import struct
 from dataclasses import asdict, dataclass
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ KINDS = {"rank": (b"OVR1", ".ovr"), "buckets": (b"OVRQ", ".ovrq"), "bitmap": (b"
 OLDER = {b"TVR1": "rank", b"TVRQ": "buckets", b"TVBM": "bitmap", b"TVSB": "sign"}
 VERSION = 1
 BLOCK = 32
+GAPS = "row ids must run from 0 without gaps"
 ROWS_PER_TASK = 65_536
 
 
@@ -284,7 +286,7 @@ def write_to(rows: DataFrame, stream, kind: str, dim: int, bits: int | None = No
 
     for row_id, value in rows.orderBy("row_id").select("row_id", "value").toLocalIterator(prefetchPartitions=True):
         if row_id != at:
-            raise FormatError("row ids must run from 0 without gaps")
+            raise FormatError(GAPS)
         at += 1
         held.append(value)
         if len(held) == BLOCK * 256:
@@ -295,18 +297,77 @@ def write_to(rows: DataFrame, stream, kind: str, dim: int, bits: int | None = No
     return done
 
 
+def _writer(part: str, kind: str, dim: int, bits: int | None, n: int, head: int, bytes_per_vec: int, binary: bool):
+    """Puts rows, which come sorted, into their places of a file, ROWS_PER_TASK at a time; yields (first, rows) of each piece."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        meta = Metadata(kind, VERSION, dim, n, bytes_per_vec, bits, None, head, 0)
+        ids, values, block = [], [], None
+
+        def put():
+            own, first = np.concatenate(ids), block * ROWS_PER_TASK
+            if not np.array_equal(own, np.arange(first, min(first + ROWS_PER_TASK, n))):
+                raise FormatError(GAPS)
+            x = np.concatenate(values)
+            with open(part, "r+b") as f:
+                f.seek(head + first * bytes_per_vec)
+                f.write(encode_rows(kind, rows_of_bytes(kind, x, dim, bits) if binary else x, meta))
+            return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([len(own)])], names=["first", "rows"])
+
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            if not len(at):
+                continue
+            if binary:
+                x = bytes_of(batch.column(1))
+            else:
+                flat = batch.column(1)
+                x = flat.values.to_numpy()[flat.offsets[0].as_py() : flat.offsets[-1].as_py()].reshape(len(at), -1)
+            edge = [0, *(np.flatnonzero(np.diff(at // ROWS_PER_TASK)) + 1).tolist(), len(at)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if block is not None and at[lo] // ROWS_PER_TASK != block:
+                    yield put()
+                    ids, values = [], []
+                block = int(at[lo] // ROWS_PER_TASK)
+                ids.append(at[lo:hi])
+                values.append(x[lo:hi])
+        if ids:
+            yield put()
+
+    return run
+
+
 def write(rows: DataFrame, path: str, kind: str, dim: int, bits: int | None = None, n_top: int | None = None) -> Metadata:
-    """One file of rows (row_id from 0 without gaps, value: an array or packed bytes), streamed to the driver's disk."""
+    """One file of rows (row_id from 0 without gaps, value: an array or packed bytes), written by tasks.
+
+    Every row's place in the file is known, so the file is laid out at its full length and each task writes the pieces of
+    ROWS_PER_TASK rows that it has; a piece written again is the same. The file takes its name when all rows are in it. The
+    path must be open to all tasks; write_to() serves other places.
+    """
     import os
 
+    n = rows.count()
+    head = header(kind, dim, n, bits, n_top)
+    per = {"rank": lambda: RankSpec(dim), "buckets": lambda: BucketSpec(dim, bits), "bitmap": lambda: BitmapSpec(dim, n_top), "sign": lambda: SignSpec(dim), "pairs": lambda: PairScanSpec(dim)}[kind]().bytes_per_vec
+    size = len(head) + per * (-(-n // BLOCK) * BLOCK if kind == "pairs" else n)
     part = path + ".part"
     try:
         with open(part, "wb") as f:
-            write_to(rows, f, kind, dim, bits, n_top)
+            f.write(head)
+            f.truncate(size)
+        own = rows.select(F.col("row_id").cast("long").alias("row_id"), "value")
+        dealt = own.repartition(F.floor(F.col("row_id") / ROWS_PER_TASK)).sortWithinPartitions("row_id")
+        put = dealt.mapInArrow(_writer(part, kind, dim, bits, n, len(head), per, dict(rows.dtypes)["value"] == "binary"), "first long, rows long").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        if put != n:
+            raise FormatError(GAPS)
         os.replace(part, path)
-    except BaseException:
+    except BaseException as e:
         if os.path.exists(part):
             os.remove(part)
+        if isinstance(e, PySparkException) and GAPS in str(e):
+            raise FormatError(GAPS) from e
         raise
     with open(path, "rb") as f:
         return parse_header(f.read(17), os.path.getsize(path))

@@ -1,7 +1,10 @@
+import glob
+import io
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankmill.sources import formats, results
 from rankmill.streaming.ingest import append_stream
@@ -53,6 +56,25 @@ def test_round_trip(spark, tmp_path, kind):
             formats.read(spark, str(tmp_path / "bad")).collect()
 
 
+@pytest.mark.parametrize("kind", ["rank", "buckets", "sign", "pairs"])
+def test_files_of_many_pieces(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(formats, "ROWS_PER_TASK", 64)
+    ranks = np.argsort(np.random.default_rng(2).normal(size=(300, 64)), axis=1)
+    values = ranks if kind == "rank" else (ranks << 2) // 64 if kind != "sign" else np.packbits(ranks > 20, axis=1, bitorder="little").view("<i8")
+    p, extra = str(tmp_path / "x"), {"bits": 2} if kind == "buckets" else {}
+    table = rows(spark, values).repartition(7)
+    formats.write(table, p, kind, 64, **extra)
+    held = io.BytesIO()
+    formats.write_to(table, held, kind, 64, **extra)
+    assert open(p, "rb").read() == held.getvalue()
+    for bad in (table.where("row_id <> 100"), table.union(table.where("row_id = 5")), table.withColumn("row_id", F.col("row_id") + 1)):
+        with pytest.raises(formats.FormatError, match="without gaps"):
+            formats.write(bad, str(tmp_path / "bad"), kind, 64, **extra)
+        assert not glob.glob(str(tmp_path / "bad*"))
+    formats.write(table.limit(0), p, kind, 64, **extra)
+    assert formats.read(spark, p).count() == 0
+
+
 def test_npy_and_results(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
     np.save(tmp_path / "x.npy", x)
