@@ -136,15 +136,15 @@ def gaussian_keys(vectors: DataFrame, axis: np.ndarray, vector: str = "embedding
     return vectors.select("row_id", F.col(vector).cast("array<float>")).mapInArrow(run, "row_id long, key double")
 
 
-def seams(spark, periods: list[int], phases: list[int], within: int = 0) -> DataFrame:
-    """One row on the ring of all positions of some grids: positions, those within some steps of a seam of every grid, and
+def seams(spark, periods: list[int], phases: list[int], within: int = 0, at: DataFrame | None = None) -> DataFrame:
+    """One row on the ring of all positions (or those of at, column id) of some grids: positions, those within some steps of a seam of every grid, and
     the least distance to a grid's seam that some grid keeps everywhere (floor)."""
     size = math.prod(periods)
     distance = []
     for p, phase in zip(periods, phases, strict=True):
         r = F.pmod(F.col("id") - phase, F.lit(p))
         distance.append(F.least(r, p - r))
-    x = spark.range(size).select(F.greatest(*distance).alias("far")) if len(periods) > 1 else spark.range(size).select(distance[0].alias("far"))
+    x = (spark.range(size) if at is None else at).select((F.greatest(*distance) if len(periods) > 1 else distance[0]).alias("far"))
     return x.agg(F.count("*").alias("positions"), F.sum((F.col("far") <= within).cast("long")).alias("joint"), F.min("far").alias("floor"))
 
 

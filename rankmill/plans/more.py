@@ -88,14 +88,21 @@ for _b in (5, 7):
     query(scored(sql_sym(_b)), f"rankquant_eval_b{_b}")(_eval)
 
 
-@query("""WITH c AS (SELECT d.d AS dim, b.b AS bits FROM (VALUES (16), (48), (64), (384), (1024)) AS d(d), range(1, 9) AS b(b)),
+@query(f"""WITH {BASE}, o AS (SELECT bits, avg(n) AS observed FROM (SELECT id, b AS bits, sqrt(sum(pow((r * (1 << b::INT)) // 64 - ((1 << b::INT) - 1) / 2.0::DOUBLE, 2))) AS n FROM rk, range(1, 9) AS b(b) GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT d.d AS dim, b.b AS bits FROM (VALUES (16), (48), (64), (384), (1024)) AS d(d), range(1, 9) AS b(b)),
 s AS (SELECT dim, bits, sum(pow((r * (1 << bits::INT)) // dim - ((1 << bits::INT) - 1) / 2.0::DOUBLE, 2)) AS e FROM (SELECT dim, bits, unnest(range(dim)) AS r FROM c) GROUP BY 1, 2)
-SELECT dim::INT AS dim, bits::INT AS bits, round(sqrt(dim::DOUBLE * (dim * dim - 1) / 12), 6) AS rank_norm, round(sqrt(dim::DOUBLE * (pow(2, bits) * pow(2, bits) - 1) / 12), 6) AS bucket_norm, round(sqrt(e), 6) AS empirical_norm,
-round(CASE WHEN bits = 8 AND dim % 256 <> 0 THEN sqrt(e) ELSE sqrt(dim::DOUBLE * (pow(2, bits) * pow(2, bits) - 1) / 12) END, 6) AS asymmetric_norm, (3 % (1 << bits::INT) - ((1 << bits::INT) - 1) / 2.0)::DOUBLE AS centre FROM s""")
+SELECT dim::INT AS dim, s.bits::INT AS bits, round(sqrt(dim::DOUBLE * (dim * dim - 1) / 12), 6) AS rank_norm, round(sqrt(dim::DOUBLE * (pow(2, s.bits) * pow(2, s.bits) - 1) / 12), 6) AS bucket_norm, round(sqrt(e), 6) AS empirical_norm,
+round(CASE WHEN s.bits = 8 AND dim % 256 <> 0 THEN sqrt(e) ELSE sqrt(dim::DOUBLE * (pow(2, s.bits) * pow(2, s.bits) - 1) / 12) END, 6) AS asymmetric_norm, (3 % (1 << s.bits::INT) - ((1 << s.bits::INT) - 1) / 2.0)::DOUBLE AS centre,
+round(observed, 6) AS observed FROM s LEFT JOIN o ON s.dim = 64 AND s.bits = o.bits""")
 def norms(spark, sf_dir):
+    """ENC-8 to ENC-12: the formulas, and the mean length of the table's centred codes."""
     rows = [(d, b, S.rank_norm(d), S.bucket_norm(d, b), S.empirical_norm(d, b), S.asymmetric_norm(d, b), float(S.bucket_centre(3 % (1 << b), b))) for d in (16, 48, 64, 384, 1024) for b in range(1, 9)]
     t = spark.createDataFrame(rows, "dim int, bits int, rank_norm double, bucket_norm double, empirical_norm double, asymmetric_norm double, centre double")
-    return t.select("dim", "bits", *(F.round(c, 6).alias(c) for c in ("rank_norm", "bucket_norm", "empirical_norm", "asymmetric_norm")), "centre")
+    ranks = vectors(spark, sf_dir).select(E.rank_transform(F.col("embedding")).alias("r"))
+    size = lambda b: F.sqrt(F.aggregate("r", F.lit(0.0), lambda a, r: a + F.pow(F.floor(r * (1 << b) / DIM) - ((1 << b) - 1) / 2, F.lit(2.0))))
+    seen = ranks.select(F.explode(F.array(*(F.struct(F.lit(b).alias("bits"), size(b).alias("n")) for b in range(1, 9)))).alias("s")).groupBy(F.col("s.bits").alias("bits")).agg(F.avg("s.n").alias("observed"))
+    t = t.join(seen.withColumn("dim", F.lit(DIM)), ["dim", "bits"], "left")
+    return t.select("dim", "bits", *(F.round(c, 6).alias(c) for c in ("rank_norm", "bucket_norm", "empirical_norm", "asymmetric_norm")), "centre", F.round("observed", 6).alias("observed"))
 
 
 @query("""WITH c AS (SELECT d.d AS dim, b.b AS bits FROM (VALUES (1), (2), (6), (16), (20), (64), (256), (384), (65535), (65536)) AS d(d), (VALUES (1), (2), (3), (4), (8)) AS b(b))
@@ -213,13 +220,14 @@ def capacity_check(spark, sf_dir):
     return spark.createDataFrame([(n, fits(n)) for n in (0, 67108864, 67108865, 4294967296)], "n long, fits boolean")
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES (0), (1), (7), (10), (100)) AS k(k), (VALUES (0), (5), (300), (100000)) AS n(n), (VALUES (256, 32, NULL), (4, 2, 15), (50, 1, 60)) AS p(least, times, most))
-SELECT k::INT AS k, n::INT AS n, least::INT AS min_candidates, CASE WHEN k = 0 OR n = 0 THEN 0 ELSE least(greatest(least, k * times), coalesce(most, 1000000000), n) END::INT AS candidates FROM c""")
+@query("""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), c AS (SELECT * FROM (VALUES (0), (1), (7), (10), (100)) AS k(k), n, (VALUES (256, 32, NULL), (4, 2, 15), (50, 1, 60)) AS p(least, times, most))
+SELECT label, k::INT AS k, n, least::INT AS min_candidates, CASE WHEN k = 0 THEN 0 ELSE least(greatest(least, k * times), coalesce(most, 1000000000), n) END::BIGINT AS candidates FROM c""")
 def candidate_policy(spark, sf_dir):
-    """CND-12."""
-    policies = [CandidatePolicy(), CandidatePolicy(4, 2, 15), CandidatePolicy(50, 1, 60)]
-    rows = [(k, n, p.min_candidates, p.candidate_count(k, n)) for k in (0, 1, 7, 10, 100) for n in (0, 5, 300, 100000) for p in policies]
-    return spark.createDataFrame(rows, "k int, n int, min_candidates int, candidates int")
+    """CND-12: how many candidates each label's rows would hand on."""
+    n = vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    asked_for = [(k, p) for k in (0, 1, 7, 10, 100) for p in (CandidatePolicy(), CandidatePolicy(4, 2, 15), CandidatePolicy(50, 1, 60))]
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p.min_candidates).alias("min_candidates"), p.candidates(k, F.col("n")).alias("candidates")) for k, p in asked_for))
+    return n.select("label", "n", F.explode(each).alias("e")).select("label", "e.k", "n", "e.min_candidates", "e.candidates")
 
 
 # ---- null model: counts as text
@@ -227,12 +235,20 @@ def candidate_policy(spark, sf_dir):
 _COMB = "(SELECT product(({n} - ({k}) + j)::DOUBLE / j) FROM range(1, ({k}) + 1) AS t(j))"
 
 
-@query(f"""WITH f AS (SELECT o, (CASE WHEN o = 0 THEN 1 ELSE round({_COMB.format(n=8, k='o')}) END * CASE WHEN o = 8 THEN 1 ELSE round({_COMB.format(n=24, k='8 - o')}) END)::HUGEINT AS c FROM range(9) AS o(o))
-SELECT 32::INT AS dim, 8::INT AS weight, o::INT AS overlap, c::VARCHAR AS fibers, sum(c) OVER (ORDER BY o DESC)::HUGEINT::VARCHAR AS tail, round(sum(c) OVER (ORDER BY o DESC) / sum(c) OVER (), 9)::DOUBLE AS tail_prob, sum(c) OVER ()::HUGEINT::VARCHAR AS space, 2.0::DOUBLE AS expected FROM f""")
+_HALF_RANK = "row_number() OVER (PARTITION BY id ORDER BY CASE WHEN x = 0 THEN 0 ELSE x END{d}, pos) - 1"
+
+
+@query(f"""WITH {BASE}, h AS (SELECT id, pos, {_HALF_RANK.format(d='')} AS r, {_HALF_RANK.format(d=' DESC')} AS rq FROM x WHERE pos < 32),
+s AS (SELECT o, count(*) AS n FROM (SELECT sum((q.rq < 8 AND d.r >= 24)::INT) AS o FROM h AS q JOIN h AS d ON q.pos = d.pos WHERE q.id % 100 = 0 GROUP BY q.id, d.id) GROUP BY 1),
+f AS (SELECT o, (CASE WHEN o = 0 THEN 1 ELSE round({_COMB.format(n=8, k='o')}) END * CASE WHEN o = 8 THEN 1 ELSE round({_COMB.format(n=24, k='8 - o')}) END)::HUGEINT AS c FROM range(9) AS o(o)),
+t AS (SELECT o, c, sum(c) OVER (ORDER BY o DESC) AS tail, sum(c) OVER () AS space FROM f)
+SELECT 32::INT AS dim, 8::INT AS weight, t.o::INT AS overlap, c::VARCHAR AS fibers, tail::HUGEINT::VARCHAR AS tail, round(tail / space, 9)::DOUBLE AS tail_prob, space::HUGEINT::VARCHAR AS space, 2.0::DOUBLE AS expected, coalesce(n, 0)::BIGINT AS seen FROM t LEFT JOIN s ON s.o = t.o""")
 def overlap_null_counts(spark, sf_dir):
-    """NUL-1 to NUL-5, NUL-7."""
-    t = nullmodel.null_table(spark, 32, 8)
-    return t.select("dim", "weight", "overlap", "fibers", "tail", F.round("tail_prob", 9).alias("tail_prob"), F.lit(str(nullmodel.space_size(32, 8))).alias("space"), F.lit(nullmodel.expected_overlap(32, 8)).alias("expected"))
+    """NUL-1 to NUL-5, NUL-7: exact counts for the first 32 coordinates, beside how often queries and rows have each overlap."""
+    v = vectors(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, 32))
+    seen = search.histogram(v, asked(v), K.bitmap_overlap(8)).groupBy(F.col("score").alias("overlap")).agg(F.sum("n").alias("seen"))
+    t = nullmodel.with_seen(nullmodel.null_table(spark, 32, 8), seen)
+    return t.select("dim", "weight", "overlap", "fibers", "tail", F.round("tail_prob", 9).alias("tail_prob"), F.lit(str(nullmodel.space_size(32, 8))).alias("space"), F.lit(nullmodel.expected_overlap(32, 8)).alias("expected"), "seen")
 
 
 @query(f"WITH {BASE}, n AS (SELECT count(*) AS n FROM v) SELECT pos::INT AS pos, b::INT AS bucket, round(sum(((r * 4) // 64 = b)::INT) / max(n), 6) AS frequency FROM rk, range(4) AS b(b), n GROUP BY 1, 2")
@@ -471,20 +487,18 @@ def manifest_issues(spark, sf_dir):
     return spark.createDataFrame(rows, "fault string, code string")
 
 
-@query("""SELECT * FROM (VALUES ('row_identity_row_id_mismatch', 3), ('row_identity_db_id_invalid_uuid', 5), ('row_identity_jsonl_invalid_json', 7), ('row_identity_duplicate_db_id', 9)) AS t(code, line)
-UNION ALL SELECT 'row_identity_row_count_mismatch', NULL""")
+@query("""WITH e AS (SELECT vec_id AS id, vec_id % 100 AS k FROM embeddings), r(code, k) AS (VALUES ('row_identity_row_id_mismatch', 3), ('row_identity_db_id_invalid_uuid', 5), ('row_identity_jsonl_invalid_json', 7), ('row_identity_duplicate_db_id', 9))
+SELECT code, id::INT AS line FROM e JOIN r ON e.k = r.k UNION ALL SELECT 'row_identity_row_count_mismatch', NULL""")
 def row_identity_faults(spark, sf_dir):
-    """MAN-9."""
-    import json
-
+    """MAN-9: a line for each row of the table, four faults planted in every hundred."""
     from rankmill.manifest.tables import row_identity_issues
 
-    path = f"{_folder(spark)}/ids.jsonl"
-    with open(path, "w", encoding="utf-8") as f:
-        for i in range(40):
-            row = {"row_id": 99 if i == 3 else i, "db_id": "no uuid" if i == 5 else f"00000000-0000-0000-0000-{8 if i == 9 else i:012d}"}
-            f.write("{broken\n" if i == 7 else json.dumps(row) + "\n")
-    return row_identity_issues(spark, path, 41).select("code", F.col("line").cast("int").alias("line"))
+    i, k, path = F.col("row_id"), F.col("row_id") % 100, place(spark, "row-ids")
+    v = vectors(spark, sf_dir)
+    db_id = F.when(k == 5, F.concat(F.lit("no uuid "), i.cast("string"))).otherwise(F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad((i - (k == 9).cast("int")).cast("string"), 12, "0")))
+    line = F.when(k == 7, "{broken").otherwise(F.to_json(F.struct(F.when(k == 3, i + 10**9).otherwise(i).alias("row_id"), db_id.alias("db_id"))))
+    v.orderBy("row_id").select(line.alias("value")).coalesce(1).write.text(path)  # such a list is one file, in order
+    return row_identity_issues(spark, path, v.count() + 1).select("code", F.col("line").cast("int").alias("line"))
 
 
 # ---- evaluation
@@ -638,11 +652,11 @@ def number_variance(spark, sf_dir):
     return probes.number_variance(keys, 8.0, 500).withColumn("sigma2", F.round("sigma2", 6))
 
 
-@query("""WITH p(m, a) AS (VALUES (3, 0), (5, 1), (7, 2), (11, 3)), x AS (SELECT unnest(range(1155)) AS x), d AS (SELECT x, max(least((x - a + 11 * m) % m, m - (x - a + 11 * m) % m)) AS far FROM x, p GROUP BY x)
+@query("""WITH p(m, a) AS (VALUES (3, 0), (5, 1), (7, 2), (11, 3)), d AS (SELECT vec_id AS x, max(least((vec_id - a + 11 * m) % m, m - (vec_id - a + 11 * m) % m)) AS far FROM embeddings, p GROUP BY 1)
 SELECT count(*) AS positions, sum((far <= 1)::INT)::BIGINT AS joint, min(far)::BIGINT AS floor FROM d""")
 def ring_seams(spark, sf_dir):
-    """EXP-8."""
-    got = probes.seams(spark, [3, 5, 7, 11], [0, 1, 2, 3], 1)
+    """EXP-8, at the places of the table's rows."""
+    got = probes.seams(spark, [3, 5, 7, 11], [0, 1, 2, 3], 1, vectors(spark, sf_dir).select(F.col("row_id").alias("id")))
     return got.select("positions", "joint", F.col("floor").cast("long").alias("floor"))
 
 

@@ -169,3 +169,9 @@ class CandidatePolicy:
             return 0
         m = max(self.min_candidates, k * self.k_multiplier)
         return min(m if self.max_candidates is None else min(m, self.max_candidates), n)
+
+    def candidates(self, k: int, n):
+        """candidate_count() for a column of sizes."""
+        from pyspark.sql import functions as F
+
+        return F.least(F.lit(self.candidate_count(k, MAX_VECTORS)).cast("long"), n.cast("long"))
