@@ -7,11 +7,15 @@ the same copies again. Copies are dealt out by a hash and sorted by it: a global
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.shared import fresh, partitions, small
+from rankmill.llm.shared import bytes_read, fresh, partitions, small
 
+#: Bytes of input files behind one partition of the result, for each document that is asked for one of the input.
+PARTITION_BYTES = 64 << 20
 #: exp(-rate) must not vanish: a larger rate is the sum of several draws.
 PART = 50.0
 
@@ -54,6 +58,11 @@ def copies(rate: Column) -> dict[str, Column]:
     return {"mx_parts": parts, "mx_cdf": F.aggregate(F.sequence(F.lit(1), top), start, step)["cdf"]}
 
 
+def shuffle_width(docs: DataFrame, factor: float) -> int:
+    """Partitions of the result: as many as the session's shuffles have, and more where the files read and factor ask for more."""
+    return max(partitions(docs.sparkSession), math.ceil(bytes_read(docs) * max(factor, 0.0) / PARTITION_BYTES))
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, factor: float = 1.0, seed: int = 17, source: str = "source", key: str = "doc_id", rest: float = 0.0) -> DataFrame:
     """The rows of docs, each as often as drawn, with copies and copy (from 1), shuffled over all partitions.
 
@@ -72,7 +81,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     d = d.withColumn(copies_, F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0), lambda a, x: a + x).cast("long"))
     d = d.where(F.col(copies_) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies_)))
     d = d.withColumn(order, F.xxhash64(F.lit(seed), key, copy, F.lit(1)))
-    d = d.repartition(partitions(docs.sparkSession), order).sortWithinPartitions(order)
+    d = d.repartition(shuffle_width(docs, factor), order).sortWithinPartitions(order)
     return d.select(*docs.columns, copies_, copy)
 
 

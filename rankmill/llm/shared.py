@@ -45,12 +45,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets(df: DataFrame, least: int = 8) -> int:
-    """A power of two: at least the number of shuffle partitions, and one for every BUCKET_BYTES of the files that df reads."""
+def bytes_read(df: DataFrame) -> int:
+    """The size of the files that df reads, as far as it is known."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    read = sum(n for n in sizes if n < 1 << 52)  # more stands for not known
-    found = max(least, partitions(df.sparkSession), -(-read // BUCKET_BYTES))
+    return sum(n for n in sizes if n < 1 << 52)  # more stands for not known
+
+
+def buckets(df: DataFrame, least: int = 8) -> int:
+    """A power of two: at least the number of shuffle partitions, and one for every BUCKET_BYTES of the files that df reads."""
+    found = max(least, partitions(df.sparkSession), -(-bytes_read(df) // BUCKET_BYTES))
     return 1 << (found - 1).bit_length()
 
 

@@ -341,3 +341,29 @@ def test_quality_rules_of_a_long_text(spark):
     r = quality_rules.quality_rules(frame(spark, {23: prose(23, 4000)}, rows({23: prose(23, 4000)}))).collect()
     assert [(x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in r] == [brute_rules(prose(23, 4000))] * 2
     assert quality_rules.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_network_and_temperature_against_plain_arithmetic():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, quality_model.FEATURES))
+    x[:, 7] = 1.0  # a feature that never varies
+    y = (x[:, 0] + 0.5 * x[:, 1] * x[:, 2] + r.normal(scale=0.7, size=400) > 0).astype(float)
+    net = quality_model.Network(x, y)
+    w1, b1, w2, b2 = net.w
+
+    def plain(row):
+        z = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(row, net.mean, net.scale, strict=True)]
+        hidden = [math.tanh(sum(z[i] * w1[i, j] for i in range(len(z))) + b1[j]) for j in range(len(b1))]
+        return sum(h * w for h, w in zip(hidden, w2, strict=True)) + float(b2)
+
+    logits = [plain(row) for row in x]
+    assert np.allclose(net.logit(x), logits, atol=1e-9)
+    assert np.allclose(net.score(x), [1 / (1 + math.exp(-v / net.temperature)) for v in logits], atol=1e-9)
+    # The fit lowers the loss of the rows it sees; the temperature is the best of its grid on those that it doesn't.
+    order = np.random.default_rng(quality_model.SEED).permutation(400)
+    check, fit = order[:80], order[80:]
+    loss = lambda rows, t: sum(math.log1p(math.exp(-(2 * y[i] - 1) * logits[i] / t)) for i in rows) / len(rows)
+    share = y[fit].mean()
+    assert loss(fit, 1.0) < 0.5 * -(share * math.log(share) + (1 - share) * math.log(1 - share))
+    grid = [0.25 * 1.1**i for i in range(40)]
+    assert net.temperature == min(grid, key=lambda t: loss(check, t)) and loss(check, net.temperature) <= loss(check, 1.0) + 1e-4

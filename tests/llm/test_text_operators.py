@@ -276,3 +276,13 @@ def test_classifier(spark):
     assert kept.columns == frame(spark).columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
     assert {r.score for r in quality_model.quality_scores(frame(spark, {1: "a"}), labels.limit(0)).collect()} == {0.5}
     assert quality_model.quality_scores(spark.createDataFrame([], SCHEMA), labels).count() == 0
+
+
+def test_mixing_has_more_partitions_for_more_input(spark, tmp_path, monkeypatch):
+    frame(spark).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = sorted(tuple(r) for r in mixing.mix_sources(docs, factor=2.0).select("doc_id", "copy").collect())
+    monkeypatch.setattr(mixing, "PARTITION_BYTES", mixing.bytes_read(docs) // 20)
+    mixed = mixing.mix_sources(docs, factor=2.0)
+    assert 40 <= mixed.rdd.getNumPartitions() <= 43 and mixing.shuffle_width(docs, 0.0) == 4
+    assert sorted(tuple(r) for r in mixed.select("doc_id", "copy").collect()) == rows
