@@ -140,9 +140,15 @@ def _moments(vectors: DataFrame, vector: str):
     return s / n, m.reshape(d, d) / n - np.outer(s / n, s / n)
 
 
+def _axes_of(cov: np.ndarray, count: int) -> np.ndarray:
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :count].T
+    large = np.take_along_axis(axes, np.abs(axes).argmax(1)[:, None], 1)
+    return axes * np.where(large < 0, -1.0, 1.0)
+
+
 def principal_axes(vectors: DataFrame, count: int, vector: str = "embedding") -> np.ndarray:
-    """The axes of most variance."""
-    return np.linalg.eigh(_moments(vectors, vector)[1])[1][:, ::-1][:, :count].T.copy()
+    """The axes of most variance, most first; of each, the coordinate farthest from 0 is positive."""
+    return _axes_of(_moments(vectors, vector)[1], count)
 
 
 def cell_keys(vectors: DataFrame, axes: np.ndarray, row_id: str = "row_id", vector: str = "embedding", mean: np.ndarray | None = None) -> DataFrame:
@@ -160,7 +166,7 @@ def cell_candidates(vectors: DataFrame, queries: DataFrame, axes: np.ndarray, pr
 def principal_cell_candidates(vectors: DataFrame, queries: DataFrame, bits: int, probes: int, vector: str = "embedding", **names) -> DataFrame:
     """cell_candidates() by the signs of the centred projections on the bits axes of most variance."""
     mean, cov = _moments(vectors, vector)
-    return cell_candidates(vectors, queries, np.linalg.eigh(cov)[1][:, ::-1][:, :bits].T.copy(), probes, mean, vector=vector, **names)
+    return cell_candidates(vectors, queries, _axes_of(cov, bits), probes, mean, vector=vector, **names)
 
 
 def gini(sizes: DataFrame, column: str = "n") -> DataFrame:

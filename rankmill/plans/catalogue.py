@@ -582,7 +582,25 @@ def bucket_router(spark, sf_dir):
     return research.route(v, asked(v), axes=AXES)
 
 
-@query()
+def _axes_sql(count: int, squarings: int = 16) -> str:
+    """CTEs that end in axes(a, u): the axes of most variance, by squaring the covariance until one axis is left of it, then
+    taking that axis out. What is left has its largest diagonal where the axis has its farthest coordinate: that one is positive."""
+    over = "range(1, 65)"
+    scaled = f"list_transform(m, lambda r: list_transform(r, lambda y: y / list_sum(list_transform({over}, lambda i: m[i][i]))))"
+    diagonal = f"list_transform({over}, lambda i: p[i][i])"
+    unit = "list_transform(k, lambda y: y / sqrt(list_dot_product(k, k)))"
+    weight = "list_dot_product(u, list_transform(c, lambda r: list_dot_product(r, u)))"
+    less = f"list_transform({over}, lambda i: list_transform({over}, lambda j: c[i][j] - w * u[i] * u[j]))"
+    return f"""cov AS (SELECT list(c ORDER BY i) AS c FROM (SELECT i, list(c ORDER BY j) AS c FROM (SELECT p.pos AS i, q.pos AS j, covar_pop(p.x, q.x) AS c FROM x AS p JOIN x AS q ON p.id = q.id GROUP BY 1, 2) GROUP BY i)),
+steps AS (SELECT 0 AS a, 0 AS step, c, {scaled} AS p FROM (SELECT c, c AS m FROM cov) UNION ALL
+SELECT CASE WHEN step = {squarings} THEN a + 1 ELSE a END, CASE WHEN step = {squarings} THEN 0 ELSE step + 1 END, c, {scaled} FROM (
+SELECT a, step, CASE WHEN step = {squarings} THEN {less} ELSE c END AS c, CASE WHEN step = {squarings} THEN {less} ELSE list_transform(p, lambda r: list_transform(p, lambda s: list_dot_product(r, s))) END AS m
+FROM (SELECT *, {weight} AS w FROM (SELECT *, {unit} AS u FROM (SELECT *, p[list_position({diagonal}, list_max({diagonal}))] AS k FROM steps WHERE a < {count}))))),
+axes AS (SELECT a, {unit} AS u FROM (SELECT a, p[list_position({diagonal}, list_max({diagonal}))] AS k FROM steps WHERE step = {squarings} AND a < {count}))"""
+
+
+@query(f"""WITH RECURSIVE {BASE}, {_axes_sql(6)}
+SELECT v.id AS row_id, sum(CASE WHEN list_dot_product(v.x, axes.u) > 0 THEN 1 << a ELSE 0 END)::BIGINT AS cell FROM v, axes GROUP BY v.id""")
 def principal_cells(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return research.cell_keys(v, research.principal_axes(v, 6))

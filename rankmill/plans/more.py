@@ -357,9 +357,10 @@ def index_info(spark, sf_dir):
 # ---- files
 
 
-def _made(spark, sf_dir):
+def _made(spark, sf_dir, only=None):
     v = vectors(spark, sf_dir)
     made = {"rank": I.RankIndex(spark, DIM), "buckets": I.BucketIndex(spark, DIM, 2), "pairs": I.PairScanIndex(spark, DIM), "bitmap": I.BitmapIndex(spark, DIM, TOP), "sign": I.SignIndex(spark, DIM)}
+    made = {k: ix for k, ix in made.items() if only in (None, k)}
     for ix in made.values():
         ix.add(v, "row_id")
     return made
@@ -388,6 +389,45 @@ def format_roundtrip(spark, sf_dir):
     return out
 
 
+@query(f"""WITH {BASE} SELECT 'rank' AS kind, id AS row_id, pos::INT AS pos, r::BIGINT AS value FROM rk UNION ALL SELECT 'buckets', id, pos::INT, ((r * 4) // 64)::BIGINT FROM rk
+UNION ALL SELECT 'bitmap', id, 0, {_WORDS.format(c='r >= 48')} FROM rk GROUP BY id UNION ALL SELECT 'sign', id, 0, {_WORDS.format(c='x > 0')} FROM rk GROUP BY id""")
+def older_files(spark, sf_dir):
+    """IO-6: files that begin as older ones did."""
+    folder, out = _folder(spark), None
+    for magic, kind in formats.OLDER.items():
+        path, ix = f"{folder}/{kind}", _made(spark, sf_dir, kind)[kind]
+        ix.write(path)
+        with open(path, "r+b") as f:
+            f.write(magic)
+        part = formats.read(spark, path).select(F.lit(kind).alias("kind"), "row_id", F.posexplode("value").alias("pos", "value"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("""SELECT kind, vec_id AS row_id, fault FROM embeddings JOIN (VALUES ('rank', 1, 'not a permutation'), ('rank', 2, 'not a permutation'), ('buckets', 1, 'uneven buckets'), ('bitmap', 3, 'bits set'),
+('pairs', 1, 'uneven buckets'), ('pairs', 4, 'a pair value out of range')) AS t(kind, k, fault) ON vec_id % 5 = k""")
+def file_faults(spark, sf_dir):
+    """VAL-8 to VAL-11: files of each kind with faults planted in their rows, and every faulty row found where it stands.
+
+    Of five rows, one repeats a rank (1), one has a rank out of range (2), one a bit less (3) and one a pair value above 15 (4).
+    """
+    k, folder, out = F.col("row_id") % 5, _folder(spark), None
+    t = vectors(spark, sf_dir).select("row_id", E.rank_transform(F.col("embedding")).alias("r"))
+    repeat = lambda x: F.when(k == 1, F.transform(x, lambda y: F.when(y == 63, 0).otherwise(y))).otherwise(x)
+    codes = F.transform(repeat(F.col("r")), lambda y: F.floor(y / 16).cast("int"))
+    values = {
+        "rank": F.when(k == 2, F.transform("r", lambda y: F.when(y == 63, 64).otherwise(y))).otherwise(repeat(F.col("r"))),
+        "buckets": codes,
+        "bitmap": E.fold_words(F.transform("r", lambda y: (y >= DIM - TOP) & ~((k == 3) & (y == 63))), DIM),
+        "pairs": F.when(k == 4, F.transform(codes, lambda y, i: F.when(i == 0, 4).otherwise(y))).otherwise(codes),
+    }
+    for kind, value in values.items():
+        formats.write(t.select("row_id", value.cast("array<long>").alias("value")), f"{folder}/{kind}", kind, DIM, 2 if kind == "buckets" else None, TOP if kind == "bitmap" else None)
+        part = formats.faults(spark, f"{folder}/{kind}").select(F.lit(kind).alias("kind"), "row_id", "fault")
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("""WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT kind, magic, 1::INT AS format_version, 64::INT AS dim, n AS vector_count, b::INT AS bytes_per_vec, bits::INT AS bits, n_top::INT AS n_top, (h + b * CASE WHEN kind = 'pairs' THEN (n + 31) // 32 * 32 ELSE n END)::BIGINT AS file_size_bytes,
 kind <> 'pairs' AS probed FROM n, (VALUES ('rank', 'OVR1', 128, NULL, NULL, 13), ('buckets', 'OVRQ', 16, 2, NULL, 14), ('bitmap', 'OVBM', 8, NULL, 16, 17), ('sign', 'OVSB', 8, NULL, NULL, 13), ('pairs', 'OVFS', 32, NULL, NULL, 13)) AS t(kind, magic, b, bits, n_top, h)""")
 def file_metadata(spark, sf_dir):
@@ -407,8 +447,7 @@ def file_metadata(spark, sf_dir):
 def npy_roundtrip(spark, sf_dir):
     """IO-10."""
     path = f"{_folder(spark)}/x.npy"
-    x = [r.embedding for r in vectors(spark, sf_dir).orderBy("row_id").select("embedding").toLocalIterator()]
-    np.save(path, np.array(x, np.float32))
+    formats.write_npy(vectors(spark, sf_dir), path, DIM)
     return formats.read_npy(spark, path).select("row_id", F.posexplode("embedding").alias("pos", "x"))
 
 
@@ -652,6 +691,23 @@ def number_variance(spark, sf_dir):
     return probes.number_variance(keys, 8.0, 500).withColumn("sigma2", F.round("sigma2", 6))
 
 
+_ERF = "CASE WHEN t = 0 THEN 0 ELSE sign(t) * list_sum(list_transform(range(0, 200), lambda n: exp(2 * n * ln(2) + lgamma(n + 1) + (2 * n + 1) * ln(abs(t)) - lgamma(2 * n + 2) - t * t))) * 2 / sqrt(pi()) END"
+
+
+@query(f"""WITH {BASE}, axes(axis, d) AS (VALUES {cat._AXIS}), n AS (SELECT count(*) AS n FROM embeddings), z AS (SELECT axis, {cat._DOT} * sqrt(32) AS t FROM v, axes),
+k AS (SELECT axis, n * 0.5 * (1 + {_ERF}) AS key FROM z, n), w AS (SELECT axis, length, i * ((n - length) / 500) AS a FROM axes, range(500) AS t(i), (VALUES (2.0::DOUBLE), (8.0::DOUBLE)) AS l(length), n),
+c AS (SELECT w.axis, length, a, count(key) AS n FROM w LEFT JOIN k ON w.axis = k.axis AND key >= a AND key < a + length GROUP BY 1, 2, 3) SELECT axis::INT AS axis, length, round(var_pop(n), 6) AS sigma2 FROM c GROUP BY 1, 2""")
+def projected_number_variance(spark, sf_dir):
+    """EXP-2: rows projected on axes, unfolded by the normal distribution, counted in windows of two lengths."""
+    v, out = vectors(spark, sf_dir), None
+    for a, axis in enumerate(AXES):
+        keys = probes.gaussian_keys(v, axis)
+        for length in (2.0, 8.0):
+            part = probes.number_variance(keys, length, 500).select(F.lit(a).alias("axis"), F.lit(length).alias("length"), F.round("sigma2", 6).alias("sigma2"))
+            out = part if out is None else out.union(part)
+    return out
+
+
 @query("""WITH p(m, a) AS (VALUES (3, 0), (5, 1), (7, 2), (11, 3)), d AS (SELECT vec_id AS x, max(least((vec_id - a + 11 * m) % m, m - (vec_id - a + 11 * m) % m)) AS far FROM embeddings, p GROUP BY 1)
 SELECT count(*) AS positions, sum((far <= 1)::INT)::BIGINT AS joint, min(far)::BIGINT AS floor FROM d""")
 def ring_seams(spark, sf_dir):

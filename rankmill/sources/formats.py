@@ -30,6 +30,8 @@ VERSION = 1
 BLOCK = 32
 GAPS = "row ids must run from 0 without gaps"
 ROWS_PER_TASK = 65_536
+#: What may be wrong with a row of a file.
+FAULTS = ("", "not a permutation", "uneven buckets", "a pair value out of range", "padding that isn't 0", "bits set")
 
 
 class FormatError(ValueError):
@@ -149,30 +151,42 @@ def encode_rows(kind: str, rows: np.ndarray, meta) -> bytes:
     return rows.astype("<i8").tobytes()
 
 
-def decode_rows(meta: Metadata, data: bytes, first: int, count: int) -> np.ndarray:
-    """count rows from data, which starts at row first; checked. Bitmaps as words, the rest as numbers a coordinate."""
-    bad = None
+def _decoded(meta: Metadata, data: bytes, count: int):
+    """(rows, why): count rows from data, and for each what is wrong with it, 0 for nothing; else a number of FAULTS.
+
+    Rows of a pair file are stored in whole blocks: what stands after the last row must be 0, and counts as that row's.
+    """
+    out, why = None, np.zeros(count, np.int64)
     if meta.kind == "rank":
         out = np.frombuffer(data, "<u2").reshape(-1, meta.dim).astype(np.int64)
-        bad = (np.sort(out, axis=1) != np.arange(meta.dim)).any(1)
+        why[(np.sort(out, axis=1) != np.arange(meta.dim)).any(1)] = 1
     elif meta.kind in ("buckets", "pairs"):
-        bits = meta.bits or 2
+        bits, high = meta.bits or 2, None
         if meta.kind == "buckets":
             out = unpack_codes(np.frombuffer(data, np.uint8).reshape(-1, meta.bytes_per_vec), meta.dim, bits)
         else:
             n = np.frombuffer(data, np.uint8).reshape(-1, meta.dim // 2, BLOCK).transpose(0, 2, 1).reshape(-1, meta.dim // 2)
-            if (n > 15).any() or n[count:].any():
-                raise FormatError("a pair value is out of range, or the padding isn't 0")
-            out = np.stack([n >> 2, n & 3], 2).reshape(len(n), meta.dim)[:count].astype(np.int64)
+            out, high = np.stack([n >> 2, n & 3], 2).reshape(len(n), meta.dim)[:count].astype(np.int64), (n > 15).any(1)
         if meta.dim % (1 << bits) == 0:
             filled = np.stack([(out == b).sum(1) for b in range(1 << bits)], 1)
-            bad = (filled != meta.dim >> bits).any(1)
+            why[(filled != meta.dim >> bits).any(1)] = 2
+        if high is not None:
+            why[high[:count]] = 3
+            if count and n[count:].any():
+                why[-1] = 4
     else:
         out = np.frombuffer(data, "<i8").reshape(-1, meta.dim // 64)
         if meta.kind == "bitmap":
-            bad = np.unpackbits(out.view(np.uint8).reshape(len(out), -1), axis=1).sum(1) != meta.n_top
-    if bad is not None and bad.any():
-        raise FormatError(f"row {first + int(np.flatnonzero(bad)[0])} breaks the rules of its kind")
+            why[np.unpackbits(out.view(np.uint8).reshape(len(out), -1), axis=1).sum(1) != meta.n_top] = 5
+    return out, why
+
+
+def decode_rows(meta: Metadata, data: bytes, first: int, count: int) -> np.ndarray:
+    """count rows from data, which starts at row first; checked. Bitmaps as words, the rest as numbers a coordinate."""
+    out, why = _decoded(meta, data, count)
+    bad = np.flatnonzero(why)
+    if len(bad):
+        raise FormatError(f"row {first + int(bad[0])} breaks the rules of its kind: {FAULTS[int(why[bad[0]])]}")
     return out
 
 
@@ -226,11 +240,8 @@ def column_of(data: np.ndarray):
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def read(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
-    """(row_id, value): the rows of a file, by tasks that each read a range of it. The path must be open to all of them.
-
-    packed: value has a row's bytes (row_bytes) in place of an array.
-    """
+def _ranges(spark: SparkSession, path: str, found, schema: str) -> DataFrame:
+    """found(meta, first, count, data) of each ROWS_PER_TASK rows of a file, read by tasks; it gives a record batch."""
     import os
 
     with open(path, "rb") as f:
@@ -238,8 +249,6 @@ def read(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     fields = asdict(meta)
 
     def run(batches):
-        import pyarrow as pa
-
         m = Metadata(**fields)
         for batch in batches:
             for first in batch.column(0).to_pylist():
@@ -247,17 +256,47 @@ def read(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
                 stored = -(-count // BLOCK) * BLOCK if m.kind == "pairs" else count
                 with open(path, "rb") as f:
                     f.seek(m.header_bytes + first * m.bytes_per_vec)
-                    rows = decode_rows(m, f.read(stored * m.bytes_per_vec), first, count)
-                if packed:
-                    value = column_of(row_bytes(m.kind, rows, m.bits))
-                else:
-                    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-                    value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(rows))), value], names=["row_id", "value"])
+                    data = f.read(stored * m.bytes_per_vec)
+                yield found(m, first, count, data)
 
     parts = max(1, -(-meta.vector_count // ROWS_PER_TASK))
-    starts = spark.range(0, meta.vector_count, ROWS_PER_TASK, parts)
-    return starts.mapInArrow(run, f"row_id long, value {'binary' if packed else 'array<long>'}")
+    return spark.range(0, meta.vector_count, ROWS_PER_TASK, parts).mapInArrow(run, schema)
+
+
+def read(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(row_id, value): the rows of a file, by tasks that each read a range of it. The path must be open to all of them.
+
+    packed: value has a row's bytes (row_bytes) in place of an array.
+    """
+
+    def found(m, first, count, data):
+        import pyarrow as pa
+
+        rows = decode_rows(m, data, first, count)
+        if packed:
+            value = column_of(row_bytes(m.kind, rows, m.bits))
+        else:
+            offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+            value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype(np.int64).reshape(-1)))
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(rows))), value], names=["row_id", "value"])
+
+    return _ranges(spark, path, found, f"row_id long, value {'binary' if packed else 'array<long>'}")
+
+
+def faults(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, fault): every row of a file that breaks the rules of its kind, where read() stops at the first one.
+
+    The header and the length must be right. Tasks check a range each, and only rows with a fault leave them.
+    """
+
+    def found(m, first, count, data):
+        import pyarrow as pa
+
+        why = _decoded(m, data, count)[1]
+        at = np.flatnonzero(why)
+        return pa.RecordBatch.from_arrays([pa.array(first + at, pa.int64()), pa.array([FAULTS[i] for i in why[at].tolist()], pa.string())], names=["row_id", "fault"])
+
+    return _ranges(spark, path, found, "row_id long, fault string")
 
 
 def read_bytes(spark: SparkSession, data: bytes) -> DataFrame:
@@ -297,34 +336,31 @@ def write_to(rows: DataFrame, stream, kind: str, dim: int, bits: int | None = No
     return done
 
 
-def _writer(part: str, kind: str, dim: int, bits: int | None, n: int, head: int, bytes_per_vec: int, binary: bool):
-    """Puts rows, which come sorted, into their places of a file, ROWS_PER_TASK at a time; yields (first, rows) of each piece."""
+def _writer(part: str, n: int, head: int, per: int, matrix, encoded):
+    """Puts rows, which come sorted, into their places of a file, ROWS_PER_TASK at a time; yields (first, rows) of each piece.
+
+    matrix: the rows of a column; encoded: their bytes in the file.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        meta = Metadata(kind, VERSION, dim, n, bytes_per_vec, bits, None, head, 0)
         ids, values, block = [], [], None
 
         def put():
             own, first = np.concatenate(ids), block * ROWS_PER_TASK
             if not np.array_equal(own, np.arange(first, min(first + ROWS_PER_TASK, n))):
                 raise FormatError(GAPS)
-            x = np.concatenate(values)
             with open(part, "r+b") as f:
-                f.seek(head + first * bytes_per_vec)
-                f.write(encode_rows(kind, rows_of_bytes(kind, x, dim, bits) if binary else x, meta))
+                f.seek(head + first * per)
+                f.write(encoded(np.concatenate(values)))
             return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([len(own)])], names=["first", "rows"])
 
         for batch in batches:
             at = batch.column(0).to_numpy()
             if not len(at):
                 continue
-            if binary:
-                x = bytes_of(batch.column(1))
-            else:
-                flat = batch.column(1)
-                x = flat.values.to_numpy()[flat.offsets[0].as_py() : flat.offsets[-1].as_py()].reshape(len(at), -1)
+            x = matrix(batch.column(1))
             edge = [0, *(np.flatnonzero(np.diff(at // ROWS_PER_TASK)) + 1).tolist(), len(at)]
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if block is not None and at[lo] // ROWS_PER_TASK != block:
@@ -339,27 +375,35 @@ def _writer(part: str, kind: str, dim: int, bits: int | None, n: int, head: int,
     return run
 
 
-def write(rows: DataFrame, path: str, kind: str, dim: int, bits: int | None = None, n_top: int | None = None) -> Metadata:
-    """One file of rows (row_id from 0 without gaps, value: an array or packed bytes), written by tasks.
+def _matrix(width: int | None = None):
+    """Array columns without null rows as matrices, of rows as long as width or the first one."""
+
+    def of(column):
+        size = np.diff(column.offsets.to_numpy())
+        flat = column.values.slice(column.offsets[0].as_py(), int(size.sum()))
+        if column.null_count or flat.null_count or (size != (size[0] if width is None else width)).any():
+            raise FormatError("rows of a file have one length, and no nulls")
+        return flat.to_numpy().reshape(len(column), -1)
+
+    return of
+
+
+def _placed(rows: DataFrame, path: str, n: int, head: bytes, per: int, size: int, matrix, encoded) -> None:
+    """A file of size bytes: head, then n rows (row_id from 0 without gaps, one more column) of per bytes each.
 
     Every row's place in the file is known, so the file is laid out at its full length and each task writes the pieces of
-    ROWS_PER_TASK rows that it has; a piece written again is the same. The file takes its name when all rows are in it. The
-    path must be open to all tasks; write_to() serves other places.
+    ROWS_PER_TASK rows that it has; a piece written again is the same. The file takes its name when all rows are in it.
     """
     import os
 
-    n = rows.count()
-    head = header(kind, dim, n, bits, n_top)
-    per = {"rank": lambda: RankSpec(dim), "buckets": lambda: BucketSpec(dim, bits), "bitmap": lambda: BitmapSpec(dim, n_top), "sign": lambda: SignSpec(dim), "pairs": lambda: PairScanSpec(dim)}[kind]().bytes_per_vec
-    size = len(head) + per * (-(-n // BLOCK) * BLOCK if kind == "pairs" else n)
     part = path + ".part"
     try:
         with open(part, "wb") as f:
             f.write(head)
             f.truncate(size)
-        own = rows.select(F.col("row_id").cast("long").alias("row_id"), "value")
+        own = rows.withColumn("row_id", F.col("row_id").cast("long"))
         dealt = own.repartition(F.floor(F.col("row_id") / ROWS_PER_TASK)).sortWithinPartitions("row_id")
-        put = dealt.mapInArrow(_writer(part, kind, dim, bits, n, len(head), per, dict(rows.dtypes)["value"] == "binary"), "first long, rows long").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        put = dealt.mapInArrow(_writer(part, n, len(head), per, matrix, encoded), "first long, rows long").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
         if put != n:
             raise FormatError(GAPS)
         os.replace(part, path)
@@ -369,10 +413,43 @@ def write(rows: DataFrame, path: str, kind: str, dim: int, bits: int | None = No
         if isinstance(e, PySparkException) and GAPS in str(e):
             raise FormatError(GAPS) from e
         raise
+
+
+def write(rows: DataFrame, path: str, kind: str, dim: int, bits: int | None = None, n_top: int | None = None) -> Metadata:
+    """One file of rows (row_id from 0 without gaps, value: an array or packed bytes), written by tasks.
+
+    The path must be open to all tasks; write_to() serves other places.
+    """
+    import os
+
+    n = rows.count()
+    head = header(kind, dim, n, bits, n_top)
+    per = {"rank": lambda: RankSpec(dim), "buckets": lambda: BucketSpec(dim, bits), "bitmap": lambda: BitmapSpec(dim, n_top), "sign": lambda: SignSpec(dim), "pairs": lambda: PairScanSpec(dim)}[kind]().bytes_per_vec
+    size = len(head) + per * (-(-n // BLOCK) * BLOCK if kind == "pairs" else n)
+    binary, meta = dict(rows.dtypes)["value"] == "binary", Metadata(kind, VERSION, dim, n, per, bits, None, len(head), 0)
+
+    def encoded(x):
+        return encode_rows(kind, rows_of_bytes(kind, x, dim, bits) if binary else x, meta)
+
+    _placed(rows.select("row_id", "value"), path, n, head, per, size, bytes_of if binary else _matrix(), encoded)
     with open(path, "rb") as f:
         return parse_header(f.read(17), os.path.getsize(path))
 
 
+def write_npy(rows: DataFrame, path: str, dim: int, vector: str = "embedding") -> None:
+    """A two-dimensional float32 .npy file of rows (row_id from 0 without gaps, vector: dim numbers), written by tasks.
+
+    The path must be open to all tasks. A null or a row of another length is an error; of no rows there is a file too.
+    """
+    import io
+
+    n, held = rows.count(), io.BytesIO()
+    np.lib.format.write_array_header_1_0(held, {"descr": "<f4", "fortran_order": False, "shape": (n, dim)})
+    head = held.getvalue()
+    own = rows.select("row_id", F.col(vector).cast("array<float>").alias("value"))
+    _placed(own, path, n, head, 4 * dim, len(head) + 4 * dim * n, _matrix(dim), lambda x: x.astype("<f4").tobytes())
+
+
 def read_npy(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """(row_id, embedding) of a two-dimensional C-ordered float32 .npy file; rows: only so many, from the first."""
     x = np.load(path, mmap_mode="r", allow_pickle=False)

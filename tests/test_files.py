@@ -75,6 +75,52 @@ def test_files_of_many_pieces(spark, tmp_path, monkeypatch, kind):
     assert formats.read(spark, p).count() == 0
 
 
+def test_npy_files_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "ROWS_PER_TASK", 64)
+    x = np.random.default_rng(5).normal(size=(300, 6)).astype(np.float32)
+    p, table = str(tmp_path / "x.npy"), spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id int, e array<float>").repartition(7)
+    formats.write_npy(table, p, 6, "e")
+    assert np.array_equal(np.load(p), x)
+    assert [r.embedding for r in formats.read_npy(spark, p).orderBy("row_id").collect()] == x.tolist()
+    formats.write_npy(table.withColumn("e", F.col("e").cast("array<double>")), p, 6, "e")
+    assert np.array_equal(np.load(p), x)
+    formats.write_npy(table.limit(0), p, 6, "e")
+    assert np.load(p).shape == (0, 6) and formats.read_npy(spark, p).count() == 0
+    with pytest.raises(formats.FormatError, match="without gaps"):
+        formats.write_npy(table.where("row_id <> 100"), str(tmp_path / "bad"), 6, "e")
+    for bad in (F.when(F.col("row_id") != 7, F.col("e")), F.when(F.col("row_id") == 7, F.slice("e", 1, 5)).otherwise(F.col("e")), F.transform("e", lambda y: F.when(F.col("row_id") != 7, y)), F.slice("e", 1, 5)):
+        with pytest.raises(Exception, match="one length"):
+            formats.write_npy(table.withColumn("e", bad), str(tmp_path / "bad"), 6, "e")
+    assert not glob.glob(str(tmp_path / "bad*"))
+
+
+def test_every_faulty_row_is_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "ROWS_PER_TASK", 64)
+    ranks = np.argsort(np.random.default_rng(6).normal(size=(150, 64)), axis=1)
+    p = str(tmp_path / "x")
+    for kind, values, extra in (("rank", ranks, {}), ("buckets", (ranks << 2) // 64, {"bits": 2}), ("pairs", (ranks << 2) // 64, {})):
+        formats.write(rows(spark, values), p, kind, 64, **extra)
+        assert formats.faults(spark, p).count() == 0
+        bad = values.copy()
+        bad[[3, 70, 149]] = 1
+        formats.write(rows(spark, bad), p, kind, 64, **extra)
+        found = sorted(tuple(r) for r in formats.faults(spark, p).collect())
+        assert [r for r, _ in found] == [3, 70, 149] and len({f for _, f in found}) == 1
+        with pytest.raises(Exception, match="row (3|70|149) breaks"):
+            formats.read(spark, p).collect()
+    formats.write(rows(spark, (ranks << 2) // 64), p, "pairs", 64)
+    data = bytearray(open(p, "rb").read())
+    data[-1] = 5  # the place of a row after the last one
+    (tmp_path / "x").write_bytes(data)
+    assert [tuple(r) for r in formats.faults(spark, p).collect()] == [(149, "padding that isn't 0")]
+    words = np.packbits(ranks >= 48, axis=1, bitorder="little").view("<i8").copy()
+    words[5] = 0
+    formats.write(rows(spark, words), p, "bitmap", 64, n_top=16)
+    assert [tuple(r) for r in formats.faults(spark, p).collect()] == [(5, "bits set")]
+    formats.write(rows(spark, words), p, "sign", 64)
+    assert formats.faults(spark, p).count() == 0
+
+
 def test_npy_and_results(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
     np.save(tmp_path / "x.npy", x)
