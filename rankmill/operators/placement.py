@@ -134,9 +134,27 @@ def subspace_directions(kind: str, count: int, k: int, seed: int = 0) -> np.ndar
     return kernels.unit(np.array([[normal.inv_cdf(min(max(place(i, a), 1e-6), 1 - 1e-6)) for a in range(k)] for i in range(1, count + 1)]))
 
 
-def half_space_discrepancy(axes: np.ndarray, normals: np.ndarray) -> float:
-    """By how much the share of axes in one of the half-spaces is off one half, at worst."""
-    return float(np.abs(((axes @ normals.T) > 0).mean(0) - 0.5).max())
+def half_space_discrepancy(normals: DataFrame, arms: dict[str, np.ndarray], vector: str = "embedding") -> DataFrame:
+    """(arm, discrepancy): by how much the share of an arm's directions in one of the half-spaces is off one half, at worst.
+
+    normals: a row a half-space, through the origin; as many coordinates as the directions have. Each task hands on the worst
+    of its rows, a number an arm.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        worst = None
+        for batch in batches:
+            x = kernels.block(batch.column(0)).astype(np.float64)
+            if len(x):
+                own = [float(np.abs(((axes @ x.T) > 0).mean(0) - 0.5).max()) for axes in arms.values()]
+                worst = own if worst is None else [max(p) for p in zip(worst, own, strict=True)]
+        if worst:
+            yield pa.RecordBatch.from_arrays([pa.array(list(arms)), pa.array(worst)], names=["arm", "discrepancy"])
+
+    found = normals.select(F.col(vector).cast("array<float>")).mapInArrow(run, "arm string, discrepancy double")
+    return found.groupBy("arm").agg(F.max("discrepancy").alias("discrepancy"))
 
 
 def router_recall(vectors: DataFrame, queries: DataFrame, truth: DataFrame, arms: dict[str, np.ndarray], radii: list[int], buckets: int = 16, calibrated: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmill.spec import MAX_VECTORS, ParameterError
+from rankmill.spec import MAX_RANK_DIM, MAX_VECTORS, ParameterError
 
 
 def finite(e: Column) -> Column:
@@ -53,6 +53,18 @@ def need_capacity(rows: int) -> None:
         raise ParameterError(f"more than {MAX_VECTORS} vectors in one index file")
 
 
+def fits(rows: Column) -> Column:
+    """need_capacity() for many numbers of rows."""
+    return rows.between(0, MAX_VECTORS)
+
+
+def bucket_rules(dim: Column, bits: Column) -> dict[str, Column]:
+    """What BucketSpec says of many parameters: valid, bytes_per_vec (null where not valid), asymmetric_only."""
+    whole = dim.between(2, MAX_RANK_DIM) & bits.isin(1, 2, 4, 8) & (F.pmod(dim, F.greatest(F.lit(1), F.floor(8 / bits))) == 0)
+    even = F.pmod(dim, F.pow(F.lit(2), bits)) == 0
+    return {"valid": whole & even, "bytes_per_vec": F.when(whole & even, F.floor(dim * bits / 8).cast("int")), "asymmetric_only": whole & (bits == 8) & ~even}
+
+
 def unit_length_issues(vectors: DataFrame, dim: int, low: float = 0.999, high: float = 1.001, row_id: str = "row_id", vector: str = "embedding") -> DataFrame:
     n = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return vectors.where((F.size(vector) != dim) | ~finite(F.col(vector)) | ~n.between(low, high)).select(row_id)

@@ -5,7 +5,6 @@ They are registered in the catalogue's tables; the inputs are those of the catal
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from rankmill import index as I
@@ -19,7 +18,7 @@ from rankmill.operators import cells, nullmodel, probes, report, research, searc
 from rankmill.plans import catalogue as cat
 from rankmill.plans.catalogue import AXES, BASE, CELLS, DIM, KEEP, QUERIES, SQL_FLAT, SQL_HAMMING, SQL_OVERLAP, STAGE, TOP, asked, coded, judged, metric_sql, query, recall_sql, rounded, scored, sql_asym, sql_sym, stage_sql, summed, truth, vectors
 from rankmill.sources import formats, results
-from rankmill.spec import CandidatePolicy, ParameterError
+from rankmill.spec import CandidatePolicy
 from rankmill.storage import place
 
 # ---- wider vectors: two words a bitmap. The second half is the first one reversed, times -1/2.
@@ -105,30 +104,16 @@ def norms(spark, sf_dir):
     return t.select("dim", "bits", *(F.round(c, 6).alias(c) for c in ("rank_norm", "bucket_norm", "empirical_norm", "asymmetric_norm")), "centre", F.round("observed", 6).alias("observed"))
 
 
-@query("""WITH c AS (SELECT d.d AS dim, b.b AS bits FROM (VALUES (1), (2), (6), (16), (20), (64), (256), (384), (65535), (65536)) AS d(d), (VALUES (1), (2), (3), (4), (8)) AS b(b))
-SELECT dim::INT AS dim, bits::INT AS bits, (dim BETWEEN 2 AND 65535 AND bits IN (1, 2, 4, 8) AND dim % greatest(1, 8 // bits) = 0 AND dim % (1 << bits::INT) = 0) AS valid,
-CASE WHEN dim BETWEEN 2 AND 65535 AND bits IN (1, 2, 4, 8) AND dim % greatest(1, 8 // bits) = 0 AND dim % (1 << bits::INT) = 0 THEN (dim * bits // 8)::INT END AS bytes_per_vec,
-(dim BETWEEN 2 AND 65535 AND bits = 8 AND dim % 256 <> 0) AS asymmetric_only FROM c""")
+@query("""WITH d AS (SELECT dim, count(*) AS n FROM (SELECT unnest([1 + vec_id % 64, 64 * (1 + vec_id % 12)]) AS dim FROM embeddings) GROUP BY 1),
+c AS (SELECT *, dim BETWEEN 2 AND 65535 AND bits IN (1, 2, 4, 8) AND dim % greatest(1, 8 // bits) = 0 AS whole, dim % (1 << bits::INT) = 0 AS even FROM d, (VALUES (1), (2), (3), (4), (8)) AS b(bits))
+SELECT dim::INT AS dim, bits::INT AS bits, n, whole AND even AS valid, CASE WHEN whole AND even THEN (dim * bits // 8)::INT END AS bytes_per_vec, whole AND bits = 8 AND NOT even AS asymmetric_only FROM c""")
 def bucket_specs(spark, sf_dir):
-    """VAL-4, VAL-13, ENC-7: which parameters an index takes."""
-
-    def of(d, b):
-        try:
-            s = S.BucketSpec(d, b)
-            return d, b, True, s.bytes_per_vec, False
-        except ParameterError:
-            pass
-        try:
-            s = S.BucketSpec(d, b, asymmetric_only=True)
-            s.need_symmetric()
-        except S.CapabilityError:
-            return d, b, False, None, True
-        except ParameterError:
-            pass
-        return d, b, False, None, False
-
-    rows = [of(d, b) for d in (1, 2, 6, 16, 20, 64, 256, 384, 65535, 65536) for b in (1, 2, 3, 4, 8)]
-    return spark.createDataFrame(rows, "dim int, bits int, valid boolean, bytes_per_vec int, asymmetric_only boolean")
+    """VAL-4, VAL-13, ENC-7: which indexes could take the table's rows, cut short and repeated to all lengths."""
+    i = F.col("row_id").cast("int")
+    cut, long_ = F.slice("embedding", 1, 1 + i % 64), F.flatten(F.array_repeat("embedding", 1 + i % 12))
+    d = vectors(spark, sf_dir).select(F.explode(F.array(F.size(cut), F.size(long_))).alias("dim")).groupBy("dim").agg(F.count("*").alias("n"))
+    d = d.select("dim", F.explode(F.array(*(F.lit(b) for b in (1, 2, 3, 4, 8)))).alias("bits"), "n")
+    return d.select("dim", "bits", "n", *(c.alias(k) for k, c in validate.bucket_rules(F.col("dim"), F.col("bits")).items()))
 
 
 _CODE_ROWS = "SELECT id AS row_id, pos::INT AS pos, ((r * 4) // 64)::BIGINT AS value FROM rk"
@@ -206,18 +191,12 @@ def csr_faults(spark, sf_dir):
     return validate.csr_issues(lists.withColumn("end", F.when(k == 3, F.col("start") - 1).otherwise(F.col("end"))), v.count())
 
 
-@query("SELECT n::BIGINT AS n, n <= 67108864 AS fits FROM (VALUES (0), (67108864), (67108865), (4294967296)) AS t(n)")
+@query("SELECT label, times, count(*) * times AS n, count(*) * times <= 67108864 AS fits FROM embeddings, (VALUES (1), (100000), (1000000), (100000000)) AS t(times) GROUP BY 1, 2")
 def capacity_check(spark, sf_dir):
-    """VAL-7."""
-
-    def fits(n):
-        try:
-            validate.need_capacity(n)
-        except ParameterError:
-            return False
-        return True
-
-    return spark.createDataFrame([(n, fits(n)) for n in (0, 67108864, 67108865, 4294967296)], "n long, fits boolean")
+    """VAL-7: whether a label's rows, so many times as many, would fit one file."""
+    n = vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    n = n.select("label", F.explode(F.array(*(F.lit(x) for x in (1, 100000, 1000000, 100000000)))).alias("times"), "n").withColumn("n", F.col("n") * F.col("times"))
+    return n.withColumn("fits", validate.fits(F.col("n")))
 
 
 @query("""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), c AS (SELECT * FROM (VALUES (0), (1), (7), (10), (100)) AS k(k), n, (VALUES (256, 32, NULL), (4, 2, 15), (50, 1, 60)) AS p(least, times, most))
@@ -476,19 +455,15 @@ def timing_records(spark, sf_dir):
     return results.read_timings(spark, path).select("dataset", "method", "n_docs", "query_latency_ms_p50", "queries_per_second")
 
 
-@query("SELECT 'q' || (vec_id % 4) AS query_id, 'd' || vec_id AS doc_id, (vec_id % 3)::INT AS rel FROM embeddings WHERE vec_id < 40")
+@query("SELECT 'q' || (vec_id % 4) AS query_id, 'd' || vec_id AS doc_id, (vec_id % 3)::INT AS rel, vec_id // 2 AS row_id FROM embeddings WHERE vec_id % 2 = 0")
 def judgement_records(spark, sf_dir):
-    """IO-11: ids and judgements as JSON."""
-    import json
-
-    folder = _folder(spark)
-    ids = [f"d{i}" for i in range(40)]
-    with open(f"{folder}/ids.json", "w", encoding="utf-8") as f:
-        json.dump(ids, f)
-    with open(f"{folder}/qrels.json", "w", encoding="utf-8") as f:
-        json.dump({f"q{k}": {d: i % 3 for i, d in enumerate(ids) if i % 4 == k} for k in range(4)}, f)
-    known = results.read_ids(spark, f"{folder}/ids.json").select(F.col("id").alias("doc_id"))
-    return results.read_qrels(spark, f"{folder}/qrels.json").join(known, "doc_id").select("query_id", "doc_id", "rel")
+    """IO-11: a judgement for every row, ids of every second one, written and read as JSON."""
+    folder, v = place(spark, "judgements"), vectors(spark, sf_dir)
+    named = v.select("row_id", F.concat(F.lit("d"), F.col("row_id")).alias("doc_id"))
+    results.write_ids(named.where("row_id % 2 = 0").select(F.floor(F.col("row_id") / 2).alias("row_id"), F.col("doc_id").alias("id")), f"{folder}/ids")
+    results.write_qrels(named.select(F.concat(F.lit("q"), F.col("row_id") % 4).alias("query_id"), "doc_id", (F.col("row_id") % 3).alias("rel")), f"{folder}/qrels")
+    known = results.read_ids(spark, f"{folder}/ids", lines=True).withColumnRenamed("id", "doc_id")
+    return results.read_qrels(spark, f"{folder}/qrels", lines=True).join(known, "doc_id").select("query_id", "doc_id", "rel", "row_id")
 
 
 # ---- manifests: faults planted one by one

@@ -97,17 +97,17 @@ def subspace_routers(spark, sf_dir):
     return P.envelope(found, 0.8 * v.count())
 
 
-NORMALS = research.directions(8, 40, 7)
 _SUB = ", ".join(f"('{k}', {_numbers(row)})" for k, d in SUBSPACE.items() for row in d)
-_HALF = ", ".join(f"({i}, {_numbers(row)})" for i, row in enumerate(NORMALS))
 
 
-@query(f"""WITH s(arm, d) AS (VALUES {_SUB}), h(i, n) AS (VALUES {_HALF}), f AS (SELECT arm, i, avg((list_sum(list_transform(range(1, 9), lambda j: d[j] * n[j])) > 0)::INT) AS share FROM s, h GROUP BY 1, 2)
+@query(f"""WITH s(arm, d) AS (VALUES {_SUB}), h AS (SELECT vec_id * 8 + i AS i, embedding[8 * i + 1 : 8 * i + 8]::DOUBLE[] AS n FROM embeddings, range(8) AS t(i)),
+f AS (SELECT arm, i, avg((list_sum(list_transform(range(1, 9), lambda j: d[j] * n[j])) > 0)::INT) AS share FROM s, h GROUP BY 1, 2)
 SELECT arm, round(max(abs(share - 0.5)), 6) AS discrepancy FROM f GROUP BY 1""")
 def direction_discrepancy(spark, sf_dir):
-    """EXP-7: how evenly each rule places its directions."""
-    rows = [(k, round(P.half_space_discrepancy(d, NORMALS), 6)) for k, d in SUBSPACE.items()]
-    return spark.createDataFrame(rows, "arm string, discrepancy double")
+    """EXP-7: how evenly each rule places its directions, by the half-spaces of all rows' eighths."""
+    eighths = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    normals = vectors(spark, sf_dir).select(F.explode(eighths).alias("embedding"))
+    return _rounded(P.half_space_discrepancy(normals, SUBSPACE), "discrepancy")
 
 
 _FOOT = summed("abs(q.r[i] - v.r[i])")

@@ -30,13 +30,23 @@ def read_top_k(spark: SparkSession, path: str) -> DataFrame:
     return d.select("dataset", "method", "query_id", F.col("z.doc_ids").alias("doc_id"), F.col("z.scores").alias("score"), "pos")
 
 
-def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, doc_id, rel) of a JSON object {query: {document: relevance}}."""
-    d = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,int>>").alias("m"))
+def read_qrels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(query_id, doc_id, rel) of a JSON object {query: {document: relevance}}.
+
+    lines: the path has an object on each line, as write_qrels() makes them, and is read by as many tasks as it has blocks; else
+    a file is one object, which one task reads.
+    """
+    d = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,map<string,int>>").alias("m"))
     d = d.select(F.explode("m").alias("query_id", "docs"))
     return d.select("query_id", F.explode("docs").alias("doc_id", "rel"))
 
 
+def write_qrels(judged: DataFrame, path: str) -> None:
+    """judged (query_id, doc_id, rel), an object {query: {document: relevance}} on a line for each: no query is gathered."""
+    q, d = F.col("query_id").cast("string"), F.col("doc_id").cast("string")
+    judged.select(F.to_json(F.create_map(q, F.create_map(d, F.col("rel").cast("int")))).alias("value")).write.mode("append").text(path)
+
+
 def append_timings(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
@@ -45,13 +55,23 @@ def read_timings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TIMING).json(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, id) of a JSON array of strings: ids by their place in it."""
+def read_ids(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(row_id, id) of a JSON array of strings: ids by their place in it.
+
+    lines: the path has {"row_id", "id"} on each line, as write_ids() makes them; an array is read by one task.
+    """
+    if lines:
+        return spark.read.schema("row_id long, id string").option("mode", "FAILFAST").json(path)
     d = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("ids"))
     d = d.withColumn("ids", F.when(F.col("ids").isNull(), F.raise_error(F.lit("not a JSON array of ids"))).otherwise(F.col("ids")))
     return d.select(F.posexplode("ids").alias("row_id", "id")).withColumn("row_id", F.col("row_id").cast("long"))
 
 
+def write_ids(ids: DataFrame, path: str) -> None:
+    """ids (row_id, id), one to a line."""
+    ids.select(F.col("row_id").cast("long").alias("row_id"), F.col("id").cast("string").alias("id")).write.mode("append").json(path)
+
+
 def read_encoder_manifest(path: str) -> dict:
     """What is known of how vectors were made: a JSON object."""
     import json

@@ -130,6 +130,13 @@ def test_npy_and_results(spark, tmp_path):
     assert [(r.doc_id, r.score, r.pos) for r in results.read_top_k(spark, str(tmp_path / "top")).orderBy("pos").collect()] == [("3", 0.5, 0), ("1", 0.25, 1)]
     (tmp_path / "q.json").write_text('{"1": {"a": 2}, "2": {}}')
     assert [tuple(r) for r in results.read_qrels(spark, str(tmp_path / "q.json")).collect()] == [("1", "a", 2)]
+    (tmp_path / "ids.json").write_text('["a", "b\\"c"]')
+    assert sorted(tuple(r) for r in results.read_ids(spark, str(tmp_path / "ids.json")).collect()) == [(0, "a"), (1, 'b"c')]
+    judged = spark.createDataFrame([(1, "a", 2), (1, 'b"c', 0), (2, "été", 1)], "query_id long, doc_id string, rel int").repartition(3)
+    results.write_qrels(judged, str(tmp_path / "qrels"))
+    assert sorted(tuple(r) for r in results.read_qrels(spark, str(tmp_path / "qrels"), lines=True).collect()) == [("1", "a", 2), ("1", 'b"c', 0), ("2", "été", 1)]
+    results.write_ids(spark.createDataFrame([(0, "a"), (1, 'b"c')], "row_id long, id string"), str(tmp_path / "ids"))
+    assert sorted(tuple(r) for r in results.read_ids(spark, str(tmp_path / "ids"), lines=True).collect()) == [(0, "a"), (1, 'b"c')]
 
 
 def test_stream(spark, tmp_path):
