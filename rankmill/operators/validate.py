@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.operators.mutate import with_row_ids
 from rankmill.spec import MAX_RANK_DIM, MAX_VECTORS, ParameterError
 
 
@@ -41,9 +42,14 @@ def unknown_candidates(candidates: DataFrame, rows: DataFrame, row_id: str = "ro
 
 
 def csr_issues(lists: DataFrame, n: int) -> DataFrame:
-    """Rows (query_id, code) of offset lists (query_id, start, end, candidates) that break a rule."""
-    w = Window.orderBy("query_id")  # a row a query
-    x = lists.withColumn("before", F.lag("end", 1, 0).over(w))
+    """Rows (query_id, code) of offset lists (query_id, start, end, candidates) that break a rule.
+
+    Queries are numbered by ranges of their ids, and each meets the one before it by its number: no task holds all lists.
+    """
+    own = with_row_ids(lists.select("query_id", "end"), "query_id")
+    before = own.select((F.col("row_id") + 1).alias("row_id"), F.col("end").alias("before"))
+    before = own.join(before, "row_id", "left").select("query_id", F.coalesce("before", F.lit(0)).alias("before"))
+    x = lists.join(before, "query_id", "left")
     rules = {"gap": F.col("start") != F.col("before"), "falling": F.col("end") < F.col("start"), "length": F.size("candidates") != F.col("end") - F.col("start"), "too_many": F.size("candidates") > n, "unknown_row": F.exists("candidates", lambda c: (c < 0) | (c >= n))}
     return x.select("query_id", F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda c: c.isNotNull())).alias("code"))
 

@@ -19,7 +19,7 @@ from rankmill.plans import catalogue as cat
 from rankmill.plans.catalogue import AXES, BASE, CELLS, DIM, KEEP, QUERIES, SQL_FLAT, SQL_HAMMING, SQL_OVERLAP, STAGE, TOP, asked, coded, judged, metric_sql, query, recall_sql, rounded, scored, sql_asym, sql_sym, stage_sql, summed, truth, vectors
 from rankmill.sources import formats, results
 from rankmill.spec import CandidatePolicy
-from rankmill.storage import place
+from rankmill.storage import place, written
 
 # ---- wider vectors: two words a bitmap. The second half is the first one reversed, times -1/2.
 
@@ -799,3 +799,17 @@ def length_mixture(spark, sf_dir):
     parts = [t.select("row_id", cut(n).alias("embedding")) for t, n in ((v, 16), (v.where("row_id % 2 = 0"), 40), (v.where("row_id % 2 = 0"), 64))]
     size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return probes.length_mixture(parts, DIM).select("row_id", "part", "source", F.round(size, 5).alias("size"))
+
+
+@query("""WITH p AS (SELECT 0 AS part, count(*) // 2 AS n FROM embeddings UNION ALL SELECT 1, count(*) FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT sum(n) AS rows FROM p),
+s AS (SELECT sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size FROM embeddings WHERE vec_id % 2 = 0)
+SELECT part::INT AS part, n, rows::BIGINT AS ids, rows::BIGINT AS after_last, CASE WHEN part = 1 THEN round(size, 3) END AS size FROM p, t, s WHERE n > 0""")
+def mixed_corpus(spark, sf_dir):
+    """EXP-11: half of one corpus and the whole of another in one hashed order, its row ids without gaps."""
+    v = vectors(spark, sf_dir)
+    even, n = v.where("row_id % 2 = 0"), v.count()
+    got = written(probes.mixed_corpus([(v, n // 2), (even, n)], 7), "mixed")
+    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    parts = got.groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum(size), 3).alias("size"))
+    ids = got.agg(F.count_distinct("row_id").alias("ids"), (F.max("row_id") + 1).alias("after_last"))  # one row
+    return parts.join(F.broadcast(ids)).select("part", "n", "ids", "after_last", F.when(F.col("part") == 1, F.col("size")).alias("size"))

@@ -52,3 +52,17 @@ def test_overlaps_of_all_pairs_and_of_neighbours(spark):
     assert got.observed_neighbours == pytest.approx(np.mean([over(i, j) for i, j in near]))
     assert got.pair_signal == pytest.approx(got.observed_neighbours / got.observed_random - 1)
     assert got.expected_by_frequency == pytest.approx(research.overlap_decomposition(t).select(F.col("expected_by_frequency")).first()[0])
+
+
+def test_mixed_corpus_takes_rows_by_hash_and_numbers_them(spark):
+    from rankmill.operators import probes
+
+    a, b = (spark.createDataFrame([(i, [float(i), float(k)]) for i in range(n)], "row_id long, embedding array<float>") for k, n in ((0, 40), (1, 9)))
+    got = sorted(map(tuple, probes.mixed_corpus([(a, 15), (b, 100)], 3).collect()))
+    assert [r[0] for r in got] == list(range(24)) and [r[1] for r in got].count(0) == 15
+    assert {r[2][0] for r in got if r[1] == 1} == set(map(float, range(9))) and len({tuple(r[2]) for r in got}) == 24
+    assert sorted(map(tuple, probes.mixed_corpus([(a.repartition(7), 15), (b.repartition(3), 100)], 3).collect())) == got
+    other = {r.embedding[0] for r in probes.mixed_corpus([(a, 15)], 4).collect()}
+    assert len(other) == 15 and other != {r[2][0] for r in got if r[1] == 0}
+    parts = [r[1] for r in got]
+    assert parts != sorted(parts) and parts != sorted(parts, reverse=True)
