@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankmill.functions import encode
 from rankmill.spec import ParameterError
 
 
@@ -67,8 +68,6 @@ def with_tail_probability(found: DataFrame, dim: int, weight: int, overlap: str
     return found.join(F.broadcast(t), F.col(overlap).cast("int") == F.col("nm_overlap"), "left").drop("nm_overlap")
 
 
-def top_group_overlap_vector(q: Column, d: Column, buckets: int, widths: list[int]) -> Column:
-    """Shared members of the top groups of each width, from two code arrays."""
-    both = F.zip_with(q, d, lambda a, b: F.least(a, b))
-    shared = lambda width: F.size(F.filter(both, lambda m: m >= buckets - width)).cast("long")
-    return F.array(*(shared(w) for w in widths))
+def top_group_bits(codes: Column, dim: int, buckets: int, widths: list[int]) -> Column:
+    """Bitmaps of the top groups of each width, from a code array; what two rows' bitmaps share is their overlap at that width."""
+    return encode.let(codes, lambda c: F.array(*(encode.bucket_range_bits(c, dim, buckets - w, buckets - 1) for w in widths)))
