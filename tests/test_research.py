@@ -25,6 +25,11 @@ def test_query_agrees_with_its_oracle(spark, name):
         assert all(x == y or math.isclose(x, y, abs_tol=1e-6) for x, y in zip(a, b, strict=True)), (a, b)
 
 
+def test_ranks_are_worked_out_once_a_row(spark):
+    plan = catalogue.tops(catalogue.vectors(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("array_sort") < plan.index("filter(")  # sorted outside the filter over places, not within it
+
+
 def test_principal_cells_nearest_to_a_query(spark):
     x = K.unit(np.random.default_rng(8).normal(size=(200, 16)) + 1).astype(np.float32)  # all on one side: raw signs say little
     v = table(spark, x)
