@@ -179,3 +179,22 @@ def test_research(spark):
     assert np.allclose(axes @ axes.T, np.eye(3))
     assert research.cell_keys(v, axes).where("cell between 0 and 7").count() == 400
     assert research.twonn(v, q) > 1
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_scores_of_a_query_travel_as_bytes(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    x = np.random.default_rng(12).normal(size=(700, 64)).astype(np.float32)
+    ids = np.random.default_rng(13).permutation(700).astype(np.int64) * 40_000 - 9_000_000
+    v = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, x, strict=True)], "row_id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(7 * i, x[i].tolist()) for i in range(8)], "query_id long, embedding array<float>")
+    for scorer in (K.sign_hamming(), K.inner_product()):
+        found = search.score_rows(v, q, scorer)
+        got = {r.query_id: r.scores for r in found.collect()}
+        want = scorer.score(scorer.docs(x), scorer.queries(x[:8]))[np.argsort(ids)]
+        assert sorted(got) == [7 * i for i in range(8)]
+        assert all(np.allclose(got[7 * i], want[:, i]) for i in range(8))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    piece = search._Packed(K.sign_hamming(), search.Block([0], x[:1])).offer(np.arange(700), x)
+    assert sum(c.nbytes for b in piece for c in b.columns) < 3 * 700
