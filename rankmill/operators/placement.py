@@ -159,7 +159,8 @@ def half_space_discrepancy(normals: DataFrame, arms: dict[str, np.ndarray], vect
 
 def router_recall(vectors: DataFrame, queries: DataFrame, truth: DataFrame, arms: dict[str, np.ndarray], radii: list[int], buckets: int = 16, calibrated: bool = False) -> DataFrame:
     """(arm, radius, scanned, recall): for each set of directions, the rows a query's buckets hold on average, and the share
-    of its true rows among them. Rows are counted in united bitmaps, and true rows alone are looked up.
+    of its true rows among them. Rows are counted in united bitmaps, a block of ids at a time, and true rows alone are looked
+    up, by the least difference of their buckets on any axis.
 
     calibrated: buckets between quantiles; else of equal width, so rows need not be centred.
     """
@@ -168,13 +169,13 @@ def router_recall(vectors: DataFrame, queries: DataFrame, truth: DataFrame, arms
     for arm, axes in arms.items():
         placed, own = research.buckets_of(vectors, queries, axes, buckets, calibrated)
         posted, own = written(research.postings(placed), "postings"), written(own, "asked")
-        found = placed.join(true, "row_id").select("query_id", "row_id", "axis", "bucket")
-        for radius in radii:
-            near = research.near_buckets(own, radius)
-            rows = research.united(posted, near).agg(F.coalesce(F.sum(F.bitmap_count("rows")), F.lit(0)).alias("rows"))
-            hits = found.join(near, ["query_id", "axis", "bucket"]).select("query_id", "row_id").distinct().agg(F.count("*").alias("hits"))
-            row = rows.join(F.broadcast(hits)).select(F.lit(arm).alias("arm"), F.lit(radius).alias("radius"), (F.col("rows") / max(asked_, 1)).alias("scanned"), (F.col("hits") / max(n, 1)).alias("recall"))  # one row each
-            out = row if out is None else out.union(row)
+        counts = research.united_counts(posted, own, len(axes), buckets, sorted(set(radii)))
+        found = placed.join(true, "row_id").select("query_id", "row_id", "axis", "bucket").join(own.withColumnRenamed("bucket", "pl_own"), ["query_id", "axis"])
+        far = found.groupBy("query_id", "row_id").agg(F.min(F.abs(F.col("bucket") - F.col("pl_own"))).alias("far"))
+        held = far.agg(*(F.count(F.when(F.col("far") <= r, 1)).alias(f"h{r}") for r in sorted(set(radii))))
+        hits = held.select(F.explode(F.array(*(F.struct(F.lit(r).alias("radius"), F.col(f"h{r}").alias("hits")) for r in radii))).alias("h")).select("h.*")  # a row a radius
+        part = hits.join(F.broadcast(counts), "radius", "left").select(F.lit(arm).alias("arm"), "radius", (F.coalesce("rows", F.lit(0)) / max(asked_, 1)).alias("scanned"), (F.col("hits") / max(n, 1)).alias("recall"))
+        out = part if out is None else out.union(part)
     return out
 
 

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from rankmill.functions import kernels
 from rankmill.operators.cells import nearest_cells, with_cells
 from rankmill.operators.mutate import with_row_ids
-from rankmill.operators.search import search, top_k
+from rankmill.operators.search import QUERY_BLOCK, QUERY_BLOCKS, search, top_k
+from rankmill.storage import written
 
 
 #: Ids in a block of a bitmap, and one part in how many a sketch of quantiles may be off.
 BITMAP_IDS, QUANTILE_ACCURACY = 32_768, 100_000
+#: Queries whose unions of a block are made at once, some megabytes.
+UNITED = 128
 #: Tasks that sum up the moments of all others.
 MOMENT_TASKS = 32
 
@@ -83,6 +86,61 @@ def united(posted: DataFrame, near: DataFrame) -> DataFrame:
     return near.join(posted, ["axis", "bucket"]).groupBy("query_id", "block").agg(F.bitmap_or_agg("rows").alias("rows"))
 
 
+def united_counts(posted: DataFrame, asked: DataFrame, axes: int, buckets: int, radii: list[int]) -> DataFrame:
+    """(radius, rows): how many rows united() has over all queries, for each radius. asked: (query_id, axis, bucket).
+
+    All bitmaps of a block of ids are one row, and so are up to QUERY_BLOCK queries; a task unites one block for one lot of
+    queries at a time and keeps a number a radius, so no union is ever a row.
+    """
+
+    def lots(batches):
+        import pyarrow as pa
+
+        held = []
+        made = lambda part: pa.RecordBatch.from_arrays([pa.array([np.concatenate(part).astype(np.int32).tobytes()], pa.binary()), pa.array([np.cumsum([0, *map(len, part)]).tobytes()], pa.binary())], names=["keys", "ends"])
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            while len(held) >= QUERY_BLOCK:
+                yield made(held[:QUERY_BLOCK])
+                held = held[QUERY_BLOCK:]
+        if held:
+            yield made(held)
+
+    def near(cells) -> list[np.ndarray]:
+        """For each radius, by axis and bucket: the rows of a block in any bucket within it."""
+        own = np.zeros((axes, buckets, BITMAP_IDS // 64), np.uint64)
+        for c in cells:
+            own[c["axis"], c["bucket"]] = np.frombuffer(c["rows"], np.uint64)
+        out = []
+        for radius in radii:
+            wide = [np.bitwise_or.reduce(own[:, max(0, b - radius) : b + radius + 1], axis=1) for b in range(buckets)]
+            out.append(np.stack(wide, 1).reshape(axes * buckets, -1))
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        total, at, wide = np.zeros(len(radii), np.int64), None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, keys, ends = (batch.column(c)[i].as_py() for c in (0, 2, 3))
+                if block != at:
+                    at, wide = block, near(batch.column(1)[i].as_py())
+                keys, ends = np.frombuffer(keys, np.int32), np.frombuffer(ends, np.int64)
+                for lo in range(0, len(ends) - 1, UNITED):
+                    e = ends[lo : lo + UNITED + 1]
+                    for r, w in enumerate(wide):
+                        total[r] += int(np.bitwise_count(np.bitwise_or.reduceat(w[keys[e[0] : e[-1]]], e[:-1] - e[0], axis=0)).sum(dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(radii, pa.int32()), pa.array(total)], names=["radius", "rows"])
+
+    keyed = asked.groupBy("query_id").agg(F.collect_set((F.col("axis") * buckets + F.col("bucket")).cast("int")).alias("keys")).select("keys")
+    parts = max(1, -(-asked.count() // (axes * QUERY_BLOCK * QUERY_BLOCKS)))
+    lot = written(keyed.repartition(parts).mapInArrow(lots, "keys binary, ends binary"), "query-lots")
+    held = posted.groupBy("block").agg(F.collect_list(F.struct("axis", "bucket", "rows")).alias("cells"))
+    held = held.repartition(posted.sparkSession.sparkContext.defaultParallelism, "block")
+    return held.crossJoin(lot).mapInArrow(run, "radius int, rows long").groupBy("radius").agg(F.sum("rows").alias("rows"))
+
+
 def route(vectors: DataFrame, queries: DataFrame, count: int = 4, buckets: int = 16, radius: int = 1, seed: int = 0, axes: np.ndarray | None = None, row_id: str = "row_id", query_id: str = "query_id", vector: str = "embedding", calibrated: bool = False) -> DataFrame:
     """(query_id, row_id): rows that share a bucket, or one within radius, with the query on one of count projections.
 

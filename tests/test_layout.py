@@ -78,6 +78,22 @@ def test_routers_count_without_pairs(spark):
     assert len(set(placement.primes(60))) == 60 and placement.primes(5) == [2, 3, 5, 7, 11]
 
 
+@pytest.mark.parametrize("lot", [1024, 2])
+def test_unions_are_counted_without_being_rows(spark, monkeypatch, lot):
+    monkeypatch.setattr(research, "QUERY_BLOCK", lot)
+    monkeypatch.setattr(research, "UNITED", 3)
+    ids = [0, 1, 2, 32_767, 32_768, 32_769, 65_536, 200_000, 200_001]
+    x, q = some(3, len(ids), 8), some(4, 7, 8)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "row_id long, embedding array<float>")
+    asked = queries(spark, [*q, q[0]]).withColumn("query_id", F.when(F.col("query_id") == 7, 1).otherwise(F.col("query_id")))  # one id, two vectors
+    placed, own = research.buckets_of(v, asked, research.directions(8, 3, 9), 6)
+    posted = research.postings(placed)
+    got = research.united_counts(posted, own, 3, 6, [0, 1, 5])
+    want = {r: research.united(posted, research.near_buckets(own, r)).agg(F.sum(F.bitmap_count("rows"))).first()[0] for r in (0, 1, 5)}
+    assert dict(map(tuple, got.collect())) == want and want[5] == 7 * len(ids)
+    assert "bitmap_or_agg" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ids_of_bitmaps_go_past_a_block(spark):
     ids = [0, 1, 32_767, 32_768, 32_769, 65_536, 65_537, 10**9]
     v = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "row_id long, embedding array<float>")
